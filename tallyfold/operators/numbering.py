@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.names import col
 from tallyfold.session import shared_dir
-from tallyfold.sources.scan import BLOCK, FILE, SEQ
+from tallyfold.sources.scan import BLOCK, FILE, SEQ, WHOLE_FILE
 
 FIRST_RECORD = 2  # row 1 is the header
 
@@ -29,13 +29,15 @@ def with_row_numbers(rows: DataFrame, all_rows: DataFrame, alias: str = "row_no"
     """Give scanned rows their place in their list, counting the header as row 1.
 
     ``rows`` may be any selection of ``all_rows`` that kept the provenance columns.  The
-    record numbers restart in no particular place per split, so they are taken relative to
-    the smallest of the split.
+    record numbers of a delimited list restart in no particular place per split, so they are
+    taken relative to the smallest of the split; a Parquet list knows its row indexes.
     """
-    counts = all_rows.groupBy(FILE, BLOCK).agg(F.min(SEQ).alias("first"), F.count(F.lit(1)).alias("n"))
+    counts = (all_rows.where(F.col(BLOCK) != WHOLE_FILE).groupBy(FILE, BLOCK)
+              .agg(F.min(SEQ).alias("first"), F.count(F.lit(1)).alias("n")))
     placed = offsets(counts, [F.col(BLOCK)], [FILE])
-    number = F.col(SEQ) - F.col("first") + F.col("offset") + F.lit(FIRST_RECORD)
-    return rows.join(placed, [FILE, BLOCK]).withColumn(alias, number).drop("first", "offset", BLOCK, SEQ)
+    place = F.col(SEQ) - F.coalesce("first", F.lit(0)) + F.coalesce("offset", F.lit(0))
+    return (rows.join(placed, [FILE, BLOCK], "left").withColumn(alias, place + F.lit(FIRST_RECORD))
+            .drop("first", "offset", BLOCK, SEQ))
 
 
 def ascending(names: Sequence[str]) -> list[Column]:

@@ -20,13 +20,14 @@ def guard_output(spark: SparkSession, input_dir: str, output: str) -> None:
         raise InputError(f"output {output} lies inside the input folder {input_dir}")
 
 
-def write_result(df: DataFrame, path: str, kind: str = PARQUET, dialect: Dialect = Dialect()) -> str:
+def write_result(df: DataFrame, path: str, kind: str = PARQUET, dialect: Dialect = Dialect(),
+                 mode: str = "overwrite") -> str:
     """Write a table, replacing what was there; missing parent folders are created."""
     if kind == PARQUET:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode(mode).parquet(path)
     elif kind == CSV:
         plain = [_plain(df, f) for f in df.schema]
-        (df.select(*plain).write.mode("overwrite")
+        (df.select(*plain).write.mode(mode)
          .options(sep=dialect.sep, quote=dialect.quote, escape=dialect.quote, header=True, encoding="UTF-8",
                   emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
          .csv(path))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tallyfold.functions.names import col
 from tallyfold.operators import checks, consolidate, numbering, validate
 from tallyfold.plans import publish, report
-from tallyfold.session import shared_dir, work_dir
+from tallyfold.session import settled, shared_dir, work_dir
 from tallyfold.sources import catalog as lists
 from tallyfold.sources import storage
 from tallyfold.sources.catalog import PARQUET, Dialect, ListFile
@@ -71,8 +71,8 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
         rows = validate.typed_rows(scan(spark, seen.scanned, spec, dialect, checking=False), spec)
         merged, placed = _staged(spark, rows, spec, staged)
         rows_out = merged.count()
-        reconciliation = checks.reconcile(validate.input_totals(seen.profile, spec),
-                                          checks.control_totals(merged, spec)).checkpoint()
+        reconciliation = settled(checks.reconcile(validate.input_totals(seen.profile, spec),
+                                                  checks.control_totals(merged, spec)))
         issues = seen.issues.unionByName(_result_issues(merged, placed, reconciliation, spec))
 
     issues = _stored_issues(spark, issues, report_dir, run_id)
@@ -120,14 +120,14 @@ class _Inspection:
 def _inspect(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialect, strict: bool) -> _Inspection:
     """One pass over all rows yields everything the gate needs.
 
-    The profile has one row per list; keeping it in a checkpoint means that no later step
-    goes back to the rows, and everything derived from it is small.
+    The profile has one row per list; it is computed once, no later step goes back to the
+    rows for it, and everything derived from it is small.
     """
     catalog = lists.catalog_frame(spark, files)
     scanned = [f for f in files if f.load_rule is None]
-    profile = validate.list_profile(scan(spark, scanned, spec, dialect), spec).checkpoint()
+    profile = settled(validate.list_profile(scan(spark, scanned, spec, dialect), spec))
 
-    load = validate.load_issues(catalog, profile)
+    load = settled(validate.load_issues(catalog, profile))
     readable = catalog.join(load, "list_id", "left_anti")
     columns = validate.escalate(validate.column_issues(readable, spec), strict)
     incomplete = columns.where(F.col("rule") == "missing_column")
@@ -135,10 +135,10 @@ def _inspect(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Di
     in_cells = (validate.cell_issue_counts(profile, spec)
                 .join(load, "list_id", "left_anti").join(incomplete, "list_id", "left_anti")
                 .groupBy("list_id").agg(F.sum("n").alias("n")))
-    counts = (report.issue_counts(issues).withColumn("cells", F.lit(0).cast("bigint"))
+    counts = settled(report.issue_counts(issues).withColumn("cells", F.lit(0).cast("bigint"))
               .unionByName(in_cells.select("list_id", F.col("n").alias("errors"),
                                            F.lit(0).cast("bigint").alias("warnings"), F.col("n").alias("cells")))
-              .groupBy("list_id").agg(*[F.sum(c).alias(c) for c in ("errors", "warnings", "cells")])).checkpoint()
+              .groupBy("list_id").agg(*[F.sum(c).alias(c) for c in ("errors", "warnings", "cells")]))
     failed = counts.where("errors > 0").collect()  # at most one small row per list
     bad_cells = {r.list_id for r in failed if r.cells}
     return _Inspection(catalog, scanned, profile, issues, counts.drop("cells"), sum(r.errors for r in failed),

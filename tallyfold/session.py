@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tallyfold", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -49,3 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute a table of one row per list (or per column) once and keep it.
+
+    Only for tables no larger than the file listing, which the driver holds anyway.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)

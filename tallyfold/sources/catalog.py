@@ -9,9 +9,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyfold.functions.convert import NULL_TOKENS
 from tallyfold.functions.names import normalize_name
@@ -99,8 +101,9 @@ def read_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect =
 
 def catalog_frame(spark: SparkSession, files: list[ListFile]) -> DataFrame:
     """One row per list."""
-    rows = [(f.list_id, f.path, list(f.columns) if f.columns is not None else None, f.load_rule) for f in files]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    table = pa.table({name: pa.array([getattr(f, name) for f in files], to_arrow_type(field.dataType))
+                      for name, field in zip(CATALOG_SCHEMA.names, CATALOG_SCHEMA)})
+    return spark.createDataFrame(table, CATALOG_SCHEMA)
 
 
 def _csv_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> dict[str, bytes]:

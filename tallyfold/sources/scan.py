@@ -21,9 +21,10 @@ from tallyfold.sources import storage
 from tallyfold.sources.catalog import CSV, Dialect, ListFile
 from tallyfold.spec import Spec
 
-RECORD = "_record"
+RECORD, WIDTH, LINE = "_record", "_width", "_line"
 # Provenance and record-level flags that a checking scan adds.
 FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT = "_file", "_block", "_seq", "_malformed", "_bad_text"
+WHOLE_FILE = -1  # block of rows whose record number already counts from the start of the list
 
 
 def cell(raw: Column, source: T.DataType, spec: Spec, name: str, dialect: Dialect = Dialect()) -> Column:
@@ -56,22 +57,28 @@ def scan(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialec
     Lists are read in groups of equal layout (same width, required columns in the same
     places): one positional read over differing headers would mix columns up silently.
     """
-    groups: dict[tuple, list[ListFile]] = defaultdict(list)
+    layouts: dict[tuple, list[ListFile]] = defaultdict(list)
     for f in files:
         places = tuple(f.columns.index(n) if n in f.columns else None for n in spec.required)
         # Unknown columns may differ in name without needing a read of their own.
-        groups[(f.format, len(f.columns), places, f.schema and f.schema.json())].append(f)
-    if not groups:
+        layouts[(f.format, len(f.columns), places, f.schema and f.schema.json())].append(f)
+    if not layouts:
         return _no_rows(spark, spec, checking)
-    frames = []
-    for (kind, width, places, _), members in sorted(groups.items(), key=lambda g: repr(g[0])):
-        paths = [storage.literal(f.path) for f in members]
-        read = _csv if kind == CSV else _parquet
-        frames.append(read(spark, paths, members[0], width, places, spec, dialect, checking))
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _csv(spark, paths, sample, width, places, spec, dialect, checking) -> DataFrame:
+    texts, tables = [], []
+    for (kind, _, places, _), members in sorted(layouts.items(), key=lambda g: repr(g[0])):
+        if kind == CSV:
+            texts.append(_csv_text(spark, members, places, spec, dialect, checking))
+        else:
+            tables.append(_parquet_cells(spark, members, places, spec, dialect, checking))
+    if texts:
+        tables.insert(0, _csv_cells(reduce(DataFrame.unionByName, texts), spec, dialect, checking))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _csv_text(spark: SparkSession, files: list[ListFile], places: tuple[int | None, ...], spec: Spec,
+              dialect: Dialect, checking: bool) -> DataFrame:
+    """Texts of the required columns, under their names, for lists of one layout."""
+    width = len(files[0].columns)
     slots = [f"c{i}" for i in range(width)]
     fields = [T.StructField(s, T.StringType()) for s in slots]
     options = dict(sep=dialect.sep, quote=dialect.quote, escape=dialect.quote, header=True, mode="PERMISSIVE",
@@ -81,48 +88,48 @@ def _csv(spark, paths, sample, width, places, spec, dialect, checking) -> DataFr
         # seen; pruning must be off because a pruned parse never notices a bad record.
         fields.append(T.StructField(RECORD, T.StringType()))
         options.update(encoding="ISO-8859-1", columnPruning=False, columnNameOfCorruptRecord=RECORD)
+    paths = [storage.literal(f.path) for f in files]
     raw = spark.read.schema(T.StructType(fields)).options(**options).csv(paths)
+    extra = []
+    if checking:
+        extra = [F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
+                 F.monotonically_increasing_id().alias(SEQ), F.col(RECORD), F.lit(width).alias(WIDTH),
+                 F.concat_ws(dialect.sep, *slots, RECORD).alias(LINE)]
+    missing = F.lit(None).cast("string")
+    return raw.select(*extra, *[(missing if at is None else F.col(slots[at])).alias(name)
+                                for name, at in zip(spec.required, places)])
 
-    def text(slot: str) -> Column:
-        return _utf8(F.col(slot)) if checking else F.col(slot)
 
-    extra = []
+def _csv_cells(texts: DataFrame, spec: Spec, dialect: Dialect, checking: bool) -> DataFrame:
+    flags = []
     if checking:
-        line = _utf8(F.concat_ws(dialect.sep, *slots, RECORD))
-        extra = [*_provenance(), _malformed(F.col(RECORD), width, dialect).alias(MALFORMED),
-                 (~F.is_valid_utf8(line)).alias(BAD_TEXT)]
-    string = T.StringType()
-    return raw.select(*extra, *[cell(F.lit(None).cast(string) if at is None else text(slots[at]),
-                                     string, spec, name, dialect) for name, at in zip(spec.required, places)])
+        flags = [FILE, BLOCK, SEQ, _malformed(F.col(RECORD), F.col(WIDTH), dialect).alias(MALFORMED),
+                 (~F.is_valid_utf8(_utf8(F.col(LINE)))).alias(BAD_TEXT)]
+    return texts.select(*flags, *[cell(_utf8(col(n)) if checking else col(n), T.StringType(), spec, n, dialect)
+                                  for n in spec.required])
 
 
-def _parquet(spark, paths, sample, width, places, spec, dialect, checking) -> DataFrame:
-    stored = spark.read.parquet(*paths)
-    raw = stored.toDF(*[f"c{i}" for i in range(width)])
-    extra = []
+def _parquet_cells(spark: SparkSession, files: list[ListFile], places: tuple[int | None, ...], spec: Spec,
+                   dialect: Dialect, checking: bool) -> DataFrame:
+    schema = files[0].schema
+    stored = spark.read.schema(schema).parquet(*[storage.literal(f.path) for f in files])
+    flags = []
     if checking:
-        raw = stored.select(*[col(n).alias(f"c{i}") for i, n in enumerate(stored.columns)],
-                            F.col("_metadata.file_name").alias(FILE), F.lit(0).cast("bigint").alias(BLOCK),
-                            F.col("_metadata.row_index").alias(SEQ))
-        extra = [FILE, BLOCK, SEQ, F.lit(False).alias(MALFORMED), F.lit(False).alias(BAD_TEXT)]
+        flags = [F.col("_metadata.file_name").alias(FILE), F.lit(WHOLE_FILE).cast("bigint").alias(BLOCK),
+                 F.col("_metadata.row_index").alias(SEQ), F.lit(False).alias(MALFORMED), F.lit(False).alias(BAD_TEXT)]
     wanted = []
     for name, at in zip(spec.required, places):
-        source = T.StringType() if at is None else sample.schema[at].dataType
-        value = F.lit(None).cast(source) if at is None else F.col(f"c{at}")
+        source = T.StringType() if at is None else schema[at].dataType
+        value = F.lit(None).cast(source) if at is None else col(schema.names[at])
         wanted.append(cell(value, source, spec, name, dialect))
-    return raw.select(*extra, *wanted)
-
-
-def _provenance() -> list[Column]:
-    return [F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
-            F.monotonically_increasing_id().alias(SEQ)]
+    return stored.select(*flags, *wanted)
 
 
 def _utf8(latin1: Column) -> Column:
     return F.encode(latin1, "ISO-8859-1").cast("string")
 
 
-def _malformed(record: Column, width: int, dialect: Dialect) -> Column:
+def _malformed(record: Column, width: Column, dialect: Dialect) -> Column:
     """Whether a record the parser complained about is broken rather than merely short.
 
     Short records are padded with missing cells; too many fields or an unclosed quote is an
