@@ -19,11 +19,19 @@ TOTAL_TYPE = T.DecimalType(38, 2)  # totals are compared at two decimals
 
 def control_totals(rows: DataFrame, spec: Spec) -> DataFrame:
     """Exact total of every summed column, with the row count: (column_name, total, rows)."""
+    return stacked_totals(rows.agg(*_totals(rows, spec)), spec.columns_with("sum"))
+
+
+def _totals(rows: DataFrame, spec: Spec) -> list[Column]:
     types = {f.name: f.dataType for f in rows.schema}
-    names = spec.columns_with("sum")
-    one_row = rows.agg(F.count(F.lit(1)).alias("rows"),
-                       *[F.sum(total_addend(spec, n, types[n])).alias(f"t{i}") for i, n in enumerate(names)])
-    return stacked_totals(one_row, names)
+    return [F.count(F.lit(1)).alias("rows"),
+            *[F.sum(total_addend(spec, n, types[n])).alias(f"t{i}") for i, n in enumerate(spec.columns_with("sum"))]]
+
+
+def result_profile(merged: DataFrame, spec: Spec) -> DataFrame:
+    """One row about a merged result, from one pass: rows, control totals, values out of range."""
+    outside = [F.count_if(violated) for _, _, violated in range_rules(spec)]
+    return merged.agg(*_totals(merged, spec), sum(outside, F.lit(0)).cast("bigint").alias("outside"))
 
 
 def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -75,17 +83,21 @@ def range_violations(merged: DataFrame, spec: Spec, carry: Sequence[str] = ()) -
         *[col(c) for c in carry], "found.*")
 
 
-def result_issues(duplicates: DataFrame, reconciliation: DataFrame, ranges: DataFrame, spec: Spec) -> DataFrame:
-    """All result findings in the common issue layout; ``ranges`` carries an ``ordinal``."""
-    none = F.lit(None)
+def duplicate_issues(duplicates: DataFrame, spec: Spec) -> DataFrame:
     keys = F.to_json(F.struct(*[col(k).alias(k) for k in spec.keys]), {"ignoreNullFields": "false"})
-    return (duplicates.select(*issue(none, "result", "error", F.lit("residual_duplicate"), bad_value=keys))
-            .unionByName(reconciliation.where(~F.col("passed")).select(
-                *issue(none, "result", "error", F.lit("sum_mismatch"), F.col("column_name"),
-                       bad_value=F.concat_ws(" <> ", "sum_before", "sum_after"))))
-            .unionByName(ranges.select(
-                *issue(none, "result", "error", F.col("rule"), F.col("column_name"),
-                       F.col("ordinal") + 1, F.col("bad_value")))))
+    return duplicates.select(*issue(F.lit(None), "result", "error", F.lit("residual_duplicate"), bad_value=keys))
+
+
+def sum_issues(reconciliation: DataFrame) -> DataFrame:
+    return reconciliation.where(~F.col("passed")).select(
+        *issue(F.lit(None), "result", "error", F.lit("sum_mismatch"), F.col("column_name"),
+               bad_value=F.concat_ws(" <> ", "sum_before", "sum_after")))
+
+
+def range_issues(violations: DataFrame) -> DataFrame:
+    """``violations`` carries the ``ordinal`` of its row in the result; the header is row 1."""
+    return violations.select(*issue(F.lit(None), "result", "error", F.col("rule"), F.col("column_name"),
+                                    F.col("ordinal") + 1, F.col("bad_value")))
 
 
 def has_errors(issues: DataFrame) -> bool:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -69,11 +71,14 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
     else:
         staged = publish.staging_path(output) if writing else work_dir(spark, "result")
         rows = validate.typed_rows(scan(spark, seen.scanned, spec, dialect, checking=False), spec)
-        merged, placed = _staged(spark, rows, spec, staged)
-        rows_out = merged.count()
-        reconciliation = settled(checks.reconcile(validate.input_totals(seen.profile, spec),
-                                                  checks.control_totals(merged, spec)))
-        issues = seen.issues.unionByName(_result_issues(merged, placed, reconciliation, spec))
+        merged = _staged(spark, rows, spec, staged)
+        profile = settled(checks.result_profile(merged, spec))
+        rows_out, outside = profile.select("rows", "outside").first()
+        after = validate.stacked_totals(profile, spec.columns_with("sum"))
+        reconciliation = settled(checks.reconcile(validate.input_totals(seen.profile, spec), after))
+        issues = seen.issues
+        for found in _result_issues(merged, reconciliation, outside, spec):
+            issues = issues.unionByName(found)
 
     issues = _stored_issues(spark, issues, report_dir, run_id)
     total = report.run_status(report.issue_counts(issues)).first()
@@ -89,17 +94,23 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
         result = consolidate.presented(merged, spec)
 
     status = report.list_status(seen.catalog, seen.counts, seen.profile)
-    firsts = report.first_issues(issues, spec)
+    if list_errors:
+        status = status.join(report.first_issues(issues, spec), "list_id", "left")
+    else:
+        status = status.select("*", F.lit(None).cast("string").alias("first_issue"),
+                               F.lit(None).cast("bigint").alias("more"))
     tables = {
         "run_summary": spark.createDataFrame([(
             spec.name, spec.version, started, input_dir, output, dry_run, strict, len(files),
             len(files) - seen.unreadable, total.errors, total.warnings, rows_in if merged else None, rows_out,
             rows_in - rows_out if merged else None, sums_agree, published, total.status)], SUMMARY_SCHEMA),
-        "list_status": status.join(firsts, "list_id", "left"),
+        "list_status": status,
         "sum_reconciliation": reconciliation,
     }
     if report_dir is not None:
-        tables = {name: _stored_table(spark, table, report_dir, name, run_id) for name, table in tables.items()}
+        with ThreadPoolExecutor(len(tables)) as pool:
+            stored = pool.map(lambda n: _stored_table(spark, tables[n], report_dir, n, run_id), tables)
+            tables = dict(zip(tables, stored))
     return Run(run_id, total.status, published, issues=issues, result=result, **tables)
 
 
@@ -131,7 +142,7 @@ def _inspect(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Di
     readable = catalog.join(load, "list_id", "left_anti")
     columns = validate.escalate(validate.column_issues(readable, spec), strict)
     incomplete = columns.where(F.col("rule") == "missing_column")
-    issues = load.unionByName(columns)
+    issues = settled(load.unionByName(columns))
     in_cells = (validate.cell_issue_counts(profile, spec)
                 .join(load, "list_id", "left_anti").join(incomplete, "list_id", "left_anti")
                 .groupBy("list_id").agg(F.sum("n").alias("n")))
@@ -160,14 +171,12 @@ def _cell_issues(spark: SparkSession, files: list[ListFile], spec: Spec, dialect
                                            F.col("column_name"), F.col("row_no"), F.col("bad_value")))
 
 
-def _staged(spark: SparkSession, rows: DataFrame, spec: Spec, path: str) -> tuple[DataFrame, DataFrame]:
+def _staged(spark: SparkSession, rows: DataFrame, spec: Spec, path: str) -> DataFrame:
     """Merge, sort and write; the checks then judge exactly what would be published."""
     merged = consolidate.grouped(rows, spec)
-    wanted = _stored_names(spec, merged)
     ordered = merged.orderBy(*numbering.ascending(consolidate.result_order(spec)))
-    ordered.select(*[col(n) for n in wanted]).write.parquet(path)
-    stored = spark.read.parquet(storage.literal(path))
-    return stored, stored.select(*[col(n) for n in wanted], *numbering.stored_place())
+    ordered.select(*[col(n) for n in _stored_names(spec, merged)]).write.parquet(path)
+    return spark.read.parquet(storage.literal(path))
 
 
 def _stored_names(spec: Spec, merged: DataFrame) -> list[str]:
@@ -176,11 +185,16 @@ def _stored_names(spec: Spec, merged: DataFrame) -> list[str]:
     return first + [n for n in merged.columns if n not in first]
 
 
-def _result_issues(merged: DataFrame, placed: DataFrame, reconciliation: DataFrame, spec: Spec) -> DataFrame:
+def _result_issues(merged: DataFrame, reconciliation: DataFrame, outside: int, spec: Spec) -> Iterator[DataFrame]:
+    """Findings about the result; the costlier lookups only where there is something to find."""
     duplicates = checks.residual_duplicates(merged, spec.keys)
-    outside = checks.range_violations(placed, spec, ["_name", "_index"])
-    return checks.result_issues(duplicates, reconciliation,
-                                numbering.with_stored_ordinals(placed, outside), spec)
+    if not duplicates.isEmpty():
+        yield checks.duplicate_issues(duplicates, spec)
+    yield checks.sum_issues(reconciliation)
+    if outside:
+        placed = merged.select("*", *numbering.stored_place())
+        violations = checks.range_violations(placed, spec, ["_name", "_index"])
+        yield checks.range_issues(numbering.with_stored_ordinals(placed, violations))
 
 
 def _stored_issues(spark: SparkSession, issues: DataFrame, report_dir: str | None, run_id: str) -> DataFrame:
