@@ -7,8 +7,8 @@ from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import partial
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from tallyfold.functions.names import normalize_name
 from tallyfold.sources import storage
 
 CSV, PARQUET = "csv", "parquet"
+CSV_GLOB = "*.[cC][sS][vV]"
+SMALL = 4 << 20  # lists up to this size are read whole when only the header is wanted
 FORMATS = {".csv": CSV, ".parquet": PARQUET}
 
 CATALOG_SCHEMA = T.StructType([
@@ -107,13 +109,28 @@ def catalog_frame(spark: SparkSession, files: list[ListFile]) -> DataFrame:
 
 
 def _csv_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> dict[str, bytes]:
-    """First non-blank line of each list, read by one task per list that stops there.
+    """The header record of each list as raw bytes, blank lines before it skipped."""
+    small = [f for f in files if f.size <= SMALL and not dialect.multiline]
+    large = [f for f in files if f.size > SMALL or dialect.multiline]
+    found = [read(spark, part, dialect) for read, part in ((_small_headers, small), (_large_headers, large)) if part]
+    return {name: bytes(record) for rows in found
+            for name, record in rows.select(decoded_name("name"), "record").collect()}
 
-    Only the start of a large list is read: the scan runs in a sibling session whose split
-    settings put each list into a partition of its own, and the task returns early.
+
+def _small_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
+    """Small lists are cheap to read whole, many to a task; only the first line leaves the scan."""
+    whole = storage.read_files(partial(spark.read.text, wholetext=True), [f.path for f in files], CSV_GLOB)
+    text = F.ltrim("value", F.lit("\ufeff\r\n\t "))
+    line = F.substring_index(F.substring_index(text, "\n", 1), "\r", 1)
+    return whole.select(F.col("_metadata.file_name").alias("name"), line.cast("binary").alias("record"))
+
+
+def _large_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
+    """Of a large list only the start is read: one task per list, which returns early.
+
+    The scan runs in a sibling session whose split settings put each list into a partition
+    of its own.
     """
-    if not files:
-        return {}
     probe = spark.newSession()
     whole = str(1 << 50)
     probe.conf.set("spark.sql.files.maxPartitionBytes", whole)
@@ -121,27 +138,20 @@ def _csv_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -
     probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     multiline, quote = dialect.multiline, dialect.quote.encode()
 
-    def first_record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        record, done = b"", False
-        for n, batch in enumerate(batches):
-            for name, line in zip(batch["name"], batch["line"]):
-                if done:
-                    break
-                line = bytes(line)
+    def first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record = b""
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
                 if not record and not line.strip():
                     continue
                 record += (b"\n" if record else b"") + line
                 if not multiline or record.count(quote) % 2 == 0:
-                    done = True
-                    yield pd.DataFrame({"name": [name], "record": [record]})
-            # Short lists are drained, which lets the Python worker be reused.
-            if done and n >= 20:
-                return
+                    yield pa.RecordBatch.from_pydict({"name": [batch.column("name")[0].as_py()], "record": [record]})
+                    return
 
-    lines = (probe.read.text([storage.literal(f.path) for f in files])
+    lines = (storage.read_files(probe.read.text, [f.path for f in files], CSV_GLOB)
              .select(F.col("_metadata.file_name").alias("name"), F.col("value").cast("binary").alias("line")))
-    rows = lines.mapInPandas(first_record, "name string, record binary").select(decoded_name("name"), "record")
-    return {name: bytes(record) for name, record in rows.collect()}
+    return lines.mapInArrow(first_record, "name string, record binary")
 
 
 def decoded_name(column: str) -> F.Column:
@@ -150,7 +160,7 @@ def decoded_name(column: str) -> F.Column:
 
 
 def _with_header(f: ListFile, record: bytes | None, dialect: Dialect) -> ListFile:
-    if record is None:
+    if not record:
         return replace(f, load_rule="empty_file")
     try:
         text = record.decode("utf-8-sig")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tallyfold.functions import convert
 from tallyfold.functions.names import col
 from tallyfold.sources import storage
-from tallyfold.sources.catalog import CSV, Dialect, ListFile
+from tallyfold.sources.catalog import CSV, CSV_GLOB, Dialect, ListFile
 from tallyfold.spec import Spec
 
 RECORD, WIDTH, LINE = "_record", "_width", "_line"
@@ -88,8 +88,11 @@ def _csv_text(spark: SparkSession, files: list[ListFile], places: tuple[int | No
         # seen; pruning must be off because a pruned parse never notices a bad record.
         fields.append(T.StructField(RECORD, T.StringType()))
         options.update(encoding="ISO-8859-1", columnPruning=False, columnNameOfCorruptRecord=RECORD)
-    paths = [storage.literal(f.path) for f in files]
-    raw = spark.read.schema(T.StructType(fields)).options(**options).csv(paths)
+
+    def load(path: str | list[str], **more: str) -> DataFrame:
+        return spark.read.schema(T.StructType(fields)).options(**options, **more).csv(path)
+
+    raw = storage.read_files(load, [f.path for f in files], CSV_GLOB)
     extra = []
     if checking:
         extra = [F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+MANY = 32  # files, from which on listing them one by one is avoided
 
 
 @dataclass(frozen=True)
@@ -41,8 +45,8 @@ def is_directory(spark: SparkSession, path: str) -> bool:
 def entries(spark: SparkSession, directory: str) -> list[Entry]:
     """What lies directly in a directory, including zero-byte files that no Spark scan reports."""
     fs, p = _open(spark, directory)
-    return [Entry(s.getPath().getName(), s.getPath().toString(), s.getLen(), s.isFile())
-            for s in fs.listStatus(p)]
+    found = ((s.getPath().toString(), s) for s in fs.listStatus(p))
+    return [Entry(path.rpartition("/")[2], path, s.getLen(), s.isFile()) for path, s in found]
 
 
 def make_directory(spark: SparkSession, path: str) -> None:
@@ -64,3 +68,19 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 def literal(path: str) -> str:
     """Escape glob characters, as Spark readers treat every path as a pattern."""
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def read_files(reader: Callable[..., DataFrame], paths: list[str], name_glob: str) -> DataFrame:
+    """Read exactly these files of one folder.
+
+    ``reader(path, **options)`` loads one path or a list.  Many files are loaded through
+    their folder when that selects the very same files: a listing call per file would
+    otherwise outlast the scan of a folder of many small lists.
+    """
+    folders = {p.rpartition("/")[0] for p in paths}
+    if len(paths) > MANY and len(folders) == 1:
+        by_folder = reader(literal(folders.pop()), pathGlobFilter=name_glob)
+        if sorted(unquote(f.rpartition("/")[2]) for f in by_folder.inputFiles()) == sorted(
+                p.rpartition("/")[2] for p in paths):
+            return by_folder
+    return reader([literal(p) for p in paths])
