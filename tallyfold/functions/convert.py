@@ -6,6 +6,7 @@ value that the conversion then loses.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -20,10 +21,12 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# A plain decimal number with optional exponent.  Casts alone accept more (Java suffixes,
-# infinities) and an exponent of many digits would make a cast build a giant number.
-NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,3})?\s*$"
-NUMBER_COMMA = NUMBER.replace(r"\.", ",")
+# A decimal number with optional exponent; ``{mark}`` is the decimal mark.  Casts alone accept
+# more (Java suffixes, infinities), and an exponent of many digits would make a cast build a
+# giant number.
+NUMBER = r"^\s*[+-]?(\d+({mark}\d*)?|{mark}\d+)([eE][+-]?\d{{1,3}})?\s*$"
+# The usual form of a number, short enough that converting it cannot lose anything.
+PLAIN = r"^[+-]?\d{{1,{whole}}}({mark}\d{{0,{decimals}}})?$"
 
 # Pattern letters that make a date pattern a timestamp pattern.
 TIME_LETTERS = frozenset("HhKkmsSaAnN")
@@ -31,9 +34,13 @@ TIME_LETTERS = frozenset("HhKkmsSaAnN")
 WIDE = T.DecimalType(38, 18)
 
 
-def present(raw: Column, null_tokens: Sequence[str] = NULL_TOKENS) -> Column:
-    """The text itself, or NULL for a missing token (exact match)."""
-    return F.when(~raw.isin(*null_tokens), raw) if null_tokens else raw
+def is_missing(text: Column, null_tokens: Sequence[str] = NULL_TOKENS) -> Column:
+    """Whether a text cell is NULL or a missing token (exact match)."""
+    return text.isNull() | text.isin(*null_tokens) if null_tokens else text.isNull()
+
+
+def reads_as_number(token: str, decimal: str = ".") -> bool:
+    return re.match(NUMBER.format(mark=re.escape(decimal)), token) is not None
 
 
 def value_type(column: S.Column, exact: bool) -> T.DataType:
@@ -52,24 +59,32 @@ def has_time(formats: Sequence[str]) -> bool:
     return any(TIME_LETTERS & set("".join(f.split("'")[::2])) for f in formats)
 
 
-def from_text(raw: Column, column: S.Column, exact: bool, decimal: str = ".") -> Column:
-    """Typed value of a text cell, NULL where it cannot be converted without loss."""
+def from_text(text: Column, column: S.Column, exact: bool, decimal: str = ".") -> Column:
+    """Typed value of a text cell, NULL where it cannot be converted without loss.
+
+    Numbers in their usual form take a short path; only the rest is looked at closely.
+    """
     if column.type == "string":
-        return raw
+        return text
     if column.type == "date":
-        text = F.trim(raw)
+        trimmed = F.trim(text)
         if has_time(column.formats):
-            return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in column.formats])
-        return F.coalesce(*[F.try_to_date(text, f) for f in column.formats])
-    guard = raw.rlike(NUMBER if decimal == "." else NUMBER_COMMA)
-    text = F.trim(raw if decimal == "." else F.replace(raw, F.lit(decimal), F.lit(".")))
-    return F.when(guard, _number(text, column, exact))
+            return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in column.formats])
+        return F.coalesce(*[F.try_to_date(trimmed, f) for f in column.formats])
+    mark = re.escape(decimal)
+    dotted = text if decimal == "." else F.replace(text, F.lit(decimal), F.lit("."))
+    if column.type == "int":
+        usual = text.try_cast("bigint")
+    else:
+        whole, decimals = (38 - column.scale, column.scale) if exact else (300, 300)
+        usual = F.when(text.rlike(PLAIN.format(mark=mark, whole=whole, decimals=decimals)),
+                       dotted.try_cast(value_type(column, exact)))
+    closely = F.when(text.rlike(NUMBER.format(mark=mark)), _number(F.trim(dotted), column, exact))
+    return F.coalesce(usual, closely)
 
 
-def from_typed(value: Column, source: T.DataType, column: S.Column, exact: bool, decimal: str = ".") -> Column:
-    """Typed value of a cell whose source column already has a Spark type."""
-    if isinstance(source, T.StringType):
-        return from_text(value, column, exact, decimal)
+def from_typed(value: Column, source: T.DataType, column: S.Column, exact: bool) -> Column:
+    """Typed value of a cell whose source column has a Spark type other than string."""
     if column.type == "string":
         return value.cast("string")
     if column.type == "date":
@@ -82,18 +97,11 @@ def from_typed(value: Column, source: T.DataType, column: S.Column, exact: bool,
         value = value.cast("int")
     elif not isinstance(source, T.NumericType):
         return F.lit(None).cast(value_type(column, exact))
+    if column.type == "int" and isinstance(source, T.IntegralType):
+        return value.cast("bigint")
     return _number(value, column, exact)
 
 
-def raw_text(value: Column, source: T.DataType, null_tokens: Sequence[str] = NULL_TOKENS) -> Column:
-    """Text shown in findings; NULL means missing (null tokens in text, NaN in floats)."""
-    if isinstance(source, T.StringType):
-        return present(value, null_tokens)
-    if isinstance(source, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(value), value.cast("string"))
-    return value.cast("string")
-
-
 def _number(value: Column, column: S.Column, exact: bool) -> Column:
     as_double = value.try_cast("double")
     if column.type == "int" or exact:

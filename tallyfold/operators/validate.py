@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.functions.names import col
 from tallyfold.sources.catalog import decoded_name
-from tallyfold.sources.scan import BAD_TEXT, FILE, MALFORMED
+from tallyfold.sources.scan import BAD_TEXT, FILE, MALFORMED, part_names
 from tallyfold.spec import Spec
 
 ISSUE_SCHEMA = T.StructType([
@@ -66,15 +67,16 @@ def escalate(issues: DataFrame, strict: bool) -> DataFrame:
 # -- cells ------------------------------------------------------------------------------
 
 
-def _rules(spec: Spec) -> list[tuple[str, str, Column]]:
-    """Cell rules generated from the spec: (rule, column, violated?)."""
+def _rules(spec: Spec) -> list[tuple[str, int, Column]]:
+    """Cell rules generated from the spec: (rule, column position, violated?)."""
     rules = []
-    for c in spec.columns:
-        raw, value = col(c.name, "raw"), col(c.name, "value")
+    for i, c in enumerate(spec.columns):
+        value, missing, _ = (F.col(p) for p in part_names(spec, c.name))
+        # A converted value settles both rules, so the rest is only looked at without one.
         if not c.allow_missing:
-            rules.append(("missing_value", c.name, raw.isNull()))
+            rules.append(("missing_value", i, missing if c.type == "string" else value.isNull() & missing))
         if c.type != "string":
-            rules.append(("wrong_type", c.name, raw.isNotNull() & value.isNull()))
+            rules.append(("wrong_type", i, value.isNull() & ~missing))
     return rules
 
 
@@ -89,16 +91,17 @@ def cell_issues(cells: DataFrame, spec: Spec, carry: Iterable[str]) -> DataFrame
         return cells.select(*carry, F.lit("").alias("rule"), F.lit("").alias("column_name"),
                             F.lit("").alias("bad_value")).limit(0)
     found = F.array_compact(F.array(*[
-        F.when(violated, F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("column_name"),
-                                  col(name, "raw").alias("bad_value")))
-        for rule, name, violated in rules]))
-    return (cells.select(*carry, F.explode(found).alias("found"))
-            .select(*carry, "found.*"))
+        F.when(violated, F.struct(F.lit(rule).alias("rule"), F.lit(spec.required[i]).alias("column_name"),
+                                  F.when(~F.col(f"m{i}"), F.col(f"r{i}")).alias("bad_value")))
+        for rule, i, violated in rules]))
+    any_found = reduce(or_, [violated for _, _, violated in rules])
+    return (cells.where(any_found)
+            .select(*carry, F.explode(found).alias("found")).select(*carry, "found.*"))
 
 
 def typed_rows(cells: DataFrame, spec: Spec, carry: Iterable[str] = ()) -> DataFrame:
     """The converted values under the column names of the spec."""
-    return cells.select(*carry, *[col(n, "value").alias(n) for n in spec.required])
+    return cells.select(*carry, *[F.col(part_names(spec, n)[0]).alias(n) for n in spec.required])
 
 
 def list_profile(scanned: DataFrame, spec: Spec) -> DataFrame:
@@ -109,8 +112,9 @@ def list_profile(scanned: DataFrame, spec: Spec) -> DataFrame:
     the shuffle, which then carries one small row per list and task.
     """
     counts = [F.count_if(v).alias(f"n{i}") for i, (_, _, v) in enumerate(_rules(spec))]
-    totals = [F.sum(col(n, "value") if n in spec.exact else col(n, "value").cast("decimal(20,0)")).alias(f"t{i}")
-              for i, n in enumerate(spec.columns_with("sum"))]
+    summed = [(spec.required.index(n), n in spec.exact) for n in spec.columns_with("sum")]
+    totals = [F.sum(F.col(f"v{at}") if exact else F.col(f"v{at}").cast("decimal(20,0)")).alias(f"t{i}")
+              for i, (at, exact) in enumerate(summed)]
     flat = scanned.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"), F.count_if(MALFORMED).alias(MALFORMED),
                                      F.count_if(BAD_TEXT).alias(BAD_TEXT), *counts, *totals)
     return flat.select(decoded_name(FILE).alias("list_id"), "rows", MALFORMED, BAD_TEXT,
@@ -123,8 +127,8 @@ def cell_issue_counts(profile: DataFrame, spec: Spec) -> DataFrame:
     if not rules:
         return profile.select("list_id", F.lit("").alias("rule"), F.lit("").alias("column_name"),
                               F.col("rows").alias("n")).limit(0)
-    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("column_name"),
-                              F.col(f"n{i}").alias("n")) for i, (rule, name, _) in enumerate(rules)])
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(spec.required[at]).alias("column_name"),
+                              F.col(f"n{i}").alias("n")) for i, (rule, at, _) in enumerate(rules)])
     return profile.select("list_id", F.inline(each)).where("n > 0")
 
 

@@ -1,8 +1,8 @@
 """Reading the rows of many lists as one DataFrame, aligned by column name.
 
-Every required column becomes a cell ``struct<raw: string, value: <type>>``: the text as it
-stands (NULL when missing) and its converted value (NULL when missing or invalid).  Spark
-prunes whichever half a plan does not use.
+Every required column becomes three: ``v<i>`` is its converted value (NULL when missing or
+invalid), ``m<i>`` whether it is missing and ``r<i>`` the text as it stands, where ``<i>`` is
+its position in the spec.  Being plain columns, Spark prunes those a plan does not use.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,29 +22,53 @@ from tallyfold.sources import storage
 from tallyfold.sources.catalog import CSV, CSV_GLOB, Dialect, ListFile
 from tallyfold.spec import Spec
 
-RECORD, WIDTH, LINE = "_record", "_width", "_line"
+RECORD, WIDTH = "_record", "_width"
 # Provenance and record-level flags that a checking scan adds.
 FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT = "_file", "_block", "_seq", "_malformed", "_bad_text"
 WHOLE_FILE = -1  # block of rows whose record number already counts from the start of the list
 
 
-def cell(raw: Column, source: T.DataType, spec: Spec, name: str, dialect: Dialect = Dialect()) -> Column:
-    """The cell of one required column, from a source column of any type."""
-    column, exact = spec.column(name), name in spec.exact
-    text = convert.raw_text(raw, source, dialect.null_tokens)
-    basis = text if isinstance(source, T.StringType) else raw
-    value = convert.from_typed(basis, source, column, exact, dialect.decimal)
-    kept = value if isinstance(source, T.StringType) else F.when(text.isNotNull(), value)
-    return F.struct(text.alias("raw"), kept.alias("value")).alias(name)
-
-
 def cells(df: DataFrame, spec: Spec, carry: Iterable[str] = (), dialect: Dialect = Dialect(),
           names: Mapping[str, str] | None = None) -> DataFrame:
-    """Cells for an in-memory table; ``names`` maps spec columns to differently named ones."""
+    """Cells for any table; ``names`` maps spec columns to differently named ones."""
     types = {f.name: f.dataType for f in df.schema}
     source = {n: (names or {}).get(n, n) for n in spec.required}
     return df.select(*[col(c) for c in carry],
-                     *[cell(col(s), types[s], spec, n, dialect) for n, s in source.items()])
+                     *[part for n, at in source.items() for part in _cell(col(at), types[at], spec, n, dialect)])
+
+
+def _cell(source: Column, kind: T.DataType, spec: Spec, name: str, dialect: Dialect) -> list[Column]:
+    if isinstance(kind, T.StringType):
+        return _text_cell(source, source, spec, name, dialect)
+    missing = source.isNull()
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        missing = missing | F.isnan(source)
+    value = convert.from_typed(source, kind, spec.column(name), name in spec.exact)
+    return _parts(spec, name, value, missing, source.cast("string"))
+
+
+def _text_cell(text: Column, shown: Column, spec: Spec, name: str, dialect: Dialect,
+               null_tokens: tuple[str, ...] | None = None) -> list[Column]:
+    """``text`` is judged, ``shown`` is what it says when properly decoded."""
+    column = spec.column(name)
+    missing = convert.is_missing(text, dialect.null_tokens if null_tokens is None else null_tokens)
+    value = convert.from_text(text if column.is_numeric else shown, column, name in spec.exact, dialect.decimal)
+    if not column.is_numeric or any(convert.reads_as_number(t, dialect.decimal) for t in dialect.null_tokens):
+        value = F.when(~missing, value)
+    else:
+        # The default tokens are no numbers: only what is not a number needs a look at them.
+        missing = value.isNull() & missing
+    return _parts(spec, name, value, missing, shown)
+
+
+def _parts(spec: Spec, name: str, value: Column, missing: Column, raw: Column) -> list[Column]:
+    return [part.alias(alias) for part, alias in zip((value, missing, raw), part_names(spec, name))]
+
+
+def part_names(spec: Spec, name: str) -> tuple[str, str, str]:
+    """Columns holding the value, the missing flag and the text of a spec column."""
+    i = spec.required.index(name)
+    return f"v{i}", f"m{i}", f"r{i}"
 
 
 def scan(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialect = Dialect(),
@@ -97,19 +122,25 @@ def _csv_text(spark: SparkSession, files: list[ListFile], places: tuple[int | No
     if checking:
         extra = [F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
                  F.monotonically_increasing_id().alias(SEQ), F.col(RECORD), F.lit(width).alias(WIDTH),
-                 F.concat_ws(dialect.sep, *slots, RECORD).alias(LINE)]
+                 _bad_text([*slots, RECORD], dialect).alias(BAD_TEXT)]
     missing = F.lit(None).cast("string")
     return raw.select(*extra, *[(missing if at is None else F.col(slots[at])).alias(name)
                                 for name, at in zip(spec.required, places)])
 
 
 def _csv_cells(texts: DataFrame, spec: Spec, dialect: Dialect, checking: bool) -> DataFrame:
-    flags = []
-    if checking:
-        flags = [FILE, BLOCK, SEQ, _malformed(F.col(RECORD), F.col(WIDTH), dialect).alias(MALFORMED),
-                 (~F.is_valid_utf8(_utf8(F.col(LINE)))).alias(BAD_TEXT)]
-    return texts.select(*flags, *[cell(_utf8(col(n)) if checking else col(n), T.StringType(), spec, n, dialect)
-                                  for n in spec.required])
+    if not checking:
+        return cells(texts, spec, dialect=dialect)
+    flags = [FILE, BLOCK, SEQ, _malformed(F.col(RECORD), F.col(WIDTH), dialect).alias(MALFORMED), BAD_TEXT]
+    tokens = tuple(t.encode().decode("latin-1") for t in dialect.null_tokens)
+    return texts.select(*flags, *[part for n in spec.required
+                                  for part in _text_cell(col(n), _utf8(col(n)), spec, n, dialect, tokens)])
+
+
+def _bad_text(columns: list[str], dialect: Dialect) -> Column:
+    """Whether a record read as Latin-1 is not valid UTF-8; only text outside ASCII can be."""
+    foreign = reduce(or_, [F.coalesce(F.octet_length(c) != F.length(c), F.lit(False)) for c in columns])
+    return foreign & ~F.is_valid_utf8(_utf8(F.concat_ws(dialect.sep, *columns)))
 
 
 def _parquet_cells(spark: SparkSession, files: list[ListFile], places: tuple[int | None, ...], spec: Spec,
@@ -124,7 +155,7 @@ def _parquet_cells(spark: SparkSession, files: list[ListFile], places: tuple[int
     for name, at in zip(spec.required, places):
         source = T.StringType() if at is None else schema[at].dataType
         value = F.lit(None).cast(source) if at is None else col(schema.names[at])
-        wanted.append(cell(value, source, spec, name, dialect))
+        wanted.extend(_cell(value, source, spec, name, dialect))
     return stored.select(*flags, *wanted)
 
 
@@ -154,6 +185,6 @@ def _no_rows(spark: SparkSession, spec: Spec, checking: bool) -> DataFrame:
                   T.StructField(BAD_TEXT, T.BooleanType())]
     for name in spec.required:
         value = convert.value_type(spec.column(name), name in spec.exact)
-        fields.append(T.StructField(name, T.StructType([T.StructField("raw", T.StringType()),
-                                                        T.StructField("value", value)])))
+        fields.extend(T.StructField(*f) for f in zip(part_names(spec, name),
+                                                     (value, T.BooleanType(), T.StringType())))
     return spark.createDataFrame([], T.StructType(fields))

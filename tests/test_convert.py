@@ -2,16 +2,18 @@ import datetime
 from decimal import Decimal
 
 import pytest
+from conftest import base_spec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyfold import Column
+from tallyfold import Column, Dialect, Rule
 from tallyfold.functions import convert
+from tallyfold.sources.scan import cells
 
 
 def values(spark, texts, column, exact=False, decimal="."):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
-    out = convert.from_text(convert.present(F.col("v")), column, exact, decimal)
+    missing = convert.is_missing(F.col("v"))
+    out = F.when(~missing, convert.from_text(F.col("v"), column, exact, decimal))
     return [r[0] for r in df.orderBy("i").select(out).collect()]
 
 
@@ -66,4 +68,14 @@ def test_typed_sources(spark):
     assert (one("f", "float"), one("f", "int"), one("w", "int"), one("b", "float")) == (1.5, None, 3, 1.0)
     assert one("n", "string") == "7" and one("n", "date") is None     # a number is not a date
     assert one("d", "date") == datetime.date(2024, 1, 31) and one("t", "date") is None   # time would be lost
-    assert df.select(convert.raw_text(F.col("nan"), T.DoubleType())).first()[0] is None
+    spec = base_spec(columns=(Column("nan", "float"), Column("n", "int")), keys=("n",), rules=(Rule("nan", "sum"),),
+                     order=("n", "nan"), sort_by=(), bounds={})
+    assert cells(df, spec).select("m0", "v0").first() == (True, None)
+
+
+def test_null_tokens_that_are_numbers(spark):
+    spec = base_spec(columns=(Column("v", "float"), Column("w", "int")), keys=("w",), rules=(Rule("v", "sum"),),
+                     order=("w", "v"), sort_by=(), bounds={})
+    df = spark.createDataFrame([("-999", "0"), ("5", "1")], "v string, w string")
+    found = cells(df, spec, dialect=Dialect(null_tokens=("", "-999", "0"))).select("m0", "v0", "v1")
+    assert [(m, None if v is None else float(v), w) for m, v, w in found.collect()] == [(True, None, None), (False, 5.0, 1)]

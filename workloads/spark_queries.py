@@ -12,7 +12,7 @@ from tallyfold.operators import checks, consolidate, numbering, validate
 from tallyfold.plans import report
 from tallyfold.session import work_dir
 from tallyfold.sources import catalog as lists
-from tallyfold.sources.scan import BAD_TEXT, BLOCK, FILE, MALFORMED, SEQ, cells, scan
+from tallyfold.sources.scan import BAD_TEXT, BLOCK, FILE, MALFORMED, SEQ, cells, part_names, scan
 from workloads import tables as t
 
 PLACE = [FILE, BLOCK, SEQ]
@@ -174,10 +174,10 @@ def date_coercion(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 1, "1e0").when(iso, F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")))
         .when(F.col("l_linenumber") == 2, "2.5").otherwise(F.col("l_linenumber").cast("string")).alias("line"))
     read = cells(rows, t.SHIPPING, ["list_id"])
+    (day, _, _), (line, missing, _) = (part_names(t.SHIPPING, n) for n in t.SHIPPING.required)
     return read.groupBy("list_id").agg(
-        F.min("day.value").cast("string").alias("first_day"), F.max("day.value").cast("string").alias("last_day"),
-        F.sum("line.value").alias("lines"),
-        F.count_if(F.col("line.raw").isNotNull() & F.col("line.value").isNull()).alias("bad_lines"))
+        F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"),
+        F.sum(line).alias("lines"), F.count_if(~F.col(missing) & F.col(line).isNull()).alias("bad_lines"))
 
 
 # -- real files ---------------------------------------------------------------------------
