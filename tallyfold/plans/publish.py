@@ -59,6 +59,11 @@ def publish(spark: SparkSession, staged: str, target: str) -> None:
         parent = target.rstrip("/").rpartition("/")[0]
         if parent:
             storage.make_directory(spark, parent)
-    storage.move(spark, staged, target)
+    try:
+        storage.move(spark, staged, target)
+    except Exception:
+        if replaced:
+            storage.move(spark, replaced, target)
+        raise
     if replaced:
         storage.delete(spark, replaced)

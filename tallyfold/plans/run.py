@@ -175,7 +175,11 @@ def _staged(spark: SparkSession, rows: DataFrame, spec: Spec, path: str) -> Data
     """Merge, sort and write; the checks then judge exactly what would be published."""
     merged = consolidate.grouped(rows, spec)
     ordered = merged.orderBy(*numbering.ascending(consolidate.result_order(spec)))
-    ordered.select(*[col(n) for n in _stored_names(spec, merged)]).write.parquet(path)
+    try:
+        ordered.select(*[col(n) for n in _stored_names(spec, merged)]).write.parquet(path)
+    except Exception:
+        storage.delete(spark, path)
+        raise
     return spark.read.parquet(storage.literal(path))
 
 

@@ -96,6 +96,7 @@ def scan(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialec
         else:
             tables.append(_parquet_cells(spark, members, places, spec, dialect, checking))
     if texts:
+        # First, so that a plan over the delimited lists alone still numbers their records alike.
         tables.insert(0, _csv_cells(reduce(DataFrame.unionByName, texts), spec, dialect, checking))
     return reduce(DataFrame.unionByName, tables)
 

@@ -24,11 +24,17 @@ _PRICE = """SELECT l_partkey, l_linestatus, CAST(SUM(CAST(l_extendedprice AS DEC
             AS l_extendedprice FROM lineitem GROUP BY 1, 2"""
 _WARNINGS = f"(SELECT COUNT(DISTINCT {_LIST_ID}) FROM lineitem WHERE year(l_shipdate) <= 1996)"
 
+
+def _mean(column: str) -> str:
+    """The exact mean; AVG over doubles depends on the order of summation."""
+    return f"CAST(SUM(CAST({column} AS DECIMAL(18,2))) AS DOUBLE) / COUNT({column})"
+
+
 ORACLE: dict[str, str] = {
     "consolidate_sum": _SUM,
-    "consolidate_mean": "SELECT l_partkey, l_linestatus, ROUND(AVG(l_quantity), 6) AS l_quantity FROM lineitem GROUP BY 1, 2",
-    "consolidate_multi": """SELECT l_suppkey, l_returnflag, SUM(l_quantity) AS l_quantity,
-        ROUND(AVG(l_discount), 6) AS l_discount, COUNT(l_extendedprice) AS l_extendedprice
+    "consolidate_mean": f"SELECT l_partkey, l_linestatus, {_mean('l_quantity')} AS l_quantity FROM lineitem GROUP BY 1, 2",
+    "consolidate_multi": f"""SELECT l_suppkey, l_returnflag, SUM(l_quantity) AS l_quantity,
+        {_mean('l_discount')} AS l_discount, COUNT(l_extendedprice) AS l_extendedprice
         FROM lineitem GROUP BY 1, 2""",
     "count_over_key": "SELECT l_partkey, COUNT(l_linestatus) AS l_linestatus FROM lineitem GROUP BY l_partkey, lineitem.l_linestatus",
     "merge_tables": """SELECT key, source, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM (
@@ -59,7 +65,7 @@ ORACLE: dict[str, str] = {
     "list_status": f"""WITH l AS (SELECT {_LIST_ID} AS list_id, COUNT(*) AS n, MIN(year(l_shipdate)) AS y FROM lineitem GROUP BY 1),
         e AS (SELECT list_id, COUNT(*) AS errors FROM ({_ISSUES}) WHERE list_id > 'lineitem_1997' GROUP BY 1)
         SELECT l.list_id, CASE WHEN COALESCE(errors, 0) = 0 THEN n END AS rows, COALESCE(errors, 0) AS errors,
-        CASE WHEN y <= 1996 THEN 1 ELSE 0 END AS warnings,
+        CAST(CASE WHEN y <= 1996 THEN 1 ELSE 0 END AS BIGINT) AS warnings,
         CASE WHEN COALESCE(errors, 0) > 0 THEN 'error' WHEN y <= 1996 THEN 'warning' ELSE 'ok' END AS status
         FROM l LEFT JOIN e USING (list_id)""",
     "first_issues": f"""SELECT list_id, arg_min(concat('column ''', column_name, ''', row ', row_no, ': ',

@@ -30,19 +30,11 @@ def _merged(spec: Spec, ordered: bool = False) -> Callable[[SparkSession, str],
 
 
 consolidate_sum = _merged(t.PART_QUANTITY)
+consolidate_mean = _merged(t.PART_MEAN)
+consolidate_multi = _merged(t.SUPPLIER_RULES)
 count_over_key = _merged(t.STATUS_COUNT)
 
 
-def consolidate_mean(spark: SparkSession, folder: str) -> DataFrame:
-    result = consolidate.consolidate(t.listed(spark, folder), t.PART_MEAN, ordered=False)
-    return result.withColumn("l_quantity", F.round("l_quantity", 6))
-
-
-def consolidate_multi(spark: SparkSession, folder: str) -> DataFrame:
-    result = consolidate.consolidate(t.listed(spark, folder), t.SUPPLIER_RULES, ordered=False)
-    return _double(result, "l_quantity").withColumn("l_discount", F.round("l_discount", 6))
-
-
 def merge_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Two differently laid out sources, united by column name."""
     sold = t.table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("key"), F.lit("lineitem").alias("source"),
@@ -277,9 +269,11 @@ def gated_run_report(spark: SparkSession, folder: str) -> DataFrame:
         cells_found.select("n").scalar().alias("cell_issues"), cells_found.select("places").scalar().alias("places"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    consolidate_mean, consolidate_multi, merge_tables, null_keys, sum_all_missing, ordered_result, sum_reconciliation,
-    residual_duplicates, no_residual_duplicates, range_violations, null_violations, type_violations, issue_rows,
-    list_status, first_issues, run_summary, strict_gate, open_gate, blocked_gate, date_coercion, csv_roundtrip,
-    decimal_comma, column_conformance, csv_defects, gated_run, gated_run_report)}
-QUERIES = {"consolidate_sum": consolidate_sum, "count_over_key": count_over_key, **QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "consolidate_sum": consolidate_sum, "consolidate_mean": consolidate_mean, "consolidate_multi": consolidate_multi,
+    "count_over_key": count_over_key,
+    **{f.__name__: f for f in (
+        merge_tables, null_keys, sum_all_missing, ordered_result, sum_reconciliation, residual_duplicates,
+        no_residual_duplicates, range_violations, null_violations, type_violations, issue_rows, list_status,
+        first_issues, run_summary, strict_gate, open_gate, blocked_gate, date_coercion, csv_roundtrip, decimal_comma,
+        column_conformance, csv_defects, gated_run, gated_run_report)}}
