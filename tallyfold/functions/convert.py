@@ -70,7 +70,7 @@ def from_text(text: Column, column: S.Column, exact: bool, decimal: str = ".") -
         trimmed = F.trim(text)
         if has_time(column.formats):
             return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in column.formats])
-        return F.coalesce(*[F.try_to_date(trimmed, f) for f in column.formats])
+        return F.coalesce(*[_date(trimmed, f) for f in column.formats])
     mark = re.escape(decimal)
     dotted = text if decimal == "." else F.replace(text, F.lit(decimal), F.lit("."))
     if column.type == "int":
@@ -102,6 +102,17 @@ def from_typed(value: Column, source: T.DataType, column: S.Column, exact: bool)
     return _number(value, column, exact)
 
 
+def _date(text: Column, pattern: str) -> Column:
+    """Date in one pattern.  A miss in the general parser costs an exception per row, so text in
+    a pattern of fixed places is matched first, rearranged and cast."""
+    separators = re.sub("yyyy|MM|dd", "", pattern)
+    if sorted(re.findall("yyyy|MM|dd", pattern)) != ["MM", "dd", "yyyy"] or separators.strip("-./ "):
+        return F.try_to_date(text, pattern)
+    shape = re.sub("yyyy|MM|dd", lambda m: rf"\d{{{len(m[0])}}}", pattern.replace(".", r"\."))
+    places = [F.substring(text, pattern.index(part) + 1, len(part)) for part in ("yyyy", "MM", "dd")]
+    return F.when(text.rlike(f"^{shape}$"), F.concat_ws("-", *places).try_cast("date"))
+
+
 def _number(value: Column, column: S.Column, exact: bool) -> Column:
     as_double = value.try_cast("double")
     if column.type == "int" or exact:

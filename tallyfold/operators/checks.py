@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.names import col
-from tallyfold.operators.consolidate import total_addend
+from tallyfold.operators.consolidate import result_order, total_addend
+from tallyfold.operators.numbering import with_ordinals
 from tallyfold.operators.validate import issue, stacked_totals
 from tallyfold.spec import Spec
 
@@ -100,6 +101,18 @@ def range_issues(violations: DataFrame) -> DataFrame:
                                     F.col("ordinal") + 1, F.col("bad_value")))
 
 
+def check(merged: DataFrame, before: DataFrame, spec: Spec) -> DataFrame:
+    """All findings about a merged result: leftover duplicates, changed totals, values out of range.
+
+    ``before`` are the control totals of the rows that went in.  Rows of the result count in
+    its sort order.
+    """
+    placed = with_ordinals(merged, result_order(spec)) if range_rules(spec) else merged.withColumn("ordinal", F.lit(0))
+    return (duplicate_issues(residual_duplicates(merged, spec.keys), spec)
+            .unionByName(sum_issues(reconcile(before, control_totals(merged, spec))))
+            .unionByName(range_issues(range_violations(placed, spec, ["ordinal"]))))
+
+
 def has_errors(issues: DataFrame) -> bool:
     """The gate: a single error anywhere blocks publication."""
     return not issues.where(F.col("severity") == "error").isEmpty()

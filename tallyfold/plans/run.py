@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ from tallyfold.session import settled, shared_dir, work_dir
 from tallyfold.sources import catalog as lists
 from tallyfold.sources import storage
 from tallyfold.sources.catalog import PARQUET, Dialect, ListFile
-from tallyfold.sources.scan import BLOCK, FILE, SEQ, scan
+from tallyfold.sources.scan import BLOCK, FILE, SEQ, overlong_lists, scan
 from tallyfold.spec import Spec
 
 SUMMARY_SCHEMA = (
@@ -134,10 +134,9 @@ def _inspect(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Di
     The profile has one row per list; it is computed once, no later step goes back to the
     rows for it, and everything derived from it is small.
     """
+    files, profile = _profiled(spark, files, spec, dialect)
     catalog = lists.catalog_frame(spark, files)
     scanned = [f for f in files if f.load_rule is None]
-    profile = settled(validate.list_profile(scan(spark, scanned, spec, dialect), spec))
-
     load = settled(validate.load_issues(catalog, profile))
     readable = catalog.join(load, "list_id", "left_anti")
     columns = validate.escalate(validate.column_issues(readable, spec), strict)
@@ -156,6 +155,20 @@ def _inspect(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Di
                        load.count(), [f for f in scanned if f.list_id in bad_cells])
 
 
+def _profiled(spark: SparkSession, files: list[ListFile], spec: Spec,
+              dialect: Dialect) -> tuple[list[ListFile], DataFrame]:
+    """The profile of all readable lists; one monstrous record must not stop the others."""
+    scanned = [f for f in files if f.load_rule is None]
+    try:
+        return files, settled(validate.list_profile(scan(spark, scanned, spec, dialect), spec))
+    except Exception as e:
+        overlong = overlong_lists(spark, scanned, dialect) if "MALFORMED_CSV_RECORD" in str(e) else None
+        if not overlong:
+            raise
+    files = [replace(f, load_rule="malformed_record") if f.path in overlong else f for f in files]
+    return _profiled(spark, files, spec, dialect)
+
+
 def _require_distinct_names(spark: SparkSession, spec: Spec) -> None:
     names = [n.lower() for n in spec.required]
     if len(set(names)) < len(names) and spark.conf.get("spark.sql.caseSensitive", "false") != "true":

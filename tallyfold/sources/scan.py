@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 from tallyfold.functions import convert
 from tallyfold.functions.names import col
 from tallyfold.sources import storage
-from tallyfold.sources.catalog import CSV, CSV_GLOB, Dialect, ListFile
+from tallyfold.sources.catalog import CSV, CSV_GLOB, Dialect, ListFile, decoded_name
 from tallyfold.spec import Spec
 
 RECORD, WIDTH = "_record", "_width"
 # Provenance and record-level flags that a checking scan adds.
 FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT = "_file", "_block", "_seq", "_malformed", "_bad_text"
+MAX_COLUMNS = 20480  # fields of one record that the parser has room for
 WHOLE_FILE = -1  # block of rows whose record number already counts from the start of the list
 
 
@@ -108,7 +109,7 @@ def _csv_text(spark: SparkSession, files: list[ListFile], places: tuple[int | No
     slots = [f"c{i}" for i in range(width)]
     fields = [T.StructField(s, T.StringType()) for s in slots]
     options = dict(sep=dialect.sep, quote=dialect.quote, escape=dialect.quote, header=True, mode="PERMISSIVE",
-                   multiLine=dialect.multiline, encoding="UTF-8")
+                   multiLine=dialect.multiline, encoding="UTF-8", maxColumns=MAX_COLUMNS)
     if checking:
         # Latin-1 maps every byte to one character and back, so bad UTF-8 survives to be
         # seen; pruning must be off because a pruned parse never notices a bad record.
@@ -164,7 +165,19 @@ def _utf8(latin1: Column) -> Column:
     return F.encode(latin1, "ISO-8859-1").cast("string")
 
 
-def _malformed(record: Column, width: Column, dialect: Dialect) -> Column:
+def overlong_lists(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> set[str]:
+    """Paths of lists with a record of so many fields that the parser gives up on it.
+
+    Such a record fails the whole scan, so this is for finding the culprits after that.
+    """
+    lines = storage.read_files(spark.read.text, [f.path for f in files if f.format == CSV], CSV_GLOB)
+    over = lines.where(_malformed(F.col("value"), F.lit(MAX_COLUMNS), dialect, quotes=False))
+    names = over.select(F.col("_metadata.file_name").alias("name")).distinct().select(decoded_name("name"))
+    found = {r[0] for r in names.collect()}
+    return {f.path for f in files if f.list_id in found}
+
+
+def _malformed(record: Column, width: Column, dialect: Dialect, quotes: bool = True) -> Column:
     """Whether a record the parser complained about is broken rather than merely short.
 
     Short records are padded with missing cells; too many fields or an unclosed quote is an
@@ -174,7 +187,7 @@ def _malformed(record: Column, width: Column, dialect: Dialect) -> Column:
     inside = f"[^{q}]*+"
     bare = F.regexp_replace(record, f"(^|{s}){q}{inside}(?:{q}{q}{inside})*+{q}", "$1")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(dialect.sep), F.lit(""))) + 1
-    unclosed = bare.rlike(f"(^|{s}){q}")
+    unclosed = bare.rlike(f"(^|{s}){q}") if quotes else F.lit(False)
     return F.coalesce((fields > width) | unclosed, F.lit(False))
 
 

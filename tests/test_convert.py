@@ -46,6 +46,18 @@ def test_dates_need_a_declared_format(spark):
     assert values(spark, texts, both)[:2] == [datetime.date(2024, 1, 31)] * 2
 
 
+@pytest.mark.parametrize("pattern, good, bad", [
+    ("dd.MM.yyyy", "31.01.2024", ["31x01x2024", "2024-01-31", "30.02.2024", "1.1.2024", "31.01.24"]),
+    ("yyyyMMdd", "20240131", ["2024131", "20241301", "202401311"]),
+    ("MM/dd/yyyy", "01/31/2024", ["31/01/2024", "01-31-2024"]),
+    ("d.M.yyyy", "31.1.2024", ["2024-01-31", "x"]),
+    ("dd MMM yyyy", "31 Jan 2024", ["31 01 2024"]),
+])
+def test_date_patterns(spark, pattern, good, bad):
+    c = Column("v", "date", formats=(pattern,))
+    assert values(spark, [good, f" {good} ", *bad], c) == [datetime.date(2024, 1, 31)] * 2 + [None] * len(bad)
+
+
 def test_date_with_time(spark):
     c = Column("v", "date", formats=("yyyy-MM-dd HH:mm", "yyyy-MM-dd"))
     assert values(spark, ["2024-01-31 10:30", "2024-01-31"], c) == [

@@ -158,3 +158,23 @@ def test_names_differing_in_case_need_a_case_sensitive_session(spark, folder, tm
             run(spark, spec, path)
     finally:
         spark.conf.set("spark.sql.caseSensitive", "true")
+
+
+def test_one_monstrous_record_does_not_stop_the_others(spark, folder, spec):
+    path = folder({"a.csv": JULY + ";".join("x" * 30000) + "\n", "b.csv": JULY, "c.csv": JULY.replace("9.0", "neun")})
+    outcome = run(spark, spec, path)
+    assert issues(outcome) == [("a.csv", "error", "malformed_record", None, None, None),
+                               ("c.csv", "error", "wrong_type", "Laufmeter", 5, "neun")]
+    assert sorted(rows(outcome.list_status, "list_id", "status")) == [("a.csv", "error"), ("b.csv", "ok"), ("c.csv", "error")]
+
+
+def test_check_reports_everything_about_a_result(spark):
+    from tallyfold import check, control_totals
+    spec = base_spec(bounds={"Laufmeter": Bounds(max=10)})
+    schema = "Artikelnummer string, Farbe string, Laufmeter double"
+    merged = spark.createDataFrame([("A2", "x", 11.0), ("A1", "y", 1.0), ("A1", "y", 1.0)], schema)
+    before = control_totals(spark.createDataFrame([("A1", "y", 3.0)], schema), spec)
+    assert sorted(rows(check(merged, before, spec), "rule", "column_name", "row_no", "bad_value"), key=str) == [
+        ("above_max", "Laufmeter", 4, "11.0"),
+        ("residual_duplicate", None, None, '{"Artikelnummer":"A1","Farbe":"y"}'),
+        ("sum_mismatch", "Laufmeter", None, "3.00 <> 13.00")]

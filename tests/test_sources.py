@@ -90,6 +90,13 @@ def test_quoting(spark, folder, spec):
         [("A;1", 'a "b"', 2.5), ("A2", "back\\", 3.0), (None, "x", 1.0)], key=str)
 
 
+def test_line_ends_and_hash_signs(spark, folder, spec):
+    path = folder({"cr.csv": "Artikelnummer;Farbe;Laufmeter\rA1;a;1\r", "crlf.csv": GOOD.replace("\n", "\r\n"),
+                   "hash.csv": "Artikelnummer;Farbe;Laufmeter\n#A;b;1\n"})
+    assert sorted(rows(typed(spark, path, spec))) == [("#A", "b", 1.0), ("A1", "a", 1.0), ("A3", "gruen", 5.25),
+                                                      ("A4", "gelb", 3.1)]
+
+
 def test_quoted_newlines(spark, folder, spec):
     text = 'Artikelnummer;Farbe;"Lauf\nmeter"\n"A\n1";rot;2\nA2;blau;x\n'
     path = folder({"m.csv": text.replace('"Lauf\nmeter"', "Laufmeter")})

@@ -57,6 +57,17 @@ ORACLE: dict[str, str] = {
         CAST(v AS DOUBLE) AS bad_value
         FROM (SELECT c_nationkey, c_mktsegment, SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS v FROM customer GROUP BY 1, 2)
         WHERE v < 20000 OR v > 90000""",
+    "result_findings": """WITH m AS (SELECT c_nationkey AS k, c_mktsegment AS s, SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS v
+            FROM customer GROUP BY 1, 2),
+        d AS (SELECT * FROM m UNION ALL SELECT * FROM m WHERE k = 1),
+        n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY k NULLS LAST, s NULLS LAST) + 1 AS row_no FROM d)
+        SELECT 'result' AS level, 'error' AS severity, 'residual_duplicate' AS rule, CAST(NULL AS VARCHAR) AS column_name,
+            CAST(NULL AS BIGINT) AS row_no, concat('{"c_nationkey":', k, ',"c_mktsegment":"', s, '"}') AS bad_value
+        FROM m WHERE k = 1
+        UNION ALL SELECT 'result', 'error', 'sum_mismatch', 'c_acctbal', NULL,
+            concat((SELECT SUM(v) FROM m), ' <> ', (SELECT SUM(v) FROM d))
+        UNION ALL SELECT 'result', 'error', CASE WHEN v < 20000 THEN 'below_min' ELSE 'above_max' END, 'c_acctbal',
+            row_no, CAST(v AS VARCHAR) FROM n WHERE v < 20000 OR v > 90000""",
     "null_violations": f"""SELECT list_id, column_name, COUNT(*) AS n FROM ({_ISSUES})
         WHERE rule = 'missing_value' GROUP BY 1, 2""",
     "type_violations": f"""SELECT list_id, column_name, bad_value, COUNT(*) AS n FROM ({_ISSUES})

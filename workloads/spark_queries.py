@@ -87,6 +87,15 @@ def range_violations(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("bad_value").cast("double").alias("bad_value"))
 
 
+def result_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """A result in which one nation's rows were doubled: every kind of result finding."""
+    customers = t.table(spark, folder, "customer")
+    merged = consolidate.grouped(customers, t.ACCOUNT_BOUNDS)
+    doubled = consolidate.merge([merged, merged.where("c_nationkey = 1")])
+    found = checks.check(doubled, checks.control_totals(customers, t.ACCOUNT_BOUNDS), t.ACCOUNT_BOUNDS)
+    return found.drop("list_id")
+
+
 def _dirty_cells(spark: SparkSession, folder: str) -> DataFrame:
     return cells(t.dirty(t.listed(spark, folder)), t.DIRTY, ["list_id", *PLACE])
 
@@ -274,6 +283,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_over_key": count_over_key,
     **{f.__name__: f for f in (
         merge_tables, null_keys, sum_all_missing, ordered_result, sum_reconciliation, residual_duplicates,
-        no_residual_duplicates, range_violations, null_violations, type_violations, issue_rows, list_status,
+        no_residual_duplicates, range_violations, result_findings, null_violations, type_violations, issue_rows, list_status,
         first_issues, run_summary, strict_gate, open_gate, blocked_gate, date_coercion, csv_roundtrip, decimal_comma,
         column_conformance, csv_defects, gated_run, gated_run_report)}}
