@@ -28,11 +28,24 @@ def sum_type(spec: Spec, name: str, source: T.DataType) -> T.DataType:
     """How a column is summed: floats as exact decimals, so that order never matters."""
     if isinstance(source, T.DecimalType):
         return source
-    return T.DecimalType(38, spec.column(name).scale) if name in spec.exact else T.LongType()
+    if isinstance(source, T.IntegralType) and name not in spec.exact:
+        return T.LongType()
+    return T.DecimalType(38, spec.column(name).scale)
 
 
 def addend(spec: Spec, name: str, source: T.DataType) -> Column:
-    return col(name).cast(sum_type(spec, name, source))
+    """A column as it is summed.
+
+    Columns converted by validation already have the right type.  A plain double is taken
+    exactly or, if the scale cannot hold it, fails the job: it is never rounded quietly.
+    """
+    wanted = sum_type(spec, name, source)
+    if not isinstance(source, (T.DoubleType, T.FloatType)):
+        return col(name).cast(wanted)
+    fixed = col(name).try_cast(wanted)
+    lossy = F.raise_error(F.concat(F.lit(f"{name} has more decimals than its scale: "), col(name).cast("string")))
+    return (F.when(fixed.cast("double") == col(name), fixed)
+            .when(col(name).isNotNull() & ~F.isnan(col(name)), lossy.cast(wanted)))
 
 
 def total_addend(spec: Spec, name: str, source: T.DataType) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,13 @@ def guard_output(spark: SparkSession, input_dir: str, output: str) -> None:
 
 
 def write_result(df: DataFrame, path: str, kind: str = PARQUET, dialect: Dialect = Dialect(),
-                 mode: str = "overwrite") -> str:
+                 mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
     """Write a table, replacing what was there; missing parent folders are created."""
     if kind == PARQUET:
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     elif kind == CSV:
         plain = [_plain(df, f) for f in df.schema]
-        (df.select(*plain).write.mode(mode)
+        (df.select(*plain).write.mode(mode).partitionBy(*partition_by)
          .options(sep=dialect.sep, quote=dialect.quote, escape=dialect.quote, header=True, encoding="UTF-8",
                   emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
          .csv(path))

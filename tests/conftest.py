@@ -19,11 +19,11 @@ def spark():
 
 def base_spec(**changes) -> Spec:
     fields = dict(
-        name="Standard-Auswertung",
-        columns=(Column("Artikelnummer", "string"), Column("Farbe", "string"), Column("Laufmeter", "float")),
-        keys=("Artikelnummer", "Farbe"), rules=(Rule("Laufmeter", "sum"),),
-        order=("Artikelnummer", "Farbe", "Laufmeter"), sort_by=("Artikelnummer",),
-        bounds={"Laufmeter": Bounds(min=0)})
+        name="lengths by article",
+        columns=(Column("article", "string"), Column("colour", "string"), Column("metres", "float")),
+        keys=("article", "colour"), rules=(Rule("metres", "sum"),),
+        order=("article", "colour", "metres"), sort_by=("article",),
+        bounds={"metres": Bounds(min=0)})
     fields.update(changes)
     return Spec(**fields)
 

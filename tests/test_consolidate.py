@@ -5,10 +5,12 @@ from conftest import base_spec, rows
 from pyspark.sql import functions as F
 
 from tallyfold import Bounds, Column, Rule, consolidate, control_totals, merge, reconcile, residual_duplicates
-from tallyfold.operators import checks, numbering
+from tallyfold.operators import checks, numbering, validate
 from tallyfold.operators.consolidate import grouped
+from tallyfold.sources import catalog as lists
+from tallyfold.sources.scan import scan
 
-SCHEMA = "Artikelnummer string, Farbe string, Laufmeter double"
+SCHEMA = "article string, colour string, metres double"
 
 
 def plan(df) -> str:
@@ -28,7 +30,7 @@ def test_no_duplicates_changes_nothing(spark, spec):
 
 def test_merge_is_by_name_and_keeps_duplicates(spark, spec):
     lists = [spark.createDataFrame([("A1", "rot", 10.5)], SCHEMA),
-             spark.createDataFrame([(5.25, "rot", "A1")], "Laufmeter double, Farbe string, Artikelnummer string"),
+             spark.createDataFrame([(5.25, "rot", "A1")], "metres double, colour string, article string"),
              spark.createDataFrame([("A2", "blau", 3.0)], SCHEMA)]
     united = merge(lists)
     assert united.count() == 3
@@ -53,7 +55,7 @@ def test_groups_without_values(spark):
 
 
 def test_count_over_a_key(spark):
-    spec = base_spec(rules=(Rule("Farbe", "count"),), order=("Artikelnummer", "Farbe"), bounds={})
+    spec = base_spec(rules=(Rule("colour", "count"),), order=("article", "colour"), bounds={})
     df = spark.createDataFrame([("A1", "rot", 1.0), ("A1", "rot", 2.0), ("A1", "blau", 3.0), ("A2", "x", 1.0)], SCHEMA)
     assert sorted(rows(consolidate(df, spec))) == [("A1", 1), ("A1", 2), ("A2", 1)]
     assert control_totals(df, spec).count() == 0
@@ -62,33 +64,57 @@ def test_count_over_a_key(spark):
 
 
 def test_projection_may_leave_out_sort_key_and_sum(spark):
-    spec = base_spec(order=("Farbe",), sort_by=("Laufmeter",))
+    spec = base_spec(order=("colour",), sort_by=("metres",))
     df = spark.createDataFrame([("A1", "rot", 9.0), ("A2", "blau", 1.0)], SCHEMA)
     assert rows(consolidate(df, spec)) == [("blau",), ("rot",)]
 
 
 def test_sums_are_exact_whatever_the_partitioning(spark, spec):
-    df = spark.range(0, 10000).select(F.lit("A").alias("Artikelnummer"), F.lit("x").alias("Farbe"),
+    df = spark.range(0, 10000).select(F.lit("A").alias("article"), F.lit("x").alias("colour"),
                                       (F.lit(0.1) * (F.col("id") % 7)).cast("decimal(10,1)").cast("double")
-                                      .alias("Laufmeter"))
+                                      .alias("metres"))
     results = {consolidate(df.repartition(n), spec).first()[2] for n in (1, 3, 16)}
     assert results == {Decimal(sum(i % 7 for i in range(10000))) / 10}
 
 
+def test_doubles_are_never_rounded_quietly(spark):
+    fine = base_spec(columns=base_spec().columns[:2] + (Column("metres", "float", scale=2),), bounds={})
+    df = spark.createDataFrame([("A", "x", 1.25), ("A", "x", float("nan")), ("A", "x", None)], SCHEMA)
+    assert rows(consolidate(df, fine)) == [("A", "x", 1.25)]
+    whole = base_spec(columns=base_spec().columns[:2] + (Column("metres", "int"),), bounds={})
+    assert rows(consolidate(df, whole)) == [("A", "x", 1.25)]
+    with pytest.raises(Exception, match="metres has more decimals than its scale: 1.255"):
+        consolidate(df.unionAll(spark.createDataFrame([("A", "x", 1.255)], SCHEMA)), fine).collect()
+
+
+def test_plans_read_only_what_they_need(spark, spec, folder):
+    text = plan(consolidate(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumnsRenamed(
+        {"l_partkey": "article", "l_linestatus": "colour", "l_quantity": "metres"}), spec))
+    assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_linestatus:string>" in text
+    path = folder({"a.csv": "Neu;article;colour;Alt;metres\nx;A;b;y;1\n"})
+    files = lists.read_headers(spark, lists.discover(spark, path))
+    merged = plan(grouped(validate.typed_rows(scan(spark, files, spec, checking=False), spec), spec))
+    assert "FileScan csv [c1#" in merged and merged.count("Exchange") == 1 and "Python" not in merged
+    profile = plan(validate.list_profile(scan(spark, files, spec), spec))
+    assert profile.count("Exchange") == 1 and "Sort" not in profile and "Python" not in profile
+    issues = plan(validate.cell_issues(scan(spark, files, spec), spec, ["_file"]))
+    assert "Exchange" not in issues and "Python" not in issues
+
+
 def test_consolidating_twice_changes_nothing(spark, spec):
-    df = spark.range(0, 1000).select((F.col("id") % 13).cast("string").alias("Artikelnummer"),
-                                     (F.col("id") % 3).cast("string").alias("Farbe"),
-                                     (F.col("id") / 4).alias("Laufmeter"))
+    df = spark.range(0, 1000).select((F.col("id") % 13).cast("string").alias("article"),
+                                     (F.col("id") % 3).cast("string").alias("colour"),
+                                     (F.col("id") / 4).alias("metres"))
     once = consolidate(df, spec)
     assert rows(consolidate(once, spec)) == rows(once)
-    assert once.count() == df.select("Artikelnummer", "Farbe").distinct().count()
+    assert once.count() == df.select("article", "colour").distinct().count()
 
 
 def test_control_totals(spark, spec):
     df = spark.createDataFrame([("A1", "rot", 10.5), ("A1", "rot", 5.25), ("A2", "blau", 3.0)], SCHEMA)
     before, after = control_totals(df, spec), control_totals(consolidate(df, spec), spec)
-    assert rows(before) == [("Laufmeter", 18.75, 3)]
-    assert rows(reconcile(before, after)) == [("Laufmeter", 18.75, 18.75, True, 3, 2, 1)]
+    assert rows(before) == [("metres", 18.75, 3)]
+    assert rows(reconcile(before, after)) == [("metres", 18.75, 18.75, True, 3, 2, 1)]
 
 
 def totals(spark, name, value):
@@ -110,17 +136,17 @@ def test_residual_duplicates_once_each(spark, spec):
                                 (None, "x", 1.0)], SCHEMA)
     found = checks.duplicate_issues(residual_duplicates(df, spec.keys), spec)
     assert sorted(rows(found, "rule", "bad_value")) == [
-        ("residual_duplicate", '{"Artikelnummer":"A1","Farbe":"rot"}'),
-        ("residual_duplicate", '{"Artikelnummer":null,"Farbe":"x"}')]
+        ("residual_duplicate", '{"article":"A1","colour":"rot"}'),
+        ("residual_duplicate", '{"article":null,"colour":"x"}')]
 
 
 def test_range_rules(spark):
-    spec = base_spec(bounds={"Laufmeter": Bounds(0, 100)})
+    spec = base_spec(bounds={"metres": Bounds(0, 100)})
     df = spark.createDataFrame([("A1", "a", -5.0), ("A2", "a", 0.0), ("A3", "a", 100.0), ("A4", "a", 100.5),
                                 ("A5", "a", None)], SCHEMA)
-    assert sorted(rows(checks.range_violations(df, spec, ["Artikelnummer"]))) == [
-        ("A1", "below_min", "Laufmeter", "-5.0"), ("A4", "above_max", "Laufmeter", "100.5")]
-    counted = base_spec(rules=(Rule("Laufmeter", "count"),), bounds={"Laufmeter": Bounds(0, 1)})
+    assert sorted(rows(checks.range_violations(df, spec, ["article"]))) == [
+        ("A1", "below_min", "metres", "-5.0"), ("A4", "above_max", "metres", "100.5")]
+    counted = base_spec(rules=(Rule("metres", "count"),), bounds={"metres": Bounds(0, 1)})
     assert checks.range_rules(counted) == []
 
 
@@ -131,9 +157,9 @@ def test_ordinals_follow_the_sort_order(spark):
 
 
 def test_plans_stay_native_and_shuffle_once(spark, spec):
-    df = spark.range(0, 1000).select((F.col("id") % 13).cast("string").alias("Artikelnummer"),
-                                     (F.col("id") % 3).cast("string").alias("Farbe"),
-                                     (F.col("id") / 4).alias("Laufmeter"))
+    df = spark.range(0, 1000).select((F.col("id") % 13).cast("string").alias("article"),
+                                     (F.col("id") % 3).cast("string").alias("colour"),
+                                     (F.col("id") / 4).alias("metres"))
     checked = residual_duplicates(grouped(df, spec), spec.keys)
     text = plan(checked)
     assert text.count("Exchange") == 1                      # the check reuses the grouping's partitioning

@@ -6,8 +6,8 @@ from conftest import base_spec, rows
 from tallyfold import Bounds, Column, Dialect, InputError, Rule, run
 from tallyfold.plans import publish
 
-JULY = "Artikelnummer;Farbe;Laufmeter\nA100;rot;12.5\nA101;blau;7.3\nA100;rot;3.25\nA102;gruen;9.0\n"
-AUGUST = "Artikelnummer;Farbe;Laufmeter;Kommentar\nA100;rot;5.0;Nachlieferung\nA103;gelb;2.2;\n"
+JULY = "article;colour;metres\nA100;rot;12.5\nA101;blau;7.3\nA100;rot;3.25\nA102;gruen;9.0\n"
+AUGUST = "article;colour;metres;note\nA100;rot;5.0;late\nA103;gelb;2.2;\n"
 MERGED = [("A100", "rot", 20.75), ("A101", "blau", 7.3), ("A102", "gruen", 9.0), ("A103", "gelb", 2.2)]
 
 
@@ -16,14 +16,14 @@ def issues(outcome):
 
 
 def test_worked_example(spark, folder, spec, tmp_path):
-    path, out, report = folder({"messwerte_juli.csv": JULY, "messwerte_august.csv": AUGUST}), tmp_path / "out", tmp_path / "rep"
+    path, out, report = folder({"july.csv": JULY, "august.csv": AUGUST}), tmp_path / "out", tmp_path / "rep"
     first = run(spark, spec, path, str(out / "result"), str(report))
     assert first.status == "success_with_warnings" and first.published
     assert rows(spark.read.parquet(str(out / "result"))) == MERGED == rows(first.result)
-    assert rows(first.sum_reconciliation) == [("Laufmeter", 39.25, 39.25, True, 6, 4, 2)]
-    assert issues(first) == [("messwerte_august.csv", "warning", "unknown_column", "Kommentar", None, None)]
+    assert rows(first.sum_reconciliation) == [("metres", 39.25, 39.25, True, 6, 4, 2)]
+    assert issues(first) == [("august.csv", "warning", "unknown_column", "note", None, None)]
     assert sorted(rows(first.list_status, "list_id", "rows", "errors", "warnings", "status")) == [
-        ("messwerte_august.csv", 2, 0, 1, "warning"), ("messwerte_juli.csv", 4, 0, 0, "ok")]
+        ("august.csv", 2, 0, 1, "warning"), ("july.csv", 4, 0, 0, "ok")]
     s = first.run_summary.first()
     assert (s.lists_found, s.lists_processed, s.rows_in, s.rows_out, s.duplicates_merged, s.sums_agree) == (2, 2, 6, 4, 2, True)
 
@@ -31,7 +31,7 @@ def test_worked_example(spark, folder, spec, tmp_path):
     assert strict.status == "error" and not strict.published and strict.result is None
     assert rows(spark.read.parquet(str(out / "result"))) == MERGED          # the earlier result stays
     assert rows(strict.list_status.where("errors > 0"), "list_id", "rows", "first_issue", "more") == [
-        ("messwerte_august.csv", None, "column 'Kommentar': unknown column", 0)]
+        ("august.csv", None, "column 'note': unknown column", 0)]
     # Both runs are in the report, told apart by their id.
     assert spark.read.parquet(str(report / "run_summary")).count() == 2
     assert sorted(os.listdir(out)) == ["result"]                            # no staging left behind
@@ -40,7 +40,7 @@ def test_worked_example(spark, folder, spec, tmp_path):
 def test_publishing_replaces_the_old_result(spark, folder, spec, tmp_path):
     out = str(tmp_path / "result")
     run(spark, spec, folder({"a.csv": JULY}), out)
-    again = run(spark, spec, folder({"a.csv": "Artikelnummer;Farbe;Laufmeter\nZ;z;1\n"}), out)
+    again = run(spark, spec, folder({"a.csv": "article;colour;metres\nZ;z;1\n"}), out)
     assert again.status == "success" and rows(spark.read.parquet(out)) == [("Z", "z", 1.0)]
 
 
@@ -54,36 +54,36 @@ def test_dry_run_writes_only_the_report(spark, folder, spec, tmp_path):
 def test_every_kind_of_finding_in_one_pass(spark, folder, spec, tmp_path):
     path = folder({
         "good.csv": JULY,
-        "two_missing.csv": "Artikelnummer;Neu\nx;y\n",
-        "cells.csv": "Artikelnummer;Farbe;Laufmeter\nA1;rot;nicht_numerisch\nA2;;2.5\n;blau;n/a\n",
+        "two_missing.csv": "article;Neu\nx;y\n",
+        "cells.csv": "article;colour;metres\nA1;rot;no_number\nA2;;2.5\n;blau;n/a\n",
         "broken.csv": JULY + "A;b;1;2;3\n",
         "empty.csv": b"",
-        "header.csv": "Farbe;Laufmeter;Artikelnummer\n",
+        "header.csv": "colour;metres;article\n",
     })
     outcome = run(spark, spec, path, str(tmp_path / "result"))
     assert outcome.status == "error" and not (tmp_path / "result").exists()
     assert issues(outcome) == sorted([
         ("broken.csv", "error", "malformed_record", None, None, None),
         ("empty.csv", "error", "empty_file", None, None, None),
-        ("two_missing.csv", "error", "missing_column", "Farbe", None, None),
-        ("two_missing.csv", "error", "missing_column", "Laufmeter", None, None),
+        ("two_missing.csv", "error", "missing_column", "colour", None, None),
+        ("two_missing.csv", "error", "missing_column", "metres", None, None),
         ("two_missing.csv", "warning", "unknown_column", "Neu", None, None),
-        ("cells.csv", "error", "wrong_type", "Laufmeter", 2, "nicht_numerisch"),
-        ("cells.csv", "error", "missing_value", "Farbe", 3, None),
-        ("cells.csv", "error", "missing_value", "Artikelnummer", 4, None),
-        ("cells.csv", "error", "missing_value", "Laufmeter", 4, None)], key=str)
+        ("cells.csv", "error", "wrong_type", "metres", 2, "no_number"),
+        ("cells.csv", "error", "missing_value", "colour", 3, None),
+        ("cells.csv", "error", "missing_value", "article", 4, None),
+        ("cells.csv", "error", "missing_value", "metres", 4, None)], key=str)
     status = {r.list_id: r for r in outcome.list_status.collect()}
     assert len(status) == 6 and status["header.csv"].status == "ok" and status["header.csv"].rows == 0
     assert (status["cells.csv"].errors, status["cells.csv"].more, status["cells.csv"].first_issue) == (
-        4, 3, "column 'Laufmeter', row 2: wrong type 'nicht_numerisch'")
+        4, 3, "column 'metres', row 2: wrong type 'no_number'")
     s = outcome.run_summary.first()
     assert (s.lists_found, s.lists_processed, s.errors, s.warnings, s.rows_out) == (6, 4, 8, 1, None)
 
 
 def test_nothing_but_headers_is_a_valid_empty_result(spark, folder, spec, tmp_path):
-    outcome = run(spark, spec, folder({"a.csv": "Artikelnummer;Farbe;Laufmeter\n"}), str(tmp_path / "result"))
+    outcome = run(spark, spec, folder({"a.csv": "article;colour;metres\n"}), str(tmp_path / "result"))
     assert outcome.status == "success" and outcome.result.count() == 0
-    assert rows(outcome.sum_reconciliation) == [("Laufmeter", 0.0, 0.0, True, 0, 0, 0)]
+    assert rows(outcome.sum_reconciliation) == [("metres", 0.0, 0.0, True, 0, 0, 0)]
 
 
 def test_all_lists_unreadable(spark, folder, spec, tmp_path):
@@ -92,20 +92,20 @@ def test_all_lists_unreadable(spark, folder, spec, tmp_path):
 
 
 def test_result_out_of_bounds_is_not_published(spark, folder, tmp_path):
-    spec = base_spec(bounds={"Laufmeter": Bounds(min=0, max=10)})
-    text = "Artikelnummer;Farbe;Laufmeter\nA1;a;1\nA2;a;-3\nA2;a;-2\nA3;a;4\nA4;a;11\n"
+    spec = base_spec(bounds={"metres": Bounds(min=0, max=10)})
+    text = "article;colour;metres\nA1;a;1\nA2;a;-3\nA2;a;-2\nA3;a;4\nA4;a;11\n"
     outcome = run(spark, spec, folder({"a.csv": text}), str(tmp_path / "result"), str(tmp_path / "rep"))
     assert outcome.status == "error" and not outcome.published and sorted(os.listdir(tmp_path)) == ["in", "rep"]
     assert sorted((r, c, n, float(v)) for r, c, n, v in rows(outcome.issues, "rule", "column_name", "row_no", "bad_value")) == [
-        ("above_max", "Laufmeter", 5, 11.0), ("below_min", "Laufmeter", 3, -5.0)]
+        ("above_max", "metres", 5, 11.0), ("below_min", "metres", 3, -5.0)]
     assert [r.status for r in outcome.list_status.collect()] == ["ok"]       # the list itself is fine
     s = outcome.run_summary.first()
     assert (s.rows_in, s.rows_out, s.sums_agree) == (5, 4, True)
 
 
 def test_count_over_key_and_csv_output(spark, folder, tmp_path):
-    spec = base_spec(rules=(Rule("Farbe", "count"), Rule("Laufmeter", "sum")),
-                     order=("Laufmeter", "Artikelnummer", "Farbe"), sort_by=("Farbe",), bounds={})
+    spec = base_spec(rules=(Rule("colour", "count"), Rule("metres", "sum")),
+                     order=("metres", "article", "colour"), sort_by=("colour",), bounds={})
     path = folder({"a.csv": JULY, "b.csv": AUGUST})
     expected = [(2.2, "A103", 1), (7.3, "A101", 1), (9.0, "A102", 1), (20.75, "A100", 3)]
     stored = run(spark, spec, path, str(tmp_path / "p"))
@@ -113,7 +113,7 @@ def test_count_over_key_and_csv_output(spark, folder, tmp_path):
     text = run(spark, spec, path, str(tmp_path / "c"), output_format="csv")
     assert sorted((float(a), b, int(c)) for a, b, c in rows(text.result)) == expected
     lines = [l for f in sorted((tmp_path / "c").glob("part-*")) for l in f.read_text().splitlines()]
-    assert "20.75;A100;3" in lines and lines[0] == "Laufmeter;Artikelnummer;Farbe"
+    assert "20.75;A100;3" in lines and lines[0] == "metres;article;colour"
 
 
 def test_decimal_comma_and_date_and_int_columns(spark, folder, tmp_path):
@@ -136,7 +136,7 @@ def test_output_inside_the_input_folder_is_refused(spark, folder, spec):
 
 def test_split_of_rows_into_lists_does_not_matter(spark, folder, spec, tmp_path):
     lines = [f"A{i % 11};f{i % 3};{i / 8}" for i in range(200)]
-    head = "Artikelnummer;Farbe;Laufmeter\n"
+    head = "article;colour;metres\n"
     one = run(spark, spec, folder({"a.csv": head + "\n".join(lines)}), str(tmp_path / "one"))
     import shutil
     shutil.copytree(tmp_path / "in", tmp_path / "many")
@@ -161,20 +161,31 @@ def test_names_differing_in_case_need_a_case_sensitive_session(spark, folder, tm
 
 
 def test_one_monstrous_record_does_not_stop_the_others(spark, folder, spec):
-    path = folder({"a.csv": JULY + ";".join("x" * 30000) + "\n", "b.csv": JULY, "c.csv": JULY.replace("9.0", "neun")})
+    path = folder({"a.csv": JULY + ";".join("x" * 30000) + "\n", "b.csv": JULY, "c.csv": JULY.replace("9.0", "nine")})
     outcome = run(spark, spec, path)
     assert issues(outcome) == [("a.csv", "error", "malformed_record", None, None, None),
-                               ("c.csv", "error", "wrong_type", "Laufmeter", 5, "neun")]
+                               ("c.csv", "error", "wrong_type", "metres", 5, "nine")]
     assert sorted(rows(outcome.list_status, "list_id", "status")) == [("a.csv", "error"), ("b.csv", "ok"), ("c.csv", "error")]
 
 
 def test_check_reports_everything_about_a_result(spark):
     from tallyfold import check, control_totals
-    spec = base_spec(bounds={"Laufmeter": Bounds(max=10)})
-    schema = "Artikelnummer string, Farbe string, Laufmeter double"
+    spec = base_spec(bounds={"metres": Bounds(max=10)})
+    schema = "article string, colour string, metres double"
     merged = spark.createDataFrame([("A2", "x", 11.0), ("A1", "y", 1.0), ("A1", "y", 1.0)], schema)
     before = control_totals(spark.createDataFrame([("A1", "y", 3.0)], schema), spec)
     assert sorted(rows(check(merged, before, spec), "rule", "column_name", "row_no", "bad_value"), key=str) == [
-        ("above_max", "Laufmeter", 4, "11.0"),
-        ("residual_duplicate", None, None, '{"Artikelnummer":"A1","Farbe":"y"}'),
-        ("sum_mismatch", "Laufmeter", None, "3.00 <> 13.00")]
+        ("above_max", "metres", 4, "11.0"),
+        ("residual_duplicate", None, None, '{"article":"A1","colour":"y"}'),
+        ("sum_mismatch", "metres", None, "3.00 <> 13.00")]
+
+
+def test_write_result_partitioned_and_with_new_parents(spark, tmp_path):
+    df = spark.createDataFrame([("A1", "x", 10.5), ("A2", "y", 3.0)], "article string, colour string, metres double")
+    target = str(tmp_path / "new" / "deep" / "result")
+    assert publish.write_result(df, target, partition_by=["colour"]) == target
+    assert sorted(rows(spark.read.parquet(target), "article", "metres", "colour")) == [("A1", 10.5, "x"), ("A2", 3.0, "y")]
+    publish.write_result(df.limit(1), target)
+    assert spark.read.parquet(target).count() == 1
+    with pytest.raises(ValueError, match="unknown format"):
+        publish.write_result(df, target, "xlsx")

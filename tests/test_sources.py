@@ -9,7 +9,7 @@ from tallyfold.operators import numbering, validate
 from tallyfold.sources import catalog as lists
 from tallyfold.sources.scan import BLOCK, FILE, SEQ, scan
 
-GOOD = "Artikelnummer;Farbe;Laufmeter\nA3;gruen;5.25\nA4;gelb;3.10\n"
+GOOD = "article;colour;metres\nA3;gruen;5.25\nA4;gelb;3.10\n"
 
 
 def opened(spark, path, dialect=Dialect()):
@@ -44,8 +44,8 @@ def test_unusable_folders(spark, folder, tmp_path):
 
 
 def test_permuted_headers_align_by_name(spark, folder, spec):
-    path = folder({"a.csv": GOOD, "b.csv": "Laufmeter;Kommentar;Artikelnummer;Farbe\n1.5;x;00123;rot\n",
-                   "c.csv": "﻿Farbe;Laufmeter; Artikelnummer \nblau;2;A1\n"})
+    path = folder({"a.csv": GOOD, "b.csv": "metres;note;article;colour\n1.5;x;00123;rot\n",
+                   "c.csv": "﻿colour;metres; article \nblau;2;A1\n"})
     for checking in (True, False):
         assert sorted(rows(typed(spark, path, spec, checking=checking))) == [
             ("00123", "rot", 1.5), ("A1", "blau", 2.0), ("A3", "gruen", 5.25), ("A4", "gelb", 3.1)]
@@ -53,8 +53,8 @@ def test_permuted_headers_align_by_name(spark, folder, spec):
 
 def test_decomposed_header_name_matches(spark, folder):
     spec = base_spec(columns=base_spec().columns[:2] + (type(base_spec().columns[2])("Länge", "float"),),
-                     rules=(type(base_spec().rules[0])("Länge", "sum"),), order=("Artikelnummer", "Länge"), bounds={})
-    path = folder({"a.csv": "Artikelnummer;Farbe;Länge\nA1;rot;2\n"})
+                     rules=(type(base_spec().rules[0])("Länge", "sum"),), order=("article", "Länge"), bounds={})
+    path = folder({"a.csv": "article;colour;Länge\nA1;rot;2\n"})
     assert rows(typed(spark, path, spec)) == [("A1", "rot", 2.0)]
 
 
@@ -63,17 +63,17 @@ def test_load_rules(spark, folder, spec):
         "good.csv": GOOD,
         "comma.csv": GOOD.replace(";", ","),
         "latin.csv": (GOOD + "A5;grün;1\n").encode("latin-1"),
-        "latin_header.csv": "Artikelnummer;Farbe;Länge\nA;b;1\n".encode("latin-1"),
+        "latin_header.csv": "article;colour;Länge\nA;b;1\n".encode("latin-1"),
         "latin_long.csv": (GOOD + "A5;rot;1;grün\n").encode("latin-1"),
         "empty.csv": b"",
         "blank.csv": "\n  \n",
-        "long.csv": GOOD + "A5;rot;1;zuviel\n",
-        "all_long.csv": "Artikelnummer;Farbe;Laufmeter\nx;A5;rot;1\ny;A6;rot;1\n",
+        "long.csv": GOOD + "A5;rot;1;surplus\n",
+        "all_long.csv": "article;colour;metres\nx;A5;rot;1\ny;A6;rot;1\n",
         "unclosed.csv": GOOD + 'A5;"rot;1\n',
-        "twice.csv": "Artikelnummer;Farbe;Laufmeter;Farbe \nA5;rot;1;rot\n",
+        "twice.csv": "article;colour;metres;colour \nA5;rot;1;rot\n",
         "short.csv": GOOD + "A5;rot\n",
-        "header_only.csv": "Artikelnummer;Farbe;Laufmeter\n",
-        "quoted.csv": 'Artikelnummer;Farbe;Laufmeter\n"A;5";"ro""t;";"1"\nA6;"short; but fine"\n',
+        "header_only.csv": "article;colour;metres\n",
+        "quoted.csv": 'article;colour;metres\n"A;5";"ro""t;";"1"\nA6;"short; but fine"\n',
         "_hidden.csv": GOOD,
         "broken.parquet": b"not parquet at all",
     })
@@ -85,25 +85,25 @@ def test_load_rules(spark, folder, spec):
 
 
 def test_quoting(spark, folder, spec):
-    path = folder({"q.csv": 'Artikelnummer;Farbe;Laufmeter\n"A;1";"a ""b""";"2.5"\nA2;"back\\";3\n"";x;1\n'})
+    path = folder({"q.csv": 'article;colour;metres\n"A;1";"a ""b""";"2.5"\nA2;"back\\";3\n"";x;1\n'})
     assert sorted(rows(typed(spark, path, spec)), key=str) == sorted(
         [("A;1", 'a "b"', 2.5), ("A2", "back\\", 3.0), (None, "x", 1.0)], key=str)
 
 
 def test_line_ends_and_hash_signs(spark, folder, spec):
-    path = folder({"cr.csv": "Artikelnummer;Farbe;Laufmeter\rA1;a;1\r", "crlf.csv": GOOD.replace("\n", "\r\n"),
-                   "hash.csv": "Artikelnummer;Farbe;Laufmeter\n#A;b;1\n"})
+    path = folder({"cr.csv": "article;colour;metres\rA1;a;1\r", "crlf.csv": GOOD.replace("\n", "\r\n"),
+                   "hash.csv": "article;colour;metres\n#A;b;1\n"})
     assert sorted(rows(typed(spark, path, spec))) == [("#A", "b", 1.0), ("A1", "a", 1.0), ("A3", "gruen", 5.25),
                                                       ("A4", "gelb", 3.1)]
 
 
 def test_quoted_newlines(spark, folder, spec):
-    text = 'Artikelnummer;Farbe;"Lauf\nmeter"\n"A\n1";rot;2\nA2;blau;x\n'
-    path = folder({"m.csv": text.replace('"Lauf\nmeter"', "Laufmeter")})
+    text = 'article;colour;"Lauf\nmeter"\n"A\n1";rot;2\nA2;blau;x\n'
+    path = folder({"m.csv": text.replace('"Lauf\nmeter"', "metres")})
     assert rows(typed(spark, path, spec, Dialect(multiline=True)))[0] == ("A\n1", "rot", 2.0)
     multi = folder({"h.csv": text})
     names = {f.list_id: f.columns for f in opened(spark, multi, Dialect(multiline=True))}
-    assert names["h.csv"] == ("Artikelnummer", "Farbe", "Lauf\nmeter")
+    assert names["h.csv"] == ("article", "colour", "Lauf\nmeter")
 
 
 def test_odd_file_names(spark, folder, spec):
@@ -117,7 +117,7 @@ def test_odd_file_names(spark, folder, spec):
 def test_row_numbers_over_many_splits(spark, folder, spec):
     n = 30000
     lines = "".join(f"A{i};rot;{'bad' if i % 7 == 0 else i}\n" + ("\n" if i % 1000 == 0 else "") for i in range(n))
-    path = folder({"big.csv": "Artikelnummer;Farbe;Laufmeter\n" + lines, "small.csv": GOOD + "A;b;bad\n"})
+    path = folder({"big.csv": "article;colour;metres\n" + lines, "small.csv": GOOD + "A;b;bad\n"})
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     try:
@@ -132,16 +132,16 @@ def test_row_numbers_over_many_splits(spark, folder, spec):
 
 def test_headers_of_large_lists_stop_early(spark, folder, spec):
     body = "A1;rot;1\n" * 400000
-    path = folder({f"l{i}.csv": "Artikelnummer;Farbe;Laufmeter\n" + body for i in range(3)})
-    assert {f.columns for f in opened(spark, path)} == {("Artikelnummer", "Farbe", "Laufmeter")}
+    path = folder({f"l{i}.csv": "article;colour;metres\n" + body for i in range(3)})
+    assert {f.columns for f in opened(spark, path)} == {("article", "colour", "metres")}
 
 
 def test_parquet_and_csv_mixed(spark, folder, spec):
     path = folder({"a.csv": GOOD})
     import pandas as pd
-    pd.DataFrame({"Laufmeter": [1.5, None], "Farbe ": ["rot", "blau"], "Artikelnummer": [7, 8]}).to_parquet(
+    pd.DataFrame({"metres": [1.5, None], "colour ": ["rot", "blau"], "article": [7, 8]}).to_parquet(
         f"{path}/p.parquet")
-    pd.DataFrame({"Laufmeter": ["2.5", "x"], "Farbe": ["rot", "blau"], "Artikelnummer": ["00", "01"]}).to_parquet(
+    pd.DataFrame({"metres": ["2.5", "x"], "colour": ["rot", "blau"], "article": ["00", "01"]}).to_parquet(
         f"{path}/s.parquet")
     assert sorted(rows(typed(spark, path, spec)), key=str) == sorted(
         [("A3", "gruen", 5.25), ("A4", "gelb", 3.1), ("7", "rot", 1.5), ("8", "blau", None), ("00", "rot", 2.5),
