@@ -8,9 +8,10 @@ its position in the spec.  Being plain columns, Spark prunes those a plan does n
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from operator import or_
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from tallyfold.spec import Spec
 RECORD, WIDTH = "_record", "_width"
 # Provenance and record-level flags that a checking scan adds.
 FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT = "_file", "_block", "_seq", "_malformed", "_bad_text"
+MANY_LAYOUTS = 8  # delimited layouts, from which on places are looked up per record
+LOOKUP_BYTES = 64 << 20
 MAX_COLUMNS = 20480  # fields of one record that the parser has room for
 WHOLE_FILE = -1  # block of rows whose record number already counts from the start of the list
 
@@ -81,30 +84,41 @@ def scan(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialec
     scan is for lists already found clean: it reads only the required columns.
 
     Lists are read in groups of equal layout (same width, required columns in the same
-    places): one positional read over differing headers would mix columns up silently.
+    places): one positional read over differing headers would mix columns up silently.  Where
+    headers are so mixed that the groups would outgrow a plan, lists of one width are read
+    together and each record looks up where its list keeps the required columns.
     """
-    layouts: dict[tuple, list[ListFile]] = defaultdict(list)
-    for f in files:
-        places = tuple(f.columns.index(n) if n in f.columns else None for n in spec.required)
-        # Unknown columns may differ in name without needing a read of their own.
-        layouts[(f.format, len(f.columns), places, f.schema and f.schema.json())].append(f)
-    if not layouts:
-        return _no_rows(spark, spec, checking)
-    texts, tables = [], []
-    for (kind, _, places, _), members in sorted(layouts.items(), key=lambda g: repr(g[0])):
-        if kind == CSV:
-            texts.append(_csv_text(spark, members, places, spec, dialect, checking))
-        else:
-            tables.append(_parquet_cells(spark, members, places, spec, dialect, checking))
+    csv_files = [f for f in files if f.format == CSV]
+    texts = []
+    for members in _grouped(csv_files, lambda f: (len(f.columns), _places(f, spec))):
+        texts.append((members, _at_places(spec, _places(members[0], spec))))
+    if len(texts) > MANY_LAYOUTS:
+        texts = [(members, _at_looked_up_places(spark, spec, members))
+                 for members in _grouped(csv_files, lambda f: len(f.columns))]
+    tables = []
     if texts:
         # First, so that a plan over the delimited lists alone still numbers their records alike.
-        tables.insert(0, _csv_cells(reduce(DataFrame.unionByName, texts), spec, dialect, checking))
-    return reduce(DataFrame.unionByName, tables)
+        read = [pick(_csv_records(spark, members, dialect, checking)) for members, pick in texts]
+        tables.append(_csv_cells(reduce(DataFrame.unionByName, read), spec, dialect, checking))
+    for members in _grouped([f for f in files if f.format != CSV], lambda f: f.schema.json()):
+        tables.append(_parquet_cells(spark, members, spec, dialect, checking))
+    return reduce(DataFrame.unionByName, tables) if tables else _no_rows(spark, spec, checking)
+
+
+def _grouped(files: list[ListFile], key: Callable[[ListFile], Any]) -> list[list[ListFile]]:
+    groups: dict[Any, list[ListFile]] = defaultdict(list)
+    for f in files:
+        groups[key(f)].append(f)
+    return [groups[k] for k in sorted(groups, key=repr)]
 
 
-def _csv_text(spark: SparkSession, files: list[ListFile], places: tuple[int | None, ...], spec: Spec,
-              dialect: Dialect, checking: bool) -> DataFrame:
-    """Texts of the required columns, under their names, for lists of one layout."""
+def _places(f: ListFile, spec: Spec) -> tuple[int | None, ...]:
+    """Where a list keeps the required columns; names of unknown columns do not matter."""
+    return tuple(f.columns.index(n) if n in f.columns else None for n in spec.required)
+
+
+def _csv_records(spark: SparkSession, files: list[ListFile], dialect: Dialect, checking: bool) -> DataFrame:
+    """Records of lists of one width as texts ``c0, c1, ...`` with provenance."""
     width = len(files[0].columns)
     slots = [f"c{i}" for i in range(width)]
     fields = [T.StructField(s, T.StringType()) for s in slots]
@@ -120,14 +134,39 @@ def _csv_text(spark: SparkSession, files: list[ListFile], places: tuple[int | No
         return spark.read.schema(T.StructType(fields)).options(**options, **more).csv(path)
 
     raw = storage.read_files(load, [f.path for f in files], CSV_GLOB)
-    extra = []
+    extra = [F.col("_metadata.file_name").alias(FILE)]
     if checking:
-        extra = [F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
-                 F.monotonically_increasing_id().alias(SEQ), F.col(RECORD), F.lit(width).alias(WIDTH),
-                 _bad_text([*slots, RECORD], dialect).alias(BAD_TEXT)]
+        extra += [F.col("_metadata.file_block_start").alias(BLOCK), F.monotonically_increasing_id().alias(SEQ),
+                  F.col(RECORD), F.lit(width).alias(WIDTH), _bad_text([*slots, RECORD], dialect).alias(BAD_TEXT)]
+    return raw.select(*extra, *slots)
+
+
+def _provenance(records: DataFrame) -> list[str]:
+    return [c for c in records.columns if c in (FILE, BLOCK, SEQ, RECORD, WIDTH, BAD_TEXT)]
+
+
+def _at_places(spec: Spec, places: tuple[int | None, ...]) -> Callable[[DataFrame], DataFrame]:
     missing = F.lit(None).cast("string")
-    return raw.select(*extra, *[(missing if at is None else F.col(slots[at])).alias(name)
-                                for name, at in zip(spec.required, places)])
+    return lambda records: records.select(
+        *_provenance(records),
+        *[(missing if at is None else F.col(f"c{at}")).alias(n) for n, at in zip(spec.required, places)])
+
+
+def _at_looked_up_places(spark: SparkSession, spec: Spec, files: list[ListFile]) -> Callable[[DataFrame], DataFrame]:
+    slots = F.array(*[F.col(f"c{i}") for i in range(len(files[0].columns))])
+    lookup = spark.createDataFrame([(f.list_id, *_places(f, spec)) for f in files],
+                                   "_list string, " + ", ".join(f"_p{i} int" for i in range(len(spec.required))))
+    # A few integers and a name per list: shipped to all tasks only while that stays small.
+    size = sum(len(f.list_id) + 16 + 8 * len(spec.required) for f in files)
+    if size <= LOOKUP_BYTES:
+        lookup = F.broadcast(lookup)
+
+    def pick(records: DataFrame) -> DataFrame:
+        listed = records.withColumn("_list", F.when(F.col(FILE).contains("%"), decoded_name(FILE)).otherwise(F.col(FILE)))
+        return listed.join(lookup, "_list").select(
+            *_provenance(records), *[F.get(slots, F.col(f"_p{i}")).alias(n) for i, n in enumerate(spec.required)])
+
+    return pick
 
 
 def _csv_cells(texts: DataFrame, spec: Spec, dialect: Dialect, checking: bool) -> DataFrame:
@@ -145,8 +184,8 @@ def _bad_text(columns: list[str], dialect: Dialect) -> Column:
     return foreign & ~F.is_valid_utf8(_utf8(F.concat_ws(dialect.sep, *columns)))
 
 
-def _parquet_cells(spark: SparkSession, files: list[ListFile], places: tuple[int | None, ...], spec: Spec,
-                   dialect: Dialect, checking: bool) -> DataFrame:
+def _parquet_cells(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialect,
+                   checking: bool) -> DataFrame:
     schema = files[0].schema
     stored = spark.read.schema(schema).parquet(*[storage.literal(f.path) for f in files])
     flags = []
@@ -154,7 +193,7 @@ def _parquet_cells(spark: SparkSession, files: list[ListFile], places: tuple[int
         flags = [F.col("_metadata.file_name").alias(FILE), F.lit(WHOLE_FILE).cast("bigint").alias(BLOCK),
                  F.col("_metadata.row_index").alias(SEQ), F.lit(False).alias(MALFORMED), F.lit(False).alias(BAD_TEXT)]
     wanted = []
-    for name, at in zip(spec.required, places):
+    for name, at in zip(spec.required, _places(files[0], spec)):
         source = T.StringType() if at is None else schema[at].dataType
         value = F.lit(None).cast(source) if at is None else col(schema.names[at])
         wanted.extend(_cell(value, source, spec, name, dialect))

@@ -1,3 +1,4 @@
+import itertools
 import os
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyfold import Dialect, InputError
 from tallyfold.operators import numbering, validate
 from tallyfold.sources import catalog as lists
-from tallyfold.sources.scan import BLOCK, FILE, SEQ, scan
+from tallyfold.sources.scan import BLOCK, FILE, MANY_LAYOUTS, SEQ, scan
 
 GOOD = "article;colour;metres\nA3;gruen;5.25\nA4;gelb;3.10\n"
 
@@ -151,6 +152,30 @@ def test_parquet_and_csv_mixed(spark, folder, spec):
     assert sorted(rows(found, FILE, "rule", "row_no")) == [("p.parquet", "missing_value", 3), ("s.parquet", "wrong_type", 3)]
 
 
+def test_many_layouts_are_looked_up_per_record(spark, folder, spec):
+    names, want, lists_ = ["article", "colour", "metres", "u1", "ü2"], [], {}
+    for i, order in enumerate(itertools.permutations(names)):
+        row = {"article": f"A{i}", "colour": "ä" if i % 2 else "rot", "metres": str(i), "u1": "x", "ü2": ""}
+        lists_[f"l {i}.csv"] = ";".join(order) + "\n" + (";".join(row[c] for c in order) + "\n") * 2
+        want += [(row["article"], row["colour"], float(i))] * 2
+    lists_["none.csv"] = "article;u1;u2;u3;metres\nA;b;c;d;bad\n"
+    lists_["wide.csv"] = "article;colour;metres;u1;u2;u3\nW;w;7\nW;w;bad\n"
+    lists_["long.csv"] = "article;colour;metres;u1;u3\nW;w;7;1;2;3\n"
+    path = folder(lists_)
+    files = opened(spark, path)
+    assert len({tuple(f.columns) for f in files}) > MANY_LAYOUTS
+    good = [f for f in files if f.list_id.startswith("l ")]
+    for checking in (True, False):
+        assert sorted(rows(validate.typed_rows(scan(spark, good, spec, checking=checking), spec))) == sorted(want)
+    read = scan(spark, files, spec)
+    found = numbering.with_row_numbers(validate.cell_issues(read, spec, [FILE, BLOCK, SEQ]), read)
+    assert sorted(rows(found.where("rule = 'wrong_type'"), FILE, "row_no", "bad_value")) == [
+        ("none.csv", 2, "bad"), ("wide.csv", 3, "bad")]
+    profile = validate.list_profile(read, spec).collect()
+    assert [r.list_id for r in profile if r._malformed] == ["long.csv"]
+    assert len(profile) == len(files) and not any(r._bad_text for r in profile)
+
+
 def test_dialect_marks_must_be_ascii():
     with pytest.raises(ValueError):
         Dialect(sep="§")
