@@ -3,7 +3,9 @@ import os
 import pytest
 from oracle_compare import compare, connection
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from workloads.oracle import ORACLE
+from workloads.spark_queries import QUERIES
 
 FOLDER = os.environ.get("QUERY_DIR", "/root/testdata/sf0.001")
 
@@ -14,13 +16,13 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert compare(queries()[name](spark, FOLDER), con, oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, FOLDER), con, ORACLE[name]) is None
