@@ -79,8 +79,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (down.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
-                                            F.col("m").alias("v")).where("u <> v").distinct())
+        other = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        small = down.join(low, "u").select(other.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         links = stored(small, "links")
         row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == seen:

@@ -1,10 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word, every run of 3 to 5 UTF-8 bytes and whether a word recurs a few words on is hashed to a bucket, each bucket has a learned vector, a document is
-the mean of the vectors of its features, and a softmax layer over that mean gives the class.  Training is plain
-stochastic gradient descent in numpy on a bounded sample of labelled rows; scoring is a map over whole texts.  As the
-softmax layer is linear in the mean, a bucket enters a score only through one number (its vector times the difference
-of the two class weights), so that is all the scoring tasks carry.
+Every word, every run of 3 to 5 UTF-8 bytes and whether a word recurs a few words on is hashed to a bucket, each
+bucket has a learned vector, a document is the mean of the vectors of its features, and a softmax layer over that mean
+gives the class.  Training is plain stochastic gradient descent in numpy on a bounded sample of labelled rows; scoring
+is a map over whole texts.  As the softmax layer is linear in the mean, a bucket enters a score only through one
+number (its vector times the difference of the two class weights), so that is all the scoring tasks carry.
 
 Defined results: null and empty texts have no features and score the learned prior; without labelled rows of both
 classes the model is the constant share of label 1 (0.5 without any).  Repeated rows score alike; a null id is held
@@ -24,7 +24,7 @@ from tallyfold.llm import tokens
 from tallyfold.llm.common import text_batches
 
 LAGS = (1, 2, 4)
-LABELLED, FOLDS, HELD_OUT = 1500, 3, 1  #: most labelled rows of a class that are trained on; crc32 folds of ids
+LABELLED, FOLDS, HELD_OUT = 1000, 3, 1  #: most labelled rows of a class that are trained on; crc32 folds of ids
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import langid, quality
+from tallyfold.llm import langid, packing, pii, quality, sharding
 from tallyfold.llm.common import fold, table
 
 
@@ -19,6 +19,16 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(table(spark, folder, "documents"))
+
+
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.sharded(table(spark, folder, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = langid.predicted(langid.learn(docs))
@@ -27,6 +37,11 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score")))
 
 
+def op6_personal(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality": op1_quality, "op4_language": op4_language}
+    "op1_quality": op1_quality, "op2_packing": op2_packing, "op3_sharding": op3_sharding,
+    "op4_language": op4_language, "op6_personal": op6_personal}
 ORACLE: dict[str, str] = {}
