@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import langid, packing, pii, quality, sharding
+from tallyfold.llm import html, langid, packing, pii, quality, sharding
 from tallyfold.llm.common import fold, table
 
 
@@ -41,7 +41,11 @@ def op6_personal(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
 
 
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality, "op2_packing": op2_packing, "op3_sharding": op3_sharding,
-    "op4_language": op4_language, "op6_personal": op6_personal}
+    "op4_language": op4_language, "op6_personal": op6_personal, "op9_main_text": op9_main_text}
 ORACLE: dict[str, str] = {}

@@ -115,7 +115,8 @@ def numbered(rows: DataFrame, chunk_rows: int = PER_CHUNK) -> DataFrame:
               .withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))))
     inside = Window.partitionBy("shard", "chunk").orderBy("doc_id", *UNIT)
     return (rows.withColumn("place", F.row_number().over(inside) - 1).join(counts, ["shard", "chunk"])
-            .withColumn("slot", (F.col("first") + F.col("place")).cast("long")).drop("first", "place", "count", "chunk"))
+            .withColumn("slot", (F.col("first") + F.col("place")).cast("long"))
+            .drop("first", "place", "count", "chunk"))
 
 
 def sharded(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
