@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import html, langid, packing, pii, quality, sharding
+from tallyfold.llm import html, jaccard, langid, packing, pii, quality, sharding
 from tallyfold.llm.common import fold, table
 
 
@@ -37,6 +37,10 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score")))
 
 
+def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.joined(table(spark, folder, "documents"))
+
+
 def op6_personal(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
 
@@ -47,5 +51,6 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality, "op2_packing": op2_packing, "op3_sharding": op3_sharding,
-    "op4_language": op4_language, "op6_personal": op6_personal, "op9_main_text": op9_main_text}
+    "op4_language": op4_language, "op5_jaccard": op5_jaccard,
+    "op6_personal": op6_personal, "op9_main_text": op9_main_text}
 ORACLE: dict[str, str] = {}
