@@ -91,7 +91,8 @@ def _cuts(placed: DataFrame) -> DataFrame:
 
 def tree(units: DataFrame, shards: int) -> DataFrame:
     """Units with their shard, from 0."""
-    placed = units.withColumns({"node": F.lit(0).cast("long"), "leaves": F.lit(shards).cast("long")})
+    # Stored, as joins on a constant would become products.
+    placed = stored(units.withColumns({"node": F.lit(0).cast("long"), "leaves": F.lit(shards).cast("long")}), "placed")
     here = F.element_at(F.array(*DIMENSIONS), F.col("dim"))
     for _ in range(math.ceil(math.log2(max(1, shards)))):
         left = F.floor(F.col("leaves") / 2)
@@ -122,7 +123,7 @@ def numbered(rows: DataFrame, chunk_rows: int = PER_CHUNK) -> DataFrame:
 def sharded(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """Shard and slot of every document; ``target_bytes`` asks for as many shards as the total needs."""
     rows = measured(docs)
-    units = stored(_units(rows), "coordinates")
+    units = _units(rows)
     if shards is None:
         total = units.agg(F.sum("bytes")).first()[0] or 0
         shards = max(1, math.ceil(total / (target_bytes or 128 << 20)))
