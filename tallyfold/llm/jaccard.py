@@ -12,10 +12,10 @@ are hashed to ``GROUPS`` groups; the counts by group are a point, and the points
 The overlap of two sets is at most the sum of the coordinate minima, of a set and a node at most the sum of the minima
 with the node's upper corner; branches and pairs that cannot reach the similarity are cut.
 
-Verification.  A shard never gives all its pairs, only those that would join components not yet joined (at most one
-fewer than its classes).  The pairs are verified on the full sets, links join components, pairs that fail are
-remembered, and rounds go on until no shard has an untested candidate across components.  So every link between
-different components is found, and groups of copies cost time in proportion to their size.
+Verification.  Only pairs across components are given.  A shard of one leaf gives all that pass the bound, a larger one
+at first a forest (fewer pairs than classes), then some for each pair of components, then all that are left.  After each
+round the pairs are verified on the full sets, links join components, and pairs that fail are remembered.  So every link
+between different components is found, and groups of copies cost time in proportion to their size.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; ids may repeat or be
 null (a component's id is the smallest id of its rows, null if all are null); no rows give no rows.
@@ -35,8 +35,10 @@ from tallyfold.llm.common import components, stored, text_batches
 
 WORDS, PERCENT = 5, 80
 SPARE = 0.04  #: part of a prefix that may be shared with unrelated texts without being followed
-GROUPS, LEAF, BLOCK = 64, 16, 2048
+GROUPS, LEAF, BLOCK = 128, 16, 2048
 MAP_BITS = 23  #: size of the filter that keeps sets without candidates from being shuffled
+MOST = (None, 32)  #: candidates a shard of more than a leaf tries in a round: a forest, some for a pair of
+#: components, then all
 SET_KEY = ["n", "c1", "c2"]
 
 
@@ -115,7 +117,7 @@ def _kept_sets(wanted: bytes):
             for own, values in _sets(batch.filter(pa.array(mask))):
                 owners.append(own)
                 blobs.append(values.tobytes())
-                points.append(np.bincount((tokens.mixed(values) >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+                points.append(np.bincount((tokens.mixed(values) >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
                               .astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(owners, pa.int64()), pa.array(blobs, pa.binary()), pa.array(points, pa.binary())],
@@ -177,8 +179,11 @@ class CountTree:
 
 
 def shard_pairs(ids: np.ndarray, points: np.ndarray, labels: np.ndarray, sides: np.ndarray,
-                failed: list[list[int]]) -> list[tuple[int, int]]:
-    """Candidates that would join components, as a forest; ``sides`` 0 and 1 meet only each other, 2 meet all."""
+                failed: list[list[int]], most: int | None = None) -> list[tuple[int, int]]:
+    """Candidates across components; ``sides`` 0 and 1 meet only each other, 2 meet all.
+
+    Without ``most`` as a forest, as if each would succeed; else up to ``most`` for each pair of components.
+    """
     order = np.argsort(ids, kind="stable")
     ids, points, labels, sides = ids[order], points[order], labels[order], sides[order]
     names, root = np.unique(labels, return_inverse=True)
@@ -186,52 +191,98 @@ def shard_pairs(ids: np.ndarray, points: np.ndarray, labels: np.ndarray, sides:
     if len(names) < 2:
         return []
     tree, found, left = CountTree(points), [], len(names)
+    taken: dict[tuple[int, int], int] = {}
+    # Any pair across components has an end outside the largest one; of two such ends the first asks.
+    large = -1 if most is None else int(np.bincount(root).argmax())
     for q in range(len(ids)):
         if left == 1:
             break
+        if root[q] == large:
+            continue
         near = tree.partners(q)
-        near = near[(near > q) & (root[near] != root[q]) & ((sides[near] != sides[q]) | (sides[near] == 2))]
+        near = near[((near > q) | (root[near] == large)) & (root[near] != root[q])
+                    & ((sides[near] != sides[q]) | (sides[near] == 2))]
         if not len(near):
             continue
         bad = set(failed[order[q]] or ())
         for p in np.sort(near):
-            if root[p] != root[q] and int(ids[p]) not in bad:
-                found.append((int(ids[q]), int(ids[p])))
+            if root[p] == root[q] or int(ids[p]) in bad or p < q and int(ids[q]) in (failed[order[p]] or ()):
+                continue
+            if most is None:
                 root[root == root[p]] = root[q]
                 left -= 1
+            else:
+                pair = (min(root[p], root[q]), max(root[p], root[q]))
+                if taken.get(pair, 0) >= most:
+                    continue
+                taken[pair] = taken.get(pair, 0) + 1
+            found.append((int(min(ids[q], ids[p])), int(max(ids[q], ids[p]))))
     return found
 
 
-def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; one shard at a time is held."""
-    held: list[pa.RecordBatch] = []
+def _passes(points: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bound lets pairs of points be similar."""
+    bound = np.minimum(points[i], points[j]).sum(axis=1)
+    a, b = sizes[i], sizes[j]
+    return (((100 + PERCENT) * bound >= PERCENT * (a + b)) & (100 * bound >= PERCENT * np.maximum(a, b))
+            & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)))
+
+
+def _leaf_pairs(ids, points, labels, shard) -> list[tuple[int, int]]:
+    """Pairs of many shards of at most one leaf each, all at once; ``shard`` numbers the shard of a row."""
+    sizes, found = points.sum(axis=1), []
+    for step in range(1, LEAF):
+        i = np.flatnonzero(shard[step:] == shard[:-step])
+        if not len(i):
+            break
+        i = i[labels[i] != labels[i + step]]
+        found.append(np.stack([np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step])])
+                     [:, _passes(points, sizes, i, i + step)])
+    return list(map(tuple, np.unique(np.concatenate(found, axis=1), axis=1).T.tolist())) if found else []
+
+
+def _candidates(most: int | None):
+    """Rows come sorted by shard; one shard, or a batch of small ones, is held at a time."""
+    def read(part: pa.RecordBatch | pa.Table) -> tuple:
+        points = np.frombuffer(b"".join(part["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+        return part["id"].to_numpy(), points, part["label"].to_numpy()
 
     def solved(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         part = pa.Table.from_batches(rows)
-        points = np.frombuffer(b"".join(part["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        return shard_pairs(part["id"].to_numpy(), points, part["label"].to_numpy(), part["side"].to_numpy(),
-                           part["failed"].to_pylist())
+        if len(part) <= LEAF:
+            return _leaf_pairs(*read(part), np.zeros(len(part), np.int64))
+        return shard_pairs(*read(part), part["side"].to_numpy(), part["failed"].to_pylist(), most)
 
     def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("h", "i", "j")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        ends = [0, *cuts.tolist(), batch.num_rows]
-        pairs: list[tuple[int, int]] = []
-        for lo, hi in zip(ends, ends[1:], strict=False):
-            part = batch.slice(lo, hi - lo)
-            if held and any(held[0][c][0] != part[c][0] for c in ("h", "i", "j")):
-                pairs += solved(held)
-                held = []
-            held.append(part)
-        yield out(pairs)
-    if held:
-        yield out(solved(held))
+    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("h", "i", "j")])
+            new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            cuts = np.flatnonzero(new)
+            ends = np.append(cuts[1:], batch.num_rows)
+            pairs: list[tuple[int, int]] = []
+            small = (ends - cuts <= LEAF) & (cuts > 0) & (ends < batch.num_rows)
+            for lo, hi in zip(cuts[~small].tolist(), ends[~small].tolist(), strict=True):
+                part = batch.slice(lo, hi - lo)
+                if held and any(held[0][c][0] != part[c][0] for c in ("h", "i", "j")):
+                    pairs += solved(held)
+                    held = []
+                held.append(part)
+            if small.any():
+                shard = np.cumsum(new) - 1
+                rows = small[shard]
+                pairs += _leaf_pairs(*read(batch.filter(pa.array(rows))), shard[rows])
+            yield out(pairs)
+        if held:
+            yield out(solved(held))
+
+    return candidates
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -266,13 +317,14 @@ def _routes(work: DataFrame, classes: DataFrame) -> DataFrame:
     return shared.where(most > 0).select("id", F.explode(followed).alias("s")).select("s.h", "id")
 
 
-def _sharded(routes: DataFrame, labels: DataFrame, points: DataFrame, failed: DataFrame) -> DataFrame:
-    """Rows of the shards that still hold several components, large shards as pairs of blocks."""
+def _sharded(routes: DataFrame, labels: DataFrame, points: DataFrame, failed: DataFrame, least: int) -> DataFrame:
+    """Rows of the shards of ``least`` rows that still hold several components, large shards as pairs of blocks."""
     rows = routes.join(labels, "id")
     mixed = (rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"),
                                    F.bit_xor(F.xxhash64("id")).alias("x1"),
                                    F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("x2"))
-             .where("lo <> hi").groupBy("x1", "x2", "many").agg(F.min("h").alias("h")))
+             .where((F.col("lo") != F.col("hi")) & (F.col("many") >= least))
+             .groupBy("x1", "x2", "many").agg(F.min("h").alias("h")))
     rows = rows.join(mixed.select("h", "many"), "h")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -299,20 +351,22 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     ids = routes.select("id").distinct()
     sets = work.mapInArrow(_kept_sets(_bitmap(ids)), "id long, members binary, point binary")
     sets = stored(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "shingle-sets")
-    labels, links, failed, tested = sets.select("id", F.col("id").alias("label")), None, None, None
+    labels, failed, tested = sets.select("id", F.col("id").alias("label")), None, None
     nothing = sets.limit(0).select("id", F.array("id").alias("failed"))
-    while True:
-        shards = _sharded(routes, labels, sets.select("id", "point"), nothing if failed is None else failed)
+    for number in range(len(MOST) + 1):
+        last = number == len(MOST)
+        # Shards of one leaf tell all their candidates in the first round.
+        shards = _sharded(routes, labels, sets.select("id", "point"), failed or nothing, LEAF + 1 if number else 2)
         found = (shards.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-                 .mapInArrow(_candidates, "a long, b long").distinct())
+                 .mapInArrow(_candidates(1 << 62 if last else MOST[number]), "a long, b long").distinct())
         judged = stored(_verified(found, sets), "judged")
         if judged.isEmpty():
             break
         tested = judged if tested is None else tested.unionByName(judged)
-        links = tested.where("linked").select("a", "b")
-        joined_ids = components(links)
-        labels = stored(sets.select("id").join(joined_ids.withColumnRenamed("node", "id"), "id", "left")
-                        .select("id", F.coalesce("component", "id").alias("label")), "labels")
+        if not judged.where("linked").isEmpty():
+            joined_ids = components(tested.where("linked").select("a", "b")).withColumnRenamed("node", "id")
+            labels = stored(sets.select("id").join(joined_ids, "id", "left")
+                            .select("id", F.coalesce("component", "id").alias("label")), "labels")
         failed = (tested.where("not linked").groupBy(F.col("a").alias("id"))
                   .agg(F.collect_set("b").alias("failed")))
     # A component's id is the smallest id of any of its rows.
