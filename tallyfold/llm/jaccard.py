@@ -101,7 +101,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["h", "id"])
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
+def slots(ids: np.ndarray) -> np.ndarray:
     return (tokens.mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
@@ -112,8 +112,8 @@ def _kept_sets(wanted: bytes):
             owners, blobs, points = [], [], []
             ids = np.array([x if x is not None else 0 for x in batch["id"].to_pylist()], np.int64)
             given = batch["id"].is_valid().to_numpy(zero_copy_only=False)
-            slots = _slot(ids)
-            mask = ~given | ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+            at = slots(ids)
+            mask = ~given | ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
             for own, values in _sets(batch.filter(pa.array(mask))):
                 owners.append(own)
                 blobs.append(values.tobytes())
@@ -126,11 +126,11 @@ def _kept_sets(wanted: bytes):
     return kept
 
 
-def _bitmap(ids: DataFrame) -> bytes:
+def bitmap(ids: DataFrame) -> bytes:
     """A filter of fixed size over ids; what it lets through by mistake is sorted out by the join that follows."""
     @F.arrow_udf("long")
     def slot(column: pa.Array) -> pa.Array:
-        return pa.array(_slot(column.to_numpy(zero_copy_only=False)))
+        return pa.array(slots(column.to_numpy(zero_copy_only=False)))
 
     bit = F.expr("shiftleft(1, cast(slot % 8 as int))")
     rows = (ids.select(slot(F.col("id")).alias("slot")).groupBy(F.shiftright("slot", 3).alias("byte"))
@@ -349,7 +349,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                        F.col(text).alias("text"))
     routes = stored(_routes(work, classes), "routes")
     ids = routes.select("id").distinct()
-    sets = work.mapInArrow(_kept_sets(_bitmap(ids)), "id long, members binary, point binary")
+    sets = work.mapInArrow(_kept_sets(bitmap(ids)), "id long, members binary, point binary")
     sets = stored(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "shingle-sets")
     labels, failed, tested = sets.select("id", F.col("id").alias("label")), None, None
     nothing = sets.limit(0).select("id", F.array("id").alias("failed"))

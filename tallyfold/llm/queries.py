@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, html, jaccard, langid, neardup, packing, pii, quality, sharding
+from tallyfold.llm import decontam, html, jaccard, langid, neardup, packing, pii, quality, sharding, substring
 from tallyfold.llm.common import fold, table
 
 
@@ -49,6 +49,10 @@ def op7_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.linked(table(spark, folder, "embeddings"))
 
 
+def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.passages(table(spark, folder, "documents"))
+
+
 def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(table(spark, folder, "pages"))
 
@@ -61,5 +65,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality, "op2_packing": op2_packing, "op3_sharding": op3_sharding,
     "op4_language": op4_language, "op5_jaccard": op5_jaccard,
     "op6_personal": op6_personal, "op7_embeddings": op7_embeddings,
-    "op9_main_text": op9_main_text, "op10_decontamination": op10_decontamination}
+    "op8_passages": op8_passages, "op9_main_text": op9_main_text, "op10_decontamination": op10_decontamination}
 ORACLE: dict[str, str] = {}
