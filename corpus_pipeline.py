@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each working on all that the one before it kept.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread for the next.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread for the next.  All
+but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -8,23 +9,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import quality
-from tallyfold.llm.common import stored, table
+from tallyfold.llm import decontam, jaccard, packing, pii, quality
+from tallyfold.llm.common import importable, stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    labels = table(spark, sf_dir, "labels")
-    model = quality.train(docs, labels)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.score(model) >= F.lit(0.5))
 
 
-STAGES = [("quality", keep_quality)]
-ORACLE_SQL = None  # learned models and bin packing have no SQL form; tests compare with brute force
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id.
+
+    Only ids of what goes are joined back; rows that repeat an id are reduced to one, documents without an id stay.
+    """
+    importable(spark)
+    found = stored(jaccard.joined(docs), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    found = decontam.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).drop("leaks")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; ``n_chars`` follows the text."""
+    importable(spark)
+    clean = pii.redacted(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(kind))
+    return clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    importable(spark)
+    return packing.packed_documents(docs)
+
+
+STAGES = [("quality", keep_quality), ("near copies", drop_near_copies), ("benchmark", drop_benchmark),
+          ("personal data", redact), ("packing", pack)]
+ORACLE_SQL = None  # learned models and bin packing have no SQL form; tests compare stages with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
