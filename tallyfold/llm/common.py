@@ -65,8 +65,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternating large-star and small-star steps (Kiveris et al.): every step is one grouped minimum and one join,
     the number of rows never exceeds twice the edges, and the number of rounds grows with the logarithm of the
-    longest path.  Each round is stored in the shared folder.  Nodes without an edge are not returned; null ends
-    and loops are ignored.
+    longest path.  Each round is stored in the shared folder.  Smallest nodes and nodes without an edge are not
+    returned; null ends and loops are ignored.
     """
     links = (edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
              .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

@@ -205,8 +205,8 @@ class _Shard:
             np.add.at(counts, q, self.weights[p])
             order = np.argsort(q, kind="stable")
             q, p = q[order], p[order]
-            cuts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
-            for lo, hi in zip(cuts, [*cuts[1:], len(q)], strict=True):
+            cuts = [0, *(np.flatnonzero(q[1:] != q[:-1]) + 1).tolist(), len(q)] if len(q) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
                 ones[q[lo]] = p[lo]
                 roots = np.unique(self.root[p[lo:hi]])
                 for r in roots[1:]:

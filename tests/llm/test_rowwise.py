@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,8 +112,9 @@ def test_base_spans_equal_the_expressions():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("a" * 300_000, "1" * 300_000, "a." * 150_000 + "@", "+1" + "." * 300_000, "1." * 150_000):
-        assert pii.base_spans(text) == []
+    for text in ("a" * 300_000, "1" * 300_000, "a." * 150_000 + "@", "+1" + "." * 300_000, "1111." * 60_000):
+        started = time.perf_counter()
+        assert pii.base_spans(text) == [] and time.perf_counter() - started < 10
 
 
 def test_personal_data_found_and_replaced(spark):
