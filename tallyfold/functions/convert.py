@@ -24,7 +24,7 @@ NULL_TOKENS = (
 # A decimal number with optional exponent; ``{mark}`` is the decimal mark.  Casts alone accept
 # more (Java suffixes, infinities), and an exponent of many digits would make a cast build a
 # giant number.
-NUMBER = r"^\s*[+-]?(\d+({mark}\d*)?|{mark}\d+)([eE][+-]?\d{{1,3}})?\s*$"
+NUMBER = r"^\s*[+-]?(\d+({mark}\d*)?|{mark}\d+)([eE][+-]?0*\d{{1,3}})?\s*$"
 # The usual form of a number, short enough that converting it cannot lose anything.
 PLAIN = r"^[+-]?\d{{1,{whole}}}({mark}\d{{0,{decimals}}})?$"
 
@@ -74,7 +74,10 @@ def from_text(text: Column, column: S.Column, exact: bool, decimal: str = ".") -
     mark = re.escape(decimal)
     dotted = text if decimal == "." else F.replace(text, F.lit(decimal), F.lit("."))
     if column.type == "int":
-        usual = text.try_cast("bigint")
+        # ``12.0`` needs no decimal arithmetic either.
+        zeros = text.rlike(rf"^[+-]?\d{{1,18}}{mark}0*$")
+        usual = F.coalesce(text.try_cast("bigint"),
+                           F.when(zeros, F.substring_index(text, decimal, 1).try_cast("bigint")))
     else:
         whole, decimals = (38 - column.scale, column.scale) if exact else (300, 300)
         usual = F.when(text.rlike(PLAIN.format(mark=mark, whole=whole, decimals=decimals)),

@@ -7,16 +7,13 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfold.functions.names import col
-from tallyfold.operators.consolidate import result_order, total_addend
+from tallyfold.operators.consolidate import TOTAL_TYPE, addend, result_order, sum_type, total
 from tallyfold.operators.numbering import with_ordinals
 from tallyfold.operators.validate import issue, stacked_totals
 from tallyfold.spec import Spec
 
-TOTAL_TYPE = T.DecimalType(38, 2)  # totals are compared at two decimals
-
 
 def control_totals(rows: DataFrame, spec: Spec) -> DataFrame:
     """Exact total of every summed column, with the row count: (column_name, total, rows)."""
@@ -26,7 +23,8 @@ def control_totals(rows: DataFrame, spec: Spec) -> DataFrame:
 def _totals(rows: DataFrame, spec: Spec) -> list[Column]:
     types = {f.name: f.dataType for f in rows.schema}
     return [F.count(F.lit(1)).alias("rows"),
-            *[F.sum(total_addend(spec, n, types[n])).alias(f"t{i}") for i, n in enumerate(spec.columns_with("sum"))]]
+            *[total(addend(spec, n, types[n]), sum_type(spec, n, types[n])).alias(f"t{i}")
+              for i, n in enumerate(spec.columns_with("sum"))]]
 
 
 def result_profile(merged: DataFrame, spec: Spec) -> DataFrame:

@@ -13,6 +13,7 @@ from tallyfold.functions.names import col
 from tallyfold.operators.numbering import ascending
 from tallyfold.spec import Rule, Spec
 
+TOTAL_TYPE = T.DecimalType(38, 2)  # totals are compared at two decimals
 COUNTED = "{} (count)"  # a count that will take the place of its own key column
 
 
@@ -48,22 +49,35 @@ def addend(spec: Spec, name: str, source: T.DataType) -> Column:
             .when(col(name).isNotNull() & ~F.isnan(col(name)), lossy.cast(wanted)))
 
 
-def total_addend(spec: Spec, name: str, source: T.DataType) -> Column:
-    """For totals over all rows, where even integers can outgrow 64 bits."""
-    value = addend(spec, name, source)
-    return value.cast("decimal(20,0)") if sum_type(spec, name, source) == T.LongType() else value
+def total(value: Column, kind: T.DataType) -> Column:
+    """Total of an addend over all rows at two decimals, of any size.
+
+    Whole parts and fractions are added up apart: neither can outgrow 38 digits as a sum of scale 18 does.
+    """
+    if not isinstance(kind, T.DecimalType) or kind.scale == 0:
+        return F.sum(value.cast("decimal(20,0)") if kind == T.LongType() else value).cast(TOTAL_TYPE)
+    whole, rest = F.sum(F.floor(value)), F.sum(F.pmod(value, F.lit(1).cast("decimal(1,0)")))
+    return whole_and_rest(whole, rest)
+
+
+def whole_and_rest(whole: Column, rest: Column) -> Column:
+    return (whole.cast("decimal(36,2)") + F.round(rest, 2).cast("decimal(30,2)")).cast(TOTAL_TYPE)
 
 
 def _merged(spec: Spec, rule: Rule, source: T.DataType) -> Column:
     name = rule.column
     if rule.method == "count":
-        return F.count(col(name)).alias(held_as(spec, name))
+        # In a plain table a missing number may also stand as NaN.
+        present = F.when(col(name).isNotNull() & ~F.isnan(col(name)), True)
+        number = isinstance(source, (T.DoubleType, T.FloatType))
+        return F.count(present if number else col(name)).alias(held_as(spec, name))
     value = addend(spec, name, source)
-    total = F.sum(value)
     if rule.method == "sum":
-        return F.coalesce(total, F.lit(0).cast(sum_type(spec, name, source))).alias(name)
-    # The quotient of exact parts does not depend on how rows were spread over tasks.
-    return (total.cast("double") / F.nullif(F.count(value), F.lit(0))).alias(name)
+        return F.coalesce(F.sum(value), F.lit(0).cast(sum_type(spec, name, source))).alias(name)
+    # The quotient of exact parts does not depend on how rows were spread over tasks; integers
+    # are added up as decimals, as their sum need not be a 64-bit number for the mean to be one.
+    exact = value.cast("decimal(20,0)") if sum_type(spec, name, source) == T.LongType() else value
+    return (F.sum(exact).cast("double") / F.nullif(F.count(value), F.lit(0))).alias(name)
 
 
 def held_as(spec: Spec, name: str) -> str:

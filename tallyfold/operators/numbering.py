@@ -32,12 +32,15 @@ def with_row_numbers(rows: DataFrame, all_rows: DataFrame, alias: str = "row_no"
     record numbers of a delimited list restart in no particular place per split, so they are
     taken relative to the smallest of the split; a Parquet list knows its row indexes.
     """
-    counts = (all_rows.where(F.col(BLOCK) != WHOLE_FILE).groupBy(FILE, BLOCK)
+    whole = F.col(BLOCK) == WHOLE_FILE
+    counts = (all_rows.where(~whole).groupBy(FILE, BLOCK)
               .agg(F.min(SEQ).alias("first"), F.count(F.lit(1)).alias("n")))
     placed = offsets(counts, [F.col(BLOCK)], [FILE])
     place = F.col(SEQ) - F.coalesce("first", F.lit(0)) + F.coalesce("offset", F.lit(0))
-    return (rows.join(placed, [FILE, BLOCK], "left").withColumn(alias, place + F.lit(FIRST_RECORD))
-            .drop("first", "offset", BLOCK, SEQ))
+    # Rows of Parquet lists share one block and have no partner, so they stay out of the join.
+    split = rows.where(~whole).join(placed, [FILE, BLOCK], "left").withColumn(alias, place + F.lit(FIRST_RECORD))
+    known = rows.where(whole).withColumn(alias, F.col(SEQ) + F.lit(FIRST_RECORD))
+    return split.drop("first", "offset", BLOCK, SEQ).unionByName(known.drop(BLOCK, SEQ))
 
 
 def ascending(names: Sequence[str]) -> list[Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.operators.consolidate import TOTAL_TYPE, whole_and_rest
 from tallyfold.sources.catalog import decoded_name
 from tallyfold.sources.scan import BAD_TEXT, FILE, MALFORMED, part_names
 from tallyfold.spec import Spec
@@ -112,13 +113,19 @@ def list_profile(scanned: DataFrame, spec: Spec) -> DataFrame:
     the shuffle, which then carries one small row per list and task.
     """
     counts = [F.count_if(v).alias(f"n{i}") for i, (_, _, v) in enumerate(_rules(spec))]
-    summed = [(spec.required.index(n), n in spec.exact) for n in spec.columns_with("sum")]
-    totals = [F.sum(F.col(f"v{at}") if exact else F.col(f"v{at}").cast("decimal(20,0)")).alias(f"t{i}")
-              for i, (at, exact) in enumerate(summed)]
+    totals = []
+    for i, n in enumerate(spec.columns_with("sum")):
+        value = F.col(f"v{spec.required.index(n)}")
+        if n in spec.exact and spec.column(n).scale:
+            # Whole parts and fractions apart, so that no total outgrows its type.
+            totals += [F.sum(F.floor(value)).alias(f"t{i}"),
+                       F.sum(F.pmod(value, F.lit(1).cast("decimal(1,0)"))).alias(f"f{i}")]
+        else:
+            totals.append(F.sum(value if n in spec.exact else value.cast("decimal(20,0)")).alias(f"t{i}"))
     flat = scanned.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"), F.count_if(MALFORMED).alias(MALFORMED),
                                      F.count_if(BAD_TEXT).alias(BAD_TEXT), *counts, *totals)
     return flat.select(decoded_name(FILE).alias("list_id"), "rows", MALFORMED, BAD_TEXT,
-                       *[c for c in flat.columns if c[0] in "nt" and c[1:].isdigit()])
+                       *[c for c in flat.columns if c[0] in "ntf" and c[1:].isdigit()])
 
 
 def cell_issue_counts(profile: DataFrame, spec: Spec) -> DataFrame:
@@ -135,16 +142,18 @@ def cell_issue_counts(profile: DataFrame, spec: Spec) -> DataFrame:
 def input_totals(profile: DataFrame, spec: Spec) -> DataFrame:
     """Control totals of the summed columns over all scanned lists: (column_name, total)."""
     names = spec.columns_with("sum")
+    sums = [whole_and_rest(F.sum(f"t{i}"), F.sum(f"f{i}")) if f"f{i}" in profile.columns
+            else F.sum(f"t{i}").cast(TOTAL_TYPE) for i in range(len(names))]
     return stacked_totals(profile.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-                                      *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(names))]), names)
+                                      *[s.alias(f"t{i}") for i, s in enumerate(sums)]), names)
 
 
 def stacked_totals(one_row: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Turn ``rows, t0, t1, ...`` into one row per column; totals of nothing are 0."""
     if not names:
-        return one_row.select(F.lit("").alias("column_name"), F.lit(0).cast("decimal(38,18)").alias("total"),
+        return one_row.select(F.lit("").alias("column_name"), F.lit(0).cast(TOTAL_TYPE).alias("total"),
                               F.col("rows")).limit(0)
     each = F.array(*[F.struct(F.lit(n).alias("column_name"),
-                              F.coalesce(F.col(f"t{i}").cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)"))
-                              .alias("total")) for i, n in enumerate(names)])
+                              F.coalesce(F.col(f"t{i}"), F.lit(0).cast(TOTAL_TYPE)).alias("total"))
+                     for i, n in enumerate(names)])
     return one_row.select(F.inline(each), F.col("rows"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,27 @@ from tallyfold.sources import storage
 from tallyfold.sources.catalog import CSV, PARQUET, Dialect, InputError
 
 
-def guard_output(spark: SparkSession, input_dir: str, output: str) -> None:
-    """Refuse to write where the next run would read: it would count its own result again."""
-    source, target = (storage.qualified(spark, p) + "/" for p in (input_dir, output))
-    if target.startswith(source):
-        raise InputError(f"output {output} lies inside the input folder {input_dir}")
+MARKER = "_tallyfold"  # an empty file in every published folder; Spark's scans skip it
+
+
+def guard_paths(spark: SparkSession, input_dir: str, output: str | None = None, report_dir: str | None = None) -> None:
+    """Refuse folders that lie in each other, and an output that is not this engine's to replace.
+
+    A result inside the input would be counted by the next run; replacing an output that holds
+    the input or the report would delete them.
+    """
+    paths = {n: storage.qualified(spark, p) + "/"
+             for n, p in (("input", input_dir), ("output", output), ("report", report_dir)) if p is not None}
+    for a, b in combinations(paths, 2):
+        if paths[a].startswith(paths[b]) or paths[b].startswith(paths[a]):
+            raise InputError(f"{a} and {b} must not lie in each other: {paths[a]}, {paths[b]}")
+    if output is not None and storage.exists(spark, output) and not _replaceable(spark, output):
+        raise InputError(f"output {output} exists and was not published by this engine")
+
+
+def _replaceable(spark: SparkSession, target: str) -> bool:
+    held = storage.entries(spark, target) if storage.is_directory(spark, target) else None
+    return held is not None and (not held or any(e.name == MARKER for e in held))
 
 
 def write_result(df: DataFrame, path: str, kind: str = PARQUET, dialect: Dialect = Dialect(),
@@ -51,9 +68,15 @@ def staging_path(target: str) -> str:
 
 
 def publish(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a staged table in place of the target; the old table goes only after the swap."""
+    """Put a staged table in place of the target; the old table goes only after the swap.
+
+    Only a folder that carries the marker of an earlier publication, or an empty one, is replaced.
+    """
+    storage.create_file(spark, f"{staged}/{MARKER}")
     replaced = None
     if storage.exists(spark, target):
+        if not _replaceable(spark, target):
+            raise InputError(f"output {target} was not published by this engine")
         replaced = staging_path(target)
         storage.move(spark, target, replaced)
     else:

@@ -52,8 +52,8 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
     the merged result passes its own checks.  The report tables are written in every case.
     Without ``output``, or with ``dry_run``, the result is computed and checked only.
     """
-    if output is not None:
-        publish.guard_output(spark, input_dir, output)
+    publish.guard_paths(spark, input_dir, output, report_dir)
+    _require_ansi(spark)
     _require_distinct_names(spark, spec)
     shared_dir(spark)
     run_id, started = uuid.uuid4().hex, datetime.now(timezone.utc).replace(tzinfo=None)
@@ -141,7 +141,8 @@ def _inspect(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Di
     readable = catalog.join(load, "list_id", "left_anti")
     columns = validate.escalate(validate.column_issues(readable, spec), strict)
     incomplete = columns.where(F.col("rule") == "missing_column")
-    issues = settled(load.unionByName(columns))
+    # Findings about columns stay distributed: their number grows with the headers' widths.
+    issues = load.unionByName(columns)
     in_cells = (validate.cell_issue_counts(profile, spec)
                 .join(load, "list_id", "left_anti").join(incomplete, "list_id", "left_anti")
                 .groupBy("list_id").agg(F.sum("n").alias("n")))
@@ -169,6 +170,12 @@ def _profiled(spark: SparkSession, files: list[ListFile], spec: Spec,
     return _profiled(spark, files, spec, dialect)
 
 
+def _require_ansi(spark: SparkSession) -> None:
+    """Sums must fail when they outgrow their type; without ANSI mode they would turn into NULL."""
+    if spark.conf.get("spark.sql.ansi.enabled", "true") != "true":
+        raise ValueError("control totals need spark.sql.ansi.enabled=true")
+
+
 def _require_distinct_names(spark: SparkSession, spec: Spec) -> None:
     names = [n.lower() for n in spec.required]
     if len(set(names)) < len(names) and spark.conf.get("spark.sql.caseSensitive", "false") != "true":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -22,6 +23,7 @@ from tallyfold.sources import storage
 CSV, PARQUET = "csv", "parquet"
 CSV_GLOB = "*.[cC][sS][vV]"
 SMALL = 4 << 20  # lists up to this size are read whole when only the header is wanted
+HEADER_BYTES = 64 << 20  # a header record still open after so much is a broken quote
 FORMATS = {".csv": CSV, ".parquet": PARQUET}
 
 CATALOG_SCHEMA = T.StructType([
@@ -120,7 +122,8 @@ def _csv_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -
 def _small_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
     """Small lists are cheap to read whole, many to a task; only the first line leaves the scan."""
     whole = storage.read_files(partial(spark.read.text, wholetext=True), [f.path for f in files], CSV_GLOB)
-    text = F.ltrim("value", F.lit("\ufeff\r\n\t "))
+    # Only a byte-order mark and blank lines may stand before the header; its own blanks belong to it.
+    text = F.regexp_replace("value", r"^\ufeff?(?:[ \t]*+(?:\r\n|\r|\n))*+", "")
     line = F.substring_index(F.substring_index(text, "\n", 1), "\r", 1)
     return whole.select(F.col("_metadata.file_name").alias("name"), line.cast("binary").alias("record"))
 
@@ -139,15 +142,25 @@ def _large_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect)
     multiline, quote = dialect.multiline, dialect.quote.encode()
 
     def first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        record = b""
+        lines, held, quotes, name = [], 0, 0, None
         for batch in batches:
             for line in batch.column("line").to_pylist():
-                if not record and not line.strip():
+                if not lines and not line.removeprefix(b"\xef\xbb\xbf").strip(b" \t"):
                     continue
-                record += (b"\n" if record else b"") + line
-                if not multiline or record.count(quote) % 2 == 0:
-                    yield pa.RecordBatch.from_pydict({"name": [batch.column("name")[0].as_py()], "record": [record]})
+                name = name or batch.column("name")[0].as_py()
+                lines.append(line)
+                held, quotes = held + len(line), quotes + line.count(quote)
+                if not multiline or quotes % 2 == 0:
+                    yield pa.RecordBatch.from_pydict({"name": [name], "record": [b"\n".join(lines)]})
                     return
+                if held > HEADER_BYTES:
+                    lines = lines[:1]
+                    break
+            if held > HEADER_BYTES:
+                break
+        if lines:
+            # The quote is never closed: the first line, which the parser will refuse.
+            yield pa.RecordBatch.from_pydict({"name": [name], "record": [lines[0]]})
 
     lines = (storage.read_files(probe.read.text, [f.path for f in files], CSV_GLOB)
              .select(F.col("_metadata.file_name").alias("name"), F.col("value").cast("binary").alias("line")))
@@ -166,7 +179,13 @@ def _with_header(f: ListFile, record: bytes | None, dialect: Dialect) -> ListFil
         text = record.decode("utf-8-sig")
     except UnicodeDecodeError:
         return replace(f, load_rule="encoding")
-    names = next(csv.reader(text.splitlines(keepends=True), delimiter=dialect.sep, quotechar=dialect.quote))
+    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+    try:
+        # Strict, so that a quote that is never closed is an error of this list.
+        names = next(csv.reader(io.StringIO(text, newline=""), delimiter=dialect.sep, quotechar=dialect.quote,
+                                strict=True))
+    except (csv.Error, StopIteration):
+        return replace(f, load_rule="malformed_record")
     return _checked(f, names)
 
 

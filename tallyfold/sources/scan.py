@@ -28,7 +28,7 @@ RECORD, WIDTH = "_record", "_width"
 FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT = "_file", "_block", "_seq", "_malformed", "_bad_text"
 MANY_LAYOUTS = 8  # delimited layouts, from which on places are looked up per record
 LOOKUP_BYTES = 64 << 20
-MAX_COLUMNS = 20480  # fields of one record that the parser has room for
+MAX_COLUMNS = 20480  # fields of one record that the parser has room for, if no header is wider
 WHOLE_FILE = -1  # block of rows whose record number already counts from the start of the list
 
 
@@ -98,9 +98,11 @@ def scan(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialec
     tables = []
     if texts:
         # First, so that a plan over the delimited lists alone still numbers their records alike.
-        read = [pick(_csv_records(spark, members, dialect, checking)) for members, pick in texts]
+        room = columns_room(csv_files)
+        read = [pick(_csv_records(spark, members, dialect, checking, room)) for members, pick in texts]
         tables.append(_csv_cells(reduce(DataFrame.unionByName, read), spec, dialect, checking))
-    for members in _grouped([f for f in files if f.format != CSV], lambda f: f.schema.json()):
+    # Stored lists are read by name: only the required columns tell their layouts apart.
+    for members in _grouped([f for f in files if f.format != CSV], lambda f: _stored_fields(f, spec).json()):
         tables.append(_parquet_cells(spark, members, spec, dialect, checking))
     return reduce(DataFrame.unionByName, tables) if tables else _no_rows(spark, spec, checking)
 
@@ -117,13 +119,25 @@ def _places(f: ListFile, spec: Spec) -> tuple[int | None, ...]:
     return tuple(f.columns.index(n) if n in f.columns else None for n in spec.required)
 
 
-def _csv_records(spark: SparkSession, files: list[ListFile], dialect: Dialect, checking: bool) -> DataFrame:
+def columns_room(files: list[ListFile]) -> int:
+    """Fields of one record that the parser must have room for."""
+    return max([MAX_COLUMNS, *(len(f.columns) + 1 for f in files if f.columns)])
+
+
+def _stored_fields(f: ListFile, spec: Spec) -> T.StructType:
+    """The required columns as a stored list has them, in the order of the spec."""
+    return T.StructType([T.StructField(f.schema.names[at], f.schema[at].dataType)
+                         for at in _places(f, spec) if at is not None])
+
+
+def _csv_records(spark: SparkSession, files: list[ListFile], dialect: Dialect, checking: bool,
+                 room: int) -> DataFrame:
     """Records of lists of one width as texts ``c0, c1, ...`` with provenance."""
     width = len(files[0].columns)
     slots = [f"c{i}" for i in range(width)]
     fields = [T.StructField(s, T.StringType()) for s in slots]
     options = dict(sep=dialect.sep, quote=dialect.quote, escape=dialect.quote, header=True, mode="PERMISSIVE",
-                   multiLine=dialect.multiline, encoding="UTF-8", maxColumns=MAX_COLUMNS)
+                   multiLine=dialect.multiline, encoding="UTF-8", maxColumns=room)
     if checking:
         # Latin-1 maps every byte to one character and back, so bad UTF-8 survives to be
         # seen; pruning must be off because a pruned parse never notices a bad record.
@@ -162,9 +176,14 @@ def _at_looked_up_places(spark: SparkSession, spec: Spec, files: list[ListFile])
         lookup = F.broadcast(lookup)
 
     def pick(records: DataFrame) -> DataFrame:
-        listed = records.withColumn("_list", F.when(F.col(FILE).contains("%"), decoded_name(FILE)).otherwise(F.col(FILE)))
-        return listed.join(lookup, "_list").select(
-            *_provenance(records), *[F.get(slots, F.col(f"_p{i}")).alias(n) for i, n in enumerate(spec.required)])
+        listed = records.withColumn(
+            "_list", F.when(F.col(FILE).contains("%"), decoded_name(FILE)).otherwise(F.col(FILE)))
+        # A record whose list is not found must never vanish: that would be a fault of this engine.
+        found = listed.join(lookup.withColumn("_known", F.lit(True)), "_list", "left")
+        lost = F.raise_error(F.concat(F.lit("no layout is known for list "), F.col("_list"))).cast("string")
+        return found.select(*_provenance(records), *[
+            F.when(F.col("_known").isNull(), lost).otherwise(F.get(slots, F.col(f"_p{i}"))).alias(n)
+            for i, n in enumerate(spec.required)])
 
     return pick
 
@@ -186,7 +205,7 @@ def _bad_text(columns: list[str], dialect: Dialect) -> Column:
 
 def _parquet_cells(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialect,
                    checking: bool) -> DataFrame:
-    schema = files[0].schema
+    schema = _stored_fields(files[0], spec)
     stored = spark.read.schema(schema).parquet(*[storage.literal(f.path) for f in files])
     flags = []
     if checking:
@@ -194,8 +213,9 @@ def _parquet_cells(spark: SparkSession, files: list[ListFile], spec: Spec, diale
                  F.col("_metadata.row_index").alias(SEQ), F.lit(False).alias(MALFORMED), F.lit(False).alias(BAD_TEXT)]
     wanted = []
     for name, at in zip(spec.required, _places(files[0], spec)):
-        source = T.StringType() if at is None else schema[at].dataType
-        value = F.lit(None).cast(source) if at is None else col(schema.names[at])
+        held = None if at is None else files[0].schema[at]
+        source = T.StringType() if held is None else held.dataType
+        value = F.lit(None).cast(source) if held is None else col(held.name)
         wanted.extend(_cell(value, source, spec, name, dialect))
     return stored.select(*flags, *wanted)
 
@@ -210,7 +230,7 @@ def overlong_lists(spark: SparkSession, files: list[ListFile], dialect: Dialect)
     Such a record fails the whole scan, so this is for finding the culprits after that.
     """
     lines = storage.read_files(spark.read.text, [f.path for f in files if f.format == CSV], CSV_GLOB)
-    over = lines.where(_malformed(F.col("value"), F.lit(MAX_COLUMNS), dialect, quotes=False))
+    over = lines.where(_malformed(F.col("value"), F.lit(columns_room(files)), dialect, quotes=False))
     names = over.select(F.col("_metadata.file_name").alias("name")).distinct().select(decoded_name("name"))
     found = {r[0] for r in names.collect()}
     return {f.path for f in files if f.list_id in found}

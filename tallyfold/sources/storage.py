@@ -54,6 +54,12 @@ def make_directory(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
+def create_file(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, p = _open(spark, path)
+    fs.create(p, True).close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _open(spark, path)
     fs.delete(p, True)

@@ -6,6 +6,7 @@ consistency and reports every problem at once, so the operators never have to re
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from types import MappingProxyType
@@ -108,46 +109,40 @@ class Spec:
     # -- consistency --------------------------------------------------------------------
 
     def _problems(self) -> Iterable[str]:
-        required = set(self.required)
+        """Every violated rule, each with the field it concerns."""
+        required, result = set(self.required), set(self.result_names)
         numeric = {c.name for c in self.columns if c.is_numeric}
-        result = set(self.result_names)
-
-        for label, values in (("columns", self.columns), ("keys", self.keys),
-                              ("rules", self.rules), ("order", self.order)):
-            if not values:
-                yield f"{label}: at least one entry is needed"
-        for label, names in (("columns", self.required), ("keys", self.keys), ("order", self.order),
-                             ("sort_by", self.sort_by), ("rules", [r.column for r in self.rules])):
-            for name in sorted({n for n in names if list(names).count(n) > 1}):
-                yield f"{label}: '{name}' is named more than once"
-        for c in self.columns:
-            if c.type not in COLUMN_TYPES:
-                yield f"columns: '{c.name}' has unknown type '{c.type}'"
-            if not 0 <= c.scale <= 36:
-                yield f"columns: scale of '{c.name}' must lie between 0 and 36"
-            if c.type == "date" and not c.formats:
-                yield f"columns: date column '{c.name}' needs at least one format"
-        for key in self.keys:
-            if key not in required:
-                yield f"keys: '{key}' is not a required column"
-        for rule in self.rules:
-            if rule.method not in METHODS:
-                yield f"rules: unknown method '{rule.method}' for '{rule.column}'"
-            if rule.column not in required:
-                yield f"rules: '{rule.column}' is not a required column"
-            elif rule.method != "count" and rule.column not in numeric:
-                yield f"rules: {rule.method} of '{rule.column}' needs an int or float column"
-            if rule.method != "count" and rule.column in self.keys:
-                yield f"rules: key '{rule.column}' can only be counted"
-        for label, names in (("order", self.order), ("sort_by", self.sort_by)):
-            for name in names:
-                if name not in result:
-                    yield f"{label}: '{name}' is neither a key nor a merged column"
-        for name in self.bounds:
-            if name not in numeric:
-                yield f"bounds: '{name}' is not an int or float column"
-            elif name not in result:
-                yield f"bounds: '{name}' is neither a key nor a merged column"
+        ruled = tuple(r.column for r in self.rules)
+        summed = tuple(r.column for r in self.rules if r.method != "count")
+        a_column, a_result = "is not a required column", "is neither a key nor a merged column"
+        a_number, a_value = "is not an int or float column", "can only be counted, being a key"
+        # Field, the names it gives, the names it may give, what is wrong with others.
+        for field_name, names, allowed, fault in (
+                ("keys", self.keys, required, a_column), ("rules", ruled, required, a_column),
+                ("rules", summed, numeric | (set(summed) - required), a_number),
+                ("rules", summed, set(summed) - set(self.keys), a_value),
+                ("order", self.order, result, a_result), ("sort_by", self.sort_by, result, a_result),
+                ("bounds", tuple(self.bounds), numeric, a_number),
+                ("bounds", tuple(n for n in self.bounds if n in numeric), result, a_result)):
+            yield from (f"{field_name}: '{n}' {fault}" for n in dict.fromkeys(names) if n not in allowed)
+        # Field, its entries, whether there must be one; no name may come twice.
+        for field_name, names, needed in (("columns", self.required, True), ("keys", self.keys, True),
+                                          ("rules", ruled, True), ("order", self.order, True),
+                                          ("sort_by", self.sort_by, False)):
+            if needed and not names:
+                yield f"{field_name}: at least one entry is needed"
+            repeated = [n for n, times in Counter(names).items() if times > 1]
+            yield from (f"{field_name}: '{n}' is named more than once" for n in repeated)
+        # What a single entry may look like.
+        for field_name, name, wrong, fault in (
+                *(("columns", c.name, c.type not in COLUMN_TYPES, f"has the unknown type '{c.type}'")
+                  for c in self.columns),
+                *(("columns", c.name, not 0 <= c.scale <= 36, "needs a scale from 0 to 36") for c in self.columns),
+                *(("columns", c.name, c.type == "date" and not c.formats, "needs a date format") for c in self.columns),
+                *(("rules", r.column, r.method not in METHODS, f"has the unknown method '{r.method}'")
+                  for r in self.rules)):
+            if wrong:
+                yield f"{field_name}: '{name}' {fault}"
 
     # -- interchange --------------------------------------------------------------------
 
@@ -174,26 +169,54 @@ class Spec:
         inp = take("input.", top.get("input", {}), ("required_columns", "column_types", "allow_missing_values"),
                    ("scales", "date_formats"))
         out = take("output.", top.get("output", {}), ("columns_order",), ("sort_by", "filename_suffix"))
-        rules = [take(f"aggregate.{i}.", r, ("column", "method")) for i, r in enumerate(top.get("aggregate", ()))]
-        bounds = {n: take(f"validation_rules.{n}.", b, (), ("min", "max"))
-                  for n, b in top.get("validation_rules", {}).items()}
 
-        required, types = inp.get("required_columns", ()), inp.get("column_types", {})
+        def typed(where: str, value: Any, kind: type | tuple[type, ...], what: str, default: Any) -> Any:
+            """The value if it is of that kind; text is no list, and a truth value no number."""
+            if not isinstance(value, kind) or isinstance(value, bool) and kind is not bool:
+                problems.append(f"{where}: {what} is needed")
+                return default
+            return value
+
+        def names_of(where: str, source: dict, key: str) -> list[str]:
+            found = typed(f"{where}{key}", source.get(key, []), (list, tuple), "a list", [])
+            return [typed(f"{where}{key}.{i}", n, str, "a text", "") for i, n in enumerate(found)]
+
+        def mapping_of(where: str, source: dict, key: str, kind, what: str) -> dict:
+            found = typed(f"{where}{key}", source.get(key, {}), Mapping, "a mapping", {})
+            return {n: typed(f"{where}{key}.{n}", v, kind, what, None) for n, v in found.items()}
+
+        for key in ("template_name", "version"):
+            typed(key, top.get(key, ""), str, "a text", "")
+        listed = typed("aggregate", top.get("aggregate", []), (list, tuple), "a list", [])
+        rules = [take(f"aggregate.{i}.", r, ("column", "method")) for i, r in enumerate(listed)]
+        for i, rule in enumerate(rules):
+            for key, value in rule.items():
+                typed(f"aggregate.{i}.{key}", value, str, "a text", "")
+        bounds = {n: take(f"validation_rules.{n}.", b, (), ("min", "max"))
+                  for n, b in mapping_of("", top, "validation_rules", Mapping, "a mapping").items() if b is not None}
+        for n, sides in bounds.items():
+            for key, value in sides.items():
+                typed(f"validation_rules.{n}.{key}", value if value is not None else 0, (int, float), "a number", None)
+        required = names_of("input.", inp, "required_columns")
+        types = mapping_of("input.", inp, "column_types", str, "a text")
+        keys = names_of("", top, "duplicate_keys")
+        order, sort_by = (names_of("output.", out, key) for key in ("columns_order", "sort_by"))
+        missing = mapping_of("input.", inp, "allow_missing_values", bool, "true or false")
+        scales = mapping_of("input.", inp, "scales", int, "a whole number")
+        formats = names_of("input.", inp, "date_formats") if "date_formats" in inp else Column.formats
         problems.extend(f"input.column_types: '{n}' is not a required column" for n in types if n not in required)
         problems.extend(f"input.column_types: '{n}' has no type" for n in required if n not in types)
         if problems:
             raise SpecError(problems)
 
-        missing, scales = inp["allow_missing_values"], inp.get("scales", {})
-        formats = inp.get("date_formats", Column.formats)
         return cls(
             name=top["template_name"],
             version=top["version"],
             columns=tuple(Column(n, types[n], bool(missing.get(n, False)), scales.get(n, Column.scale),
                                  tuple(formats)) for n in required),
-            keys=tuple(top["duplicate_keys"]),
+            keys=tuple(keys),
             rules=tuple(Rule(r["column"], r["method"]) for r in rules),
-            order=tuple(out["columns_order"]),
-            sort_by=tuple(out.get("sort_by", ())),
+            order=tuple(order),
+            sort_by=tuple(sort_by),
             bounds={n: Bounds(**b) for n, b in bounds.items()},
         )

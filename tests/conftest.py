@@ -18,12 +18,14 @@ def spark():
 
 
 def base_spec(**changes) -> Spec:
+    """Water drawn in a harbour: how often each hydrant of a berth was opened, and how much it gave."""
     fields = dict(
-        name="lengths by article",
-        columns=(Column("article", "string"), Column("colour", "string"), Column("metres", "float")),
-        keys=("article", "colour"), rules=(Rule("metres", "sum"),),
-        order=("article", "colour", "metres"), sort_by=("article",),
-        bounds={"metres": Bounds(min=0)})
+        name="harbour water",
+        columns=(Column("berth", "string"), Column("hydrant", "int"), Column("opened", "int", True),
+                 Column("cubic", "float")),
+        keys=("berth", "hydrant"), rules=(Rule("cubic", "sum"), Rule("opened", "sum")),
+        order=("hydrant", "berth", "cubic", "opened"), sort_by=("hydrant",),
+        bounds={"cubic": Bounds(max=900)})
     fields.update(changes)
     return Spec(**fields)
 

@@ -9,11 +9,7 @@ import sys
 import time
 
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
-try:
-    import duckdb
-except ImportError:
-    sys.path.append("/opt/oracle")
-    import duckdb
+import duckdb  # noqa: E402
 
 
 def connection(folder: str):

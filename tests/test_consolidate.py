@@ -10,38 +10,43 @@ from tallyfold.operators.consolidate import grouped
 from tallyfold.sources import catalog as lists
 from tallyfold.sources.scan import scan
 
-SCHEMA = "article string, colour string, metres double"
+SCHEMA = "berth string, hydrant bigint, opened bigint, cubic double"
+
+
+def water(spark, *data):
+    return spark.createDataFrame(list(data), SCHEMA)
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_duplicates_are_merged_and_sorted(spark, spec):
-    df = spark.createDataFrame([("A2", "blau", 3.0), ("A1", "rot", 10.5), ("A1", "rot", 5.25), ("A3", "gruen", 2.2)],
-                               SCHEMA)
-    assert rows(consolidate(df, spec)) == [("A1", "rot", 15.75), ("A2", "blau", 3.0), ("A3", "gruen", 2.2)]
+def test_rows_of_one_hydrant_become_one(spark, spec):
+    df = water(spark, ("east", 4, 2, 31.5), ("north", 1, None, 8.125), ("east", 4, 3, 0.25), ("east", 2, 1, 64.0),
+               ("east", 4, None, 6.0))
+    # By hydrant: 1, 2, 4; hydrant 4 gave 31.5 + 0.25 + 6 in 2 + 3 openings.
+    assert rows(consolidate(df, spec)) == [(1, "north", 8.125, 0), (2, "east", 64.0, 1), (4, "east", 37.75, 5)]
 
 
-def test_no_duplicates_changes_nothing(spark, spec):
-    data = [("A3", "x", 3.0), ("A1", "x", 1.0), ("A2", "x", 2.0)]
-    assert rows(consolidate(spark.createDataFrame(data, SCHEMA), spec)) == sorted(data)
+def test_distinct_rows_stay_and_are_sorted(spark, spec):
+    df = water(spark, ("b", 9, 1, 1.5), ("a", 9, 1, 2.5), ("c", 3, 1, 3.5))
+    assert rows(consolidate(df, spec), "hydrant", "berth") == [(3, "c"), (9, "a"), (9, "b")]
 
 
-def test_merge_is_by_name_and_keeps_duplicates(spark, spec):
-    lists = [spark.createDataFrame([("A1", "rot", 10.5)], SCHEMA),
-             spark.createDataFrame([(5.25, "rot", "A1")], "metres double, colour string, article string"),
-             spark.createDataFrame([("A2", "blau", 3.0)], SCHEMA)]
-    united = merge(lists)
+def test_tables_are_united_by_name(spark, spec):
+    tables = [water(spark, ("pier", 7, 1, 12.0)), water(spark, ("pier", 7, 1, 12.0)),
+              spark.createDataFrame([(2.5, 7, "pier")], "cubic double, hydrant bigint, berth string")]
+    united = merge(tables)
     assert united.count() == 3
-    assert rows(consolidate(united, spec)) == [("A1", "rot", 15.75), ("A2", "blau", 3.0)]
+    assert rows(consolidate(united, spec)) == [(7, "pier", 26.5, 2)]
     with pytest.raises(ValueError, match="no lists"):
         merge([])
 
 
-def test_missing_keys_form_a_group_sorted_last(spark, spec):
-    df = spark.createDataFrame([(None, "rot", 1.0), (None, "rot", 2.0), ("A1", None, 3.0), ("A1", "b", 4.0)], SCHEMA)
-    assert rows(consolidate(df, spec)) == [("A1", "b", 4.0), ("A1", None, 3.0), (None, "rot", 3.0)]
+def test_missing_keys_are_a_value_of_their_own(spark, spec):
+    df = water(spark, (None, 5, 1, 1.0), (None, 5, 1, 2.0), ("quay", None, 1, 4.0), ("quay", 5, 1, 8.0))
+    assert rows(consolidate(df, spec), "hydrant", "berth", "cubic") == [
+        (5, "quay", 8.0), (5, None, 3.0), (None, "quay", 4.0)]
 
 
 def test_groups_without_values(spark):
@@ -49,49 +54,59 @@ def test_groups_without_values(spark):
                               Column("i", "int")),
                      keys=("k",), rules=(Rule("s", "sum"), Rule("m", "mean"), Rule("c", "count"), Rule("i", "sum")),
                      order=("k", "s", "m", "c", "i"), sort_by=(), bounds={})
-    df = spark.createDataFrame([("a", None, None, None, None), ("b", 1.0, 1.0, "x", 5), ("b", None, 2.0, None, 7)],
+    df = spark.createDataFrame([("empty", None, None, None, None), ("full", 0.5, 3.0, "x", 9),
+                                ("full", None, 4.0, None, -2)],
                                "k string, s double, m double, c string, i bigint")
-    assert rows(consolidate(df, spec)) == [("a", 0.0, None, 0, 0), ("b", 1.0, 1.5, 1, 12)]
+    assert rows(consolidate(df, spec)) == [("empty", 0.0, None, 0, 0), ("full", 0.5, 3.5, 1, 7)]
 
 
-def test_count_over_a_key(spark):
-    spec = base_spec(rules=(Rule("colour", "count"),), order=("article", "colour"), bounds={})
-    df = spark.createDataFrame([("A1", "rot", 1.0), ("A1", "rot", 2.0), ("A1", "blau", 3.0), ("A2", "x", 1.0)], SCHEMA)
-    assert sorted(rows(consolidate(df, spec))) == [("A1", 1), ("A1", 2), ("A2", 1)]
+def test_counting_a_key(spark):
+    spec = base_spec(rules=(Rule("hydrant", "count"),), order=("berth", "hydrant"), sort_by=(), bounds={})
+    df = water(spark, ("w", 1, 0, 0.0), ("w", 2, 0, 0.0), ("w", 2, 0, 0.0), ("w", 2, 0, 0.0), ("v", 8, 0, 0.0))
+    assert sorted(rows(consolidate(df, spec))) == [("v", 1), ("w", 1), ("w", 3)]
     assert control_totals(df, spec).count() == 0
-    # The check looks at the true keys, so equal counts are no duplicates.
+    # Duplicates are looked for among the true keys, so equal counts are none.
     assert residual_duplicates(grouped(df, spec), spec.keys).count() == 0
 
 
-def test_projection_may_leave_out_sort_key_and_sum(spark):
-    spec = base_spec(order=("colour",), sort_by=("metres",))
-    df = spark.createDataFrame([("A1", "rot", 9.0), ("A2", "blau", 1.0)], SCHEMA)
-    assert rows(consolidate(df, spec)) == [("blau",), ("rot",)]
+def test_missing_numbers_of_a_plain_table_are_not_counted(spark):
+    spec = base_spec(rules=(Rule("cubic", "count"),), order=("berth", "cubic"), sort_by=(), bounds={})
+    df = water(spark, ("w", 1, 0, float("nan")), ("w", 1, 0, 4.0), ("w", 1, 0, None))
+    assert rows(consolidate(df, spec)) == [("w", 1)]
+
+
+def test_mean_of_integers_whose_sum_has_no_64_bits(spark):
+    spec = base_spec(rules=(Rule("opened", "mean"),), order=("berth", "opened"), sort_by=(), bounds={})
+    df = water(spark, ("w", 1, 8 * 10**18, 0.0), ("w", 1, 6 * 10**18, 0.0))
+    assert rows(consolidate(df, spec)) == [("w", 7e18)]
+
 
+def test_projection_may_leave_out_sort_column(spark):
+    spec = base_spec(order=("berth",), sort_by=("cubic",))
+    assert rows(consolidate(water(spark, ("far", 1, 1, 80.0), ("near", 2, 1, 0.75)), spec)) == [("near",), ("far",)]
 
-def test_sums_are_exact_whatever_the_partitioning(spark, spec):
-    df = spark.range(0, 10000).select(F.lit("A").alias("article"), F.lit("x").alias("colour"),
-                                      (F.lit(0.1) * (F.col("id") % 7)).cast("decimal(10,1)").cast("double")
-                                      .alias("metres"))
-    results = {consolidate(df.repartition(n), spec).first()[2] for n in (1, 3, 16)}
-    assert results == {Decimal(sum(i % 7 for i in range(10000))) / 10}
 
+def test_sums_do_not_depend_on_partitions(spark, spec):
+    df = spark.range(0, 9000).select(F.lit("mole").alias("berth"), F.lit(1).cast("bigint").alias("hydrant"),
+                                     F.lit(1).cast("bigint").alias("opened"),
+                                     ((F.col("id") % 11) / 10).cast("decimal(4,1)").cast("double").alias("cubic"))
+    sums = {consolidate(df.repartition(n), spec).first()["cubic"] for n in (1, 5, 13)}
+    assert sums == {Decimal(sum(i % 11 for i in range(9000))) / 10}
 
-def test_doubles_are_never_rounded_quietly(spark):
-    fine = base_spec(columns=base_spec().columns[:2] + (Column("metres", "float", scale=2),), bounds={})
-    df = spark.createDataFrame([("A", "x", 1.25), ("A", "x", float("nan")), ("A", "x", None)], SCHEMA)
-    assert rows(consolidate(df, fine)) == [("A", "x", 1.25)]
-    whole = base_spec(columns=base_spec().columns[:2] + (Column("metres", "int"),), bounds={})
-    assert rows(consolidate(df, whole)) == [("A", "x", 1.25)]
-    with pytest.raises(Exception, match="metres has more decimals than its scale: 1.255"):
-        consolidate(df.unionAll(spark.createDataFrame([("A", "x", 1.255)], SCHEMA)), fine).collect()
+
+def test_no_number_is_rounded_quietly(spark):
+    fine = base_spec(columns=(*base_spec().columns[:3], Column("cubic", "float", scale=3)), bounds={})
+    df = water(spark, ("w", 1, 1, 0.125), ("w", 1, 1, float("nan")), ("w", 1, 1, None))
+    assert rows(consolidate(df, fine), "cubic") == [(0.125,)]
+    with pytest.raises(Exception, match="cubic has more decimals than its scale: 0.0625"):
+        consolidate(df.unionAll(water(spark, ("w", 1, 1, 0.0625))), fine).collect()
 
 
 def test_plans_read_only_what_they_need(spark, spec, folder):
     text = plan(consolidate(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumnsRenamed(
-        {"l_partkey": "article", "l_linestatus": "colour", "l_quantity": "metres"}), spec))
-    assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_linestatus:string>" in text
-    path = folder({"a.csv": "Neu;article;colour;Alt;metres\nx;A;b;y;1\n"})
+        {"l_returnflag": "berth", "l_partkey": "hydrant", "l_suppkey": "opened", "l_quantity": "cubic"}), spec))
+    assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_returnflag:string>" in text
+    path = folder({"a.csv": "old;berth;hydrant;new;cubic;opened\nx;w;3;y;1;1\n"})
     files = lists.read_headers(spark, lists.discover(spark, path))
     merged = plan(grouped(validate.typed_rows(scan(spark, files, spec, checking=False), spec), spec))
     assert "FileScan csv [c1#" in merged and merged.count("Exchange") == 1 and "Python" not in merged
@@ -101,52 +116,64 @@ def test_plans_read_only_what_they_need(spark, spec, folder):
     assert "Exchange" not in issues and "Python" not in issues
 
 
-def test_consolidating_twice_changes_nothing(spark, spec):
-    df = spark.range(0, 1000).select((F.col("id") % 13).cast("string").alias("article"),
-                                     (F.col("id") % 3).cast("string").alias("colour"),
-                                     (F.col("id") / 4).alias("metres"))
-    once = consolidate(df, spec)
-    assert rows(consolidate(once, spec)) == rows(once)
-    assert once.count() == df.select("article", "colour").distinct().count()
+def made(spark):
+    return spark.range(0, 1000).select((F.col("id") % 17).cast("string").alias("berth"),
+                                       (F.col("id") % 5).alias("hydrant"), F.col("id").alias("opened"),
+                                       (F.col("id") / 8).alias("cubic"))
+
+
+def test_consolidating_a_result_changes_nothing(spark, spec):
+    once = consolidate(made(spark), spec)
+    assert rows(consolidate(once, spec)) == rows(once) and once.count() == 85
 
 
 def test_control_totals(spark, spec):
-    df = spark.createDataFrame([("A1", "rot", 10.5), ("A1", "rot", 5.25), ("A2", "blau", 3.0)], SCHEMA)
+    df = water(spark, ("w", 1, 4, 0.5), ("w", 1, 5, 7.25), ("v", 2, None, 90.0))
     before, after = control_totals(df, spec), control_totals(consolidate(df, spec), spec)
-    assert rows(before) == [("metres", 18.75, 3)]
-    assert rows(reconcile(before, after)) == [("metres", 18.75, 18.75, True, 3, 2, 1)]
+    assert sorted(rows(before)) == [("cubic", 97.75, 3), ("opened", 9.0, 3)]
+    assert sorted(rows(reconcile(before, after))) == [("cubic", 97.75, 97.75, True, 3, 2, 1),
+                                                      ("opened", 9.0, 9.0, True, 3, 2, 1)]
+
+
+def test_totals_beyond_one_column_type(spark):
+    spec = base_spec(bounds={})
+    df = water(spark, *[(str(i), i, 9 * 10**18, 9e19) for i in range(12)])
+    assert sorted((c, int(t)) for c, t, _ in control_totals(df, spec).collect()) == [
+        ("cubic", 12 * 9 * 10**19), ("opened", 12 * 9 * 10**18)]
+    small = water(spark, ("w", 1, 1, -0.005), ("w", 1, 1, 0.001), ("w", 1, 1, -7.0))
+    after = control_totals(consolidate(small, spec), spec)
+    assert all(r.passed for r in reconcile(control_totals(small, spec), after).collect())
+    assert [t for c, t, _ in after.collect() if c == "cubic"] == [Decimal("-7.00")]
 
 
 def totals(spark, name, value):
     return spark.createDataFrame([(name, Decimal(value), 1)], "column_name string, total decimal(38,18), rows bigint")
 
 
-def test_reconciliation_compares_two_decimals(spark):
-    def passed(b, a):
-        return reconcile(totals(spark, "x", b), totals(spark, "x", a)).first().passed
-    assert passed("27.950000000000003", "27.95")
-    assert not passed("27.95", "25.00")
-    assert reconcile(totals(spark, "x", "1"), totals(spark, "y", "2")).count() == 0
-    found = checks.sum_issues(reconcile(totals(spark, "x", "27.95"), totals(spark, "x", "25")))
-    assert rows(found, "level", "rule", "column_name", "bad_value") == [("result", "sum_mismatch", "x", "27.95 <> 25.00")]
+def test_totals_agree_at_two_decimals(spark):
+    def passed(before, after):
+        return reconcile(totals(spark, "x", before), totals(spark, "x", after)).first().passed
+    assert passed("410.300000000000011", "410.3") and not passed("410.31", "410.30")
+    assert reconcile(totals(spark, "x", "6"), totals(spark, "y", "6")).count() == 0
+    found = checks.sum_issues(reconcile(totals(spark, "x", "410.31"), totals(spark, "x", "400")))
+    assert rows(found, "level", "rule", "column_name", "bad_value") == [
+        ("result", "sum_mismatch", "x", "410.31 <> 400.00")]
 
 
 def test_residual_duplicates_once_each(spark, spec):
-    df = spark.createDataFrame([("A1", "rot", 1.0), ("A1", "rot", 2.0), ("A2", "blau", 3.0), (None, "x", 1.0),
-                                (None, "x", 1.0)], SCHEMA)
+    df = water(spark, ("w", 1, 1, 1.0), ("w", 1, 2, 2.0), ("w", 1, 3, 3.0), ("v", 1, 1, 1.0), (None, 6, 1, 1.0),
+               (None, 6, 1, 1.0))
     found = checks.duplicate_issues(residual_duplicates(df, spec.keys), spec)
     assert sorted(rows(found, "rule", "bad_value")) == [
-        ("residual_duplicate", '{"article":"A1","colour":"rot"}'),
-        ("residual_duplicate", '{"article":null,"colour":"x"}')]
+        ("residual_duplicate", '{"berth":"w","hydrant":1}'), ("residual_duplicate", '{"berth":null,"hydrant":6}')]
 
 
-def test_range_rules(spark):
-    spec = base_spec(bounds={"metres": Bounds(0, 100)})
-    df = spark.createDataFrame([("A1", "a", -5.0), ("A2", "a", 0.0), ("A3", "a", 100.0), ("A4", "a", 100.5),
-                                ("A5", "a", None)], SCHEMA)
-    assert sorted(rows(checks.range_violations(df, spec, ["article"]))) == [
-        ("A1", "below_min", "metres", "-5.0"), ("A4", "above_max", "metres", "100.5")]
-    counted = base_spec(rules=(Rule("metres", "count"),), bounds={"metres": Bounds(0, 1)})
+def test_bounds_are_inclusive_and_missing_values_pass(spark):
+    spec = base_spec(bounds={"cubic": Bounds(-2, 40)})
+    df = water(spark, ("a", 1, 1, -2.5), ("b", 1, 1, -2.0), ("c", 1, 1, 40.0), ("d", 1, 1, 40.25), ("e", 1, 1, None))
+    assert sorted(rows(checks.range_violations(df, spec, ["berth"]))) == [
+        ("a", "below_min", "cubic", "-2.5"), ("d", "above_max", "cubic", "40.25")]
+    counted = base_spec(rules=(Rule("cubic", "count"), Rule("opened", "sum")), bounds={"cubic": Bounds(0, 1)})
     assert checks.range_rules(counted) == []
 
 
@@ -157,12 +184,8 @@ def test_ordinals_follow_the_sort_order(spark):
 
 
 def test_plans_stay_native_and_shuffle_once(spark, spec):
-    df = spark.range(0, 1000).select((F.col("id") % 13).cast("string").alias("article"),
-                                     (F.col("id") % 3).cast("string").alias("colour"),
-                                     (F.col("id") / 4).alias("metres"))
-    checked = residual_duplicates(grouped(df, spec), spec.keys)
-    text = plan(checked)
+    text = plan(residual_duplicates(grouped(made(spark), spec), spec.keys))
     assert text.count("Exchange") == 1                      # the check reuses the grouping's partitioning
     assert "Python" not in text and "SortAggregate" not in text
-    assert "CartesianProduct" not in plan(checks.gated(df, checks.sum_issues(
+    assert "CartesianProduct" not in plan(checks.gated(made(spark), checks.sum_issues(
         reconcile(totals(spark, "x", "1"), totals(spark, "x", "1")))))
