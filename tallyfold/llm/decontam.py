@@ -124,7 +124,7 @@ def _frequencies(items: Items):
 
 def _passages(numbers: np.ndarray, first: np.ndarray, weight: np.ndarray):
     """Unit vectors of consecutive passages as (passage, word, value), ordered by passage."""
-    at = np.flatnonzero(numbers >= 0)
+    at = np.flatnonzero((numbers >= 0) & (weight > 0)[numbers])
     text = np.searchsorted(first, at, side="right") - 1
     piece = (at - first[text]) // PASSAGE
     # Passages get numbers of their own: at most one for each PASSAGE words and text.
@@ -203,8 +203,8 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Items:
     df = np.zeros(size)
     df[counted["word"].to_numpy()] = counted["df"].to_numpy()
     many = docs.count()
-    # Frequent words say nothing about a passage; their squared weight would still add up.
-    items.idf = np.where(df > max(20, FREQUENT * many), 1e-3, np.log((many + 1) / (df + 1)) ** 2 + 1e-3)
+    # Frequent words say nothing about a passage and are most of all words: they get no weight.
+    items.idf = np.where(df > max(20, FREQUENT * many), 0, np.log((many + 1) / (df + 1)) ** 2 + 1e-3)
     rank = min(rank, size)
     start = np.random.default_rng(7).standard_normal((size, rank))
     directions, _ = np.linalg.qr(_pass(docs, items, start) + 1e-9 * start)
@@ -238,20 +238,18 @@ def leaks(items: Items, text: str = "text") -> Column:
     def search(texts: pa.Array) -> pa.Array:
         block = shared["items"]
         if "latent" not in shared:
-            shared["latent"] = np.stack([block.basis[w].sum(axis=0) for w in block.words])
+            shared["latent"] = np.stack([block.basis[w].sum(axis=0) for w in block.words]).astype(np.float32)
             shared["blocks"] = np.array([-(-len(w) // STEP) + 1 for w in block.words])
             shared["lists"] = [w.tolist() for w in block.words]
             shared["length"] = np.linalg.norm(shared["latent"], axis=1)
             # An item that a large part of all documents holds has only frequent words and no place in that space.
-            shared["faint"] = shared["length"] < FAINT * np.median(shared["length"])
+            shared["faint"] = shared["length"] <= FAINT * np.median(shared["length"])
         latent, spans, lists, length = (shared[k] for k in ("latent", "blocks", "lists", "length"))
         rows, offsets = [], [0]
         for _, numbers, first in _numbered(texts, block):
-            known = numbers >= 0
+            found = _in_texts(block, lists, latent, length, shared["faint"], spans, numbers, first)
             for t in range(len(first) - 1):
-                a, b = int(first[t]), int(first[t + 1])
-                if b > a:
-                    rows += _in_text(block, lists, latent, length, shared["faint"], spans, numbers[a:b], known[a:b])
+                rows += found.get(t, [])
                 offsets.append(len(rows))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
@@ -262,48 +260,69 @@ def leaks(items: Items, text: str = "text") -> Column:
     return search(F.col(text))
 
 
-def _in_text(block: Items, lists, latent, length, faint, spans, numbers: np.ndarray, known: np.ndarray) -> list[tuple]:
-    steps = -(-len(numbers) // STEP)
-    at = np.flatnonzero(known)
-    if not len(at):
-        return []
+def _in_texts(block: Items, lists, latent, length, faint, spans, numbers: np.ndarray,
+              first: np.ndarray) -> dict[int, list[tuple]]:
+    """Leaks by text, for many texts one after the other; a window never leaves its text."""
+    sizes = np.diff(first)
+    steps = -(-sizes // STEP)
+    begins_at = np.concatenate([[0], np.cumsum(steps)])  # first step of each text
+    text_of = np.repeat(np.arange(len(steps)), steps)
+    at = np.flatnonzero((numbers >= 0) & (block.idf > 0)[numbers])
     # Sums over steps, so that any window is a difference of two rows.
-    sums = np.zeros((steps + 1, latent.shape[1]))
-    owner = at // STEP
-    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    sums[owner[begins] + 1] = np.add.reduceat(block.basis[numbers[at]], begins)
-    np.cumsum(sums, axis=0, out=sums)
-    best: dict[int, tuple[int, int, int]] = {}
-
-    def compare(item: int, begin: int, end: int) -> None:
-        words, window = lists[item], numbers[begin:end].tolist()
-        common = lcs(words, window, len(words))
+    sums = np.zeros((begins_at[-1] + 1, latent.shape[1]))
+    if len(at):
+        text = np.searchsorted(first, at, side="right") - 1
+        owner = begins_at[text] + (at - first[text]) // STEP
+        cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        sums[owner[cuts] + 1] = np.add.reduceat(block.basis[numbers[at]], cuts)
+        np.cumsum(sums, axis=0, out=sums)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def words_of(window: int, end: int) -> tuple[int, int, int]:
+        """Text, first and last word there of a window of steps."""
+        t = int(text_of[window])
+        return t, int(window - begins_at[t]) * STEP, min(int(end - begins_at[t]) * STEP, int(sizes[t]))
+
+    def compare(item: int, window: int, end: int) -> None:
+        t, lo, hi = words_of(window, end)
+        words, here = lists[item], numbers[first[t] + lo:first[t] + hi].tolist()
+        common = lcs(words, here, len(words))
         if common < (len(words) if len(words) < SHORT else SHARE * len(words)):
             return
         answer = words[block.answers[item]:]
-        if lcs(answer, window, len(answer)) >= ANSWER_SHARE * len(answer) and common > best.get(item, (0,))[0]:
-            best[item] = (common, begin, end)
+        if lcs(answer, here, len(answer)) >= ANSWER_SHARE * len(answer) and common > best.get((t, item), (0,))[0]:
+            best[t, item] = (common, lo, hi)
 
+    every = np.arange(begins_at[-1])
     for span in np.unique(spans):
-        span_now = min(int(span), steps)
-        windows = (sums[span_now:] - sums[:-span_now]).astype(np.float32)
-        which = np.flatnonzero((spans == span) & ~faint)
-        inner = windows @ latent[which].T
-        # A window may hold more than the item, so next to the cosine its part along the item counts.
-        near = inner >= COSINE * np.linalg.norm(windows, axis=1)[:, None] * length[which]
-        near &= inner >= ALONG * length[which] ** 2
-        for w, k in np.argwhere(near):
-            compare(int(which[k]), int(w) * STEP, min((int(w) + span_now) * STEP, len(numbers)))
-    for item in np.flatnonzero(faint):
-        # Exact instead: a window that holds enough of the item's words in any order.
-        span_now = min(int(spans[item]), steps)
-        held = np.concatenate([[0], np.cumsum(np.isin(numbers, block.words[item]))])
-        ends = np.minimum(np.arange(0, steps + 1) * STEP, len(numbers))
-        inside = held[ends[span_now:]] - held[ends[:len(ends) - span_now]]
-        for w in np.flatnonzero(inside >= SHARE * len(block.words[item])):
-            compare(int(item), int(w) * STEP, int(ends[w + span_now]))
-    return [(block.ids[i], begin, end, common, common / len(lists[i]))
-            for i, (common, begin, end) in sorted(best.items())]
+        # All windows of so many steps, and the whole text where it is shorter.
+        last = begins_at[text_of + 1]
+        windows = every[(every + span <= last) | (every == begins_at[text_of])]
+        ends = np.minimum(windows + span, last[windows])
+        which = np.flatnonzero((spans == span) & ~faint & (length > 0))
+        if len(which):
+            rows = (sums[ends] - sums[windows]).astype(np.float32)
+            norm = np.sqrt(np.einsum("wk,wk->w", rows, rows))
+            # What is shorter than this cannot reach far enough along any item.
+            far = np.flatnonzero(norm >= ALONG * length[which].min())
+            inner = rows[far] @ latent[which].T
+            # A window may hold more than the item, so next to the cosine its part along the item counts.
+            w, k = np.divmod(np.flatnonzero(inner >= (ALONG * length[which] ** 2).astype(np.float32)), len(which))
+            keep = inner[w, k] >= COSINE * norm[far[w]] * length[which[k]]
+            for w, k in zip(far[w[keep]].tolist(), which[k[keep]].tolist(), strict=True):
+                compare(k, windows[w], ends[w])
+        for item in np.flatnonzero(faint & (spans == span)):
+            # Exact instead: windows that hold enough of the item's words in any order.
+            held = np.concatenate([[0], np.cumsum(np.isin(numbers, block.words[item]))])
+            t = text_of[windows]
+            lo = first[t] + (windows - begins_at[t]) * STEP
+            hi = np.minimum(first[t] + (ends - begins_at[t]) * STEP, first[t + 1])
+            for w in np.flatnonzero(held[hi] - held[lo] >= SHARE * len(block.words[item])):
+                compare(int(item), windows[w], ends[w])
+    found: dict[int, list[tuple]] = {}
+    for (t, i), (common, lo, hi) in sorted(best.items()):
+        found.setdefault(t, []).append((block.ids[i], lo, hi, common, common / len(lists[i])))
+    return found
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
