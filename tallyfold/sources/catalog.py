@@ -123,9 +123,11 @@ def _small_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect)
     """Small lists are cheap to read whole, many to a task; only the first line leaves the scan."""
     whole = storage.read_files(partial(spark.read.text, wholetext=True), [f.path for f in files], CSV_GLOB)
     # Only a byte-order mark and blank lines may stand before the header; its own blanks belong to it.
-    text = F.regexp_replace("value", r"^\ufeff?(?:[ \t]*+(?:\r\n|\r|\n))*+", "")
+    # Latin-1 maps every byte to one character and back, so that bad UTF-8 stays as it is.
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    text = F.regexp_replace(text, r"^(?:\u00ef\u00bb\u00bf)?(?:[ \t]*+(?:\r\n|\r|\n))*+", "")
     line = F.substring_index(F.substring_index(text, "\n", 1), "\r", 1)
-    return whole.select(F.col("_metadata.file_name").alias("name"), line.cast("binary").alias("record"))
+    return whole.select(F.col("_metadata.file_name").alias("name"), F.encode(line, "ISO-8859-1").alias("record"))
 
 
 def _large_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:

@@ -77,7 +77,7 @@ def test_load_rules(spark, folder, spec):
         "blank.csv": "\n  \n",
         "long.csv": LIST + "w;1;1;1;surplus\n",
         "all_long.csv": HEAD + "x;w;1;1;1\ny;w;1;1;1\n",
-        "unclosed.csv": LIST + 'w;1;1;"1\n',
+        "unclosed.csv": LIST + 'w;"1;1;1\n',
         "unclosed_header.csv": 'berth;hydrant;opened;"cubic\nw;1;1;1\n',
         "twice.csv": "berth;hydrant;opened;cubic;opened \nw;1;1;1;1\n",
         "short.csv": LIST + "w;1\n",
