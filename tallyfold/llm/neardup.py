@@ -29,7 +29,7 @@ from tallyfold.llm.common import components, stored
 COSINE = 0.93
 SHARD, QUERIES, BATCH = 16_384, 65_536, 256  #: points of an index; queries of a task; queries in step
 LINKS, UPPER_LINKS, CLOSE_LINKS = 24, 12, 16  #: per point at the bottom, above; of them kept for being closest
-BUILD_BEAM, BEAM, AUDITED, RECALL = 32, 24, 12, 0.99
+BUILD_BEAM, BEAM, AUDITED, RECALL = 32, 64, 32, 0.99
 WHOLE = 8  #: a beam of this part of a shard costs as much as the whole shard, so that is searched instead
 KEY = ["label", "dim", "shard", "block"]
 
