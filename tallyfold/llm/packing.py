@@ -31,7 +31,10 @@ CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 PER_PART = 20_000  #: pieces packed together
 MOST_ROUNDS = 8
-KNOWN_WORDS = 300_000  #: entries of a worker's word table before it starts anew
+KNOWN_WORDS = 500_000  #: entries of a worker's word table before it starts anew
+#: Letters that no normalisation changes but by lower-casing, and signs that never form a unit with them.
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+BLANKS = re.compile("[ \t\n\r]+")
 _state: dict = {}
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -45,23 +48,56 @@ def tokenizer_path() -> str:
 
 
 class Words:
-    """Ids of words as little-endian 32-bit bytes, encoded on first sight."""
+    """Ids of words as little-endian 32-bit bytes, encoded on first sight.
+
+    Plain words (letters, then perhaps a run of signs) are encoded many at a time as one text: each is one or two
+    units of the tokenizer, and a unit ends where a token does that closes a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.split = re.compile("[ \t\n\r]+").split
+        closing = [i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[closing] = True
+
+    def split(self, text: str) -> list[str]:
+        # These count as blanks for Python, but not for the tokenizer.
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return BLANKS.split(text)
+        return text.split()
+
+    def _learn(self, words: list[str]) -> None:
+        plain, units, other = [], [], []
+        for word in words:
+            m = PLAIN.fullmatch(word)
+            if m:
+                plain.append(word)
+                units.append(2 if m.group(1) else 1)
+            else:
+                other.append(word)
+        for begin in range(0, len(plain), 1000):
+            some = plain[begin:begin + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids])
+            last = np.cumsum(units[begin:begin + 1000])
+            if len(ends) != last[-1]:
+                other += some  # not as foreseen: one by one
+                continue
+            cuts = [0, *(4 * (ends[last - 1] + 1)).tolist()]
+            data = ids.tobytes()
+            self.known.update(zip(some, [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for begin in range(0, len(other), 1000):
+            some = other[begin:begin + 1000]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(got.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(x) for x in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        fresh = list(set().union(*parts).difference(self.known))
-        for begin in range(0, len(fresh), 2000):
-            some = fresh[begin:begin + 2000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+        self._learn(list(set().union(*parts).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, words)) for words in parts]
 
 
@@ -157,7 +193,7 @@ def pack(rows: DataFrame, per_part: int = PER_PART) -> DataFrame:
                     F.lit(0).cast("long").alias("offset"))]
     open_rows, before = rows.where(F.col("length") < CAPACITY), None
     for number in range(MOST_ROUNDS):
-        parts = parts_for(open_rows.count(), per_part)
+        parts = parts_for(open_rows.count(), per_part << number)  # rows are small: each round over half as many
         dealt = open_rows.select(*columns, F.pmod(place + number, F.lit(parts)).alias("part"))
         packed = stored(dealt.groupBy("part").applyInPandas(_packed, PACKED), "packed")
         sequence = (F.lit(number << 56) + F.col("part") * (1 << 24) + F.col("bin")).alias("sequence_id")
