@@ -205,3 +205,32 @@ def test_an_item_most_documents_hold_is_found(spark):
                                        (4, " ".join(prose(rng, 30)))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), benchmark).collect()}
     assert got == {*((i, 1) for i in range(60)), (200, 2)}
+
+
+def _found(spark, docs):
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    return {(r.doc_id, r.other_id) for r in substring.passages(frame(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_of_changed_words_are_found(spark, seed):
+    rng = random.Random(seed)
+    docs, wanted = [], set()
+
+    def put(passage, other):
+        docs.append(prose(rng, 40) + passage + prose(rng, 40))
+        docs.append(prose(rng, 30) + other + prose(rng, 50))
+        wanted.add((len(docs) - 1, len(docs) - 2))
+
+    base = prose(rng, 60)
+    put(base, [w if k % 6 != 5 else "changed" for k, w in enumerate(base)])
+    base = prose(rng, 50)
+    put(base, base[:25] + ["more"] + base[25:])
+    for _ in range(20):  # about 85% alike, words left out, put in or changed anywhere
+        base = prose(rng, 80)
+        other = list(base)
+        for _ in range(11):
+            k = rng.randrange(len(other))
+            other[k:k + 1] = rng.choice(([], ["changed"], [other[k], "more"]))
+        put(base, other)
+    assert _found(spark, docs) == wanted
