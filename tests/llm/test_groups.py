@@ -234,3 +234,12 @@ def test_passages_of_changed_words_are_found(spark, seed):
             other[k:k + 1] = rng.choice(([], ["changed"], [other[k], "more"]))
         put(base, other)
     assert _found(spark, docs) == wanted
+
+
+@pytest.mark.parametrize("many", [2, 10])  # places of a seed: matched all with all, or by runs
+def test_passages_whose_seeds_stand_in_other_documents_too(spark, many):
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    parts = [part for part in (passage[:35], passage[25:]) for _ in range(many)]  # each too short for a passage
+    docs = [prose(rng, 40) + part + prose(rng, 20) for part in [*parts, passage, passage, *parts]]
+    assert _found(spark, docs) == {(2 * many + 1, 2 * many)}
