@@ -6,7 +6,11 @@ every passage and sums the projections back by word, in tasks of bounded memory.
 item are compared with it in that space; those that point its way (cosine) and reach far enough along it are
 candidates.  A candidate leaks the item if the
 longest common subsequence of their words covers most of the item and also most of its answer (its last sentence).
-Items made of frequent words only (a large part of the corpus holds them) are searched by the words a window holds.
+
+That space loses items of ordinary words and items beside rarer words of other items, so a second, exact source of
+candidates stands next to it: a window that leaks an item holds ``SHARE`` of its words.  Then at least one of its rarest
+words is there, one more than may be missing; an inverted list of these gives the items of a text, the words that the
+text holds at all sort most of them out, and of the rest every window that holds enough is compared.
 
 The benchmark is the stated query set: it is split into blocks of at most ``BLOCK_WORDS`` words, each compared with all
 documents, so what tasks carry has a fixed bound (words x rank numbers) whatever the benchmark's size.  Documents are
@@ -32,7 +36,8 @@ from tallyfold.llm.common import text_batches
 
 RANK, STEP, PASSAGE = 64, 8, 32  #: of the latent space; words between window starts; words of a fitted passage
 COSINE, ALONG, SHARE, ANSWER_SHARE, SHORT = 0.35, 0.5, 0.7, 0.5, 8
-FREQUENT, FAINT = 0.05, 0.2  #: share of documents that makes a word frequent; least weight of an item, by the median
+FREQUENT = 0.05  #: share of documents that makes a word frequent
+PAIRS = 1 << 14  #: texts and items whose words are looked up at once
 BLOCK_WORDS = 100_000
 CHUNK = 512  #: words whose sums travel together
 SALTS = 16
@@ -49,6 +54,7 @@ class Items:
     vocabulary: np.ndarray  #: sorted word hashes
     idf: np.ndarray = field(default=None)
     basis: np.ndarray = field(default=None)  #: word x rank, weighted by idf
+    df: np.ndarray = field(default=None)  #: documents that hold a word
 
     def __post_init__(self):
         # Most words of the corpus are not in the vocabulary: a small table tells quickly.
@@ -202,6 +208,7 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Items:
                .toArrow())
     df = np.zeros(size)
     df[counted["word"].to_numpy()] = counted["df"].to_numpy()
+    items.df = df
     many = docs.count()
     # Frequent words say nothing about a passage and are most of all words: they get no weight.
     items.idf = np.where(df > max(20, FREQUENT * many), 0, np.log((many + 1) / (df + 1)) ** 2 + 1e-3)
@@ -230,6 +237,41 @@ def lcs(a: list[int], b: list[int], length: int) -> int:
     return length - row.bit_count()
 
 
+class Rarest:
+    """Inverted list of the rarest words of each item: one more than a leak may leave out."""
+
+    def __init__(self, block: Items):
+        sizes = np.array([len(w) for w in block.words])
+        self.needed = np.where(sizes < SHORT, sizes, np.ceil(SHARE * sizes - 1e-9)).astype(np.int64)
+        self.words, self.first = np.concatenate(block.words), np.concatenate([[0], np.cumsum(sizes)])
+        size = len(block.vocabulary)
+        keys = [np.unique(w[np.argsort(block.df[w], kind="stable")[:len(w) - need + 1]]).astype(np.int64) * len(sizes) + i
+                for i, (w, need) in enumerate(zip(block.words, self.needed.tolist(), strict=True))]
+        keys = np.sort(np.concatenate(keys))
+        self.items, self.size = keys % len(sizes), size
+        self.begin = np.searchsorted(keys // len(sizes), np.arange(size + 1))
+
+    def reached(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and items of which the text holds enough words to leak them."""
+        at = np.flatnonzero(numbers >= 0)
+        held = np.unique((np.searchsorted(first, at, side="right") - 1) * self.size + numbers[at])
+        text, word = held // self.size, held % self.size
+        many = self.begin[word + 1] - self.begin[word]
+        into = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.begin[word], many)
+        pairs = np.unique(np.repeat(text, many) * len(self.needed) + self.items[into])
+        text, item = pairs // len(self.needed), pairs % len(self.needed)
+        enough = np.zeros(len(pairs), bool)
+        for lo in range(0, len(pairs), PAIRS):
+            t, i = text[lo:lo + PAIRS], item[lo:lo + PAIRS]
+            sizes = self.first[i + 1] - self.first[i]
+            cuts = np.cumsum(sizes) - sizes
+            words = self.words[np.arange(sizes.sum()) - np.repeat(cuts, sizes) + np.repeat(self.first[i], sizes)]
+            keys = np.repeat(t, sizes) * self.size + words
+            there = held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
+            enough[lo:lo + PAIRS] = np.add.reduceat(there.astype(np.int64), cuts) >= self.needed[i]
+        return text[enough], item[enough]
+
+
 def leaks(items: Items, text: str = "text") -> Column:
     """The items that a text leaks, with the words (from, to) of the best window."""
     shared = {"items": items}
@@ -242,12 +284,11 @@ def leaks(items: Items, text: str = "text") -> Column:
             shared["blocks"] = np.array([-(-len(w) // STEP) + 1 for w in block.words])
             shared["lists"] = [w.tolist() for w in block.words]
             shared["length"] = np.linalg.norm(shared["latent"], axis=1)
-            # An item that a large part of all documents holds has only frequent words and no place in that space.
-            shared["faint"] = shared["length"] <= FAINT * np.median(shared["length"])
+            shared["rarest"] = Rarest(block)
         latent, spans, lists, length = (shared[k] for k in ("latent", "blocks", "lists", "length"))
         rows, offsets = [], [0]
         for _, numbers, first in _numbered(texts, block):
-            found = _in_texts(block, lists, latent, length, shared["faint"], spans, numbers, first)
+            found = _in_texts(block, lists, latent, length, shared["rarest"], spans, numbers, first)
             for t in range(len(first) - 1):
                 rows += found.get(t, [])
                 offsets.append(len(rows))
@@ -260,7 +301,7 @@ def leaks(items: Items, text: str = "text") -> Column:
     return search(F.col(text))
 
 
-def _in_texts(block: Items, lists, latent, length, faint, spans, numbers: np.ndarray,
+def _in_texts(block: Items, lists, latent, length, rarest, spans, numbers: np.ndarray,
               first: np.ndarray) -> dict[int, list[tuple]]:
     """Leaks by text, for many texts one after the other; a window never leaves its text."""
     sizes = np.diff(first)
@@ -277,6 +318,7 @@ def _in_texts(block: Items, lists, latent, length, faint, spans, numbers: np.nda
         sums[owner[cuts] + 1] = np.add.reduceat(block.basis[numbers[at]], cuts)
         np.cumsum(sums, axis=0, out=sums)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    compared: set[tuple[int, int]] = set()
 
     def words_of(window: int, end: int) -> tuple[int, int, int]:
         """Text, first and last word there of a window of steps."""
@@ -299,7 +341,7 @@ def _in_texts(block: Items, lists, latent, length, faint, spans, numbers: np.nda
         last = begins_at[text_of + 1]
         windows = every[(every + span <= last) | (every == begins_at[text_of])]
         ends = np.minimum(windows + span, last[windows])
-        which = np.flatnonzero((spans == span) & ~faint & (length > 0))
+        which = np.flatnonzero((spans == span) & (length > 0))
         if len(which):
             rows = (sums[ends] - sums[windows]).astype(np.float32)
             norm = np.sqrt(np.einsum("wk,wk->w", rows, rows))
@@ -310,15 +352,18 @@ def _in_texts(block: Items, lists, latent, length, faint, spans, numbers: np.nda
             w, k = np.divmod(np.flatnonzero(inner >= (ALONG * length[which] ** 2).astype(np.float32)), len(which))
             keep = inner[w, k] >= COSINE * norm[far[w]] * length[which[k]]
             for w, k in zip(far[w[keep]].tolist(), which[k[keep]].tolist(), strict=True):
+                compared.add((k, int(windows[w])))
                 compare(k, windows[w], ends[w])
-        for item in np.flatnonzero(faint & (spans == span)):
-            # Exact instead: windows that hold enough of the item's words in any order.
-            held = np.concatenate([[0], np.cumsum(np.isin(numbers, block.words[item]))])
-            t = text_of[windows]
-            lo = first[t] + (windows - begins_at[t]) * STEP
-            hi = np.minimum(first[t] + (ends - begins_at[t]) * STEP, first[t + 1])
-            for w in np.flatnonzero(held[hi] - held[lo] >= SHARE * len(block.words[item])):
-                compare(int(item), windows[w], ends[w])
+    for t, item in zip(*(x.tolist() for x in rarest.reached(numbers, first)), strict=True):
+        # All windows of the text that hold enough of the item's words in any order.
+        begin, span = int(begins_at[t]), int(spans[item])
+        windows = np.arange(begin, max(begin, int(begins_at[t + 1]) - span) + 1)
+        ends = np.minimum(windows + span, begins_at[t + 1])
+        held = np.concatenate([[0], np.cumsum(np.isin(numbers[first[t]:first[t + 1]], block.words[item]))])
+        hi = np.minimum((ends - begin) * STEP, sizes[t])
+        for w in np.flatnonzero(held[hi] - held[(windows - begin) * STEP] >= rarest.needed[item]):
+            if (item, int(windows[w])) not in compared:
+                compare(item, int(windows[w]), int(ends[w]))
     found: dict[int, list[tuple]] = {}
     for (t, i), (common, lo, hi) in sorted(best.items()):
         found.setdefault(t, []).append((block.ids[i], lo, hi, common, common / len(lists[i])))

@@ -243,3 +243,18 @@ def test_passages_whose_seeds_stand_in_other_documents_too(spark, many):
     parts = [part for part in (passage[:35], passage[25:]) for _ in range(many)]  # each too short for a passage
     docs = [prose(rng, 40) + part + prose(rng, 20) for part in [*parts, passage, passage, *parts]]
     assert _found(spark, docs) == {(2 * many + 1, 2 * many)}
+
+
+def test_items_of_ordinary_words_beside_rarer_ones_are_found(spark):
+    rng = random.Random(14)
+    ordinary, rare = prose(rng, 12), prose(rng, 4)
+    items = [rare[:1] + ordinary[:5] + rare[1:] + ordinary[5:]] + [prose(rng, 16) for _ in range(60)]
+    rows = [prose(rng, 40) + rng.sample(ordinary, 6) + prose(rng, 30) for _ in range(200)]
+    for i in range(0, 40, 2):  # between words of other items: as it is, or without its rare words
+        around = [w for k in range(4) for w in items[1 + (4 * i + k) % 60][:8]]
+        own = [w if i % 4 else "changed" if w in rare else w for w in items[0]]
+        rows[i] = prose(rng, 20) + around[:16] + own + around[16:] + prose(rng, 20)
+    benchmark = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    docs = frame(spark, [(i, " ".join(row)) for i, row in enumerate(rows)])
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
+    assert got == {(i, 0) for i in range(0, 40, 2)}
