@@ -20,18 +20,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id.
+    """Of each component of near-duplicates one row: that with the smallest id, of its texts that of the least class.
 
-    Only ids of what goes are joined back; rows that repeat an id are reduced to one, documents without an id stay.
+    If no id repeats or is null, only ids of what goes are joined back; else rows are named by id, class and text.  Rows
+    of one id with different texts are different documents, only equal ones are reduced.
     """
     importable(spark)
-    found = stored(jaccard.joined(docs), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    base, groups = jaccard.labelled(docs)
+    if base.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = jaccard.named(base, groups).where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = ["no_id", "own_id", "n", "c1", "c2", "text_hash"]
+    rows = (docs.select(F.struct(*docs.columns).alias("row"), jaccard.set_key("text").alias("k"))
+            .select("row", F.col("row.doc_id").isNull().alias("no_id"),
+                    F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("own_id"), "k.*",
+                    F.xxhash64("row.text").alias("text_hash")))
+    rows = stored(rows, "keyed-rows")
+    chosen = (rows.select(*key).where("n > 0").join(groups.select(*jaccard.SET_KEY, "label"), jaccard.SET_KEY)
+              .groupBy("label").agg(F.min(F.struct(*key)).alias("key")).select("key.*"))
+    bare = rows.where("n = 0")
+    kept = (rows.join(chosen, key, "left_semi").dropDuplicates(key)
+            .unionByName(bare.where("not no_id").dropDuplicates(key)).unionByName(bare.where("no_id")))
+    return kept.select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -335,8 +335,11 @@ def _sharded(routes: DataFrame, labels: DataFrame, points: DataFrame, failed: Da
                     .alias("side"), "id", "label", "point", "failed"))
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id of every row."""
+def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """doc_id and shingle-set class of every row; label and least id of every class that has shingles.
+
+    Classes of one component have one label, classes of two never do, also if ids repeat or are null.
+    """
     base = stored(docs.select(F.col(key).cast("long").alias("doc_id"), set_key(text).alias("k"))
                   .select("doc_id", "k.*"), "shingle-keys")
     # Ids name classes unless one id has several texts, or none; then the set's digest does.
@@ -369,10 +372,18 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                             .select("id", F.coalesce("component", "id").alias("label")), "labels")
         failed = (tested.where("not linked").groupBy(F.col("a").alias("id"))
                   .agg(F.collect_set("b").alias("failed")))
-    # A component's id is the smallest id of any of its rows.
-    groups = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return base, classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and component_id of every row."""
+    return named(*labelled(docs, key, text))
+
+
+def named(base: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``joined``: a component's id is the smallest id of any of its rows."""
     least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = groups.join(least, "label").select(*SET_KEY, "component_id")
-    return (base.join(named, SET_KEY, "left")
+    ids = groups.join(least, "label").select(*SET_KEY, "component_id")
+    return (base.join(ids, SET_KEY, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))

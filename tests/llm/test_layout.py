@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from helpers import corpus, frame, shingles
+from helpers import corpus, frame, prose, shingles
 from tallyfold.llm import html, packing, pii, sharding
 from tallyfold.llm.common import importable, table
 
@@ -164,3 +164,17 @@ def test_stages_take_empty_tables(spark):
     docs = table(spark, SMALL, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SMALL).count() == 0
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    one, two, three, four = (" ".join(prose(rng, 60)) for _ in range(4))
+    rows = [(1, one), (2, one + " more"), (2, two), (2, two), (3, three), (3, four), (None, three + " more"),
+            (None, "a " + one), (4, ""), (4, ""), (5, None), (None, None)]
+    lone = " ".join(prose(rng, 60))
+    rows += [(None, lone), (None, lone + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()]
+    assert sum(r in ((None, lone), (None, lone + " more")) for r in got) == 1
+    assert sorted((r for r in got if not (r[1] or "").startswith(lone)), key=str) == sorted(
+        [(1, one), (2, two), (3, three), (3, four), (4, ""), (5, None), (None, None)], key=str)
