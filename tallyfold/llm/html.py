@@ -8,10 +8,11 @@ of the richest article-like place are extracted from every page, the rest of the
 
 An occurrence vector is carried as its size and an order-free checksum, so a host with a third of all pages is
 aggregated partially like any other; only a template (one row for each host, bounded by the tokens a page can have) is
-joined back to the pages.  A page that has none of its host's slots is extracted by its own tokens alone.
+joined back to the pages.  A page that has none of its host's slots, or whose
+host has none, is extracted by its own tokens alone.
 
 Defined results: null and empty pages give empty text; pages without a host share one template; repeated rows get
-equal results; a page whose template has no article slot gives the text outside all noise containers.
+equal results; a page without an article slot, in its host's template and by itself, gives the text outside all noise containers.
 """
 
 from __future__ import annotations
@@ -178,8 +179,8 @@ def main_text(page: str, slots: list[str]) -> str | None:
 
 
 def page_text(page: str, slots: list[str]) -> str:
-    """Main text by the host's template, or by the page's own tokens if it follows another layout."""
-    text = main_text(page, slots)
+    """Main text by the host's template, or by the page's own tokens if it follows another layout or the host has none."""
+    text = main_text(page, slots) if slots else None
     if text is None:
         own = [{"token": t, "pages": 1, "words": n, "vector": 0} for t, (_, n) in tokens_of(page).items()]
         text = main_text(page, _slots(own))

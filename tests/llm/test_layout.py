@@ -178,3 +178,12 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     assert sum(r in ((None, lone), (None, lone + " more")) for r in got) == 1
     assert sorted((r for r in got if not (r[1] or "").startswith(lone)), key=str) == sorted(
         [(1, one), (2, two), (3, three), (3, four), (4, ""), (5, None), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("host", ["https://many.example/", ""])
+def test_a_host_of_many_layouts_keeps_its_articles(spark, host):
+    rows = [(i, f"{host}{i}" if host else None, f'<html><body class="{c * 3}"><div>Menu of the site</div>'
+             f"<article><p>Text {i}.</p></article><div>See also</div></body></html>")
+            for i, c in enumerate("abcdefghijklmnopqrstuvwx")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extracted(pages).collect()} == {i: f"Text {i}." for i in range(len(rows))}
