@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import decontam, html, jaccard, langid, neardup, packing, pii, quality, sharding, substring
+from tallyfold.llm import (decontam, filter_audit, html, jaccard, langid, neardup, packing, pieces, pii, quality, sharding,
+                           substring, trie)
 from tallyfold.llm.common import fold, table
 
 
@@ -61,9 +62,25 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, folder, "conversations"))
+
+
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.decoded(pieces.encoded(table(spark, folder, "documents")))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.ids_digest().alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.flagged(table(spark, folder, "documents"), table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality, "op2_packing": op2_packing, "op3_sharding": op3_sharding,
     "op4_language": op4_language, "op5_jaccard": op5_jaccard,
     "op6_personal": op6_personal, "op7_embeddings": op7_embeddings,
-    "op8_passages": op8_passages, "op9_main_text": op9_main_text, "op10_decontamination": op10_decontamination}
-ORACLE: dict[str, str] = {}
+    "op8_passages": op8_passages, "op9_main_text": op9_main_text, "op10_decontamination": op10_decontamination,
+    "op11_conversation_trie": op11_conversation_trie, "op12_pieces": op12_pieces,
+    "op13_filter_audit": op13_filter_audit}
+ORACLE: dict[str, str] = {"op11_conversation_trie": trie.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
