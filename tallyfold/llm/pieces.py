@@ -5,11 +5,14 @@ place where a marked word begins.  So a text falls into chunks, each a run of ma
 next one, and its ids are those of its chunks one after the other.  Chunks repeat: every distinct one of the corpus is
 segmented once, by the library itself, and the ids are joined back by position.
 
-Texts are read in blocks of a few megabytes.  A block turns into its list of distinct chunks and, for each document,
-the numbers of its chunks in that list.  The lists of all blocks meet in one table of distinct chunks (aggregated
-before the shuffle, so a chunk reaches its reducer once from each task), which is segmented and joined back to the
-blocks' lists.  Each block then looks its documents' numbers up.  Texts are never shuffled, and a block's list holds no
-more than the block did, whatever the number of distinct chunks in the corpus: nothing is broadcast.
+Texts are read in blocks.  A block turns into the list of its distinct chunks and, for each document, the numbers of
+its chunks in that list.  The lists are dealt by a hash of the chunk into a fixed number of slices; the slices of all
+blocks stream, sorted by slice, past the library, which sees each chunk once, and go back to their blocks, which look
+their documents' numbers up.  Lists and numbers travel packed, as one value for many chunks.  The blocks stand in a
+table bucketed by block, so that numbers never move: only lists and their ids are shuffled, never texts.
+
+Nothing is broadcast, and a task holds one block, or the distinct chunks of one slice (forgotten above ``MOST_KNOWN``
+of them, which only makes the library see some again).
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts and single words of any length
 are encoded whole; repeated rows and repeated or null ids are rows like any other; no rows give no rows.  A vocabulary
@@ -19,25 +22,31 @@ or normalisation for which chunks are not independent is refused.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyfold.llm.common import stored, text_batches
+from tallyfold.llm.common import text_batches
+from tallyfold.session import work_dir
 
 MODEL = "piece_bpe_32k.model"
 MARK = "\u2581"
 #: In a text, a blank and a literal marker are the same to the library.
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-BLOCK_BYTES = 4 << 20  #: text of a block (at least one document)
+BLOCK_BYTES = 32 << 20  #: text of a block (at least one document)
+RUN_NUMBERS = 1 << 20  #: chunk numbers stored as one value (at least one document's)
+MOST_SLICES = 4096
+MOST_KNOWN = 1_000_000  #: distinct chunks that a task holds
 
 
 def model_path() -> str:
@@ -75,92 +84,169 @@ def encoded(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id
     """The ``carry`` columns of every row with ``ids``, the ids of its whole text without begin and end."""
     path = path or model_path()
     require_independent_chunks(path)
-    blocks = stored(_blocks(docs.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("text"))),
-                    "piece-blocks")
-    lists = blocks.where("chunk is not null").select("block", "no", "chunk")
-    table = lists.select("chunk").distinct().mapInArrow(_segmented(path), "chunk string, ids array<int>")
-    known = lists.join(table, "chunk").select(F.col("block").alias("of"), "no", "ids")
-    rows = blocks.where("chunk is null").select("block", "row", "numbers")
-    schema = T.StructType([blocks.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    found = rows.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_looked_up(schema), schema)
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("text"))
+    blocks = _bucketed(_blocks(rows, min(MOST_SLICES, max(32, parts))), parts)
+    lists = blocks.where("slice is not null").select("slice", "block", "packed")
+    known = (lists.repartition("slice").sortWithinPartitions("slice")
+             .mapInArrow(_segmented(path), "of long, slice int, packed binary"))
+    runs = blocks.where("slice is null").select("block", "rows", "sizes", "packed")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType),
+                           T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    found = runs.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_looked_up(path, schema), schema)
     return found.select("row.*", "ids")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Documents as chunk numbers, and the chunks of each block: one table of two kinds of rows."""
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", rows.schema["row"].dataType),
-                           T.StructField("numbers", T.BinaryType()), T.StructField("no", T.IntegerType()),
-                           T.StructField("chunk", T.StringType())])
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """Write to the folder shared by all executors, bucketed by block, and read back."""
+    spark, path = df.sparkSession, work_dir(df.sparkSession, "piece-blocks")
+    name = "piece_blocks_" + path[-32:]
+    df.write.options(path=path, compression="zstd").bucketBy(buckets, "block").saveAsTable(name)
+    read = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # a table with a path of its own: only its name goes, the files stay
+    return read
+
+
+def _blocks(rows: DataFrame, slices: int) -> DataFrame:
+    """The blocks' documents as chunk numbers (many documents a row), and their lists of chunks (a row per slice)."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("slice", T.IntegerType()),
+                           T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)),
+                           T.StructField("sizes", T.BinaryType()), T.StructField("packed", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        block = Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
             row = batch.column("row")
-            for start, texts in text_batches(batch.column("text"), BLOCK_BYTES):
-                known: dict[str, int] = {}
-                numbers = []
-                for value in texts:
-                    value = value.as_py()
-                    found = CHUNK.findall(" " + value) if value else ()
-                    numbers.append(np.array([known.setdefault(c, len(known)) for c in found], "<u4").tobytes())
-                n, m = len(numbers), len(known)
-                yield _batch(arrow, n, block=pa.array([block] * n, pa.int64()), row=row.slice(start, n),
-                             numbers=pa.array(numbers, pa.binary()))
-                yield _batch(arrow, m, block=pa.array([block] * m, pa.int64()),
-                             no=pa.array(range(m), pa.int32()), chunk=pa.array(known, pa.string()))
-                block += 1
+            for start, texts in text_batches(batch.column("text")):
+                block.add(row.slice(start, len(texts)), texts)
+                if block.size >= BLOCK_BYTES:
+                    yield from block.packed(arrow, slices)
+                    block = Block(block.no + 1)
+        if block.size or block.rows:
+            yield from block.packed(arrow, slices)
 
     return rows.mapInArrow(split, schema)
 
 
-def _batch(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
-    arrays = [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema]
-    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+class Block:
+    """Documents whose chunks are numbered together."""
+
+    def __init__(self, no: int):
+        self.no, self.size = no, 0
+        self.known: dict[str, int] = {}
+        self.rows: list[pa.Array] = []
+        self.numbers: list[np.ndarray] = []
+
+    def add(self, rows: pa.Array, texts: pa.Array) -> None:
+        known = self.known
+        for value in texts.to_pylist():
+            found = CHUNK.findall(" " + value) if value else ()
+            self.numbers.append(np.array([known.setdefault(c, len(known)) for c in found], "<u4"))
+        self.rows.append(rows)
+        self.size += texts.nbytes
+
+    def packed(self, schema: pa.Schema, slices: int) -> Iterator[pa.RecordBatch]:
+        """A chunk's final number is its place in order of slice and text."""
+        dealt: list[list[str]] = [[] for _ in range(slices)]
+        for chunk in self.known:
+            dealt[zlib.crc32(chunk.encode()) % slices].append(chunk)
+        final = np.zeros(len(self.known), "<u4")
+        n = 0
+        for no, chunks in enumerate(dealt):
+            if chunks:
+                chunks.sort()
+                final[[self.known[c] for c in chunks]] = np.arange(n, n + len(chunks))
+                n += len(chunks)
+                yield self._row(schema, slice=no, packed=_squeezed(b"\xff".join(c.encode() for c in chunks)))
+        rows = pa.concat_arrays(self.rows)
+        sizes = np.array([len(x) for x in self.numbers], "<u4")
+        ends = np.cumsum(sizes, dtype=np.int64)
+        begin = 0
+        while begin < len(sizes):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + RUN_NUMBERS)))
+            numbers = final[np.concatenate(self.numbers[begin:stop])]
+            yield self._row(schema, rows=rows.slice(begin, stop - begin), sizes=sizes[begin:stop].tobytes(),
+                            packed=_planes(numbers))
+            begin = stop
+
+    def _row(self, schema: pa.Schema, **values) -> pa.RecordBatch:
+        rows = values.pop("rows", None)
+        arrays = {k: pa.array([v], schema.field(k).type) for k, v in values.items()}
+        if rows is not None:
+            arrays["rows"] = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+        arrays["block"] = pa.array([self.no], pa.int64())
+        return pa.RecordBatch.from_arrays([arrays[f.name].cast(f.type) if f.name in arrays else pa.nulls(1, f.type)
+                                           for f in schema], names=schema.names)
+
+
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _restored(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers packed byte by byte: all lowest bytes first, which compress apart from the others."""
+    return _squeezed(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_restored(data), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def _segmented(path: str):
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(path)
+        """Ids for every list, in its order; a slice's distinct chunks are segmented when they first come by."""
+        sp, at, known = processor(path), None, {}
         for batch in batches:
-            for _, chunks in text_batches(batch.column("chunk")):
-                ids = pa.array(chunk_ids(sp, chunks.to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([chunks, ids], names=["chunk", "ids"])
+            for of, no, packed in zip(*(batch.column(c) for c in ("block", "slice", "packed"))):
+                if no != at or len(known) > MOST_KNOWN:
+                    at, known = no, {}
+                chunks = [c.decode() for c in _restored(packed.as_py()).split(b"\xff")]
+                new = [c for c in chunks if c not in known]
+                known.update(zip(new, (np.array(i, "<u4") for i in chunk_ids(sp, new))))
+                ids = [known[c] for c in chunks]
+                both = np.concatenate([np.array([len(ids), *map(len, ids)], "<u4"), *ids])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([of.as_py()], pa.int64()), pa.array([no.as_py()], pa.int32()),
+                     pa.array([_planes(both)], pa.binary())], names=["of", "slice", "packed"])
 
     return segment
 
 
-def _looked_up(schema: T.StructType):
-    def look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
+def _looked_up(path: str, schema: T.StructType):
+    arrow = to_arrow_schema(schema)
+
+    def look_up(runs: pa.Table, known: pa.Table) -> pa.Table:
         """Ids of the documents of one block: its chunks' ids, taken in the order of the numbers."""
-        if not rows.num_rows:
-            return to_arrow_schema(schema).empty_table()
-        known = known.sort_by("no").combine_chunks()
-        ids = known["ids"].combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-        starts, flat = _flat(ids)
-        sizes = np.diff(starts)
-        values, ends = [], [0]
-        for numbers in rows["numbers"]:
-            at = np.frombuffer(numbers.as_py(), "<u4")
+        sizes, ids = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
+        for packed in known.sort_by("slice")["packed"]:
+            both = _numbers(packed.as_py())
+            sizes.append(both[1:1 + both[0]])
+            ids.append(both[1 + both[0]:])
+        sizes, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(ids).astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
+        found = []
+        for rows, counts, packed in zip(runs["rows"], runs["sizes"], runs["packed"]):
+            at = _numbers(packed.as_py())
             n = sizes[at]
             stop = np.cumsum(n)
-            total = int(stop[-1]) if len(stop) else 0
             # Place of each id in the table: its chunk's first place plus how far it is into the chunk.
-            values.append(flat[np.arange(total) + np.repeat(starts[:-1][at] - (stop - n), n)])
-            ends.append(ends[-1] + total)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), pa.int32()))
-        return pa.table({"row": rows["row"], "ids": lists})
+            flat = ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(starts[at] - (stop - n), n)]
+            ends = np.r_[0, stop][np.r_[0, np.cumsum(np.frombuffer(counts.as_py(), "<u4"), dtype=np.int64)]]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            found.append(pa.RecordBatch.from_arrays([rows.values.cast(arrow.field("row").type), lists],
+                                                    names=["row", "ids"]))
+        return pa.Table.from_batches(found, arrow) if found else arrow.empty_table()
 
     return look_up
 
 
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    starts = lists.offsets.to_numpy().astype(np.int64)
-    return starts - starts[0] if len(starts) else np.zeros(1, np.int64), lists.flatten().to_numpy()
-
-
 def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
     """All rows with the text that the library's ``decode`` gives for their ids; null ids are none."""
     path = path or model_path()

@@ -125,14 +125,15 @@ def odd_texts():
     return texts + ["", " ", "   ", "▁", "x" * 40_000, " " * 5000, "ab c " * 30_000, "é" * 3000]
 
 
-def test_pieces_equal_the_library(spark, monkeypatch):
-    monkeypatch.setattr(pieces, "BLOCK_BYTES", 1 << 20)
+def test_pieces_equal_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     rows = corpus() + [(1000 + i, t) for i, t in enumerate(odd_texts())]
     docs = frame(spark, rows).withColumns({c: F.lit(c) for c in ("ids", "block", "no", "chunk", "row", "numbers", "of")})
     found = pieces.encoded(docs.repartition(6), carry=("doc_id", "text", "block"))
     assert found.columns == ["doc_id", "text", "block", "ids"]
     found = pieces.decoded(found)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, "numbers stay where they are"
     read = found.withColumn("digest", pieces.ids_digest()).collect()
     assert sorted(((r.doc_id, r.text) for r in read), key=str) == sorted(rows, key=str)
     for r in read:
@@ -148,12 +149,41 @@ def test_pieces_of_nothing(spark):
     assert [r.decoded for r in pieces.decoded(nulls).collect()] == ["", ""]
 
 
-def test_each_distinct_chunk_is_in_the_table_once(spark):
+def test_lists_hold_each_chunk_once(spark):
     texts = ["the same words", "the same words again", "the  same"]
-    rows = frame(spark, list(enumerate(texts))).repartition(3).select(F.struct("doc_id").alias("row"), "text")
-    blocks = pieces._blocks(rows)
-    chunks = [r.chunk for r in blocks.where("chunk is not null").select("chunk").distinct().collect()]
-    assert sorted(chunks) == sorted({" the", " same", " words", " again", "  same"})
+    rows = frame(spark, list(enumerate(texts))).coalesce(1).select(F.struct("doc_id").alias("row"), "text")
+    lists = pieces._blocks(rows, 4).where("slice is not null").collect()
+    chunks = [c.decode() for r in lists for c in pieces._restored(bytes(r.packed)).split(b"\xff")]
+    assert sorted(chunks) == sorted([" the", " same", " words", " again", "  same"])
+
+
+def test_a_slice_segments_each_chunk_once():
+    """Whatever the number of blocks that hold it."""
+    seen = []
+
+    class Library:
+        def __init__(self):
+            self.real = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+
+        def piece_to_id(self, piece):
+            return self.real.piece_to_id(piece)
+
+        def encode(self, texts, num_threads=1):
+            seen.extend(texts)
+            return self.real.encode(texts)
+
+    import pyarrow as pa
+    library, lists = Library(), [[" a", " b"], [" a", " c"], [" b", " c", " d"]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3]), pa.array([0, 0, 0], pa.int32()),
+         pa.array([pieces._squeezed(b"\xff".join(c.encode() for c in x)) for x in lists])],
+        names=["block", "slice", "packed"])
+    before, pieces.processor = pieces.processor, lambda path: library
+    try:
+        found = list(pieces._segmented("")(iter([batch])))
+    finally:
+        pieces.processor = before
+    assert sorted(seen) == ["a", "b", "c", "d"] and len(found) == 3
 
 
 # -- filter audit --------------------------------------------------------------------------
