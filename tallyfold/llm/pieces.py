@@ -43,7 +43,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "\u2581"
 #: In a text, a blank and a literal marker are the same to the library.
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-BLOCK_BYTES = 32 << 20  #: text of a block (at least one document)
+BLOCK_BYTES = 16 << 20  #: text of a block (at least one document)
 RUN_NUMBERS = 1 << 20  #: chunk numbers stored as one value (at least one document's)
 MOST_SLICES = 4096
 MOST_KNOWN = 1_000_000  #: distinct chunks that a task holds
