@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyfold.operators.consolidate import TOTAL_TYPE, whole_and_rest
 from tallyfold.sources.catalog import decoded_name
-from tallyfold.sources.scan import BAD_TEXT, FILE, MALFORMED, part_names
+from tallyfold.sources.scan import BAD_TEXT, FILE, MALFORMED, UNCLOSED, part_names
 from tallyfold.spec import Spec
 
 ISSUE_SCHEMA = T.StructType([
@@ -123,8 +123,9 @@ def list_profile(scanned: DataFrame, spec: Spec) -> DataFrame:
         else:
             totals.append(F.sum(value if n in spec.exact else value.cast("decimal(20,0)")).alias(f"t{i}"))
     flat = scanned.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"), F.count_if(MALFORMED).alias(MALFORMED),
-                                     F.count_if(BAD_TEXT).alias(BAD_TEXT), *counts, *totals)
-    return flat.select(decoded_name(FILE).alias("list_id"), "rows", MALFORMED, BAD_TEXT,
+                                     F.count_if(BAD_TEXT).alias(BAD_TEXT), F.count_if(UNCLOSED).alias(UNCLOSED),
+                                     *counts, *totals)
+    return flat.select(decoded_name(FILE).alias("list_id"), "rows", MALFORMED, BAD_TEXT, UNCLOSED,
                        *[c for c in flat.columns if c[0] in "ntf" and c[1:].isdigit()])
 
 

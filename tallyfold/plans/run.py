@@ -19,7 +19,7 @@ from tallyfold.session import settled, shared_dir, work_dir
 from tallyfold.sources import catalog as lists
 from tallyfold.sources import storage
 from tallyfold.sources.catalog import PARQUET, Dialect, ListFile
-from tallyfold.sources.scan import BLOCK, FILE, SEQ, overlong_lists, scan
+from tallyfold.sources.scan import BLOCK, FILE, SEQ, UNCLOSED, scan
 from tallyfold.spec import Spec
 
 SUMMARY_SCHEMA = (
@@ -134,7 +134,7 @@ def _inspect(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Di
     The profile has one row per list; it is computed once, no later step goes back to the
     rows for it, and everything derived from it is small.
     """
-    files, profile = _profiled(spark, files, spec, dialect)
+    files, profile = profiled(spark, files, spec, dialect)
     catalog = lists.catalog_frame(spark, files)
     scanned = [f for f in files if f.load_rule is None]
     load = settled(validate.load_issues(catalog, profile))
@@ -156,18 +156,24 @@ def _inspect(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Di
                        load.count(), [f for f in scanned if f.list_id in bad_cells])
 
 
-def _profiled(spark: SparkSession, files: list[ListFile], spec: Spec,
-              dialect: Dialect) -> tuple[list[ListFile], DataFrame]:
-    """The profile of all readable lists; one monstrous record must not stop the others."""
-    scanned = [f for f in files if f.load_rule is None]
-    try:
-        return files, settled(validate.list_profile(scan(spark, scanned, spec, dialect), spec))
-    except Exception as e:
-        overlong = overlong_lists(spark, scanned, dialect) if "MALFORMED_CSV_RECORD" in str(e) else None
-        if not overlong:
-            raise
-    files = [replace(f, load_rule="malformed_record") if f.path in overlong else f for f in files]
-    return _profiled(spark, files, spec, dialect)
+def profiled(spark: SparkSession, files: list[ListFile], spec: Spec,
+             dialect: Dialect) -> tuple[list[ListFile], DataFrame]:
+    """The lists, those marked whose records cross lines, and the profile of all readable ones.
+
+    A line that leaves a quote open tells that its list has such records.  Only those lists are read once more, by
+    records instead of lines.
+    """
+    profile = settled(validate.list_profile(scan(spark, [f for f in files if f.load_rule is None], spec, dialect), spec))
+    if dialect.multiline:
+        return files, profile
+    crossing = {r[0] for r in profile.where(F.col(UNCLOSED) > 0).select("list_id").collect()}
+    again = [replace(f, crossing=True) for f in files if f.list_id in crossing and not f.crossing]
+    if not again:
+        return files, profile
+    byname = {f.list_id: f for f in again}
+    seen = settled(validate.list_profile(scan(spark, again, spec, dialect), spec))
+    once = profile.join(spark.createDataFrame([(n,) for n in byname], "list_id string"), "list_id", "left_anti")
+    return [byname.get(f.list_id, f) for f in files], settled(once.unionByName(seen))
 
 
 def _require_ansi(spark: SparkSession) -> None:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import partial
@@ -40,7 +41,11 @@ class InputError(ValueError):
 
 @dataclass(frozen=True)
 class Dialect:
-    """How delimited lists are written.  Always UTF-8 with a header line; nothing is guessed."""
+    """How delimited lists are written.  Always UTF-8 with a header line; nothing is guessed.
+
+    Quoted fields may hold line breaks.  The checking pass of a run finds the lists in which they do; ``multiline``
+    says beforehand that all lists may.
+    """
 
     sep: str = ";"
     decimal: str = "."
@@ -66,6 +71,7 @@ class ListFile:
     columns: tuple[str, ...] | None = None
     schema: T.StructType | None = None
     load_rule: str | None = None
+    crossing: bool = False  # a quoted field of some record holds a line break
 
 
 def discover(spark: SparkSession, folder: str) -> list[ListFile]:
@@ -112,8 +118,8 @@ def catalog_frame(spark: SparkSession, files: list[ListFile]) -> DataFrame:
 
 def _csv_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> dict[str, bytes]:
     """The header record of each list as raw bytes, blank lines before it skipped."""
-    small = [f for f in files if f.size <= SMALL and not dialect.multiline]
-    large = [f for f in files if f.size > SMALL or dialect.multiline]
+    small = [f for f in files if f.size <= SMALL]
+    large = [f for f in files if f.size > SMALL]
     found = [read(spark, part, dialect) for read, part in ((_small_headers, small), (_large_headers, large)) if part]
     return {name: bytes(record) for rows in found
             for name, record in rows.select(decoded_name("name"), "record").collect()}
@@ -127,7 +133,13 @@ def _small_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect)
     text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     text = F.regexp_replace(text, r"^(?:\u00ef\u00bb\u00bf)?(?:[ \t]*+(?:\r\n|\r|\n))*+", "")
     line = F.substring_index(F.substring_index(text, "\n", 1), "\r", 1)
-    return whole.select(F.col("_metadata.file_name").alias("name"), F.encode(line, "ISO-8859-1").alias("record"))
+    q, s = f"\\Q{dialect.quote}\\E", f"\\Q{dialect.sep}\\E"
+    field = f"(?:{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}[^{s}\\r\\n]*+|(?!{q})[^{s}\\r\\n]*+)"
+    several = F.regexp_extract(text, f"^({field}(?:{s}{field})*+)(?=[\\r\\n]|\\z)", 1)
+    # A quote that is never closed leaves the first line, which the parser will refuse.
+    quoted = F.contains(line, F.lit(dialect.quote)) & (several != "")
+    record = F.when(quoted, F.regexp_replace(several, "\r\n?", "\n")).otherwise(line)
+    return whole.select(F.col("_metadata.file_name").alias("name"), F.encode(record, "ISO-8859-1").alias("record"))
 
 
 def _large_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
@@ -141,20 +153,23 @@ def _large_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect)
     probe.conf.set("spark.sql.files.maxPartitionBytes", whole)
     probe.conf.set("spark.sql.files.openCostInBytes", whole)
     probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    multiline, quote = dialect.multiline, dialect.quote.encode()
+    is_open, quote = _open_header(dialect), dialect.quote.encode()
 
     def first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, held, quotes, name = [], 0, 0, None
+        lines, held, name = [], 0, None
         for batch in batches:
             for line in batch.column("line").to_pylist():
                 if not lines and not line.removeprefix(b"\xef\xbb\xbf").strip(b" \t"):
                     continue
                 name = name or batch.column("name")[0].as_py()
                 lines.append(line)
-                held, quotes = held + len(line), quotes + line.count(quote)
-                if not multiline or quotes % 2 == 0:
-                    yield pa.RecordBatch.from_pydict({"name": [name], "record": [b"\n".join(lines)]})
-                    return
+                held += len(line)
+                # A line without a quote closes nothing.
+                if len(lines) == 1 or quote in line:
+                    record = b"\n".join(lines)
+                    if not is_open(record.removeprefix(b"\xef\xbb\xbf")):
+                        yield pa.RecordBatch.from_pydict({"name": [name], "record": [record]})
+                        return
                 if held > HEADER_BYTES:
                     lines = lines[:1]
                     break
@@ -169,6 +184,18 @@ def _large_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect)
     return lines.mapInArrow(first_record, "name string, record binary")
 
 
+def _open_header(dialect: Dialect) -> Callable[[bytes], bool]:
+    """Whether a quote is open at the end of a text; quotes only count where a field begins."""
+    q, s = re.escape(dialect.quote).encode(), re.escape(dialect.sep).encode()
+    closed = rb"%b[^%b]*+(?:%b%b[^%b]*+)*+%b[^%b]*+" % (q, q, q, q, q, q, s)
+    field, whole, mark = re.compile(rb"%b(%b|[^%b]*+)" % (s, closed, s)), re.compile(closed), dialect.quote.encode()
+
+    def is_open(text: bytes) -> bool:
+        return any(x.startswith(mark) and not whole.fullmatch(x) for x in field.findall(dialect.sep.encode() + text))
+
+    return is_open
+
+
 def decoded_name(column: str) -> F.Column:
     """File name as listed; scans report it URL-encoded (where a plus sign stays as it is)."""
     return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
@@ -188,7 +215,7 @@ def _with_header(f: ListFile, record: bytes | None, dialect: Dialect) -> ListFil
                                 strict=True))
     except (csv.Error, StopIteration):
         return replace(f, load_rule="malformed_record")
-    return _checked(f, names)
+    return _checked(replace(f, crossing="\n" in text), names)
 
 
 def _parquet_header(spark: SparkSession, f: ListFile) -> ListFile:

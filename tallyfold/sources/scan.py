@@ -10,10 +10,9 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
-from operator import or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +22,13 @@ from tallyfold.sources import storage
 from tallyfold.sources.catalog import CSV, CSV_GLOB, Dialect, ListFile, decoded_name
 from tallyfold.spec import Spec
 
-RECORD, WIDTH = "_record", "_width"
+LINE, WIDTH = "_line", "_width"
 # Provenance and record-level flags that a checking scan adds.
 FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT = "_file", "_block", "_seq", "_malformed", "_bad_text"
-MANY_LAYOUTS = 8  # delimited layouts, from which on places are looked up per record
+UNCLOSED = "_unclosed"  # a quote is open at the end of the line
 LOOKUP_BYTES = 64 << 20
-MAX_COLUMNS = 20480  # fields of one record that the parser has room for, if no header is wider
+RECORD_BYTES = 64 << 20  # a record of several lines still open after so much is a broken quote
+MOST = (1 << 31) - 1
 WHOLE_FILE = -1  # block of rows whose record number already counts from the start of the list
 
 
@@ -79,28 +79,22 @@ def scan(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialec
          checking: bool = True) -> DataFrame:
     """Cells of all given lists.
 
-    A checking scan reads raw bytes and whole records, so that encoding and malformed
-    records can be judged in the same pass as the cells, and numbers the records.  A plain
-    scan is for lists already found clean: it reads only the required columns.
+    A checking scan also judges encoding and malformed records in the same pass as the cells, and numbers the records.
+    A plain scan is for lists already found clean.
 
-    Lists are read in groups of equal layout (same width, required columns in the same
-    places): one positional read over differing headers would mix columns up silently.  Where
-    headers are so mixed that the groups would outgrow a plan, lists of one width are read
-    together and each record looks up where its list keeps the required columns.
+    Delimited lists of whatever widths and headers are one scan of records, which are taken apart afterwards; where
+    headers differ, each record looks up where its list keeps the required columns.  Lists whose records go over
+    several lines are a second one.
     """
     csv_files = [f for f in files if f.format == CSV]
-    texts = []
-    for members in _grouped(csv_files, lambda f: (len(f.columns), _places(f, spec))):
-        texts.append((members, _at_places(spec, _places(members[0], spec))))
-    if len(texts) > MANY_LAYOUTS:
-        texts = [(members, _at_looked_up_places(spark, spec, members))
-                 for members in _grouped(csv_files, lambda f: len(f.columns))]
+    crossing = [f for f in csv_files if f.crossing or dialect.multiline]
+    plain = [f for f in csv_files if not (f.crossing or dialect.multiline)]
+    # First, so that a plan over the delimited lists alone still numbers their records alike.
+    read = [records(spark, part, dialect) for records, part in ((_lines, plain), (joined_lines, crossing)) if part]
     tables = []
-    if texts:
-        # First, so that a plan over the delimited lists alone still numbers their records alike.
-        room = columns_room(csv_files)
-        read = [pick(_csv_records(spark, members, dialect, checking, room)) for members, pick in texts]
-        tables.append(_csv_cells(reduce(DataFrame.unionByName, read), spec, dialect, checking))
+    if read:
+        placed = _placed(spark, spec, reduce(DataFrame.unionByName, read), csv_files, dialect, checking)
+        tables.append(_csv_cells(placed, spec, dialect, checking))
     # Stored lists are read by name: only the required columns tell their layouts apart.
     for members in _grouped([f for f in files if f.format != CSV], lambda f: _stored_fields(f, spec).json()):
         tables.append(_parquet_cells(spark, members, spec, dialect, checking))
@@ -119,88 +113,199 @@ def _places(f: ListFile, spec: Spec) -> tuple[int | None, ...]:
     return tuple(f.columns.index(n) if n in f.columns else None for n in spec.required)
 
 
-def columns_room(files: list[ListFile]) -> int:
-    """Fields of one record that the parser must have room for."""
-    return max([MAX_COLUMNS, *(len(f.columns) + 1 for f in files if f.columns)])
-
-
 def _stored_fields(f: ListFile, spec: Spec) -> T.StructType:
     """The required columns as a stored list has them, in the order of the spec."""
     return T.StructType([T.StructField(f.schema.names[at], f.schema[at].dataType)
                          for at in _places(f, spec) if at is not None])
 
 
-def _csv_records(spark: SparkSession, files: list[ListFile], dialect: Dialect, checking: bool,
-                 room: int) -> DataFrame:
-    """Records of lists of one width as texts ``c0, c1, ...`` with provenance."""
-    width = len(files[0].columns)
-    slots = [f"c{i}" for i in range(width)]
-    fields = [T.StructField(s, T.StringType()) for s in slots]
-    options = dict(sep=dialect.sep, quote=dialect.quote, escape=dialect.quote, header=True, mode="PERMISSIVE",
-                   multiLine=dialect.multiline, encoding="UTF-8", maxColumns=room)
-    if checking:
-        # Latin-1 maps every byte to one character and back, so bad UTF-8 survives to be
-        # seen; pruning must be off because a pruned parse never notices a bad record.
-        fields.append(T.StructField(RECORD, T.StringType()))
-        options.update(encoding="ISO-8859-1", columnPruning=False, columnNameOfCorruptRecord=RECORD)
+# -- records of delimited lists -----------------------------------------------------------
+
+
+def _lines(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
+    """Each line but the header as one record, unparsed.
+
+    Read as Latin-1, which maps every byte to one character and back, so bad UTF-8 survives to be seen.  The reader
+    leaves out blank lines and each list's header; it is given marks that such text cannot hold, so it never looks
+    into a line, whatever its length or number of fields.
+    """
+    options = dict(sep="\u0100", quote="\u0101", escape="\u0101", comment="\u0102", header=True, encoding="ISO-8859-1")
 
     def load(path: str | list[str], **more: str) -> DataFrame:
-        return spark.read.schema(T.StructType(fields)).options(**options, **more).csv(path)
+        return spark.read.schema(f"{LINE} string").options(**options, **more).csv(path)
 
     raw = storage.read_files(load, [f.path for f in files], CSV_GLOB)
-    extra = [F.col("_metadata.file_name").alias(FILE)]
-    if checking:
-        extra += [F.col("_metadata.file_block_start").alias(BLOCK), F.monotonically_increasing_id().alias(SEQ),
-                  F.col(RECORD), F.lit(width).alias(WIDTH), _bad_text([*slots, RECORD], dialect).alias(BAD_TEXT)]
-    return raw.select(*extra, *slots)
+    return raw.select(F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
+                      F.monotonically_increasing_id().alias(SEQ), LINE)
+
+
+def joined_lines(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
+    """Records of lists in which a quoted field may hold line breaks, without reading a list in one piece.
+
+    What a line does to an open quote is one of four things, whatever stands before it: it leaves things as they
+    are, turns them round, or ends outside or inside a quote in any case.  Running counts give that for the lines of a
+    split, one row per split gives it for the splits of a list, and so every line knows whether it begins a record.
+    Only the lines of records that really cross lines are brought together.
+    """
+    raw = storage.read_files(spark.read.text, [f.path for f in files], CSV_GLOB)
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    bom = "\u00ef\u00bb\u00bf"
+    lines = raw.select(F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
+                       F.monotonically_increasing_id().alias("at"), text.alias(LINE))
+    lines = lines.withColumn(LINE, F.when((F.col(BLOCK) == 0) & F.startswith(LINE, F.lit(bom)), F.substring(LINE, 4, MOST))
+                             .otherwise(F.col(LINE)))
+    ends = [_open(F.col(LINE), dialect), _open(F.concat(F.lit(dialect.quote), LINE), dialect)]
+    lines = lines.select("*", *[e.alias(c) for e, c in zip(ends, ("o", "i"))])
+    split = Window.partitionBy(FILE, BLOCK).orderBy("at")
+    lines = _states(lines, split)
+    # One row per split: what it does as a whole.
+    whole = lines.groupBy(FILE, BLOCK).agg(F.max_by(F.struct("known", "turns", "o", "i"), "at").alias("z"))
+    whole = whole.select(FILE, BLOCK, *[_after(F.col("z.known"), F.col("z.turns"), F.col("z.o"), F.col("z.i"),
+                                               F.lit(s)).alias(c) for c, s in (("o", False), ("i", True))])
+    before = _states(whole, Window.partitionBy(FILE).orderBy(BLOCK))
+    begins = before.select(FILE, BLOCK, _before(F.col("known"), F.col("turns"), F.lit(False)).alias("inside_first"))
+    lines = lines.join(begins, [FILE, BLOCK]).withColumns({
+        "inside": _before(F.col("known"), F.col("turns"), F.col("inside_first")),
+        "inside_after": _after(F.col("known"), F.col("turns"), F.col("o"), F.col("i"), F.col("inside_first"))})
+    begin = ~F.col("inside")
+    lines = lines.where(F.col("inside") | (F.trim(F.translate(LINE, "\t", "")) != "")).withColumn(
+        "n", F.sum(begin.cast("long")).over(split))
+    # Lines before the first record of a split belong to the last one of the splits before.
+    held = lines.groupBy(FILE, BLOCK).agg(F.max("n").alias("held"))
+    upto = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(F.col("held") > 0, F.struct(F.col(BLOCK).alias("block"), F.col("held").alias("n"))), True)
+    first = F.min(F.when(F.col("held") > 0, F.col(BLOCK))).over(Window.partitionBy(FILE))
+    owners = held.select(FILE, BLOCK, latest.over(upto).alias("owner"), first.alias("first"))
+    own = F.col("n") > 0
+    lines = lines.join(owners, [FILE, BLOCK]).select(
+        FILE, F.when(own, F.col(BLOCK)).otherwise(F.col("owner.block")).alias("block"),
+        F.when(own, F.col("n")).otherwise(F.col("owner.n")).alias("n"), "first", F.col(BLOCK).alias("line_block"), "at",
+        LINE, (F.col("inside") | F.col("inside_after")).alias("crosses"))
+    key = [FILE, "block", "n", "first"]
+    parts = lines.where("crosses")
+    sizes = parts.groupBy(*key).agg(F.sum(F.length(LINE).cast("long")).alias("size"))
+    fits = sizes.where(F.col("size") <= RECORD_BYTES)
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("line_block", "at", LINE))), lambda x: x[LINE])
+    whole = (parts.join(fits, key).groupBy(*key).agg(F.array_join(pieces, "\n").alias(LINE)).select(*key, LINE))
+    # A record beyond that is a quote that was never closed: it stands for itself as one.
+    endless = sizes.where(F.col("size") > RECORD_BYTES).select(*key, F.lit(dialect.quote).alias(LINE))
+    found = lines.where("not crosses").select(*key, LINE).unionByName(whole).unionByName(endless)
+    header = (F.col("block") == F.col("first")) & (F.col("n") == 1)
+    return found.where(~header).select(FILE, F.col("block").alias(BLOCK), F.col("n").alias(SEQ), LINE)
+
+
+def _states(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """Add, for each row, what the rows before it settle: the last state that holds in any case, with the turns made
+    up to it, and the turns made in all."""
+    turn = (F.col("o") & ~F.col("i")).cast("int")
+    rows = rows.withColumn("turned", F.sum(turn).over(order))
+    settled = F.when(F.col("o") == F.col("i"), F.struct(F.col("o").alias("inside"), F.col("turned").alias("turns")))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("*", F.last(settled, True).over(earlier).alias("known"),
+                       (F.col("turned") - turn).alias("turns")).drop("turned")
+
+
+def _before(known: Column, turns: Column, first: Column) -> Column:
+    """Whether a quote is open where a row begins, if ``first`` says so for the first row."""
+    odd = (turns - F.coalesce(known["turns"], F.lit(0))) % 2 == 1
+    return F.coalesce(known["inside"], first) != odd
+
+
+def _after(known: Column, turns: Column, outside: Column, inside: Column, first: Column) -> Column:
+    return F.when(_before(known, turns, first), inside).otherwise(outside)
+
+
+def _marks(dialect: Dialect) -> tuple[str, str]:
+    return f"\\Q{dialect.quote}\\E", f"\\Q{dialect.sep}\\E"
+
+
+def _closed(dialect: Dialect) -> str:
+    """Pattern of a field in quotes, from its first quote on, what stands between and what follows."""
+    q, _ = _marks(dialect)
+    return f"^{q}([^{q}]*+(?:{q}{q}[^{q}]*+)*+){q}([\\s\\S]*)$"
+
+
+def _tokens(record: Column, dialect: Dialect) -> Column:
+    """The fields of a record as they stand, quotes and all."""
+    q, s = _marks(dialect)
+    field = f"{s}({q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}[^{s}]*+|[^{s}]*+)"
+    return F.regexp_extract_all(F.concat(F.lit(dialect.sep), record), F.lit(field), 1)
+
+
+def _open(record: Column, dialect: Dialect) -> Column:
+    """Whether a quote is still open at the end of a text that begins outside one.
+
+    Quotes only count where a field begins.  The earliest line of a list for which this holds does begin outside, so
+    a list has no such line exactly if none of its records crosses lines.
+    """
+    q = F.lit(dialect.quote)
+    unclosed = F.exists(_tokens(record, dialect), lambda x: F.startswith(x, q) & ~x.rlike(_closed(dialect)))
+    return F.contains(record, q) & unclosed
+
 
+def _fields(record: Column, dialect: Dialect) -> Column:
+    """The fields of a record; most have no quotes and are only cut."""
+    q, mark = dialect.quote, dialect.sep if dialect.sep.isalnum() else "\\" + dialect.sep
 
-def _provenance(records: DataFrame) -> list[str]:
-    return [c for c in records.columns if c in (FILE, BLOCK, SEQ, RECORD, WIDTH, BAD_TEXT)]
+    def unquoted(x: Column) -> Column:
+        inner, rest = (F.regexp_extract(x, _closed(dialect), i) for i in (1, 2))
+        plain = F.concat(F.replace(inner, F.lit(q + q), F.lit(q)), rest)
+        return F.when(F.startswith(x, F.lit(q)), plain).otherwise(x)
 
+    quoted = F.transform(_tokens(record, dialect), unquoted)
+    return F.when(F.contains(record, F.lit(q)), quoted).otherwise(F.split(record, mark))
 
-def _at_places(spec: Spec, places: tuple[int | None, ...]) -> Callable[[DataFrame], DataFrame]:
-    missing = F.lit(None).cast("string")
-    return lambda records: records.select(
-        *_provenance(records),
-        *[(missing if at is None else F.col(f"c{at}")).alias(n) for n, at in zip(spec.required, places)])
+
+def _placed(spark: SparkSession, spec: Spec, records: DataFrame, files: list[ListFile], dialect: Dialect,
+            checking: bool) -> DataFrame:
+    """The required columns of records as texts under their names, with provenance if they are to be checked."""
+    layouts = {(len(f.columns), _places(f, spec)) for f in files}
+    if len(layouts) == 1:
+        (width, at), = layouts
+        width, places = F.lit(width), [None if p is None else F.lit(p) for p in at]
+    else:
+        records = _with_layout(spark, spec, records, files)
+        width, places = F.col("_width"), [F.col(f"_p{i}") for i in range(len(spec.required))]
+    kept = [FILE, BLOCK, SEQ, LINE] if checking else []
+    split = records.select(*kept, width.alias(WIDTH), *[p.alias(f"_p{i}") for i, p in enumerate(places) if p is not None],
+                           _fields(F.col(LINE), dialect).alias("_fields"))
+    fields = F.col("_fields")
+    # An empty field is a missing one; a record may be shorter than its header.
+    texts = [(F.lit(None).cast("string") if p is None else F.nullif(F.get(fields, F.col(f"_p{i}")), F.lit(""))).alias(n)
+             for i, (n, p) in enumerate(zip(spec.required, places))]
+    flags = []
+    if checking:
+        unclosed = _open(F.col(LINE), dialect)
+        flags = [FILE, BLOCK, SEQ, unclosed.alias(UNCLOSED), (unclosed | (F.size(fields) > F.col(WIDTH))).alias(MALFORMED),
+                 _bad_text(F.col(LINE)).alias(BAD_TEXT)]
+    return split.select(*flags, *texts)
 
 
-def _at_looked_up_places(spark: SparkSession, spec: Spec, files: list[ListFile]) -> Callable[[DataFrame], DataFrame]:
-    slots = F.array(*[F.col(f"c{i}") for i in range(len(files[0].columns))])
-    lookup = spark.createDataFrame([(f.list_id, *_places(f, spec)) for f in files],
-                                   "_list string, " + ", ".join(f"_p{i} int" for i in range(len(spec.required))))
+def _with_layout(spark: SparkSession, spec: Spec, records: DataFrame, files: list[ListFile]) -> DataFrame:
+    """Width and places of each record's list."""
+    lookup = spark.createDataFrame([(f.list_id, len(f.columns), *_places(f, spec)) for f in files],
+                                   "_list string, _width int, " + ", ".join(f"_p{i} int" for i in range(len(spec.required))))
     # A few integers and a name per list: shipped to all tasks only while that stays small.
-    size = sum(len(f.list_id) + 16 + 8 * len(spec.required) for f in files)
+    size = sum(len(f.list_id) + 24 + 8 * len(spec.required) for f in files)
     if size <= LOOKUP_BYTES:
         lookup = F.broadcast(lookup)
-
-    def pick(records: DataFrame) -> DataFrame:
-        listed = records.withColumn(
-            "_list", F.when(F.col(FILE).contains("%"), decoded_name(FILE)).otherwise(F.col(FILE)))
-        # A record whose list is not found must never vanish: that would be a fault of this engine.
-        found = listed.join(lookup.withColumn("_known", F.lit(True)), "_list", "left")
-        lost = F.raise_error(F.concat(F.lit("no layout is known for list "), F.col("_list"))).cast("string")
-        return found.select(*_provenance(records), *[
-            F.when(F.col("_known").isNull(), lost).otherwise(F.get(slots, F.col(f"_p{i}"))).alias(n)
-            for i, n in enumerate(spec.required)])
-
-    return pick
+    name = F.when(F.col(FILE).contains("%"), decoded_name(FILE)).otherwise(F.col(FILE))
+    found = records.withColumn("_list", name).join(lookup, "_list", "left")
+    # A record whose list is not found must never vanish: that would be a fault of this engine.
+    lost = F.raise_error(F.concat(F.lit("no layout is known for list "), F.col("_list"))).cast("int")
+    return found.withColumn("_width", F.coalesce("_width", lost)).drop("_list")
 
 
 def _csv_cells(texts: DataFrame, spec: Spec, dialect: Dialect, checking: bool) -> DataFrame:
-    if not checking:
-        return cells(texts, spec, dialect=dialect)
-    flags = [FILE, BLOCK, SEQ, _malformed(F.col(RECORD), F.col(WIDTH), dialect).alias(MALFORMED), BAD_TEXT]
+    flags = [FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT, UNCLOSED] if checking else []
     tokens = tuple(t.encode().decode("latin-1") for t in dialect.null_tokens)
     return texts.select(*flags, *[part for n in spec.required
                                   for part in _text_cell(col(n), _utf8(col(n)), spec, n, dialect, tokens)])
 
 
-def _bad_text(columns: list[str], dialect: Dialect) -> Column:
-    """Whether a record read as Latin-1 is not valid UTF-8; only text outside ASCII can be."""
-    foreign = reduce(or_, [F.coalesce(F.octet_length(c) != F.length(c), F.lit(False)) for c in columns])
-    return foreign & ~F.is_valid_utf8(_utf8(F.concat_ws(dialect.sep, *columns)))
+def _bad_text(line: Column) -> Column:
+    """Whether a line read as Latin-1 is not valid UTF-8; only text outside ASCII can be."""
+    return (F.octet_length(line) != F.length(line)) & ~F.is_valid_utf8(_utf8(line))
 
 
 def _parquet_cells(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialect,
@@ -210,7 +315,7 @@ def _parquet_cells(spark: SparkSession, files: list[ListFile], spec: Spec, diale
     flags = []
     if checking:
         flags = [F.col("_metadata.file_name").alias(FILE), F.lit(WHOLE_FILE).cast("bigint").alias(BLOCK),
-                 F.col("_metadata.row_index").alias(SEQ), F.lit(False).alias(MALFORMED), F.lit(False).alias(BAD_TEXT)]
+                 F.col("_metadata.row_index").alias(SEQ), *[F.lit(False).alias(c) for c in (MALFORMED, BAD_TEXT, UNCLOSED)]]
     wanted = []
     for name, at in zip(spec.required, _places(files[0], spec)):
         held = None if at is None else files[0].schema[at]
@@ -224,38 +329,11 @@ def _utf8(latin1: Column) -> Column:
     return F.encode(latin1, "ISO-8859-1").cast("string")
 
 
-def overlong_lists(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> set[str]:
-    """Paths of lists with a record of so many fields that the parser gives up on it.
-
-    Such a record fails the whole scan, so this is for finding the culprits after that.
-    """
-    lines = storage.read_files(spark.read.text, [f.path for f in files if f.format == CSV], CSV_GLOB)
-    over = lines.where(_malformed(F.col("value"), F.lit(columns_room(files)), dialect, quotes=False))
-    names = over.select(F.col("_metadata.file_name").alias("name")).distinct().select(decoded_name("name"))
-    found = {r[0] for r in names.collect()}
-    return {f.path for f in files if f.list_id in found}
-
-
-def _malformed(record: Column, width: Column, dialect: Dialect, quotes: bool = True) -> Column:
-    """Whether a record the parser complained about is broken rather than merely short.
-
-    Short records are padded with missing cells; too many fields or an unclosed quote is an
-    error of the whole list.
-    """
-    q, s = (f"\\Q{x}\\E" for x in (dialect.quote, dialect.sep))
-    inside = f"[^{q}]*+"
-    bare = F.regexp_replace(record, f"(^|{s}){q}{inside}(?:{q}{q}{inside})*+{q}", "$1")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(dialect.sep), F.lit(""))) + 1
-    unclosed = bare.rlike(f"(^|{s}){q}") if quotes else F.lit(False)
-    return F.coalesce((fields > width) | unclosed, F.lit(False))
-
-
 def _no_rows(spark: SparkSession, spec: Spec, checking: bool) -> DataFrame:
     fields = []
     if checking:
-        fields = [T.StructField(FILE, T.StringType()), T.StructField(BLOCK, T.LongType()),
-                  T.StructField(SEQ, T.LongType()), T.StructField(MALFORMED, T.BooleanType()),
-                  T.StructField(BAD_TEXT, T.BooleanType())]
+        fields = [T.StructField(FILE, T.StringType()), T.StructField(BLOCK, T.LongType()), T.StructField(SEQ, T.LongType()),
+                  *[T.StructField(c, T.BooleanType()) for c in (MALFORMED, BAD_TEXT, UNCLOSED)]]
     for name in spec.required:
         value = convert.value_type(spec.column(name), name in spec.exact)
         fields.extend(T.StructField(*f) for f in zip(part_names(spec, name),

@@ -109,7 +109,7 @@ def test_plans_read_only_what_they_need(spark, spec, folder):
     path = folder({"a.csv": "old;berth;hydrant;new;cubic;opened\nx;w;3;y;1;1\n"})
     files = lists.read_headers(spark, lists.discover(spark, path))
     merged = plan(grouped(validate.typed_rows(scan(spark, files, spec, checking=False), spec), spec))
-    assert "FileScan csv [c1#" in merged and merged.count("Exchange") == 1 and "Python" not in merged
+    assert "FileScan csv [_line#" in merged and merged.count("Exchange") == 1 and "Python" not in merged
     profile = plan(validate.list_profile(scan(spark, files, spec), spec))
     assert profile.count("Exchange") == 1 and "Sort" not in profile and "Python" not in profile
     issues = plan(validate.cell_issues(scan(spark, files, spec), spec, ["_file"]))

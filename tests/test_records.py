@@ -1,0 +1,152 @@
+"""Records of delimited lists: quotes, line breaks in quotes, any width, any length."""
+
+import csv
+import io
+import random
+
+import pytest
+from conftest import rows
+
+from tallyfold import Column, Dialect, Rule, Spec, run
+from tallyfold.operators import numbering, validate
+from tallyfold.plans.run import profiled
+from tallyfold.sources import catalog as lists
+from tallyfold.sources.scan import BLOCK, FILE, LINE, SEQ, joined_lines, scan
+
+HEAD = "berth;hydrant;opened;cubic\n"
+TEXTS = Spec("texts", (Column("a", "string", True), Column("b", "string", True), Column("n", "int")), ("a", "b"),
+             (Rule("n", "sum"),), ("a", "b", "n"))
+
+
+def opened(spark, path, dialect=Dialect()):
+    return lists.read_headers(spark, lists.discover(spark, path), dialect)
+
+
+@pytest.fixture(params=["128m", "64"])
+def splits(spark, request):
+    """Whole lists, and splits of so few bytes that most records lie over several."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], request.param)
+    spark.conf.set(keys[1], "0")
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def written(rng, field):
+    """A field as some writer could have put it down."""
+    odd = any(c in field for c in ';"\n') or field != field.strip()
+    return '"' + field.replace('"', '""') + '"' if odd or rng.random() < 0.2 else field
+
+
+def texts(rng, n):
+    parts = ["x", "ü", '"', '""', ";", "\n", "\n\n", "y z", "'", "\t"]
+    return [("".join(rng.choice(parts) for _ in range(rng.randint(1, 6))), "".join(rng.choices(parts, k=2))) for _ in range(n)]
+
+
+def test_line_breaks_in_quotes_equal_the_csv_module(spark, folder, splits):
+    want, made = [], {}
+    for i in range(6):
+        rng = random.Random(i)
+        body = [(a, b, str(j)) for j, (a, b) in enumerate(texts(rng, 25))]
+        body += [('mid"dle', 'end"', "25"), ("", "", "26")]
+        lines = [";".join(written(rng, x) if j < 25 else x for x in r) for j, r in enumerate(body)]
+        lines += ['"closed"and more;"a;b""c" d;27', "", " ", '"";"\n";28']
+        text = "a;b;n\n" + "\n".join(lines) + ("\n" if i % 2 else "")
+        made[f"l{i}.csv"] = text.replace("\n", "\r\n") if i == 3 else text
+        read = list(csv.reader(io.StringIO(text), delimiter=";"))[1:]
+        want += [(f"l{i}.csv", x[0] or None, x[1] or None, int(x[2])) for x in read if len(x) == 3]
+    files, profile = profiled(spark, opened(spark, folder(made)), TEXTS, Dialect())
+    assert all(f.crossing for f in files) and not validate.load_issues(lists.catalog_frame(spark, files), profile).count()
+    found = scan(spark, files, TEXTS).select(FILE, "v0", "v1", "v2")
+    assert sorted(rows(found), key=str) == sorted(want, key=str)
+    plain = validate.typed_rows(scan(spark, files, TEXTS, checking=False), TEXTS)
+    assert sorted(rows(plain), key=str) == sorted((w[1:] for w in want), key=str)
+
+
+def test_only_lists_with_such_records_are_joined(spark, folder, spec):
+    path = folder({"plain.csv": HEAD + 'w;1;1;1\n"w ""x""";1;1;2\na"b;1;1;3\n', "broken.csv": HEAD + 'w;"1;1;1\nv;1;1;1\n',
+                   "crossing.csv": HEAD + '"two\nlines";1;1;4\nv;1;1;x\n"a\n\nb";1;1;x\n',
+                   "header.csv": '"ber\nth";hydrant;opened;cubic\nw;1;1;1\n'})
+    files, profile = profiled(spark, opened(spark, path), spec, Dialect())
+    assert {f.list_id for f in files if f.crossing} == {"broken.csv", "crossing.csv", "header.csv"}
+    assert dict(rows(validate.load_issues(lists.catalog_frame(spark, files), profile), "list_id", "rule")) == {
+        "broken.csv": "malformed_record"}
+    assert dict(rows(profile, "list_id", "rows")) == {"plain.csv": 3, "broken.csv": 1, "crossing.csv": 3, "header.csv": 1}
+    one = [f for f in files if f.list_id == "crossing.csv"]
+    read = scan(spark, one, spec)
+    found = numbering.with_row_numbers(validate.cell_issues(read, spec, [FILE, BLOCK, SEQ]), read)
+    assert sorted(rows(found, "row_no", "bad_value")) == [(3, "x"), (4, "x")]
+
+
+def test_a_run_reads_line_breaks_without_being_told(spark, folder, spec, tmp_path, splits):
+    path = folder({"a.csv": HEAD + '"east\nside";4;2;31.5\nnorth;1;;8.125\n"east\nside";4;3;0.25\n',
+                   "b.csv": "hydrant;cubic;berth;opened\n4;6.0;\"east\nside\";1\n"})
+    outcome = run(spark, spec, path, str(tmp_path / "result"))
+    assert outcome.status == "success"
+    assert rows(outcome.result) == [(1, "north", 8.125, 0), (4, "east\nside", 37.75, 6)]
+
+
+def test_a_quote_that_never_closes_is_not_gathered(spark, folder, monkeypatch):
+    from tallyfold.sources import scan as module
+    monkeypatch.setattr(module, "RECORD_BYTES", 1000)
+    path = folder({"a.csv": 'a;b;n\nx;"y;1\n' + "line;z;2\n" * 500, "b.csv": 'a;b;n\n"two\nlines";z;3\n'})
+    files = opened(spark, path)
+    longest = joined_lines(spark, files, Dialect())
+    assert max(len(r[0]) for r in longest.select(LINE).collect()) < 1000
+    files, profile = profiled(spark, files, TEXTS, Dialect())
+    assert dict(rows(validate.load_issues(lists.catalog_frame(spark, files), profile), "list_id", "rule")) == {
+        "a.csv": "malformed_record"}
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_thousand_widths_are_one_scan(spark, folder, spec):
+    made, want = {}, []
+    for i in range(1000):
+        names = ["berth", "hydrant", "opened", "cubic"]
+        names = names[i % 4:] + names[:i % 4]
+        names[2:2] = [f"u{k}" for k in range(i)]
+        row = {"berth": f"b{i}", "hydrant": str(i % 7), "opened": "2", "cubic": str(i / 4)}
+        made[f"l{i}.csv"] = ";".join(names) + "\n" + ";".join(row.get(n, "x") for n in names) + "\n"
+        want.append((f"b{i}", i % 7, 2, i / 4))
+    files = opened(spark, folder(made))
+    assert len({len(f.columns) for f in files}) == 1000
+    for checking in (True, False):
+        read = scan(spark, files, spec, checking=checking)
+        assert plan(read).count("FileScan csv") == 1
+        assert sorted(rows(validate.typed_rows(read, spec))) == sorted(want)
+
+
+def test_records_of_any_number_of_fields(spark, folder, spec):
+    """No exception of a parser steers the run: one pass, and the list is named."""
+    monster = ";".join("x" * 30000)
+    path = folder({"a.csv": HEAD + "w;1;1;1\n" + monster + "\n", "b.csv": HEAD + "w;1;1;2\n",
+                   "c.csv": HEAD.strip() + ";" + ";".join(f"u{i}" for i in range(30000)) + "\nw;1;1;4;" + monster + "\n"})
+    files, profile = profiled(spark, opened(spark, path), spec, Dialect())
+    assert dict(rows(validate.load_issues(lists.catalog_frame(spark, files), profile), "list_id", "rule")) == {
+        "a.csv": "malformed_record"}
+    assert dict(rows(profile, "list_id", "rows")) == {"a.csv": 2, "b.csv": 1, "c.csv": 1}
+
+
+@pytest.mark.parametrize("sep, quote", [("|", "'"), ("\t", '"'), (".", "$"), ("^", "\\"), ("x", "q")])
+def test_other_marks(spark, folder, sep, quote):
+    lines = [["a", "b", "n"], [f"{quote}1{sep}2{quote}", f"{quote}3{quote}{quote}4\n{quote}", "5"], ["", "6", "7"]]
+    path = folder({"a.csv": "\n".join(sep.join(line) for line in lines) + "\n"})
+    dialect = Dialect(sep=sep, quote=quote)
+    files, _ = profiled(spark, opened(spark, path, dialect), TEXTS, dialect)
+    assert sorted(rows(scan(spark, files, TEXTS, dialect).select("v0", "v1", "v2")), key=str) == sorted(
+        [(f"1{sep}2", f"3{quote}4\n", 5), (None, "6", 7)], key=str)
+
+
+def test_headers_over_several_lines(spark, folder, monkeypatch):
+    head = '﻿"ber\nth";a"b;"c;""d""\n\n"\n'
+    path = folder({"a.csv": head + "1;2;3\n", "b.csv": 'x;"never closed\n' + "1;2\n" * 50})
+    small = opened(spark, path)
+    monkeypatch.setattr(lists, "SMALL", 0)
+    large = opened(spark, path)
+    for a, b in (small, large):
+        assert a.columns == ("ber\nth", 'a"b', 'c;"d"') and a.crossing and b.load_rule == "malformed_record"
