@@ -4,20 +4,29 @@ from __future__ import annotations
 
 _LIST_ID = "concat('lineitem_', CAST(year(l_shipdate) AS VARCHAR))"
 
-_DIRTY = f"""
-    SELECT {_LIST_ID} AS list_id, l_orderkey, l_partkey, ROW_NUMBER() OVER () + 1 AS row_no,
-           CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE l_linestatus END AS linestatus,
-           CASE WHEN l_orderkey % 103 = 0 THEN NULL WHEN l_orderkey % 97 = 0 THEN 'not_a_number'
-                ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS qty_raw
-    FROM lineitem"""
+_DIRTY_AFTER = """
+    SELECT {list_id} AS list_id, l_orderkey, l_partkey, ROW_NUMBER() OVER () + 1 AS row_no,
+           CASE WHEN k % 101 = 0 THEN NULL ELSE l_linestatus END AS linestatus,
+           CASE WHEN k % 103 = 0 THEN NULL WHEN k % 97 = 0 THEN 'not_a_number'
+                ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS qty_raw, l_linestatus, l_quantity
+    FROM (SELECT *, CASE WHEN year(l_shipdate) > {clean_until} THEN l_orderkey ELSE 1 END AS k FROM lineitem)"""
 
-_ISSUES = f"""
+
+def _dirty(clean_until: int = 0) -> str:
+    return _DIRTY_AFTER.format(list_id=_LIST_ID, clean_until=clean_until)
+
+
+_DIRTY = _dirty()
+
+_ISSUES_OF = """
     SELECT list_id, 'cell' AS level, 'error' AS severity, 'missing_value' AS rule, 'linestatus' AS column_name,
            row_no, CAST(NULL AS VARCHAR) AS bad_value, 0 AS place
-    FROM ({_DIRTY}) WHERE linestatus IS NULL
+    FROM ({rows}) WHERE linestatus IS NULL
     UNION ALL
     SELECT list_id, 'cell', 'error', 'wrong_type', 'qty_raw', row_no, qty_raw, 1
-    FROM ({_DIRTY}) WHERE qty_raw IS NOT NULL AND TRY_CAST(qty_raw AS DOUBLE) IS NULL"""
+    FROM ({rows}) WHERE qty_raw IS NOT NULL AND TRY_CAST(qty_raw AS DOUBLE) IS NULL"""
+
+_ISSUES = _ISSUES_OF.format(rows=_DIRTY)
 
 _SUM = "SELECT l_partkey, l_linestatus, SUM(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2"
 _PRICE = """SELECT l_partkey, l_linestatus, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)
@@ -74,7 +83,7 @@ ORACLE: dict[str, str] = {
         WHERE rule = 'wrong_type' GROUP BY 1, 2, 3""",
     "issue_rows": f"SELECT * EXCLUDE (place) FROM ({_ISSUES})",
     "list_status": f"""WITH l AS (SELECT {_LIST_ID} AS list_id, COUNT(*) AS n, MIN(year(l_shipdate)) AS y FROM lineitem GROUP BY 1),
-        e AS (SELECT list_id, COUNT(*) AS errors FROM ({_ISSUES}) WHERE list_id > 'lineitem_1997' GROUP BY 1)
+        e AS (SELECT list_id, COUNT(*) AS errors FROM ({_ISSUES_OF.format(rows=_dirty(1997))}) GROUP BY 1)
         SELECT l.list_id, CASE WHEN COALESCE(errors, 0) = 0 THEN n END AS rows, COALESCE(errors, 0) AS errors,
         CAST(CASE WHEN y <= 1996 THEN 1 ELSE 0 END AS BIGINT) AS warnings,
         CASE WHEN COALESCE(errors, 0) > 0 THEN 'error' WHEN y <= 1996 THEN 'warning' ELSE 'ok' END AS status
@@ -106,4 +115,24 @@ ORACLE: dict[str, str] = {
     "gated_run": _SUM,
     "gated_run_report": """SELECT 'error' AS status, FALSE AS published, COUNT(*) AS errors, TRUE AS nothing_merged,
         COUNT(*) AS cell_issues, COUNT(*) AS places FROM lineitem WHERE l_orderkey % 97 = 0""",
+    "quoted_line_breaks": """SELECT l_partkey, CASE WHEN l_orderkey % 7 = 0
+            THEN concat(l_linestatus, chr(10), '"', l_returnflag, chr(10), chr(10), ';') ELSE l_linestatus END AS note,
+        SUM(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2""",
+    "many_headers": _SUM,
+    "wide_records": """SELECT CASE WHEN year(l_shipdate) = 1996 THEN 'malformed_record' END AS rule, COUNT(*) AS records,
+        COUNT(CASE WHEN year(l_shipdate) = 1996 AND l_orderkey % 500 = 0 THEN 1 END) AS broken FROM lineitem GROUP BY 1""",
+    "mixed_formats": _SUM,
+    "split_row_numbers": f"""WITH r AS (SELECT * EXCLUDE (list_id, row_no), concat(list_id, '.csv') AS list_id,
+            ROW_NUMBER() OVER (PARTITION BY list_id ORDER BY l_orderkey, l_partkey, l_linestatus, l_quantity) + 1 AS row_no
+            FROM ({_DIRTY}))
+        SELECT list_id, rule, column_name, row_no, bad_value FROM ({_ISSUES_OF.format(rows="SELECT * FROM r")})""",
+    "name_forms": "SELECT l_linestatus, SUM(l_quantity) AS total FROM lineitem GROUP BY 1",
+    "bounds_on_counts": """SELECT c_nationkey, 'below_min' AS rule, 'c_acctbal' AS column_name, CAST(v AS DOUBLE) AS bad_value
+        FROM (SELECT c_nationkey, SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS v FROM customer GROUP BY 1) WHERE v < 100000""",
+    "run_modes": f"""WITH n AS (SELECT COUNT(*) AS rows_in, (SELECT COUNT(*) FROM ({_SUM})) AS rows_out FROM lineitem)
+        SELECT 'open' AS mode, 'success_with_warnings' AS status, TRUE AS published, 0::BIGINT AS errors, 1::BIGINT AS warnings, rows_in,
+            rows_out, TRUE AS sums_agree, TRUE AS written FROM n
+        UNION ALL SELECT 'strict', 'error', FALSE, 1, 0, NULL, NULL, NULL, FALSE
+        UNION ALL SELECT 'dry', 'success_with_warnings', FALSE, 0, 1, rows_in, rows_out, TRUE, FALSE FROM n
+        UNION ALL SELECT 'lacking', 'error', FALSE, 1, 0, NULL, NULL, NULL, FALSE""",
 }

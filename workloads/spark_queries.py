@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tallyfold import Dialect, Spec, run
 from tallyfold.operators import checks, consolidate, numbering, validate
 from tallyfold.plans import report
+from tallyfold.plans.run import profiled
 from tallyfold.session import work_dir
 from tallyfold.sources import catalog as lists
+from tallyfold.sources import storage
 from tallyfold.sources.scan import BAD_TEXT, BLOCK, FILE, MALFORMED, SEQ, cells, part_names, scan
 from workloads import tables as t
 
@@ -96,13 +98,13 @@ def result_findings(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("list_id")
 
 
-def _dirty_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return cells(t.dirty(t.listed(spark, folder)), t.DIRTY, ["list_id", *PLACE])
+def _dirty_cells(spark: SparkSession, folder: str, clean_until: int = 0) -> DataFrame:
+    return cells(t.dirty(t.listed(spark, folder), clean_until), t.DIRTY, ["list_id", *PLACE])
 
 
-def _dirty_issues(spark: SparkSession, folder: str) -> DataFrame:
+def _dirty_issues(spark: SparkSession, folder: str, clean_until: int = 0) -> DataFrame:
     """All cell findings, by year list, with rows numbered as stored."""
-    read = _dirty_cells(spark, folder)
+    read = _dirty_cells(spark, folder, clean_until)
     found = numbering.with_row_numbers(validate.cell_issues(read, t.DIRTY, ["list_id", *PLACE]), read)
     return found.select(*validate.issue(F.col("list_id"), "cell", "error", F.col("rule"), F.col("column_name"),
                                         F.col("row_no"), F.col("bad_value")))
@@ -127,8 +129,7 @@ def issue_rows(spark: SparkSession, folder: str) -> DataFrame:
 def list_status(spark: SparkSession, folder: str) -> DataFrame:
     rows = t.listed(spark, folder)
     catalog = t.header(rows, 1996)
-    clean_until = F.col("list_id") <= "lineitem_1997"
-    issues = _dirty_issues(spark, folder).where(~clean_until)
+    issues = _dirty_issues(spark, folder, clean_until=1997)
     issues = issues.unionByName(validate.column_issues(catalog, t.DIRTY))
     sizes = rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("rows"))
     return report.list_status(catalog, report.issue_counts(issues), sizes)
@@ -278,6 +279,110 @@ def gated_run_report(spark: SparkSession, folder: str) -> DataFrame:
         cells_found.select("n").scalar().alias("cell_issues"), cells_found.select("places").scalar().alias("places"))
 
 
+def quoted_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole job on lists of several splits, some of which hold line breaks in quoted fields."""
+    key = F.col("l_orderkey")
+    note = (F.when(key % 7 == 0, F.concat("l_linestatus", F.lit('\n"'), "l_returnflag", F.lit("\n\n;")))
+            .otherwise(F.col("l_linestatus")))
+    rows, year = t.listed(spark, folder).withColumn("note", note), F.year("l_shipdate")
+    path = t.csv_folder(spark, [rows.where(year <= 1995).select("l_partkey", "l_quantity", "note"),
+                                rows.where((year > 1995) & (key % 7 != 0)).select(*t.NOTED.required),
+                                rows.where((year > 1995) & (key % 7 == 0)).select("note", "l_partkey", "l_quantity")])
+    outcome = run(t.split_session(spark), t.NOTED, path, work_dir(spark, "out") + "/result")
+    return _double(outcome.result, "l_quantity")
+
+
+def many_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists of twelve widths and orders of columns, read in one scan."""
+    rows, names = t.listed(spark, folder), t.PART_QUANTITY.required
+    lists_of = []
+    for i in range(12):
+        order = [*names[i % 3:], *names[:i % 3]]
+        order[i % 4:i % 4] = [F.lit(k).alias(f"unknown{k}") for k in range(i)]
+        lists_of.append(rows.where(F.pmod("l_orderkey", F.lit(12)) == i).select(*order))
+    files = lists.read_headers(spark, lists.discover(spark, t.csv_folder(spark, lists_of)))
+    read = validate.typed_rows(scan(spark, files, t.PART_QUANTITY, checking=False), t.PART_QUANTITY)
+    return _double(consolidate.consolidate(read, t.PART_QUANTITY, ordered=False), "l_quantity")
+
+
+def wide_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of 30,000 fields next to good lists: which lists are refused, and what the others hold."""
+    rows, names = t.listed(spark, folder), t.PART_QUANTITY.required
+    fill = F.array_join(F.array_repeat(F.lit("x"), 30_000), ";")
+    line = F.concat_ws(";", *names)
+    wide = F.when(F.col("l_orderkey") % 500 == 0, F.concat_ws(";", line, fill)).otherwise(line)
+    monsters = rows.where(F.year("l_shipdate") == 1996).select(wide.alias(";".join(names)))
+    path = t.csv_folder(spark, [rows.where(F.year("l_shipdate") != 1996).select(*names)])
+    monsters.coalesce(1).write.mode("append").options(header=True, sep="\u0001", quote="\u0002").csv(path)
+    files, profile = profiled(spark, lists.read_headers(spark, lists.discover(spark, path)), t.PART_QUANTITY, Dialect())
+    refused = validate.load_issues(lists.catalog_frame(spark, files), profile)
+    return (profile.join(refused.select("list_id", "rule"), "list_id", "left").groupBy("rule")
+            .agg(F.sum("rows").alias("records"), F.sum(MALFORMED).alias("broken")))
+
+
+def mixed_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole job on delimited and stored lists in one folder, the latter with other types and columns."""
+    rows, year, (part, status, quantity) = t.listed(spark, folder), F.year("l_shipdate"), t.PART_QUANTITY.required
+    path = t.csv_folder(spark, [rows.where(year % 3 == 0).select(*t.PART_QUANTITY.required)])
+    for kept in (rows.where(year % 3 == 1).select(quantity, status, part),
+                 rows.where(year % 3 == 2).select(F.col(part).cast("string").alias(f" {part}"), "l_shipdate", status,
+                                                  F.col(quantity).cast("decimal(9,3)").alias(quantity))):
+        kept.write.mode("append").parquet(path)
+    outcome = run(spark, t.PART_QUANTITY, path, work_dir(spark, "out") + "/result")
+    return _double(outcome.result, "l_quantity")
+
+
+def split_row_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of delimited lists of many splits, with exact row numbers."""
+    order = ("l_orderkey", "l_partkey", "l_linestatus", "l_quantity")
+    rows = t.dirty(t.listed(spark, folder))
+    named = {n: df.select(*t.DIRTY.required) for n, df in t.by_year(rows, order).items()}
+    session = t.split_session(spark, 4096)
+    files = lists.read_headers(session, lists.discover(session, t.named_lists(spark, named)))
+    read = scan(session, files, t.DIRTY)
+    found = numbering.with_row_numbers(validate.cell_issues(read, t.DIRTY, PLACE), read)
+    return found.select(F.col(FILE).alias("list_id"), "rule", "column_name", "row_no", "bad_value")
+
+
+def name_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Column names in decomposed and padded form, and suffixes in any case, are the same names and lists."""
+    rows, year = t.listed(spark, folder), F.year("l_shipdate")
+    spec = Spec("named", (t.Column("Stückzahl", "float", scale=2), t.Column("l_linestatus", "string")),
+                ("l_linestatus",), (t.Rule("Stückzahl", "sum"),), ("l_linestatus", "Stückzahl"))
+    path = t.named_lists(spark, {
+        name: rows.where(years).select("l_linestatus", F.col("l_quantity").alias(column)).coalesce(1)
+        for name, years, column in (("one.CSV", year < 1995, "Stu\u0308ckzahl"), ("two.Csv", year == 1995, "  Stückzahl "),
+                                    ("three.csv", year > 1995, "Stückzahl"), ("four.txt", year > 0, "Stückzahl"))})
+    outcome = run(spark, spec, path)
+    return outcome.result.select("l_linestatus", F.col("Stückzahl").cast("double").alias("total"))
+
+
+def bounds_on_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bounds concern merged values; a count that replaced its column has none."""
+    merged = consolidate.grouped(t.table(spark, folder, "customer"), t.COUNT_BOUNDS)
+    found = checks.range_violations(merged, t.COUNT_BOUNDS, t.COUNT_BOUNDS.keys)
+    return found.select("c_nationkey", "rule", "column_name", F.col("bad_value").cast("double").alias("bad_value"))
+
+
+def run_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run says and does when warnings are errors, when it is dry, and when a list lacks a column."""
+    rows, names = t.listed(spark, folder), t.PART_QUANTITY.required
+    year, found = F.year("l_shipdate"), []
+    noted = t.csv_folder(spark, [rows.where(year < 1997).select(*names),
+                                 rows.where(year >= 1997).coalesce(1).select(*names, F.col("l_tax").alias("note"))])
+    # Cells of a list without a required column are not looked at: none of its bad ones is a finding.
+    lacking = t.csv_folder(spark, [rows.where(year < 1997).coalesce(1).select(*names),
+                                   rows.where(year >= 1997).coalesce(1).select("l_linestatus", F.lit("x").alias("l_quantity"))])
+    for mode, path, options in (("open", noted, {}), ("strict", noted, {"strict": True}), ("dry", noted, {"dry_run": True}),
+                                ("lacking", lacking, {})):
+        target = work_dir(spark, "out") + "/result"
+        outcome = run(spark, t.PART_QUANTITY, path, target, **options)
+        found.append(outcome.run_summary.select(
+            F.lit(mode).alias("mode"), "status", "published", "errors", "warnings", "rows_in", "rows_out", "sums_agree",
+            F.lit(storage.exists(spark, target)).alias("written")))
+    return consolidate.merge(found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "consolidate_sum": consolidate_sum, "consolidate_mean": consolidate_mean, "consolidate_multi": consolidate_multi,
     "count_over_key": count_over_key,
@@ -285,4 +390,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         merge_tables, null_keys, sum_all_missing, ordered_result, sum_reconciliation, residual_duplicates,
         no_residual_duplicates, range_violations, result_findings, null_violations, type_violations, issue_rows, list_status,
         first_issues, run_summary, strict_gate, open_gate, blocked_gate, date_coercion, csv_roundtrip, decimal_comma,
-        column_conformance, csv_defects, gated_run, gated_run_report)}}
+        column_conformance, csv_defects, gated_run, gated_run_report, quoted_line_breaks, many_headers, wide_records,
+        mixed_formats, split_row_numbers, name_forms, bounds_on_counts, run_modes)}}

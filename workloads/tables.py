@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyfold import Bounds, Column, Dialect, Rule, Spec
 from tallyfold.plans.publish import write_result
 from tallyfold.session import work_dir
+from tallyfold.sources import storage
 from tallyfold.sources.scan import BLOCK, FILE, SEQ, WHOLE_FILE
 
 LIST_ID = "concat('lineitem_', cast(year(l_shipdate) as string))"
@@ -68,6 +69,17 @@ SHIPPING = Spec(
     keys=("day",), rules=(Rule("line", "sum"),), order=("day", "line"))
 
 
+NOTED = Spec(
+    "notes over several lines", (Column("l_partkey", "int"), Column("note", "string"), Column("l_quantity", "float", scale=2)),
+    keys=("l_partkey", "note"), rules=(Rule("l_quantity", "sum"),), order=("l_partkey", "note", "l_quantity"))
+
+COUNT_BOUNDS = Spec(
+    "bounds of a counted and a summed column",
+    (Column("c_nationkey", "int"), Column("c_custkey", "int"), Column("c_acctbal", "float", scale=2)),
+    keys=("c_nationkey",), rules=(Rule("c_custkey", "count"), Rule("c_acctbal", "sum")),
+    order=("c_nationkey", "c_custkey", "c_acctbal"), bounds={"c_custkey": Bounds(max=1), "c_acctbal": Bounds(min=100000)})
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -79,9 +91,9 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(WHOLE_FILE).cast("bigint").alias(BLOCK), F.col("_metadata.row_index").alias(SEQ))
 
 
-def dirty(rows: DataFrame) -> DataFrame:
-    """Inject findings that depend on the order key only."""
-    key = F.col("l_orderkey")
+def dirty(rows: DataFrame, clean_until: int = 0) -> DataFrame:
+    """Inject findings that depend on the order key only, in the lists after a year."""
+    key = F.when(F.year("l_shipdate") > clean_until, F.col("l_orderkey")).otherwise(1)
     return rows.select(
         "*", F.when(key % 101 != 0, F.col("l_linestatus")).alias("linestatus"),
         F.when(key % 103 == 0, "n/a").when(key % 97 == 0, "not_a_number")
@@ -96,6 +108,32 @@ def header(rows: DataFrame, extra_year: int) -> DataFrame:
     return ids.select("list_id", F.concat(known, more).alias("columns"), F.lit(None).cast("string").alias("load_rule"))
 
 
+def named_lists(spark: SparkSession, lists: dict[str, DataFrame], kind: str = "csv", into: str | None = None) -> str:
+    """Write each table as one list of that name, its rows in their order."""
+    path = into or work_dir(spark, "lists")
+    storage.make_directory(spark, path)
+    for name, df in lists.items():
+        part = write_result(df, work_dir(spark, "part"), kind)
+        file = next(e.path for e in storage.entries(spark, part) if e.name.startswith("part-"))
+        storage.move(spark, file, f"{path}/{name}")
+    return path
+
+
+def by_year(rows: DataFrame, order: tuple[str, ...]) -> dict[str, DataFrame]:
+    """One table per list, sorted, in one partition."""
+    years = [r[0] for r in rows.select(F.year("l_shipdate")).distinct().collect()]
+    return {f"lineitem_{y}.csv": rows.where(F.year("l_shipdate") == y).coalesce(1).sortWithinPartitions(*order)
+            for y in sorted(years)}
+
+
+def split_session(spark: SparkSession, split_bytes: int = 1 << 16) -> SparkSession:
+    """A sibling session that cuts lists into small splits."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    return session
+
+
 def csv_folder(spark: SparkSession, variants: list[DataFrame], dialect: Dialect = Dialect()) -> str:
     """Write each variant's partitions as delimited lists of their own into one folder."""
     path = work_dir(spark, "lists")
