@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
@@ -45,13 +45,15 @@ class Run:
 
 def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = None, report_dir: str | None = None,
         *, strict: bool = False, dry_run: bool = False, dialect: Dialect = Dialect(),
-        output_format: str = PARQUET) -> Run:
-    """Consolidate all lists in ``input_dir`` into ``output``.
+        output_format: str = PARQUET, partition_by: Sequence[str] = ()) -> Run:
+    """Consolidate all lists in ``input_dir`` into ``output``, from where ``published`` reads the result.
 
     Nothing is merged unless every list is free of errors, and nothing is published unless
     the merged result passes its own checks.  The report tables are written in every case.
     Without ``output``, or with ``dry_run``, the result is computed and checked only.
     """
+    if set(partition_by) - set(spec.order) or set(partition_by) >= set(spec.order):
+        raise ValueError(f"partition_by must name some, but not all, result columns: {list(partition_by)}")
     publish.guard_paths(spark, input_dir, output, report_dir)
     _require_ansi(spark)
     _require_distinct_names(spark, spec)
@@ -69,9 +71,13 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
         nothing = validate.input_totals(seen.profile, spec).limit(0)
         reconciliation = checks.reconcile(nothing, nothing)
     else:
-        staged = publish.staging_path(output) if writing else work_dir(spark, "result")
+        staged = publish.begin(spark, output, run_id) if writing else work_dir(spark, "result")
         rows = validate.typed_rows(scan(spark, seen.scanned, spec, dialect, checking=False), spec)
-        merged = _staged(spark, rows, spec, staged)
+        try:
+            merged = _staged(spark, rows, spec, staged)
+        except Exception:
+            _abandon(spark, output, staged, writing)
+            raise
         profile = settled(checks.result_profile(merged, spec))
         rows_out, outside = profile.select("rows", "outside").first()
         after = validate.stacked_totals(profile, spec.columns_with("sum"))
@@ -86,10 +92,10 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
     published = writing and total.errors == 0
     result = None
     if published:
-        _publish(spark, merged, spec, staged, output, output_format, dialect)
-        result = _read_result(spark, output, output_format, spec, dialect)
+        _publish(spark, merged, spec, staged, output, output_format, dialect, partition_by)
+        result = publish.published(spark, output)
     elif writing and staged:
-        storage.delete(spark, staged)  # a result that failed its checks is not left lying about
+        _abandon(spark, output, staged, writing)  # a result that failed its checks is not left lying about
     elif merged is not None:
         result = consolidate.presented(merged, spec)
 
@@ -201,16 +207,19 @@ def _staged(spark: SparkSession, rows: DataFrame, spec: Spec, path: str) -> Data
     """Merge, sort and write; the checks then judge exactly what would be published."""
     merged = consolidate.grouped(rows, spec)
     ordered = merged.orderBy(*numbering.ascending(consolidate.result_order(spec)))
-    try:
-        ordered.select(*[col(n) for n in _stored_names(spec, merged)]).write.parquet(path)
-    except Exception:
-        storage.delete(spark, path)
-        raise
+    ordered.select(*[col(n) for n in _stored_names(spec, merged)]).write.parquet(path)
     return spark.read.parquet(storage.literal(path))
 
 
+def _abandon(spark: SparkSession, output: str | None, staged: str, writing: bool) -> None:
+    if writing:
+        publish.abandon(spark, output, staged)
+    else:
+        storage.delete(spark, staged)
+
+
 def _stored_names(spec: Spec, merged: DataFrame) -> list[str]:
-    """Published columns first and in order, so that the staged table can simply be renamed."""
+    """Published columns first and in order, so that the staged table can be the published one."""
     first = [consolidate.held_as(spec, n) for n in spec.order]
     return first + [n for n in merged.columns if n not in first]
 
@@ -244,22 +253,13 @@ def _stored_table(spark: SparkSession, table: DataFrame, report_dir: str, name:
 
 
 def _publish(spark: SparkSession, merged: DataFrame, spec: Spec, staged: str, output: str, kind: str,
-             dialect: Dialect) -> None:
-    if kind == PARQUET and merged.columns == list(spec.order):
-        publish.publish(spark, staged, output)
+             dialect: Dialect, partition_by: Sequence[str]) -> None:
+    if kind == PARQUET and merged.columns == list(spec.order) and not partition_by:
+        publish.publish(spark, output, staged, schema=merged.schema)
         return
     # The stored columns are not the published ones (a count replaces its key, a key is left
-    # out, or another format is wanted): write the projection, in order, from the staged rows.
-    final = publish.staging_path(output)
-    ordered = merged.orderBy(*numbering.ascending(consolidate.result_order(spec)))
-    publish.write_result(consolidate.presented(ordered, spec), final, kind, dialect)
-    publish.publish(spark, final, output)
-    storage.delete(spark, staged)
-
-
-def _read_result(spark: SparkSession, path: str, kind: str, spec: Spec, dialect: Dialect) -> DataFrame:
-    if kind == PARQUET:
-        return spark.read.parquet(storage.literal(path))
-    texts = T.StructType([T.StructField(n, T.StringType()) for n in spec.order])
-    return (spark.read.schema(texts).options(sep=dialect.sep, quote=dialect.quote, escape=dialect.quote, header=True)
-            .csv(storage.literal(path)))
+    # out, or another form is wanted): write the projection, in order, from the staged rows.
+    final = f"{staged}-final"
+    presented = consolidate.presented(merged.orderBy(*numbering.ascending(consolidate.result_order(spec))), spec)
+    publish.write_result(presented, final, kind, dialect, partition_by=partition_by)
+    publish.publish(spark, output, final, kind, presented.schema, dialect)  # clears the staged rows too

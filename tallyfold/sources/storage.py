@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 MANY = 32  # files, from which on listing them one by one is avoided
@@ -54,10 +55,30 @@ def make_directory(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
-def create_file(spark: SparkSession, path: str) -> None:
-    """An empty file."""
+def create_file(spark: SparkSession, path: str, content: bytes) -> bool:
+    """A new small file; false if one of that name is there already, which then stays as it is."""
     fs, p = _open(spark, path)
-    fs.create(p, True).close()
+    try:
+        stream = fs.create(p, False)
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """The content of a small file."""
+    fs, p = _open(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -70,6 +70,7 @@ class Spec:
     sort_by: tuple[str, ...] = ()
     bounds: Mapping[str, Bounds] = field(default_factory=dict)
     version: str = "1.0"
+    suffix: str = ""
 
     def __post_init__(self) -> None:
         for name in ("columns", "keys", "rules", "order", "sort_by"):
@@ -187,6 +188,7 @@ class Spec:
 
         for key in ("template_name", "version"):
             typed(key, top.get(key, ""), str, "a text", "")
+        suffix = typed("output.filename_suffix", out.get("filename_suffix") or "", str, "a text", "")
         listed = typed("aggregate", top.get("aggregate", []), (list, tuple), "a list", [])
         rules = [take(f"aggregate.{i}.", r, ("column", "method")) for i, r in enumerate(listed)]
         for i, rule in enumerate(rules):
@@ -219,4 +221,5 @@ class Spec:
             order=tuple(order),
             sort_by=tuple(sort_by),
             bounds={n: Bounds(**b) for n, b in bounds.items()},
+            suffix=suffix,
         )

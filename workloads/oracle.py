@@ -118,6 +118,8 @@ ORACLE: dict[str, str] = {
     "quoted_line_breaks": """SELECT l_partkey, CASE WHEN l_orderkey % 7 = 0
             THEN concat(l_linestatus, chr(10), '"', l_returnflag, chr(10), chr(10), ';') ELSE l_linestatus END AS note,
         SUM(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2""",
+    "republish": _SUM,
+    "partitioned_run": _SUM,
     "many_headers": _SUM,
     "wide_records": """SELECT CASE WHEN year(l_shipdate) = 1996 THEN 'malformed_record' END AS rule, COUNT(*) AS records,
         COUNT(CASE WHEN year(l_shipdate) = 1996 AND l_orderkey % 500 = 0 THEN 1 END) AS broken FROM lineitem GROUP BY 1""",

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold import Dialect, Spec, run
+from tallyfold import Dialect, Spec, published, run
 from tallyfold.operators import checks, consolidate, numbering, validate
-from tallyfold.plans import report
+from tallyfold.plans import publish, report
 from tallyfold.plans.run import profiled
 from tallyfold.session import work_dir
 from tallyfold.sources import catalog as lists
@@ -383,6 +383,23 @@ def run_modes(spark: SparkSession, folder: str) -> DataFrame:
     return consolidate.merge(found)
 
 
+def republish(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs on one target; between them a version that was never finished.  What readers see after that."""
+    rows, target = t.listed(spark, folder), work_dir(spark, "out") + "/result"
+    for kept in (F.year("l_shipdate") <= 1995, F.lit(True)):
+        run(spark, t.PART_QUANTITY, _lists_to_run(spark, folder, rows.where(kept)), target)
+        rows.select("l_tax").write.parquet(publish.begin(spark, target, "unfinished"), mode="overwrite")
+    return _double(published(spark, target), "l_quantity")
+
+
+def partitioned_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole job with a result that is stored by one of its columns, as delimited text."""
+    outcome = run(spark, t.PART_QUANTITY, _lists_to_run(spark, folder), work_dir(spark, "out") + "/result",
+                  output_format="csv", partition_by=["l_linestatus"])
+    return outcome.result.select(F.col("l_partkey").cast("bigint").alias("l_partkey"), "l_linestatus",
+                                 F.col("l_quantity").cast("double").alias("l_quantity"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "consolidate_sum": consolidate_sum, "consolidate_mean": consolidate_mean, "consolidate_multi": consolidate_multi,
     "count_over_key": count_over_key,
@@ -391,4 +408,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         no_residual_duplicates, range_violations, result_findings, null_violations, type_violations, issue_rows, list_status,
         first_issues, run_summary, strict_gate, open_gate, blocked_gate, date_coercion, csv_roundtrip, decimal_comma,
         column_conformance, csv_defects, gated_run, gated_run_report, quoted_line_breaks, many_headers, wide_records,
-        mixed_formats, split_row_numbers, name_forms, bounds_on_counts, run_modes)}}
+        mixed_formats, split_row_numbers, name_forms, bounds_on_counts, run_modes, republish,
+        partitioned_run)}}
