@@ -8,39 +8,63 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.functions import exact
 from tallyfold.functions.names import col
-from tallyfold.operators.consolidate import TOTAL_TYPE, addend, result_order, sum_type, total
+from tallyfold.operators.consolidate import TOTAL_TYPE, Spans, addend, is_free, result_order, sum_type, total
 from tallyfold.operators.numbering import with_ordinals
-from tallyfold.operators.validate import issue, stacked_totals
+from tallyfold.operators.validate import free_total, issue, stacked_totals
 from tallyfold.spec import Spec
 
 
-def control_totals(rows: DataFrame, spec: Spec) -> DataFrame:
-    """Exact total of every summed column, with the row count: (column_name, total, rows)."""
-    return stacked_totals(rows.agg(*_totals(rows, spec)), spec.columns_with("sum"))
+def control_totals(rows: DataFrame, spec: Spec, spans: Spans | None = None) -> DataFrame:
+    """Exact total of every summed column, with the row count: (column_name, total, rows).
 
+    A total that cannot be held is NULL, never 0.
+    """
+    return measured_totals(rows, spec, spans).select("column_name", "total", "rows")
+
+
+def measured_totals(rows: DataFrame, spec: Spec, spans: Spans | None = None) -> DataFrame:
+    """Control totals with what it takes to compare doubles of any size (see ``stacked_totals``)."""
+    return stacked_totals(rows.agg(*_totals(rows, spec, spans)), spec.columns_with("sum"))
 
-def _totals(rows: DataFrame, spec: Spec) -> list[Column]:
+
+def _totals(rows: DataFrame, spec: Spec, spans: Spans | None) -> list[Column]:
     types = {f.name: f.dataType for f in rows.schema}
-    return [F.count(F.lit(1)).alias("rows"),
-            *[total(addend(spec, n, types[n]), sum_type(spec, n, types[n])).alias(f"t{i}")
-              for i, n in enumerate(spec.columns_with("sum"))]]
+    found = [F.count(F.lit(1)).alias("rows")]
+    for i, n in enumerate(spec.columns_with("sum")):
+        if is_free(spec, n, types[n]):
+            value = F.nanvl(col(n).cast("double"), F.lit(None).cast("double"))
+            found += free_total(i, value, (spans or {}).get(n, exact.USUAL))
+        else:
+            found.append(total(addend(spec, n, types[n]), sum_type(spec, n, types[n])).alias(f"t{i}"))
+    return found
 
 
-def result_profile(merged: DataFrame, spec: Spec) -> DataFrame:
+def result_profile(merged: DataFrame, spec: Spec, spans: Spans | None = None) -> DataFrame:
     """One row about a merged result, from one pass: rows, control totals, values out of range."""
     outside = [F.count_if(violated) for _, _, violated in range_rules(spec)]
-    return merged.agg(*_totals(merged, spec), sum(outside, F.lit(0)).cast("bigint").alias("outside"))
+    return merged.agg(*_totals(merged, spec, spans), sum(outside, F.lit(0)).cast("bigint").alias("outside"))
 
 
 def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Compare control totals; columns present on one side only are left out."""
+    """Compare control totals; columns present on one side only are left out.
+
+    Totals agree if they are equal at two decimals.  Doubles of any size may also differ by what rounding each merged
+    value to a double can make up.  A total that could not be held is NULL and agrees with nothing.
+    """
+    measured = {"digits", "slack"} <= set(before.columns) & set(after.columns)
+    more = ["digits", "slack"] if measured else []
     b = before.select("column_name", F.col("total").cast(TOTAL_TYPE).alias("sum_before"),
-                      F.col("rows").alias("rows_in"))
+                      F.col("rows").alias("rows_in"), *[F.col(c).alias(f"{c}_before") for c in more])
     a = after.select("column_name", F.col("total").cast(TOTAL_TYPE).alias("sum_after"),
-                     F.col("rows").alias("rows_out"))
+                     F.col("rows").alias("rows_out"), *more)
+    passed = F.coalesce(F.col("sum_before") == F.col("sum_after"), F.lit(False))
+    if measured:
+        gap = exact.nearest(F.zip_with("digits_before", "digits", lambda x, y: x - y), exact.ALL[0])
+        passed = passed | F.coalesce(F.abs(gap) <= F.col("slack"), F.lit(False))
     return b.join(a, "column_name").select(
-        "column_name", "sum_before", "sum_after", (F.col("sum_before") == F.col("sum_after")).alias("passed"),
+        "column_name", "sum_before", "sum_after", passed.alias("passed"),
         "rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("duplicates_merged"))
 
 
@@ -90,7 +114,8 @@ def duplicate_issues(duplicates: DataFrame, spec: Spec) -> DataFrame:
 def sum_issues(reconciliation: DataFrame) -> DataFrame:
     return reconciliation.where(~F.col("passed")).select(
         *issue(F.lit(None), "result", "error", F.lit("sum_mismatch"), F.col("column_name"),
-               bad_value=F.concat_ws(" <> ", "sum_before", "sum_after")))
+               bad_value=F.concat_ws(" <> ", *[F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+                                               for c in ("sum_before", "sum_after")])))
 
 
 def range_issues(violations: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.operators.consolidate import TOTAL_TYPE, whole_and_rest
+from tallyfold.functions import exact
+from tallyfold.functions.exact import Span
+from tallyfold.operators.consolidate import TOTAL_TYPE, settled_total, whole_and_rest
 from tallyfold.sources.catalog import decoded_name
 from tallyfold.sources.scan import BAD_TEXT, FILE, MALFORMED, UNCLOSED, part_names
 from tallyfold.spec import Spec
@@ -116,17 +118,24 @@ def list_profile(scanned: DataFrame, spec: Spec) -> DataFrame:
     totals = []
     for i, n in enumerate(spec.columns_with("sum")):
         value = F.col(f"v{spec.required.index(n)}")
+        if n in spec.free:
+            totals += [F.array(*exact.digit_sums(value)).alias(f"d{i}"), exact.outside(value).alias(f"o{i}")]
+            continue
+        totals.append(F.count(value).alias(f"c{i}"))
         if n in spec.exact and spec.column(n).scale:
             # Whole parts and fractions apart, so that no total outgrows its type.
             totals += [F.sum(F.floor(value)).alias(f"t{i}"),
                        F.sum(F.pmod(value, F.lit(1).cast("decimal(1,0)"))).alias(f"f{i}")]
         else:
             totals.append(F.sum(value if n in spec.exact else value.cast("decimal(20,0)")).alias(f"t{i}"))
+    for i, n in enumerate(spec.free):
+        size = F.abs(F.col(f"v{spec.required.index(n)}"))
+        totals += [F.min(F.when(size > 0, size)).alias(f"l{i}"), F.max(size).alias(f"m{i}")]
     flat = scanned.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"), F.count_if(MALFORMED).alias(MALFORMED),
                                      F.count_if(BAD_TEXT).alias(BAD_TEXT), F.count_if(UNCLOSED).alias(UNCLOSED),
                                      *counts, *totals)
     return flat.select(decoded_name(FILE).alias("list_id"), "rows", MALFORMED, BAD_TEXT, UNCLOSED,
-                       *[c for c in flat.columns if c[0] in "ntf" and c[1:].isdigit()])
+                       *[c for c in flat.columns if c[0] in "ntfcdolm" and c[1:].isdigit()])
 
 
 def cell_issue_counts(profile: DataFrame, spec: Spec) -> DataFrame:
@@ -140,21 +149,65 @@ def cell_issue_counts(profile: DataFrame, spec: Spec) -> DataFrame:
     return profile.select("list_id", F.inline(each)).where("n > 0")
 
 
+def spans(profile: DataFrame, spec: Spec) -> dict[str, Span]:
+    """Places that the doubles of all lists need, by column."""
+    if not spec.free:
+        return {}
+    found = profile.agg(*[f(f"{c}{i}").alias(f"{c}{i}") for i in range(len(spec.free))
+                          for f, c in ((F.min, "l"), (F.max, "m"))]).first()
+    return {n: exact.span_of(found[f"l{i}"], found[f"m{i}"]) for i, n in enumerate(spec.free)}
+
+
 def input_totals(profile: DataFrame, spec: Spec) -> DataFrame:
-    """Control totals of the summed columns over all scanned lists: (column_name, total)."""
-    names = spec.columns_with("sum")
-    sums = [whole_and_rest(F.sum(f"t{i}"), F.sum(f"f{i}")) if f"f{i}" in profile.columns
-            else F.sum(f"t{i}").cast(TOTAL_TYPE) for i in range(len(names))]
-    return stacked_totals(profile.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-                                      *[s.alias(f"t{i}") for i, s in enumerate(sums)]), names)
+    """Control totals of the summed columns over all scanned lists (see ``stacked_totals``)."""
+    names, sums = spec.columns_with("sum"), []
+    for i, n in enumerate(names):
+        if n in spec.free:
+            width = exact.USUAL[1] - exact.USUAL[0] + 1
+            digits = F.array(*[F.coalesce(F.sum(F.get(f"d{i}", F.lit(j))), F.lit(0)) for j in range(width)])
+            sums += _free_columns(i, digits, F.coalesce(F.sum(f"o{i}"), F.lit(0)), F.lit(0.0), exact.USUAL)
+            continue
+        parts = [f"{c}{i}" for c in "tf" if f"{c}{i}" in profile.columns]
+        held = whole_and_rest(*map(F.sum, parts)) if len(parts) == 2 else F.sum(parts[0]).cast(TOTAL_TYPE)
+        # The total of one list may be what could not be held.
+        unknown = F.count_if((F.col(f"c{i}") > 0) & reduce(or_, [F.col(p).isNull() for p in parts])) > 0
+        held = F.when(unknown, F.lit(None).cast(TOTAL_TYPE)).otherwise(held)
+        sums.append(settled_total(F.coalesce(F.sum(f"c{i}"), F.lit(0)), held).alias(f"t{i}"))
+    return stacked_totals(profile.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *sums), names)
+
+
+def free_total(i: int, value: Column, span: Span) -> list[Column]:
+    """Aggregates for the total of doubles of any size."""
+    # Rounding a sum to a double changes it by at most half of its last place.
+    slack = F.coalesce(F.sum(F.abs(value)), F.lit(0.0)) * F.lit(2.0 ** -53 * 1.000001)
+    return _free_columns(i, F.array(*exact.digit_sums(value, span)), exact.outside(value, span), slack, span)
+
+
+def _free_columns(i: int, digits: Column, lost: Column, slack: Column, span: Span) -> list[Column]:
+    held = F.when(lost == 0, digits)
+    return [held.alias(f"d{i}"), slack.alias(f"s{i}"), F.lit(span[0]).alias(f"p{i}"), F.lit(span[1]).alias(f"q{i}")]
 
 
 def stacked_totals(one_row: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Turn ``rows, t0, t1, ...`` into one row per column; totals of nothing are 0."""
+    """Turn ``rows, t0, t1, ...`` into one row per column: (column_name, total, rows, digits, slack).
+
+    ``digits`` are those of a total of doubles of any size, over all places, and ``slack`` what rounding may have
+    changed it by; both are NULL for other columns.  A total that could not be held is NULL.
+    """
     if not names:
-        return one_row.select(F.lit("").alias("column_name"), F.lit(0).cast(TOTAL_TYPE).alias("total"),
-                              F.col("rows")).limit(0)
-    each = F.array(*[F.struct(F.lit(n).alias("column_name"),
-                              F.coalesce(F.col(f"t{i}"), F.lit(0).cast(TOTAL_TYPE)).alias("total"))
-                     for i, n in enumerate(names)])
-    return one_row.select(F.inline(each), F.col("rows"))
+        return one_row.select(F.lit("").alias("column_name"), F.lit(0).cast(TOTAL_TYPE).alias("total"), F.col("rows"),
+                              F.lit(None).cast("array<bigint>").alias("digits"),
+                              F.lit(None).cast("double").alias("slack")).limit(0)
+    each = []
+    for i, n in enumerate(names):
+        free = f"d{i}" in one_row.columns
+        digits, slack = F.lit(None).cast("array<bigint>"), F.lit(None).cast("double")
+        value = F.col(f"t{i}") if not free else None
+        if free:
+            zero, lo, hi = F.lit(0).cast("bigint"), F.col(f"p{i}"), F.col(f"q{i}")
+            digits = F.concat(F.array_repeat(zero, lo - exact.ALL[0]), F.col(f"d{i}"),
+                              F.array_repeat(zero, F.lit(exact.ALL[1]) - hi))
+            slack, value = F.col(f"s{i}"), exact.two_decimals(digits, exact.ALL[0])
+        each.append(F.struct(F.lit(n).alias("column_name"), value.alias("total"), digits.alias("digits"),
+                             slack.alias("slack")))
+    return one_row.select(F.inline(F.array(*each)), F.col("rows")).select("column_name", "total", "rows", "digits", "slack")

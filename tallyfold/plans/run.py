@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.functions import exact
 from tallyfold.functions.names import col
 from tallyfold.operators import checks, consolidate, numbering, validate
 from tallyfold.plans import publish, report
@@ -69,19 +70,25 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
     if list_errors:
         issues = seen.issues.unionByName(_cell_issues(spark, seen.with_bad_cells, spec, dialect))
         nothing = validate.input_totals(seen.profile, spec).limit(0)
-        reconciliation = checks.reconcile(nothing, nothing)
+        reconciliation = settled(checks.reconcile(nothing, nothing))
     else:
         staged = publish.begin(spark, output, run_id) if writing else work_dir(spark, "result")
         rows = validate.typed_rows(scan(spark, seen.scanned, spec, dialect, checking=False), spec)
+        spans = validate.spans(seen.profile, spec)
         try:
-            merged = _staged(spark, rows, spec, staged)
+            merged = _staged(spark, rows, spec, staged, spans)
         except Exception:
             _abandon(spark, output, staged, writing)
             raise
-        profile = settled(checks.result_profile(merged, spec))
+        # A sum reaches higher than its addends, but no lower.
+        wider = {n: (lo, min(hi + 2, exact.ALL[1])) for n, (lo, hi) in spans.items()}
+        profile = settled(checks.result_profile(merged, spec, wider))
         rows_out, outside = profile.select("rows", "outside").first()
         after = validate.stacked_totals(profile, spec.columns_with("sum"))
-        reconciliation = settled(checks.reconcile(validate.input_totals(seen.profile, spec), after))
+        before = validate.input_totals(seen.profile, spec)
+        if any(lo < exact.USUAL[0] or hi > exact.USUAL[1] for lo, hi in spans.values()):
+            before = checks.measured_totals(rows, spec, spans)  # the checking pass kept the usual places only
+        reconciliation = settled(checks.reconcile(before, after))
         issues = seen.issues
         for found in _result_issues(merged, reconciliation, outside, spec):
             issues = issues.unionByName(found)
@@ -203,9 +210,9 @@ def _cell_issues(spark: SparkSession, files: list[ListFile], spec: Spec, dialect
                                            F.col("column_name"), F.col("row_no"), F.col("bad_value")))
 
 
-def _staged(spark: SparkSession, rows: DataFrame, spec: Spec, path: str) -> DataFrame:
+def _staged(spark: SparkSession, rows: DataFrame, spec: Spec, path: str, spans: consolidate.Spans) -> DataFrame:
     """Merge, sort and write; the checks then judge exactly what would be published."""
-    merged = consolidate.grouped(rows, spec)
+    merged = consolidate.grouped(rows, spec, spans)
     ordered = merged.orderBy(*numbering.ascending(consolidate.result_order(spec)))
     ordered.select(*[col(n) for n in _stored_names(spec, merged)]).write.parquet(path)
     return spark.read.parquet(storage.literal(path))

@@ -29,14 +29,15 @@ class SpecError(ValueError):
 class Column:
     """One required column.
 
-    ``scale`` is the number of decimals kept exactly when a ``float`` column is summed or
-    averaged; ``formats`` are the accepted patterns of a ``date`` column.
+    A ``float`` column that is summed or averaged holds doubles of any size, whose sums are exact and rounded once;
+    with a ``scale`` it holds decimals with so many places instead.  ``formats`` are the accepted patterns of a
+    ``date`` column.
     """
 
     name: str
     type: str
     allow_missing: bool = False
-    scale: int = 18
+    scale: int | None = None
     formats: tuple[str, ...] = ("yyyy-MM-dd",)
 
     @property
@@ -95,7 +96,14 @@ class Spec:
     @property
     def exact(self) -> frozenset[str]:
         """Float columns held as decimals because they are summed or averaged."""
-        return frozenset(c for c in self.columns_with("sum", "mean") if self.column(c).type == "float")
+        return frozenset(c for c in self.columns_with("sum", "mean")
+                         if self.column(c).type == "float" and self.column(c).scale is not None)
+
+    @property
+    def free(self) -> tuple[str, ...]:
+        """Float columns that are summed or averaged as doubles of any size."""
+        return tuple(c for c in self.columns_with("sum", "mean")
+                     if self.column(c).type == "float" and self.column(c).scale is None)
 
     @property
     def counted_keys(self) -> tuple[str, ...]:
@@ -138,7 +146,7 @@ class Spec:
         for field_name, name, wrong, fault in (
                 *(("columns", c.name, c.type not in COLUMN_TYPES, f"has the unknown type '{c.type}'")
                   for c in self.columns),
-                *(("columns", c.name, not 0 <= c.scale <= 36, "needs a scale from 0 to 36") for c in self.columns),
+                *(("columns", c.name, c.scale is not None and not 0 <= c.scale <= 36, "needs a scale from 0 to 36") for c in self.columns),
                 *(("columns", c.name, c.type == "date" and not c.formats, "needs a date format") for c in self.columns),
                 *(("rules", r.column, r.method not in METHODS, f"has the unknown method '{r.method}'")
                   for r in self.rules)):

@@ -29,7 +29,7 @@ def values(spark, texts, column, exact=False, decimal="."):
     ("NA", None, None, None), ("", None, None, None), ("NULL", None, None, None),
 ])
 def test_numbers(spark, text, exact, double, whole):
-    c = Column("v", "float")
+    c = Column("v", "float", scale=18)
     assert values(spark, [text], c, True) == [None if exact is None else Decimal(str(exact))]
     assert values(spark, [text], c) == [double]
     assert values(spark, [text], Column("v", "int")) == [whole]

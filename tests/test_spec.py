@@ -39,7 +39,7 @@ def test_what_may_be_left_out():
     doc = harbour("validation_rules", ...)
     del doc["output"]["sort_by"]
     spec = Spec.from_dict(doc)
-    assert (spec.sort_by, dict(spec.bounds), spec.column("cubic").scale) == ((), {}, 18)
+    assert (spec.sort_by, dict(spec.bounds), spec.column("cubic").scale) == ((), {}, None)
 
 
 @pytest.mark.parametrize("path, value, problem", [

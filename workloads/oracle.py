@@ -118,6 +118,13 @@ ORACLE: dict[str, str] = {
     "quoted_line_breaks": """SELECT l_partkey, CASE WHEN l_orderkey % 7 = 0
             THEN concat(l_linestatus, chr(10), '"', l_returnflag, chr(10), chr(10), ';') ELSE l_linestatus END AS note,
         SUM(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2""",
+    "sums_of_any_size": """SELECT l_partkey, kind, SUM(l_quantity) * CASE kind WHEN 'huge' THEN pow(2::DOUBLE, 70)
+        ELSE pow(2::DOUBLE, -100) END AS amount, TRUE AS agreed
+        FROM lineitem, (VALUES ('cancel'), ('huge'), ('tiny')) AS k(kind) GROUP BY 1, 2""",
+    "totals_beyond_1e20": f"""WITH s AS (SELECT CAST(SUM(CAST(l_extendedprice AS DECIMAL(20,2)) * CAST(10000000000000000 AS DECIMAL(17,0))
+            + CAST(0.01 AS DECIMAL(2,2))) AS VARCHAR) AS total, COUNT(*) AS n FROM lineitem)
+        SELECT 'l_extendedprice' AS column_name, total AS sum_before, total AS sum_after, TRUE AS passed, n AS rows_in,
+        g AS rows_out, n - g AS duplicates_merged FROM s, (SELECT COUNT(*) AS g FROM ({_SUM}))""",
     "republish": _SUM,
     "partitioned_run": _SUM,
     "many_headers": _SUM,

@@ -400,6 +400,28 @@ def partitioned_run(spark: SparkSession, folder: str) -> DataFrame:
                                  F.col("l_quantity").cast("double").alias("l_quantity"))
 
 
+def sums_of_any_size(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole job on numbers from 1e-31 to 1e23, of which the large ones cancel out in one kind of group."""
+    rows = t.listed(spark, folder).select("l_linestatus", "l_partkey", "l_quantity")
+    huge, tiny = F.col("l_quantity") * F.lit(2.0 ** 70), F.col("l_quantity") * F.lit(2.0 ** -100)
+    path = t.csv_folder(spark, [rows.select("l_partkey", F.lit(kind).alias("kind"), amount.alias("amount"))
+                                for kind, amount in (("cancel", huge), ("cancel", tiny), ("cancel", -huge), ("huge", huge),
+                                                     ("tiny", tiny))])
+    outcome = run(spark, t.ANY_SIZE, path, work_dir(spark, "out") + "/result")
+    agreed = outcome.sum_reconciliation.agg(F.bool_and("passed")).scalar()
+    return outcome.result.select("*", agreed.alias("agreed"))
+
+
+def totals_beyond_1e20(spark: SparkSession, folder: str) -> DataFrame:
+    """Control totals of some 1e27, exact to two decimals, before and after."""
+    rows = t.listed(spark, folder).select("l_partkey", "l_linestatus", (
+        F.col("l_extendedprice").cast("decimal(18,2)") * F.lit(10 ** 16).cast("decimal(17,0)")
+        + F.lit("0.01").cast("decimal(2,2)")).cast("decimal(38,2)").alias("l_extendedprice"))
+    after = consolidate.consolidate(rows, t.PART_PRICE, ordered=False)
+    compared = checks.reconcile(checks.control_totals(rows, t.PART_PRICE), checks.control_totals(after, t.PART_PRICE))
+    return compared.withColumns({c: F.col(c).cast("string") for c in ("sum_before", "sum_after")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "consolidate_sum": consolidate_sum, "consolidate_mean": consolidate_mean, "consolidate_multi": consolidate_multi,
     "count_over_key": count_over_key,
@@ -409,4 +431,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         first_issues, run_summary, strict_gate, open_gate, blocked_gate, date_coercion, csv_roundtrip, decimal_comma,
         column_conformance, csv_defects, gated_run, gated_run_report, quoted_line_breaks, many_headers, wide_records,
         mixed_formats, split_row_numbers, name_forms, bounds_on_counts, run_modes, republish,
-        partitioned_run)}}
+        partitioned_run, sums_of_any_size, totals_beyond_1e20)}}

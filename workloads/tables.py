@@ -51,7 +51,11 @@ ALL_MISSING = Spec(
     (Column("l_orderkey", "int"), Column("qty", "float", True, scale=2), Column("n", "float", True)),
     keys=("l_orderkey",), rules=(Rule("qty", "sum"), Rule("n", "count")), order=("l_orderkey", "qty", "n"))
 
-ACCOUNT_BOUNDS = Spec(
+ACANY_SIZE = Spec(
+    "numbers of any size", (Column("l_partkey", "int"), Column("kind", "string"), Column("amount", "float")),
+    keys=("l_partkey", "kind"), rules=(Rule("amount", "sum"),), order=("l_partkey", "kind", "amount"))
+
+COUNT_BOUNDS = Spec(
     "balance by nation and segment",
     (Column("c_nationkey", "int"), Column("c_mktsegment", "string"), Column("c_acctbal", "float", scale=2)),
     keys=("c_nationkey", "c_mktsegment"), rules=(Rule("c_acctbal", "sum"),),
@@ -73,6 +77,10 @@ NOTED = Spec(
     "notes over several lines", (Column("l_partkey", "int"), Column("note", "string"), Column("l_quantity", "float", scale=2)),
     keys=("l_partkey", "note"), rules=(Rule("l_quantity", "sum"),), order=("l_partkey", "note", "l_quantity"))
 
+ANY_SIZE = Spec(
+    "numbers of any size", (Column("l_partkey", "int"), Column("kind", "string"), Column("amount", "float")),
+    keys=("l_partkey", "kind"), rules=(Rule("amount", "sum"),), order=("l_partkey", "kind", "amount"))
+
 COUNT_BOUNDS = Spec(
     "bounds of a counted and a summed column",
     (Column("c_nationkey", "int"), Column("c_custkey", "int"), Column("c_acctbal", "float", scale=2)),
