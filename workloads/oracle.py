@@ -125,6 +125,16 @@ ORACLE: dict[str, str] = {
             + CAST(0.01 AS DECIMAL(2,2))) AS VARCHAR) AS total, COUNT(*) AS n FROM lineitem)
         SELECT 'l_extendedprice' AS column_name, total AS sum_before, total AS sum_after, TRUE AS passed, n AS rows_in,
         g AS rows_out, n - g AS duplicates_merged FROM s, (SELECT COUNT(*) AS g FROM ({_SUM}))""",
+    "validated_tables": f"""WITH d AS (SELECT *, CAST(right(list_id, 4) AS INT) AS y FROM ({_DIRTY})),
+        g AS (SELECT SUM(CASE WHEN y = 1996 THEN l_quantity WHEN y = 1997 AND linestatus IS NOT NULL THEN TRY_CAST(qty_raw AS DOUBLE) END)
+            AS good_total FROM d)
+        SELECT f.*, good_total FROM (
+            SELECT 'dirty' AS list_id, 'missing_value' AS rule, 'linestatus' AS column_name, COUNT(*) AS n FROM d
+                WHERE y < 1996 AND linestatus IS NULL HAVING COUNT(*) > 0
+            UNION ALL SELECT 'dirty', 'wrong_type', 'qty_raw', COUNT(*) FROM d WHERE y < 1996 AND qty_raw = 'not_a_number'
+                HAVING COUNT(*) > 0
+            UNION ALL SELECT 'lacking', 'missing_column', 'qty_raw', 1
+            UNION ALL SELECT 'noted', 'unknown_column', 'l_shipdate', 1) AS f, g""",
     "republish": _SUM,
     "partitioned_run": _SUM,
     "many_headers": _SUM,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold import Dialect, Spec, published, run
+from tallyfold import Dialect, Spec, published, run, validate_tables
 from tallyfold.operators import checks, consolidate, numbering, validate
 from tallyfold.plans import publish, report
 from tallyfold.plans.run import profiled
@@ -422,6 +422,20 @@ def totals_beyond_1e20(spark: SparkSession, folder: str) -> DataFrame:
     return compared.withColumns({c: F.col(c).cast("string") for c in ("sum_before", "sum_after")})
 
 
+def validated_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables checked where they are: which findings, how often, and what the good tables add up to."""
+    rows = t.listed(spark, folder)
+    dirty, year = t.dirty(rows).select("linestatus", "qty_raw", "l_shipdate"), F.year("l_shipdate")
+    found = validate_tables({
+        "dirty": dirty.where(year < 1996).drop("l_shipdate"),
+        "clean": rows.where(year == 1996).select(F.col("l_linestatus").alias(" linestatus"), F.col("l_quantity").alias("qty_raw")),
+        "noted": dirty.where(year == 1997).dropna().where("qty_raw <> 'not_a_number'"),
+        "lacking": dirty.where(year > 1997).select("linestatus")}, t.DIRTY)
+    good = consolidate.consolidate(found.valid, t.DIRTY, ordered=False).agg(F.sum("qty_raw").cast("double")).scalar()
+    counts = found.issues.groupBy("list_id", "rule", "column_name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("*", good.alias("good_total"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "consolidate_sum": consolidate_sum, "consolidate_mean": consolidate_mean, "consolidate_multi": consolidate_multi,
     "count_over_key": count_over_key,
@@ -431,4 +445,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         first_issues, run_summary, strict_gate, open_gate, blocked_gate, date_coercion, csv_roundtrip, decimal_comma,
         column_conformance, csv_defects, gated_run, gated_run_report, quoted_line_breaks, many_headers, wide_records,
         mixed_formats, split_row_numbers, name_forms, bounds_on_counts, run_modes, republish,
-        partitioned_run, sums_of_any_size, totals_beyond_1e20)}}
+        partitioned_run, sums_of_any_size, totals_beyond_1e20,
+        validated_tables)}}
