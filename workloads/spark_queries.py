@@ -11,10 +11,10 @@ from tallyfold import Dialect, Spec, published, run, validate_tables
 from tallyfold.operators import checks, consolidate, numbering, validate
 from tallyfold.plans import publish, report
 from tallyfold.plans.run import profiled
-from tallyfold.session import work_dir
+from tallyfold.session import settled, work_dir
 from tallyfold.sources import catalog as lists
 from tallyfold.sources import storage
-from tallyfold.sources.scan import BAD_TEXT, BLOCK, FILE, MALFORMED, SEQ, cells, part_names, scan
+from tallyfold.sources.scan import BAD_TEXT, BLOCK, FILE, MALFORMED, SEQ, UNCLOSED, cells, part_names, scan
 from workloads import tables as t
 
 PLACE = [FILE, BLOCK, SEQ]
@@ -126,13 +126,26 @@ def issue_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _dirty_issues(spark, folder)
 
 
+def _dirty_profile(spark: SparkSession, folder: str, clean_until: int = 0) -> DataFrame:
+    """What one pass tells about the year lists: rows and violations of each, one row per list."""
+    rows = t.dirty(t.listed(spark, folder), clean_until).withColumns(
+        {FILE: F.col("list_id"), **{c: F.lit(False) for c in (MALFORMED, BAD_TEXT, UNCLOSED)}})
+    return settled(validate.list_profile(cells(rows, t.DIRTY, [FILE, MALFORMED, BAD_TEXT, UNCLOSED]), t.DIRTY))
+
+
+def _counts(profile: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Errors and warnings per list, in its cells and its header."""
+    in_cells = validate.cell_issue_counts(profile, t.DIRTY).select(
+        "list_id", F.col("n").alias("errors"), F.lit(0).cast("bigint").alias("warnings"))
+    in_headers = report.issue_counts(validate.column_issues(catalog, t.DIRTY))
+    return in_cells.unionByName(in_headers).groupBy("list_id").agg(
+        F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"))
+
+
 def list_status(spark: SparkSession, folder: str) -> DataFrame:
-    rows = t.listed(spark, folder)
-    catalog = t.header(rows, 1996)
-    issues = _dirty_issues(spark, folder, clean_until=1997)
-    issues = issues.unionByName(validate.column_issues(catalog, t.DIRTY))
-    sizes = rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("rows"))
-    return report.list_status(catalog, report.issue_counts(issues), sizes)
+    profile = _dirty_profile(spark, folder, clean_until=1997)
+    catalog = t.header(profile, 1996)
+    return report.list_status(catalog, _counts(profile, catalog), profile)
 
 
 def first_issues(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,10 +153,9 @@ def first_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = t.listed(spark, folder)
-    issues = _dirty_issues(spark, folder).unionByName(validate.column_issues(t.header(rows, 1996), t.DIRTY))
-    found = rows.agg(F.count_distinct("list_id").alias("lists_found"), F.count(F.lit(1)).alias("rows_in"))
-    status = report.run_status(report.issue_counts(issues))
+    profile = _dirty_profile(spark, folder)
+    found = profile.agg(F.count(F.lit(1)).alias("lists_found"), F.sum("rows").alias("rows_in"))
+    status = report.run_status(_counts(profile, t.header(profile, 1996)))
     return status.select("*", found.select("lists_found").scalar().alias("lists_found"),
                          found.select("rows_in").scalar().alias("rows_in"))
 
