@@ -300,7 +300,7 @@ def quoted_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
     path = t.csv_folder(spark, [rows.where(year <= 1995).select("l_partkey", "l_quantity", "note"),
                                 rows.where((year > 1995) & (key % 7 != 0)).select(*t.NOTED.required),
                                 rows.where((year > 1995) & (key % 7 == 0)).select("note", "l_partkey", "l_quantity")])
-    outcome = run(t.split_session(spark), t.NOTED, path, work_dir(spark, "out") + "/result")
+    outcome = run(t.split_session(spark, path), t.NOTED, path, work_dir(spark, "out") + "/result")
     return _double(outcome.result, "l_quantity")
 
 
@@ -349,8 +349,9 @@ def split_row_numbers(spark: SparkSession, folder: str) -> DataFrame:
     order = ("l_orderkey", "l_partkey", "l_linestatus", "l_quantity")
     rows = t.dirty(t.listed(spark, folder))
     named = {n: df.select(*t.DIRTY.required) for n, df in t.by_year(rows, order).items()}
-    session = t.split_session(spark, 4096)
-    files = lists.read_headers(session, lists.discover(session, t.named_lists(spark, named)))
+    path = t.named_lists(spark, named)
+    session = t.split_session(spark, path)
+    files = lists.read_headers(session, lists.discover(session, path))
     read = scan(session, files, t.DIRTY)
     found = numbering.with_row_numbers(validate.cell_issues(read, t.DIRTY, PLACE), read)
     return found.select(F.col(FILE).alias("list_id"), "rule", "column_name", "row_no", "bad_value")

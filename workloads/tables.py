@@ -51,11 +51,7 @@ ALL_MISSING = Spec(
     (Column("l_orderkey", "int"), Column("qty", "float", True, scale=2), Column("n", "float", True)),
     keys=("l_orderkey",), rules=(Rule("qty", "sum"), Rule("n", "count")), order=("l_orderkey", "qty", "n"))
 
-ACANY_SIZE = Spec(
-    "numbers of any size", (Column("l_partkey", "int"), Column("kind", "string"), Column("amount", "float")),
-    keys=("l_partkey", "kind"), rules=(Rule("amount", "sum"),), order=("l_partkey", "kind", "amount"))
-
-COUNT_BOUNDS = Spec(
+ACCOUNT_BOUNDS = Spec(
     "balance by nation and segment",
     (Column("c_nationkey", "int"), Column("c_mktsegment", "string"), Column("c_acctbal", "float", scale=2)),
     keys=("c_nationkey", "c_mktsegment"), rules=(Rule("c_acctbal", "sum"),),
@@ -134,10 +130,11 @@ def by_year(rows: DataFrame, order: tuple[str, ...]) -> dict[str, DataFrame]:
             for y in sorted(years)}
 
 
-def split_session(spark: SparkSession, split_bytes: int = 1 << 16) -> SparkSession:
-    """A sibling session that cuts lists into small splits."""
+def split_session(spark: SparkSession, path: str, splits: int = 50) -> SparkSession:
+    """A sibling session that cuts the lists of a folder into about so many splits."""
     session = spark.newSession()
-    session.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    size = sum(e.size for e in storage.entries(spark, path)) // splits
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(max(size, 1)))
     session.conf.set("spark.sql.files.openCostInBytes", "0")
     return session
 
