@@ -124,6 +124,7 @@ def _blocks(rows: DataFrame, slices: int) -> DataFrame:
                 if block.size >= BLOCK_BYTES:
                     yield from block.packed(arrow, slices)
                     block = Block(block.no + 1)
+                    _give_back()
         if block.size or block.rows:
             yield from block.packed(arrow, slices)
 
@@ -181,6 +182,11 @@ class Block:
                                            for f in schema], names=schema.names)
 
 
+def _give_back() -> None:
+    """Hand freed memory back: workers live on, and two of them share a machine with Spark."""
+    pa.default_memory_pool().release_unused()
+
+
 def _squeezed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -224,6 +230,7 @@ def _looked_up(path: str, schema: T.StructType):
 
     def look_up(runs: pa.Table, known: pa.Table) -> pa.Table:
         """Ids of the documents of one block: its chunks' ids, taken in the order of the numbers."""
+        _give_back()
         sizes, ids = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
         for packed in known.sort_by("slice")["packed"]:
             both = _numbers(packed.as_py())
@@ -258,13 +265,14 @@ def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str
             lists = batch.column("ids")
             ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             begin = 0
-            while begin < len(ends):  # texts of about a million ids at a time
-                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20))))
+            while begin < len(ends):  # texts of some hundred thousand ids at a time
+                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 18))))
                 part = [i or [] for i in lists.slice(begin, stop - begin).to_pylist()]
                 texts = pa.array([sp.decode(i) if i else "" for i in part], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(begin, stop - begin), texts],
                                                  names=["row", into])
                 begin = stop
+            _give_back()
 
     found = rows.select(F.struct(*rows.columns).alias("row"), F.col(ids).alias("ids")).mapInArrow(decode, schema)
     return found.select("row.*", into)
