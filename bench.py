@@ -20,7 +20,9 @@ from tallyfold.session import local_session, work_dir
 from workloads import tables as t
 from workloads.spark_queries import QUERIES
 
-RUNS = ("gated_run", "gated_run_report", "csv_roundtrip", "csv_defects", "column_conformance", "decimal_comma")
+RUNS = ("gated_run", "gated_run_report", "csv_roundtrip", "csv_defects", "column_conformance", "decimal_comma",
+        "quoted_line_breaks", "many_headers", "wide_records", "mixed_formats", "split_row_numbers", "name_forms", "run_modes",
+        "republish", "partitioned_run", "sums_of_any_size", "validated_tables")
 
 
 def timed(action, repeat: int) -> float:
