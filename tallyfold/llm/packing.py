@@ -6,8 +6,8 @@ of sequences that no packing of its pieces can undercut.  A partition that meets
 their full sequences and exchange the rest, which is dealt anew over fewer partitions and packed again, until the
 bounds are met or nothing is gained.
 
-Only (document, piece, length, checksum) rows are shuffled, never texts or ids.  A partition holds a bounded number of
-pieces, whatever the keys.  Words are encoded once per worker and looked up after that: the tokenizer never joins
+Only (document, piece, length, checksum) rows are shuffled, never texts or ids.  They are dealt by where the stored table
+holds them, so a partition has a bounded number of pieces, whatever the ids and texts.  Words are encoded once per worker and looked up after that: the tokenizer never joins
 anything over a blank, so a text's ids are those of its words one after the other.
 
 Defined results: null and empty texts are one piece holding the end id; repeated rows are packed like different
@@ -38,7 +38,7 @@ BLANKS = re.compile("[ \t\n\r]+")
 _state: dict = {}
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, " \
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, place long, part long, bin long, offset long, " \
          "fill long, gap long"
 
 
@@ -182,11 +182,16 @@ def _packed(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(bin=bins, offset=places, fill=fills[bins], gap=len(fills) - least_bins(lengths))
 
 
+def placed(pieces_stored: DataFrame) -> DataFrame:
+    """Rows of a stored table with a number drawn from their place in it: equal rows get different ones."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    return pieces_stored.select("*", F.xxhash64(part, F.col("_metadata.row_index")).alias("place"))
+
+
 def pack(rows: DataFrame, per_part: int = PER_PART) -> DataFrame:
     """Sequence and place of pieces (doc_id, piece, start, length, ids_crc32), as few sequences as found."""
-    rows = stored(rows, "pieces")
+    rows = placed(stored(rows, "pieces"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    place = F.xxhash64("doc_id", "piece", "start")
     # Whole sequences need no partner.
     done = [rows.where(F.col("length") == CAPACITY)
             .select(*columns, F.expr("shiftleft(1L, 61) + monotonically_increasing_id()").alias("sequence_id"),
@@ -194,10 +199,10 @@ def pack(rows: DataFrame, per_part: int = PER_PART) -> DataFrame:
     open_rows, before = rows.where(F.col("length") < CAPACITY), None
     for number in range(MOST_ROUNDS):
         parts = parts_for(open_rows.count(), per_part << number)  # rows are small: each round over half as many
-        dealt = open_rows.select(*columns, F.pmod(place + number, F.lit(parts)).alias("part"))
+        dealt = open_rows.select(*columns, "place", F.pmod(F.xxhash64("place", F.lit(number)), F.lit(parts)).alias("part"))
         packed = stored(dealt.groupBy("part").applyInPandas(_packed, PACKED), "packed")
         sequence = (F.lit(number << 56) + F.col("part") * (1 << 24) + F.col("bin")).alias("sequence_id")
-        made = packed.select(*columns, sequence, "offset", "fill", "gap", "part")
+        made = packed.select(*columns, "place", sequence, "offset", "fill", "gap", "part")
         now = made.agg(F.countDistinct("sequence_id")).first()[0]
         if before is not None and now >= before[1]:
             done.append(before[0].select(*columns, "sequence_id", "offset"))

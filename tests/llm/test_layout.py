@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from helpers import corpus, frame, prose, shingles
 from tallyfold.llm import html, packing, pii, sharding
-from tallyfold.llm.common import importable, table
+from tallyfold.llm.common import importable, stored, table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -62,6 +63,16 @@ def test_partitions_exchange_what_is_left(spark):
     assert bound <= used < alone
 
 
+def test_rows_alike_are_dealt_evenly(spark):
+    same = stored(spark.range(20_000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start",
+                                                           "9L as length", "9L as ids_crc32"), "same")
+    parts = packing.placed(same).groupBy(F.pmod("place", F.lit(50))).count().agg(F.count("*"), F.max("count")).first()
+    assert parts[0] == 50 and parts[1] < 600
+    found = packing.pack(same, per_part=1000).collect()
+    assert len(found) == 20_000 and len({(r.sequence_id, r.offset) for r in found}) == 20_000
+    assert len({r.sequence_id for r in found}) <= 20 * 3  # in 20 parts, each as few as its bound allows
+
+
 def test_bounds_hold_against_exact_packing():
     rng = random.Random(6)
 
