@@ -22,10 +22,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import parts_for, stored
+from tallyfold.llm.common import parts_for, stored, text_batches
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -33,8 +34,8 @@ PER_PART = 20_000  #: pieces packed together
 MOST_ROUNDS = 8
 KNOWN_WORDS = 500_000  #: entries of a worker's word table before it starts anew
 #: Letters that no normalisation changes but by lower-casing, and signs that never form a unit with them.
-PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
-BLANKS = re.compile("[ \t\n\r]+")
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+GATHERED = 1 << 20  #: words whose ids are put in place at once
 _state: dict = {}
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -50,8 +51,8 @@ def tokenizer_path() -> str:
 class Words:
     """Ids of words as little-endian 32-bit bytes, encoded on first sight.
 
-    Plain words (letters, then perhaps a run of signs) are encoded many at a time as one text: each is one or two
-    units of the tokenizer, and a unit ends where a token does that closes a word.
+    Plain words (letters, then perhaps a run of signs) are put together from units, the letters in lower case and the
+    signs.  Units are encoded many at a time as one text: each ends where a token does that closes a word.
     """
 
     def __init__(self, path: str):
@@ -62,43 +63,67 @@ class Words:
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[closing] = True
 
-    def split(self, text: str) -> list[str]:
-        # These count as blanks for Python, but not for the tokenizer.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return BLANKS.split(text)
-        return text.split()
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain, units, other = [], [], []
+        known, composed, stems, ends_with, units, other = self.known, [], [], [], set(), []
         for word in words:
             m = PLAIN.fullmatch(word)
-            if m:
-                plain.append(word)
-                units.append(2 if m.group(1) else 1)
-            else:
+            if m is None:
                 other.append(word)
-        for begin in range(0, len(plain), 1000):
-            some = plain[begin:begin + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids])
-            last = np.cumsum(units[begin:begin + 1000])
-            if len(ends) != last[-1]:
+                continue
+            stem, signs = m.groups()
+            stem = stem.lower()
+            units.add(stem)
+            if signs:
+                units.add(signs)
+            if signs or stem != word:
+                composed.append(word)
+                stems.append(stem)
+                ends_with.append(signs)
+        units = list(units.difference(known))
+        for begin in range(0, len(units), 1000):
+            some = units[begin:begin + 1000]
+            ids = self._encoded([" ".join(some)])[0]
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):
                 other += some  # not as foreseen: one by one
                 continue
-            cuts = [0, *(4 * (ends[last - 1] + 1)).tolist()]
-            data = ids.tobytes()
-            self.known.update(zip(some, [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         for begin in range(0, len(other), 1000):
             some = other[begin:begin + 1000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+            known.update(zip(some, [x.tobytes() for x in self._encoded(some)], strict=True))
+        for word, stem, signs in zip(composed, stems, ends_with, strict=True):
+            known[word] = known[stem] + known[signs] if signs else known[stem]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(x) for x in texts]
+    def _looked_up(self, words: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        self._learn(list(set().union(*parts).difference(self.known)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in parts]
+        found = [*map(self.known.get, words)]
+        at = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([words[i] for i in at])
+        for i in at:
+            found[i] = self.known[words[i]]
+        return found
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text.  Words end at ASCII blanks; one with other blanks in it is encoded as it is."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.values.dictionary_encode()
+        ids = self._looked_up(words.dictionary.to_pylist())
+        each = np.array([len(x) for x in ids], np.int64) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(each) - each
+        index = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(each[index])])
+        out = np.empty(ends[-1], "<u4")
+        for begin in range(0, len(index), GATHERED):
+            part = index[begin:begin + GATHERED]
+            at = ends[begin:begin + len(part) + 1]
+            out[at[0]:at[-1]] = flat[np.repeat(first[part] - at[:-1], each[part]) + np.arange(at[0], at[-1])]
+        cuts = ends[split.offsets.to_numpy()]
+        return [out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _words(path: str) -> Words:
@@ -115,8 +140,8 @@ def pieces(path: str, text: str = "text", capacity: int = CAPACITY) -> Column:
     def cut(texts: pa.Array) -> pa.Array:
         coder, end = _words(path), np.array([END_ID], "<u4").tobytes()
         number, start, length, crc, offsets = [], [], [], [], [0]
-        for begin in range(0, len(texts), 64):
-            for ids in coder.ids([x or "" for x in texts.slice(begin, 64).to_pylist()]):
+        for _, some in text_batches(texts):
+            for ids in coder.ids(some):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
