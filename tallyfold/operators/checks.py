@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions import exact
 from tallyfold.functions.names import col
 from tallyfold.operators.consolidate import TOTAL_TYPE, Spans, addend, is_free, result_order, sum_type, total
-from tallyfold.operators.numbering import with_ordinals
+from tallyfold.operators.numbering import ascending, with_ordinals
 from tallyfold.operators.validate import free_total, issue, stacked_totals
 from tallyfold.spec import Spec
 
+ALIKE = "_tallyfold_alike"  # rows with the same keys
+
 
 def control_totals(rows: DataFrame, spec: Spec, spans: Spans | None = None) -> DataFrame:
     """Exact total of every summed column, with the row count: (column_name, total, rows).
@@ -73,6 +75,21 @@ def residual_duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def sorted_and_counted(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """Rows in the order of ``by``, which must be the keys in some order, and how many of them share their keys.
+
+    The ranges that the sort deals rows into hold all rows of a key, so counting them there takes no shuffle of its own.
+    The observation's ``repeated`` is known once the rows have been written.
+    """
+    if set(keys) != set(by):
+        raise ValueError(f"rows sorted by {list(by)} are not dealt by {list(keys)}")
+    alike = F.count(F.lit(1)).over(Window.partitionBy(*[col(k) for k in keys]))
+    held = Observation()
+    counted = (rows.repartitionByRange(*ascending(by)).withColumn(ALIKE, alike)
+               .observe(held, F.count_if(F.col(ALIKE) > 1).alias("repeated")))
+    return counted.sortWithinPartitions(*ascending(by)).drop(ALIKE), held
+
+
 def range_rules(spec: Spec) -> list[tuple[str, str, Column]]:
     """(rule, column, violated?) for bounded result columns; counts have no bounds of their own."""
     counted = set(spec.columns_with("count"))

@@ -76,7 +76,7 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
         rows = validate.typed_rows(scan(spark, seen.scanned, spec, dialect, checking=False), spec)
         spans = validate.spans(seen.profile, spec)
         try:
-            merged = _staged(spark, rows, spec, staged, spans)
+            merged, repeated = _staged(spark, rows, spec, staged, spans)
         except Exception:
             _abandon(spark, output, staged, writing)
             raise
@@ -90,7 +90,7 @@ def run(spark: SparkSession, spec: Spec, input_dir: str, output: str | None = No
             before = checks.measured_totals(rows, spec, spans)  # the checking pass kept the usual places only
         reconciliation = settled(checks.reconcile(before, after))
         issues = seen.issues
-        for found in _result_issues(merged, reconciliation, outside, spec):
+        for found in _result_issues(merged, reconciliation, outside, repeated, spec):
             issues = issues.unionByName(found)
 
     issues = _stored_issues(spark, issues, report_dir, run_id)
@@ -210,12 +210,20 @@ def _cell_issues(spark: SparkSession, files: list[ListFile], spec: Spec, dialect
                                            F.col("column_name"), F.col("row_no"), F.col("bad_value")))
 
 
-def _staged(spark: SparkSession, rows: DataFrame, spec: Spec, path: str, spans: consolidate.Spans) -> DataFrame:
-    """Merge, sort and write; the checks then judge exactly what would be published."""
-    merged = consolidate.grouped(rows, spec, spans)
-    ordered = merged.orderBy(*numbering.ascending(consolidate.result_order(spec)))
-    ordered.select(*[col(n) for n in _stored_names(spec, merged)]).write.parquet(path)
-    return spark.read.parquet(storage.literal(path))
+def _staged(spark: SparkSession, rows: DataFrame, spec: Spec, path: str,
+            spans: consolidate.Spans) -> tuple[DataFrame, int | None]:
+    """Merge, sort and write; the checks then judge exactly what would be published.
+
+    Also tells how many of the rows written share their keys, if the sort is by keys alone; else that is not known yet.
+    """
+    merged, by = consolidate.grouped(rows, spec, spans), consolidate.result_order(spec)
+    names, held = [col(n) for n in _stored_names(spec, merged)], None
+    if set(by) == set(spec.keys):
+        ordered, held = checks.sorted_and_counted(merged, spec.keys, by)
+    else:
+        ordered = merged.orderBy(*numbering.ascending(by))
+    ordered.select(*names).write.parquet(path)
+    return spark.read.parquet(storage.literal(path)), held.get["repeated"] if held else None
 
 
 def _abandon(spark: SparkSession, output: str | None, staged: str, writing: bool) -> None:
@@ -231,11 +239,13 @@ def _stored_names(spec: Spec, merged: DataFrame) -> list[str]:
     return first + [n for n in merged.columns if n not in first]
 
 
-def _result_issues(merged: DataFrame, reconciliation: DataFrame, outside: int, spec: Spec) -> Iterator[DataFrame]:
+def _result_issues(merged: DataFrame, reconciliation: DataFrame, outside: int, repeated: int | None,
+                   spec: Spec) -> Iterator[DataFrame]:
     """Findings about the result; the costlier lookups only where there is something to find."""
-    duplicates = checks.residual_duplicates(merged, spec.keys)
-    if not duplicates.isEmpty():
-        yield checks.duplicate_issues(duplicates, spec)
+    if repeated is None or repeated:
+        duplicates = checks.residual_duplicates(merged, spec.keys)
+        if not duplicates.isEmpty():
+            yield checks.duplicate_issues(duplicates, spec)
     yield checks.sum_issues(reconciliation)
     if outside:
         placed = merged.select("*", *numbering.stored_place())

@@ -193,3 +193,23 @@ def test_plans_stay_native_and_shuffle_once(spark, spec):
     assert "Python" not in text and "SortAggregate" not in text
     assert "CartesianProduct" not in plan(checks.gated(made(spark), checks.sum_issues(
         reconcile(totals(spark, "x", "1"), totals(spark, "x", "1")))))
+
+
+def test_rows_that_share_keys_are_counted_where_they_are_sorted(spark, tmp_path):
+    df = spark.range(0, 30000).select(F.when(F.col("id") % 10 > 0, F.col("id") % 7001).alias("k"),
+                                      (F.col("id") % 3).cast("string").alias("g"), "id").repartition(16)
+    single = df.groupBy("k", "g").agg(F.min("id").alias("id"))
+    for given in (single, df, single.limit(0)):
+        ordered, held = checks.sorted_and_counted(given, ["g", "k"], ["k", "g"])
+        ordered.write.mode("overwrite").parquet(str(tmp_path / "out"))
+        want = given.join(checks.residual_duplicates(given, ["g", "k"]).select(F.col("g").alias("g2"), F.col("k").alias("k2")),
+                          F.col("g").eqNullSafe(F.col("g2")) & F.col("k").eqNullSafe(F.col("k2")), "left_semi").count()
+        assert held.get["repeated"] == want and ordered.columns == given.columns
+        stored = spark.read.parquet(str(tmp_path / "out")).select("*", *numbering.stored_place()).toPandas()
+        in_files = stored.sort_values(["_name", "_index"])[["k", "g"]].reset_index(drop=True)
+        assert in_files.equals(stored.sort_values(["k", "g"], na_position="last")[["k", "g"]].reset_index(drop=True))
+    text = plan(ordered.sparkSession.range(100).selectExpr("id % 9 as k", "id as g").transform(
+        lambda d: checks.sorted_and_counted(d, ["g", "k"], ["k", "g"])[0]))
+    assert text.count("Exchange") == 1 and "rangepartitioning" in text
+    with pytest.raises(ValueError, match="not dealt"):
+        checks.sorted_and_counted(df, ["k"], ["k", "id"])
