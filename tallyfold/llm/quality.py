@@ -8,7 +8,8 @@ number (its vector times the difference of the two class weights), so that is al
 
 Defined results: null and empty texts have no features and score the learned prior; without labelled rows of both
 classes the model is the constant share of label 1 (0.5 without any).  Repeated rows score alike; a null id is held
-in.  A document with several labels counts as its lowest one; null labels are ignored.
+in.  A document with several labels counts as its lowest one, a labelled id with several texts is trained on with the
+smallest; null labels are ignored.
 """
 
 from __future__ import annotations
@@ -87,9 +88,9 @@ def labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFram
     place = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = kept.withColumn("place", F.row_number().over(place)).where(F.col("place") <= settings.rows).drop("place")
     share = kept.groupBy("quality").count()
-    # Bounded by 2 x rows, so safe to broadcast.
+    # Bounded by 2 x rows, so safe to broadcast.  An id on many rows gives the smallest of its texts.
     return (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-            .join(F.broadcast(share), "quality"))
+            .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).join(F.broadcast(share), "quality"))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
