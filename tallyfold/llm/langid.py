@@ -9,7 +9,8 @@ Parsing runs in step over many texts at once: a step is one table look-up for al
 steps, parsing starts anew after ``LANE`` symbols of a text, which adds at most one piece there; all symbols count.
 
 Defined results: texts that are null or without a letter are ``und`` with score 0; ties go to the language that
-sorts first; without labelled text all are ``und``.  Repeated rows get equal results.
+sorts first; without labelled text all are ``und``.  Repeated rows get equal results; of rows of one id and language
+only the smallest text can be in the sample.
 """
 
 from __future__ import annotations
@@ -173,8 +174,9 @@ def learn(docs: DataFrame) -> tuple[tuple[str, str], ...]:
               .where(F.col("place") <= SAMPLE_TEXTS).drop("place").distinct())
     many = max(1, rows.select("lang").distinct().count())
     most = max(200, min(SAMPLE_SYMBOLS, MOST_SYMBOLS // many))
-    picked = (rows.join(F.broadcast(chosen), ["doc_id", "lang"])
-              .select("lang", "doc_id", F.substring("text", 1, most).alias("text")).toPandas())
+    # An id on many rows of a language gives the smallest of its texts.
+    picked = (rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id")
+              .agg(F.min(F.substring("text", 1, most)).alias("text")).toPandas())
     samples = []
     for lang, group in picked.groupby("lang"):
         taken, used, seen = [], 0, set()

@@ -42,6 +42,13 @@ def test_quality_odd_rows(spark):
     assert docs.limit(0).select(quality.score(model)).count() == 0
 
 
+def test_one_id_on_many_rows_is_one_row_of_the_samples(spark):
+    docs = spark.range(20_000).selectExpr("8L as doc_id", "concat('words of row ', id) as text", "'en' as lang")
+    labels = spark.createDataFrame([(8, 1)], "doc_id long, quality int")
+    assert [r.text for r in quality.labelled(docs, labels, quality.Settings()).collect()] == ["words of row 0"]
+    assert langid.learn(docs) == (("en", "words of row 0"),)
+
+
 def test_language_holds_out(spark):
     got = op4_language(spark, SMALL).where("held_out").join(table(spark, SMALL, "documents"), "doc_id")
     assert got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] >= 0.97
