@@ -12,10 +12,10 @@ are hashed to ``GROUPS`` groups; the counts by group are a point, and the points
 The overlap of two sets is at most the sum of the coordinate minima, of a set and a node at most the sum of the minima
 with the node's upper corner; branches and pairs that cannot reach the similarity are cut.
 
-Verification.  Only pairs across components are given.  A shard of one leaf gives all that pass the bound, a larger one
-at first a forest (fewer pairs than classes), then some for each pair of components, then all that are left.  After each
-round the pairs are verified on the full sets, links join components, and pairs that fail are remembered.  So every link
-between different components is found, and groups of copies cost time in proportion to their size.
+Verification.  Only pairs across components are given.  A shard gives at first a forest (fewer pairs than classes),
+then some for each pair of components (a shard of one leaf another forest), then all that are left.  After each round the
+pairs are verified on the full sets, links join components, and pairs that fail are remembered.  So every link between
+different components is found, and groups of copies cost time in proportion to their size.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; ids may repeat or be
 null (a component's id is the smallest id of its rows, null if all are null); no rows give no rows.
@@ -37,8 +37,8 @@ WORDS, PERCENT = 5, 80
 SPARE = 0.04  #: part of a prefix that may be shared with unrelated texts without being followed
 GROUPS, LEAF, BLOCK = 128, 16, 2048
 MAP_BITS = 23  #: size of the filter that keeps sets without candidates from being shuffled
-MOST = (None, 32)  #: candidates a shard of more than a leaf tries in a round: a forest, some for a pair of
-#: components, then all
+MOST = (None, 32)  #: candidates a shard tries in a round: a forest, some for a pair of components, then all
+ALL = 1 << 62
 SET_KEY = ["n", "c1", "c2"]
 
 
@@ -228,16 +228,27 @@ def _passes(points: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray)
             & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)))
 
 
-def _leaf_pairs(ids, points, labels, shard) -> list[tuple[int, int]]:
-    """Pairs of many shards of at most one leaf each, all at once; ``shard`` numbers the shard of a row."""
-    sizes, found = points.sum(axis=1), []
+def _leaf_pairs(ids, points, labels, shard, failed: pa.Array, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of many shards of at most one leaf each, all at once; ``shard`` numbers the shard of a row.
+
+    As a ``forest`` each row meets the first later one that the bound lets pass; else all later ones.
+    """
+    sizes, found, free = points.sum(axis=1), [], np.ones(len(ids), bool)
+    own, row = np.unique(ids, return_index=True)
+    lists = failed.take(pa.array(row)).to_pylist() if failed.null_count < len(failed) else []
+    bad = {a: set(b) for a, b in zip(own.tolist(), lists, strict=False) if b}
     for step in range(1, LEAF):
         i = np.flatnonzero(shard[step:] == shard[:-step])
         if not len(i):
             break
-        i = i[labels[i] != labels[i + step]]
-        found.append(np.stack([np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step])])
-                     [:, _passes(points, sizes, i, i + step)])
+        i = i[free[i] & (labels[i] != labels[i + step])]
+        i = i[_passes(points, sizes, i, i + step)]
+        a, b = np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step])
+        if bad:
+            left = np.array([y not in bad.get(x, ()) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            i, a, b = i[left], a[left], b[left]
+        free[i] = not forest
+        found.append(np.stack([a, b]))
     return list(map(tuple, np.unique(np.concatenate(found, axis=1), axis=1).T.tolist())) if found else []
 
 
@@ -247,10 +258,15 @@ def _candidates(most: int | None):
         points = np.frombuffer(b"".join(part["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
         return part["id"].to_numpy(), points, part["label"].to_numpy()
 
+    def leaves(part: pa.RecordBatch | pa.Table, shard: np.ndarray) -> list[tuple[int, int]]:
+        failed = part["failed"]
+        failed = failed.combine_chunks() if isinstance(failed, pa.ChunkedArray) else failed
+        return _leaf_pairs(*read(part), shard, failed, forest=most != ALL)
+
     def solved(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         part = pa.Table.from_batches(rows)
         if len(part) <= LEAF:
-            return _leaf_pairs(*read(part), np.zeros(len(part), np.int64))
+            return leaves(part, np.zeros(len(part), np.int64))
         return shard_pairs(*read(part), part["side"].to_numpy(), part["failed"].to_pylist(), most)
 
     def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -277,7 +293,7 @@ def _candidates(most: int | None):
             if small.any():
                 shard = np.cumsum(new) - 1
                 rows = small[shard]
-                pairs += _leaf_pairs(*read(batch.filter(pa.array(rows))), shard[rows])
+                pairs += leaves(batch.filter(pa.array(rows)), shard[rows])
             yield out(pairs)
         if held:
             yield out(solved(held))
@@ -317,13 +333,13 @@ def _routes(work: DataFrame, classes: DataFrame) -> DataFrame:
     return shared.where(most > 0).select("id", F.explode(followed).alias("s")).select("s.h", "id")
 
 
-def _sharded(routes: DataFrame, labels: DataFrame, points: DataFrame, failed: DataFrame, least: int) -> DataFrame:
-    """Rows of the shards of ``least`` rows that still hold several components, large shards as pairs of blocks."""
+def _sharded(routes: DataFrame, labels: DataFrame, points: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows of the shards that still hold several components, large shards as pairs of blocks."""
     rows = routes.join(labels, "id")
     mixed = (rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"),
                                    F.bit_xor(F.xxhash64("id")).alias("x1"),
                                    F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("x2"))
-             .where((F.col("lo") != F.col("hi")) & (F.col("many") >= least))
+             .where(F.col("lo") != F.col("hi"))
              .groupBy("x1", "x2", "many").agg(F.min("h").alias("h")))
     rows = rows.join(mixed.select("h", "many"), "h")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
@@ -358,10 +374,9 @@ def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     nothing = sets.limit(0).select("id", F.array("id").alias("failed"))
     for number in range(len(MOST) + 1):
         last = number == len(MOST)
-        # Shards of one leaf tell all their candidates in the first round.
-        shards = _sharded(routes, labels, sets.select("id", "point"), failed or nothing, LEAF + 1 if number else 2)
-        found = (shards.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-                 .mapInArrow(_candidates(1 << 62 if last else MOST[number]), "a long, b long").distinct())
+        shards = _sharded(routes, labels, sets.select("id", "point"), failed or nothing)
+        found = (shards.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
+                 .mapInArrow(_candidates(ALL if last else MOST[number]), "a long, b long").distinct())
         judged = stored(_verified(found, sets), "judged")
         if judged.isEmpty():
             break

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import corpus, frame, groups, prose, shingles, words
@@ -73,6 +74,34 @@ def test_shards_in_rounds_reach_every_pair():
     assert sorted(left) == [(24, j) for j in range(25, 50)]
 
 
+def test_leaves_give_forests_then_all():
+    points, ids = np.full((8, jaccard.GROUPS), 3), np.arange(8)
+    shard = np.repeat([0, 1], 4)
+    none = pa.nulls(8, pa.list_(pa.int64()))
+    given = lambda failed, forest: jaccard._leaf_pairs(ids, points, ids, shard, failed, forest)
+    assert given(none, True) == [(0, 1), (1, 2), (2, 3), (4, 5), (5, 6), (6, 7)]
+    assert given(none, False) == [(a + s, b + s) for s in (0, 4) for a, b in combinations(range(4), 2)]
+    failed = pa.array([[1, 2], [2], None, None, None, [7], None, None], pa.list_(pa.int64()))
+    assert given(failed, True) == [(0, 3), (1, 3), (2, 3), (4, 5), (5, 6), (6, 7)]
+    assert (5, 7) not in given(failed, False) and (4, 7) in given(failed, False)
+
+
+@pytest.mark.parametrize("many", [12, 40])
+def test_jaccard_join_where_few_pairs_of_a_group_are_alike(spark, many):
+    rng = random.Random(many)
+    base, rows = prose(rng, 150), []
+    for i in range(many):  # a walk: only neighbours are alike, all share most words
+        base = list(base)
+        for _ in range(2):
+            base[rng.randrange(len(base))] = "other"
+        rows.append((i * 7 % 41, " ".join(base)))
+    sets = {i: shingles(text) for i, text in rows}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"))
+           .collect()}
+    assert got == groups(sorted(sets), links)
+
+
 def test_passages(spark):
     rng = random.Random(3)
     docs = [prose(rng, rng.randint(0, 300), "abcdefgh") for _ in range(48)]
