@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 from collections.abc import Iterable
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.session import work_dir
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; absent elsewhere
+
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine find the package where the driver found it.
@@ -43,12 +46,32 @@ def fold(key: str, folds: int, fold_no: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold_no, F.lit(False))
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine: Python workers live on and share it with Spark."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_batches(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterable[tuple[int, pa.Array]]:
-    """Slices of a text column of about ``most_bytes`` (at least one text each), with the first row's number."""
+    """Slices of a text column of about ``most_bytes`` (at least one text each), with the first row's number.
+
+    What was freed on the way is handed back after the last one.
+    """
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, used = 0, 0
     for i, n in enumerate(sizes):
@@ -58,6 +81,7 @@ def text_batches(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterable[tuple[i
         used += int(n)
     if start < len(sizes):
         yield start, texts.slice(start)
+    give_back()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
