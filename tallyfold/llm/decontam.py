@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import tokens
-from tallyfold.llm.common import text_batches
+from tallyfold.llm.common import stored, text_batches
 
 RANK, STEP, PASSAGE = 64, 8, 32  #: of the latent space; words between window starts; words of a fitted passage
 COSINE, ALONG, SHARE, ANSWER_SHARE, SHORT = 0.35, 0.5, 0.7, 0.5, 8
@@ -113,29 +113,61 @@ def _numbered(texts: pa.Array, items: Items) -> Iterator[tuple[int, np.ndarray,
         yield start, items.numbers(hashes), first
 
 
-def _frequencies(items: Items):
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.vocabulary), np.int64)
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Parts of an array as the rows of a binary column."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _parts(rows: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column one after the other, and how many each row has."""
+    rows = rows.cast(pa.large_binary())
+    offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset:rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].view(kind)
+    return data, np.diff(offsets) // data.itemsize
+
+
+def _coded(items: Items):
+    """Of each text its words that are in the vocabulary, and how many of them each passage holds."""
+    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, numbers, first in _numbered(batch["text"], items):
                 at = np.flatnonzero(numbers >= 0)
-                rows = np.searchsorted(first, at, side="right")
-                both = np.unique(rows * len(total) + numbers[at])
-                total += np.bincount(both % len(total), minlength=len(total))
+                text = np.searchsorted(first, at, side="right") - 1
+                # Passages get numbers of their own: at most one for each PASSAGE words and text.
+                begin = np.cumsum(np.concatenate([[0], -(-np.diff(first) // PASSAGE)]))
+                held = np.bincount(begin[text] + (at - first[text]) // PASSAGE, minlength=begin[-1]).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([_binary(numbers[at], np.searchsorted(at, first)),
+                                                  _binary(held, begin)], names=["words", "held"])
+
+    return code
+
+
+def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of the vocabulary in some texts of a batch, with the numbers of their texts and passages."""
+    for start, part in text_batches(batch["words"]):
+        words, sizes = _parts(part, "<i4")
+        held, _ = _parts(batch["held"].slice(start, len(part)), "u1")
+        yield words, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(held)), held)
+
+
+def _frequencies(size: int):
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for words, text, _ in _decoded(batch):
+                both = np.unique(text * size + words)
+                total += np.bincount(both % size, minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["word", "df"])
 
     return count
 
 
-def _passages(numbers: np.ndarray, first: np.ndarray, weight: np.ndarray):
-    """Unit vectors of consecutive passages as (passage, word, value), ordered by passage."""
-    at = np.flatnonzero((numbers >= 0) & (weight > 0)[numbers])
-    text = np.searchsorted(first, at, side="right") - 1
-    piece = (at - first[text]) // PASSAGE
-    # Passages get numbers of their own: at most one for each PASSAGE words and text.
-    key = np.cumsum(np.concatenate([[0], -(-np.diff(first) // PASSAGE)]))[text] + piece
-    both, count = np.unique(key * len(weight) + numbers[at], return_counts=True)
+def _passages(words: np.ndarray, passage: np.ndarray, weight: np.ndarray):
+    """Unit vectors of passages as (passage, word, value), ordered by passage."""
+    at = np.flatnonzero(weight[words] > 0)
+    both, count = np.unique(passage[at] * len(weight) + words[at], return_counts=True)
     row, word = both // len(weight), both % len(weight)
     value = count * weight[word]
     if not len(row):
@@ -146,13 +178,13 @@ def _passages(numbers: np.ndarray, first: np.ndarray, weight: np.ndarray):
     return np.repeat(np.arange(len(begins)), lengths), word, value / np.repeat(np.maximum(norm, 1e-12), lengths)
 
 
-def _projected(items: Items, basis: np.ndarray):
+def _projected(weight: np.ndarray, basis: np.ndarray):
     """Sums over all passages a of a (a . basis), by chunk of words."""
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape)
         for batch in batches:
-            for _, numbers, first in _numbered(batch["text"], items):
-                row, word, value = _passages(numbers, first, items.idf)
+            for words, _, passage in _decoded(batch):
+                row, word, value = _passages(words, passage, weight)
                 if not len(row):
                     continue
                 value = value.astype(np.float32)[:, None]
@@ -187,10 +219,10 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names=["chunk", "sums"])
 
 
-def _pass(docs: DataFrame, items: Items, basis: np.ndarray) -> np.ndarray:
+def _pass(coded: DataFrame, items: Items, basis: np.ndarray) -> np.ndarray:
     """A'A basis, A being all passages; the driver gets SALTS partial sums of words x rank numbers."""
     schema = "chunk int, sums binary"
-    rows = (docs.mapInArrow(_projected(items, basis.astype(np.float32)), schema)
+    rows = (coded.mapInArrow(_projected(items.idf, basis.astype(np.float32)), schema)
             .withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
             .repartition(SALTS, "salt").drop("salt").mapInArrow(_summed, schema))
     out = np.zeros(basis.shape)
@@ -201,21 +233,24 @@ def _pass(docs: DataFrame, items: Items, basis: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Items:
-    """Weights and latent directions of one block's vocabulary, from all documents."""
-    docs = docs.select("text")
+    """Weights and latent directions of one block's vocabulary, from all documents.
+
+    Texts are read and cut into words once; the passes go over the numbers of their words, stored as small as they are.
+    """
     size = len(items.vocabulary)
-    counted = (docs.mapInArrow(_frequencies(items), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    coded = stored(docs.select("text").mapInArrow(_coded(items), "words binary, held binary"), "block-words")
+    counted = (coded.mapInArrow(_frequencies(size), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
                .toArrow())
     df = np.zeros(size)
     df[counted["word"].to_numpy()] = counted["df"].to_numpy()
     items.df = df
-    many = docs.count()
+    many = coded.count()
     # Frequent words say nothing about a passage and are most of all words: they get no weight.
     items.idf = np.where(df > max(20, FREQUENT * many), 0, np.log((many + 1) / (df + 1)) ** 2 + 1e-3)
     rank = min(rank, size)
     start = np.random.default_rng(7).standard_normal((size, rank))
-    directions, _ = np.linalg.qr(_pass(docs, items, start) + 1e-9 * start)
-    again = _pass(docs, items, directions)
+    directions, _ = np.linalg.qr(_pass(coded, items, start) + 1e-9 * start)
+    again = _pass(coded, items, directions)
     values, turn = np.linalg.eigh(directions.T @ again)
     # Half whitened: the few strongest directions don't drown the rest.
     order = np.argsort(-values)
@@ -372,7 +407,8 @@ def _in_texts(block: Items, lists, latent, length, rarest, spans, numbers: np.nd
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Documents with ``leaks``: an array of the leaked items."""
-    found = [leaks(fit(docs, block), text) for block in read_items(benchmark)]
+    texts = docs.select(F.col(text).alias("text"))
+    found = [leaks(fit(texts, block), text) for block in read_items(benchmark)]
     none = F.expr("cast(array() as array<struct<" + LEAK.replace(" ", ":").replace(",:", ",") + ">>)")
     return docs.withColumn("leaks", F.concat(*found) if found else none)
 

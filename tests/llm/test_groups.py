@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from helpers import corpus, frame, groups, prose, shingles, words
-from tallyfold.llm import decontam, jaccard, neardup, substring
+from tallyfold.llm import decontam, jaccard, neardup, substring, tokens
 from tallyfold.llm.common import components, importable
 
 
@@ -212,6 +212,22 @@ def test_decontamination(spark):
     assert decontam.contaminated(frame(spark, [], "doc_id long, text string"), benchmark).count() == 0
 
 
+def test_coded_texts_give_back_words_and_passages():
+    rng = random.Random(8)
+    texts = [" ".join(prose(rng, n, "abc")) for n in (0, 1, 32, 33, 200, 0, 64)] + [None, "x y z"]
+    hashes, first, _, _ = tokens.words(pa.array(texts))
+    block = decontam.Items([1], [], [], np.unique(hashes[::3]))
+    coded, = decontam._coded(block)([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])
+    assert coded.num_rows == len(texts)
+    got = [tuple(x.tolist() for x in part) for part in decontam._decoded(coded.slice(1))]
+    begin, exact = 0, []
+    for t in range(1, len(texts)):
+        own = block.numbers(hashes[first[t]:first[t + 1]])
+        exact += [(int(w), t - 1, begin + at // decontam.PASSAGE) for at, w in enumerate(own) if w >= 0]
+        begin += -(-len(own) // decontam.PASSAGE)
+    assert [x for part in got for x in zip(*part, strict=True)] == exact
+
+
 def test_common_subsequence_equals_quadratic():
     rng = random.Random(10)
     for _ in range(200):
