@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import stored
+from tallyfold.llm.common import spare_names, stored
 
 KINDS = ("email", "ip", "card", "phone")
 SEED, LOOSE, OTHER = 0, 1, 2
@@ -181,20 +181,19 @@ def accepted(seen: DataFrame) -> DataFrame:
     return (seen.where(f"state = {LOOSE}").join(good, ["kind", "value"]).select("text_hash", "start", "kind", "end"))
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents with ``base_spans`` and ``all_spans``: arrays of (start, kind, end), ordered."""
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.col(text))).withColumn("found_spans", found(text))
-    first = stored(hashed.select("text_hash", "found_spans.seen").where(F.size("seen") > 0)
-                   .groupBy("text_hash").agg(F.first("seen").alias("seen"))
+def with_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", every: str = "all_spans") -> DataFrame:
+    """Documents with the columns ``base`` and ``every``: arrays of (start, kind, end), ordered."""
+    key, both, more = spare_names(docs, "text_hash", "found_spans", "added")
+    hashed = docs.withColumn(key, F.xxhash64(F.col(text))).withColumn(both, found(text))
+    seen = hashed.select(F.col(key).alias("text_hash"), F.col(both)["seen"].alias("seen"))
+    first = stored(seen.where(F.size("seen") > 0).groupBy("text_hash").agg(F.first("seen").alias("seen"))
                    .select("text_hash", F.explode("seen").alias("s")).select("text_hash", "s.*"), "pii-seen")
     span = F.struct(*(F.col(c).cast("int").alias(c) for c in ("start", "kind", "end")))
-    added = accepted(first).groupBy("text_hash").agg(F.collect_list(span).alias("added"))
-    base = F.col("found_spans.base")
-    return (hashed.join(added, "text_hash", "left")
-            .withColumn("base_spans", base)
-            .withColumn("all_spans", F.when(F.col("added").isNull(), base)
-                        .otherwise(F.array_sort(F.concat(base, F.col("added")))))
-            .drop("text_hash", "found_spans", "added"))
+    added = (accepted(first).groupBy(F.col("text_hash").alias(key)).agg(F.collect_list(span).alias(more)))
+    return (hashed.join(added, key, "left").withColumn(base, F.col(both)["base"])
+            .withColumn(every, F.when(F.col(more).isNull(), F.col(base))
+                        .otherwise(F.array_sort(F.concat(F.col(base), F.col(more)))))
+            .drop(key, both, more))
 
 
 def written(spans: str) -> Column:
@@ -232,5 +231,6 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append(x)
         return pa.array(out, pa.string())
 
-    marked = with_spans(docs, text)
-    return marked.withColumn(text, replaced(F.col(text), F.col("all_spans"))).select(*docs.columns)
+    base, every = spare_names(docs, "base_spans", "all_spans")
+    marked = with_spans(docs, text, base, every)
+    return marked.withColumn(text, replaced(F.col(text), F.col(every))).select(*docs.columns)

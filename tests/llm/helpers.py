@@ -57,4 +57,6 @@ def frame(spark, rows, columns="doc_id long, text string"):
     from pyspark.sql import functions as F
     df = spark.createDataFrame(rows, columns)
     return df.withColumns({"id": F.lit("x"), "n": F.lit(1.5), "h": F.lit(None).cast("string"), "label_": F.lit(True),
-                           "score": F.lit("s"), "part": F.lit(0), "start": F.lit("begin")})
+                           "score": F.lit("s"), "part": F.lit(0), "start": F.lit("begin"), "row": F.lit(2),
+                           "text_hash": F.lit("t"), "found_spans": F.lit(0), "added": F.lit("a"), "leaks": F.lit(1),
+                           "base_spans": F.lit("b"), "all_spans": F.lit("c"), "words": F.lit(0), "held": F.lit(0)})

@@ -177,6 +177,15 @@ def test_stages_take_empty_tables(spark):
         assert stage(spark, docs, SMALL).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    docs = frame(spark, [(1, "mail a.b@c.de now"), (2, None), (3, "w " * 60_000), (None, "")])
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns
+        rows = {r.doc_id: r for r in got.collect()}
+        assert len(rows) == 4 and all((r.leaks, r.text_hash, r.added, r.row) == (1, "t", "a", 2) for r in rows.values())
+
+
 def test_near_copies_of_repeated_and_null_ids(spark):
     rng = random.Random(5)
     one, two, three, four = (" ".join(prose(rng, 60)) for _ in range(4))
