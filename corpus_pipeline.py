@@ -46,8 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    found = decontam.with_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).drop("leaks")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    found = decontam.with_leaks(rows, table(spark, sf_dir, "benchmark"), "row.text")
+    return found.where(F.size("leaks") == 0).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
