@@ -86,6 +86,47 @@ def test_leaves_give_forests_then_all():
     assert (5, 7) not in given(failed, False) and (4, 7) in given(failed, False)
 
 
+def test_a_pair_of_many_shards_is_given_by_one():
+    points = np.full((40, jaccard.GROUPS), 3)
+    sides, none = np.full(40, 2), [[] for _ in range(40)]
+    shards = {h: np.array([i for i in range(40) if i % 5 != h % 5 or h > 5]) for h in range(1, 30)}
+    first = {i: [h for h in shards if i in shards[h]][:jaccard.FIRST] for i in range(40)}
+    given = []
+    for h, ids in shards.items():
+        before = jaccard._earlier(pa.array([[x for x in first[i] if x < h] for i in ids.tolist()], pa.list_(pa.int64())))
+        args = points[ids], ids, sides[ids], [none[i] for i in ids], jaccard.ALL, before
+        given += jaccard.shard_pairs(ids, *args)
+        small = ids[:jaccard.LEAF]
+        again = jaccard._leaf_pairs(small, points[small], small, np.zeros(len(small), int), pa.nulls(len(small),
+                                    pa.list_(pa.int64())), False, before[:len(small)])
+        assert set(again) == {p for p in jaccard.shard_pairs(ids, *args) if set(p) <= set(small.tolist())}
+    assert sorted(given) == list(combinations(range(40), 2))
+
+
+def test_candidates_do_not_multiply_with_the_shards_of_a_pair(spark, monkeypatch):
+    rng, given = random.Random(8), spark.sparkContext.accumulator(0)
+    base, rows = prose(rng, 400), []
+    for i in range(30):  # each like no other, all in the same shards
+        near = list(base)
+        for place in range(3, 400, 40):
+            near[place] = f"own{i}"
+        rows.append((i, " ".join(near)))
+    plain = jaccard._candidates
+
+    def counted(most):
+        def read(batches):
+            for batch in plain(most)(batches):
+                given.add(batch.num_rows)
+                yield batch
+
+        return read
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    assert all(r.component_id == r.doc_id for r in
+               jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert 0 < given.value <= 2 * 30 * 29 // 2
+
+
 @pytest.mark.parametrize("many", [12, 40])
 def test_jaccard_join_where_few_pairs_of_a_group_are_alike(spark, many):
     rng = random.Random(many)
