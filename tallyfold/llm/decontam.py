@@ -39,6 +39,7 @@ COSINE, ALONG, SHARE, ANSWER_SHARE, SHORT = 0.35, 0.5, 0.7, 0.5, 8
 FREQUENT = 0.05  #: share of documents that makes a word frequent
 PAIRS = 1 << 14  #: texts and items whose words are looked up at once
 BLOCK_WORDS = 100_000
+NEAR = 16  #: steps by which sums of windows are made longer one by one
 CHUNK = 512  #: words whose sums travel together
 SALTS = 16
 LEAK = "item_id long, start long, end long, common int, share double"
@@ -132,8 +133,8 @@ def _coded(items: Items):
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, numbers, first in _numbered(batch["text"], items):
-                at = np.flatnonzero(numbers >= 0)
-                text = np.searchsorted(first, at, side="right") - 1
+                at, sizes = np.flatnonzero(numbers >= 0), np.diff(first)
+                text = np.repeat(np.arange(len(sizes)), sizes)[at]
                 # Passages get numbers of their own: at most one for each PASSAGE words and text.
                 begin = np.cumsum(np.concatenate([[0], -(-np.diff(first) // PASSAGE)]))
                 held = np.bincount(begin[text] + (at - first[text]) // PASSAGE, minlength=begin[-1]).astype(np.uint8)
@@ -259,15 +260,28 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK) -> Items:
     return items
 
 
-def lcs(a: list[int], b: list[int], length: int) -> int:
-    """Length of the longest common subsequence, bit-parallel; ``length`` is that of ``a``."""
+def places_of(words: list[int]) -> dict[int, int]:
+    """Where each word stands, as bits."""
     places: dict[int, int] = {}
-    for i, x in enumerate(a):
+    for i, x in enumerate(words):
         places[x] = places.get(x, 0) | 1 << i
+    return places
+
+
+def lcs(a: list[int], b: list[int], length: int) -> int:
+    """Length of the longest common subsequence, bit-parallel; ``length`` is that of ``a``."""
+    return lcs_of(places_of(a), b, length)
+
+
+def lcs_of(places: dict[int, int], b: list[int], length: int, least: float = 0) -> int:
+    """The same by the places of ``a``; less than ``least`` may be given as 0."""
+    there = [places[x] for x in b if x in places]
+    if len(there) < least:
+        return 0
     full = (1 << length) - 1
     row = full
-    for x in b:
-        both = row & places.get(x, 0)
+    for x in there:
+        both = row & x
         row = ((row + both) | (row - both)) & full
     return length - row.bit_count()
 
@@ -288,8 +302,8 @@ class Rarest:
 
     def reached(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts and items of which the text holds enough words to leak them."""
-        at = np.flatnonzero(numbers >= 0)
-        held = np.unique((np.searchsorted(first, at, side="right") - 1) * self.size + numbers[at])
+        at, sizes = np.flatnonzero(numbers >= 0), np.diff(first)
+        held = np.unique(np.repeat(np.arange(len(sizes)), sizes)[at] * self.size + numbers[at])
         text, word = held // self.size, held % self.size
         many = self.begin[word + 1] - self.begin[word]
         into = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.begin[word], many)
@@ -317,7 +331,9 @@ def leaks(items: Items, text: str = "text") -> Column:
         if "latent" not in shared:
             shared["latent"] = np.stack([block.basis[w].sum(axis=0) for w in block.words]).astype(np.float32)
             shared["blocks"] = np.array([-(-len(w) // STEP) + 1 for w in block.words])
-            shared["lists"] = [w.tolist() for w in block.words]
+            # Of each item the places of its words, and of those of its answer.
+            shared["lists"] = [(places_of(w), len(w), places_of(w[a:]), len(w) - a) for w, a in
+                               zip((w.tolist() for w in block.words), block.answers, strict=True)]
             shared["length"] = np.linalg.norm(shared["latent"], axis=1)
             shared["rarest"] = Rarest(block)
         latent, spans, lists, length = (shared[k] for k in ("latent", "blocks", "lists", "length"))
@@ -344,14 +360,12 @@ def _in_texts(block: Items, lists, latent, length, rarest, spans, numbers: np.nd
     begins_at = np.concatenate([[0], np.cumsum(steps)])  # first step of each text
     text_of = np.repeat(np.arange(len(steps)), steps)
     at = np.flatnonzero((numbers >= 0) & (block.idf > 0)[numbers])
-    # Sums over steps, so that any window is a difference of two rows.
-    sums = np.zeros((begins_at[-1] + 1, latent.shape[1]))
+    stepped = np.zeros((begins_at[-1], latent.shape[1]), np.float32)
     if len(at):
-        text = np.searchsorted(first, at, side="right") - 1
+        text = np.repeat(np.arange(len(sizes)), sizes)[at]
         owner = begins_at[text] + (at - first[text]) // STEP
         cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        sums[owner[cuts] + 1] = np.add.reduceat(block.basis[numbers[at]], cuts)
-        np.cumsum(sums, axis=0, out=sums)
+        stepped[owner[cuts]] = np.add.reduceat(block.basis[numbers[at]], cuts)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     compared: set[tuple[int, int]] = set()
 
@@ -362,26 +376,28 @@ def _in_texts(block: Items, lists, latent, length, rarest, spans, numbers: np.nd
 
     def compare(item: int, window: int, end: int) -> None:
         t, lo, hi = words_of(window, end)
-        words, here = lists[item], numbers[first[t] + lo:first[t] + hi].tolist()
-        common = lcs(words, here, len(words))
-        if common < (len(words) if len(words) < SHORT else SHARE * len(words)):
+        (words, length, answer, ending), here = lists[item], numbers[first[t] + lo:first[t] + hi].tolist()
+        least = length if length < SHORT else SHARE * length
+        common = lcs_of(words, here, length, least)
+        if common < least:
             return
-        answer = words[block.answers[item]:]
-        if lcs(answer, here, len(answer)) >= ANSWER_SHARE * len(answer) and common > best.get((t, item), (0,))[0]:
+        if lcs_of(answer, here, ending) >= ANSWER_SHARE * ending and common > best.get((t, item), (0,))[0]:
             best[t, item] = (common, lo, hi)
 
-    every = np.arange(begins_at[-1])
-    for span in np.unique(spans):
+    every, last = np.arange(begins_at[-1]), begins_at[text_of + 1]
+    for span, sums in _window_sums(stepped, np.unique(spans).tolist()):
         # All windows of so many steps, and the whole text where it is shorter.
-        last = begins_at[text_of + 1]
-        windows = every[(every + span <= last) | (every == begins_at[text_of])]
+        windows = np.flatnonzero((every + span <= last) | (every == begins_at[text_of]))
         ends = np.minimum(windows + span, last[windows])
         which = np.flatnonzero((spans == span) & (length > 0))
         if len(which):
-            rows = (sums[ends] - sums[windows]).astype(np.float32)
-            norm = np.sqrt(np.einsum("wk,wk->w", rows, rows))
             # What is shorter than this cannot reach far enough along any item.
-            far = np.flatnonzero(norm >= ALONG * length[which].min())
+            least = ALONG * length[which].min()
+            rows = sums[windows]
+            for w in np.flatnonzero(ends - windows < span).tolist():
+                rows[w] = stepped[windows[w]:ends[w]].sum(axis=0)
+            norm = np.sqrt(np.einsum("wk,wk->w", rows, rows))
+            far = np.flatnonzero(norm >= least)
             inner = rows[far] @ latent[which].T
             # A window may hold more than the item, so next to the cosine its part along the item counts.
             w, k = np.divmod(np.flatnonzero(inner >= (ALONG * length[which] ** 2).astype(np.float32)), len(which))
@@ -401,10 +417,24 @@ def _in_texts(block: Items, lists, latent, length, rarest, spans, numbers: np.nd
                 compare(item, int(windows[w]), int(ends[w]))
     found: dict[int, list[tuple]] = {}
     for (t, i), (common, lo, hi) in sorted(best.items()):
-        found.setdefault(t, []).append((block.ids[i], lo, hi, common, common / len(lists[i])))
+        found.setdefault(t, []).append((block.ids[i], lo, hi, common, common / lists[i][1]))
     return found
 
 
+def _window_sums(steps: np.ndarray, spans: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each span the sums of so many steps from each one on, as far as there are so many; the array is used again."""
+    sums, done = np.zeros_like(steps), 0
+    for span in spans:
+        if span - done > NEAR:
+            upto = np.cumsum(np.concatenate([np.zeros((1, steps.shape[1])), steps]), axis=0, dtype=float)
+            sums[:max(0, len(upto) - span)] = upto[span:] - upto[:max(0, len(upto) - span)]
+        else:
+            for k in range(done, min(span, len(steps))):
+                sums[:len(steps) - k] += steps[k:]
+        done = span
+        yield span, sums
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Documents with ``leaks``: an array of the leaked items."""
     texts = docs.select(F.col(text).alias("text"))

@@ -282,6 +282,23 @@ def test_common_subsequence_equals_quadratic():
         assert decontam.lcs(a, b, len(a)) == row[-1] == substring.common(a, b)
 
 
+def test_windows_are_summed_for_all_spans():
+    steps = np.random.default_rng(4).integers(-9, 9, (40, 3)).astype(np.float32)
+    seen = []
+    for span, sums in decontam._window_sums(steps, [1, 2, 5, 30, 31, 38, 64, 65]):
+        seen.append(span)
+        for w in range(40 - span + 1):
+            assert sums[w].tolist() == steps[w:w + span].sum(axis=0).tolist()
+    assert seen == [1, 2, 5, 30, 31, 38, 64, 65]
+
+
+def test_windows_with_too_few_words_of_an_item_are_not_aligned():
+    places = decontam.places_of([1, 2, 1, 3])
+    assert decontam.lcs_of(places, [7, 1, 3, 8, 2], 4) == decontam.lcs([1, 2, 1, 3], [7, 1, 3, 8, 2], 4) == 2
+    assert decontam.lcs_of(places, [7, 1, 3, 8, 2], 4, 3.5) == 0 and decontam.lcs_of(places, [], 4) == 0
+    assert decontam.lcs_of(places, [1, 9, 2, 1, 3], 4, 4) == 4
+
+
 def test_an_item_most_documents_hold_is_found(spark):
     rng = random.Random(12)
     common, rare = " ".join(prose(rng, 25)), " ".join(prose(rng, 25))
