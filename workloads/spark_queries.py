@@ -349,7 +349,7 @@ def split_row_numbers(spark: SparkSession, folder: str) -> DataFrame:
     order = ("l_orderkey", "l_partkey", "l_linestatus", "l_quantity")
     rows = t.dirty(t.listed(spark, folder))
     named = {n: df.select(*t.DIRTY.required) for n, df in t.by_year(rows, order).items()}
-    path = t.named_lists(spark, named)
+    path = t.named_lists(spark, named, "text")
     session = t.split_session(spark, path)
     files = lists.read_headers(session, lists.discover(session, path))
     read = scan(session, files, t.DIRTY)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column as Expression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,21 +114,51 @@ def header(rows: DataFrame, extra_year: int) -> DataFrame:
 
 
 def named_lists(spark: SparkSession, lists: dict[str, DataFrame], kind: str = "csv", into: str | None = None) -> str:
-    """Write each table as one list of that name, its rows in their order."""
+    """Write each table as one list of that name, its rows in their order; as ``text`` tables of many partitions, too."""
     path = into or work_dir(spark, "lists")
     storage.make_directory(spark, path)
     for name, df in lists.items():
-        part = write_result(df, work_dir(spark, "part"), kind)
+        part = work_dir(spark, "part")
+        if kind == "text":
+            in_blocks(df).write.text(part)
+        else:
+            write_result(df, part, kind)
         file = next(e.path for e in storage.entries(spark, part) if e.name.startswith("part-"))
         storage.move(spark, file, f"{path}/{name}")
     return path
 
 
+def in_blocks(rows: DataFrame, dialect: Dialect = Dialect()) -> DataFrame:
+    """A delimited list with its header as one partition of blocks of lines, in the order of the rows.
+
+    One task has to write a list, but it only gets finished lines: rows are read, sorted and written out by many.
+    """
+    options = {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.quote, "emptyValue": "", "nullValue": "",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names = F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(rows.columns)])
+    header = rows.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("block"), F.to_csv(names, options).alias("value"))
+    placed = rows.select(F.monotonically_increasing_id().alias("at"), F.to_csv(F.struct(*rows.columns), options).alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("at", "line")))
+    blocks = (placed.groupBy(F.shiftright("at", 16).alias("block")).agg(lines.alias("lines"))
+              .select("block", F.array_join("lines.line", "\n").alias("value")))
+    return header.unionByName(blocks).repartition(1).sortWithinPartitions("block").select("value")
+
+
+def each_with(rows: DataFrame, marked: Expression) -> DataFrame:
+    """The rows dealt to as many partitions as are read, none of which is without a marked row if there are any."""
+    parts = rows.rdd.getNumPartitions()
+    share = F.pmod(F.xxhash64(FILE, SEQ), F.lit(parts)).cast("int")
+    held = sorted(r[0] for r in rows.where(marked).select(share).distinct().collect())
+    if not held:
+        return rows
+    other = F.element_at(F.array(*map(F.lit, held)), share % len(held) + 1)
+    return rows.repartition(parts, F.when(share.isin(held), share).otherwise(other))
+
+
 def by_year(rows: DataFrame, order: tuple[str, ...]) -> dict[str, DataFrame]:
-    """One table per list, sorted, in one partition."""
+    """One sorted table per list."""
     years = [r[0] for r in rows.select(F.year("l_shipdate")).distinct().collect()]
-    return {f"lineitem_{y}.csv": rows.where(F.year("l_shipdate") == y).coalesce(1).sortWithinPartitions(*order)
-            for y in sorted(years)}
+    return {f"lineitem_{y}.csv": rows.where(F.year("l_shipdate") == y).orderBy(*order) for y in sorted(years)}
 
 
 def split_session(spark: SparkSession, path: str, splits: int = 50) -> SparkSession:
