@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,14 @@ def processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text; where single blanks part its words and nothing else marks them, they are only cut."""
+    marked = " " + text
+    if not text or MARK in text or "  " in marked or text[-1] == " ":
+        return CHUNK.findall(marked) if text else []
+    return [" " + word for word in text.split(" ")]
+
+
 def chunk_ids(sp, chunks: list[str]) -> list[list[int]]:
     """Ids of chunks.  The library puts one marker before each text, so the first one of the chunk is left out; of a
     bare marker nothing would be left, its id is known."""
@@ -136,15 +146,14 @@ class Block:
 
     def __init__(self, no: int):
         self.no, self.size = no, 0
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = defaultdict(count().__next__)  # a new chunk gets the next number
         self.rows: list[pa.Array] = []
         self.numbers: list[np.ndarray] = []
 
     def add(self, rows: pa.Array, texts: pa.Array) -> None:
-        known = self.known
         for value in texts.to_pylist():
-            found = CHUNK.findall(" " + value) if value else ()
-            self.numbers.append(np.array([known.setdefault(c, len(known)) for c in found], "<u4"))
+            found = chunks_of(value or "")
+            self.numbers.append(np.fromiter(map(self.known.__getitem__, found), "<u4", len(found)))
         self.rows.append(rows)
         self.size += texts.nbytes
 
@@ -215,9 +224,11 @@ def _segmented(path: str):
                     at, known = no, {}
                 chunks = [c.decode() for c in _restored(packed.as_py()).split(b"\xff")]
                 new = [c for c in chunks if c not in known]
-                known.update(zip(new, (np.array(i, "<u4") for i in chunk_ids(sp, new))))
+                known.update(zip(new, chunk_ids(sp, new)))
                 ids = [known[c] for c in chunks]
-                both = np.concatenate([np.array([len(ids), *map(len, ids)], "<u4"), *ids])
+                sizes = np.array([len(ids), *map(len, ids)], "<u4")
+                flat = np.fromiter(chain.from_iterable(ids), "<u4", int(sizes[1:].sum(dtype=np.int64)))
+                both = np.concatenate([sizes, flat])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([of.as_py()], pa.int64()), pa.array([no.as_py()], pa.int32()),
                      pa.array([_planes(both)], pa.binary())], names=["of", "slice", "packed"])

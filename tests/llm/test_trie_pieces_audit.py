@@ -249,3 +249,11 @@ def test_audit_of_other_filters_and_no_overflow(spark):
         ("shortodd", 1): (0, 1 << 62, 0, 1 << 61, (1 << 62) + (1 << 61)), ("shortodd", 2): (0, 0, 1 << 61, 0, 1 << 61),
         ("oddshort", 1): (1 << 61, 1 << 61, 0, 0, 1 << 61),
         ("oddshort", 2): (0, 1 << 61, 1 << 61, 1 << 61, (1 << 62) + (1 << 61))}
+
+
+def test_texts_are_cut_into_the_same_chunks_either_way():
+    rng = random.Random(2)
+    for text in ["", " ", "  ", "a", " a", "a ", "a b", "a  b", "a\tb\n c", "\u2581", "a\u2581b c", "ü 語", "a \u2581 b",
+                 *("".join(rng.choice("a b\n\u2581") for _ in range(rng.randint(1, 9))) for _ in range(500)),
+                 *(" ".join(rng.choice(["x", "yy", "z\n"]) for _ in range(rng.randint(1, 9))) for _ in range(200))]:
+        assert pieces.chunks_of(text) == (pieces.CHUNK.findall(" " + text) if text else [])
