@@ -28,6 +28,9 @@ NUMBER = r"^\s*[+-]?(\d+({mark}\d*)?|{mark}\d+)([eE][+-]?0*\d{{1,3}})?\s*$"
 # The usual form of a number, short enough that converting it cannot lose anything.
 PLAIN = r"^[+-]?\d{{1,{whole}}}({mark}\d{{0,{decimals}}})?$"
 
+# The same with a short exponent, for doubles: it is below 1e300, so it is finite.
+DOUBLE = r"^[+-]?\d{{1,200}}({mark}\d{{0,300}})?([eE][+-]?\d{{1,2}})?$"
+
 # Pattern letters that make a date pattern a timestamp pattern.
 TIME_LETTERS = frozenset("HhKkmsSaAnN")
 
@@ -79,9 +82,8 @@ def from_text(text: Column, column: S.Column, exact: bool, decimal: str = ".") -
         usual = F.coalesce(text.try_cast("bigint"),
                            F.when(zeros, F.substring_index(text, decimal, 1).try_cast("bigint")))
     else:
-        whole, decimals = (38 - column.scale, column.scale) if exact else (300, 300)
-        usual = F.when(text.rlike(PLAIN.format(mark=mark, whole=whole, decimals=decimals)),
-                       dotted.try_cast(value_type(column, exact)))
+        form = PLAIN.format(mark=mark, whole=38 - column.scale, decimals=column.scale) if exact else DOUBLE.format(mark=mark)
+        usual = F.when(text.rlike(form), dotted.try_cast(value_type(column, exact)))
     closely = F.when(text.rlike(NUMBER.format(mark=mark)), _number(F.trim(dotted), column, exact))
     return F.coalesce(usual, closely)
 

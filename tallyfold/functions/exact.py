@@ -1,7 +1,7 @@
 """Exact sums of doubles, whatever their size and order.
 
 A double is a whole number of at most 53 bits times a power of two.  Cut at fixed powers of 2^24 it falls into at most
-four digits, and digits of equal place add up as 64-bit integers: plain sums, which aggregate partially, lose nothing and
+four digits (of either sign, as each is rounded, not cut off), and digits of equal place add up as 64-bit integers: plain sums, which aggregate partially, lose nothing and
 do not depend on order.  ``lo`` and ``hi`` say which places are kept, as powers of 2^24; the usual ones hold numbers
 from 1e-30 to 1e43 with all their bits.  Numbers that need other places are counted, never rounded.
 
@@ -47,11 +47,15 @@ def fits(value: Column, span: Span) -> Column:
     if span == ALL:
         return F.abs(value) < F.lit(math.inf)
     scaled, above = F.abs(_scaled(value, -BITS * lo)), BITS * (hi + 1)
-    return (F.abs(value) < F.lit(2.0 ** above if above < 1024 else math.inf)) & ((scaled >= F.lit(2.0 ** 53)) | (scaled % F.lit(1.0) == 0))
+    return (F.abs(value) < F.lit(2.0 ** above if above < 1024 else math.inf)) & (F.rint(scaled) == scaled)
 
 
 def _digit(value: Column, place: int, span: Span) -> Column:
-    cut = (_scaled(value, -BITS * place) % F.lit(float(BASE))).cast("bigint")
+    # To the nearest whole number: what a place rounds away is what the place below it has, so their sum loses nothing.
+    cut = F.rint(_scaled(value, -BITS * place))
+    if place < span[1]:
+        cut = cut - F.lit(float(BASE)) * F.rint(_scaled(value, -BITS * (place + 1)))
+    cut = cut.cast("bigint")
     if span[1] - span[0] < 40 or BITS * (place + 4) > 1023:
         return cut
     # Far above this place the scaled number would not be finite, and its digit here is 0.

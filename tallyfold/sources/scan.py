@@ -326,7 +326,9 @@ def _parquet_cells(spark: SparkSession, files: list[ListFile], spec: Spec, diale
 
 
 def _utf8(latin1: Column) -> Column:
-    return F.encode(latin1, "ISO-8859-1").cast("string")
+    # ASCII, as most text is, reads the same in both.
+    same = F.octet_length(latin1) == F.length(latin1)
+    return F.when(same, latin1).otherwise(F.encode(latin1, "ISO-8859-1").cast("string"))
 
 
 def _no_rows(spark: SparkSession, spec: Spec, checking: bool) -> DataFrame:

@@ -124,3 +124,12 @@ def test_plan_adds_digits_up_before_the_shuffle(spark):
     plan = consolidate(df.repartition(3), FREE, ordered=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2 and "partial_sum" in plan and "SortAggregate" not in plan
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_digits_are_rounded_to_either_side(spark):
+    """Rounded digits are at most half a place, so a digit's sum outgrows its type later than that of digits cut off."""
+    found = spark.createDataFrame([(2.0**24 - 1,), (2.0**48 - 1,), (-(2.0**24) + 1,)], "x double").select(
+        "x", F.array(*[exact._digit(F.col("x"), j, exact.USUAL) for j in range(*exact.USUAL)]).alias("d"))
+    for r in found.collect():
+        assert max(map(abs, r.d)) <= 2**23
+        assert sum(Fraction(d) * Fraction(2) ** (24 * j) for d, j in zip(r.d, range(*exact.USUAL))) == Fraction(r.x)
