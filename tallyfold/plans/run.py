@@ -20,7 +20,7 @@ from tallyfold.session import settled, shared_dir, work_dir
 from tallyfold.sources import catalog as lists
 from tallyfold.sources import storage
 from tallyfold.sources.catalog import PARQUET, Dialect, ListFile
-from tallyfold.sources.scan import BLOCK, FILE, SEQ, UNCLOSED, scan
+from tallyfold.sources.scan import BLOCK, FILE, SEQ, UNCLOSED, scan, with_joined
 from tallyfold.spec import Spec
 
 SUMMARY_SCHEMA = (
@@ -174,8 +174,9 @@ def profiled(spark: SparkSession, files: list[ListFile], spec: Spec,
     """The lists, those marked whose records cross lines, and the profile of all readable ones.
 
     A line that leaves a quote open tells that its list has such records.  Only those lists are read once more, by
-    records instead of lines.
+    records instead of lines, which are stored for that and all later scans.
     """
+    files = with_joined(spark, files, dialect)
     profile = settled(validate.list_profile(scan(spark, [f for f in files if f.load_rule is None], spec, dialect), spec))
     if dialect.multiline:
         return files, profile
@@ -183,6 +184,7 @@ def profiled(spark: SparkSession, files: list[ListFile], spec: Spec,
     again = [replace(f, crossing=True) for f in files if f.list_id in crossing and not f.crossing]
     if not again:
         return files, profile
+    again = with_joined(spark, again, dialect)
     byname = {f.list_id: f for f in again}
     seen = settled(validate.list_profile(scan(spark, again, spec, dialect), spec))
     once = profile.join(spark.createDataFrame([(n,) for n in byname], "list_id string"), "list_id", "left_anti")

@@ -72,6 +72,7 @@ class ListFile:
     schema: T.StructType | None = None
     load_rule: str | None = None
     crossing: bool = False  # a quoted field of some record holds a line break
+    joined: str | None = None  # folder with the joined records of this list, among others
 
 
 def discover(spark: SparkSession, folder: str) -> list[ListFile]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from tallyfold.functions import convert
 from tallyfold.functions.names import col
+from tallyfold.session import work_dir
 from tallyfold.sources import storage
 from tallyfold.sources.catalog import CSV, CSV_GLOB, Dialect, ListFile, decoded_name
 from tallyfold.spec import Spec
@@ -26,6 +28,7 @@ LINE, WIDTH = "_line", "_width"
 # Provenance and record-level flags that a checking scan adds.
 FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT = "_file", "_block", "_seq", "_malformed", "_bad_text"
 UNCLOSED = "_unclosed"  # a quote is open at the end of the line
+RECORDS = f"{FILE} string, {BLOCK} bigint, {SEQ} bigint, {LINE} string"
 LOOKUP_BYTES = 64 << 20
 RECORD_BYTES = 64 << 20  # a record of several lines still open after so much is a broken quote
 MOST = (1 << 31) - 1
@@ -90,7 +93,7 @@ def scan(spark: SparkSession, files: list[ListFile], spec: Spec, dialect: Dialec
     crossing = [f for f in csv_files if f.crossing or dialect.multiline]
     plain = [f for f in csv_files if not (f.crossing or dialect.multiline)]
     # First, so that a plan over the delimited lists alone still numbers their records alike.
-    read = [records(spark, part, dialect) for records, part in ((_lines, plain), (joined_lines, crossing)) if part]
+    read = [records(spark, part, dialect) for records, part in ((_lines, plain), (_joined, crossing)) if part]
     tables = []
     if read:
         placed = _placed(spark, spec, reduce(DataFrame.unionByName, read), csv_files, dialect, checking)
@@ -139,6 +142,31 @@ def _lines(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> Data
                       F.monotonically_increasing_id().alias(SEQ), LINE)
 
 
+def with_joined(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> list[ListFile]:
+    """The lists, with the records of those whose records cross lines stored: every later scan only reads them."""
+    lacking = [f for f in files if f.format == CSV and f.load_rule is None and f.joined is None
+               and (f.crossing or dialect.multiline)]
+    if not lacking:
+        return files
+    path = _store(joined_lines(spark, lacking, dialect), "records")
+    names = {f.list_id for f in lacking}
+    return [replace(f, joined=path) if f.list_id in names else f for f in files]
+
+
+def _joined(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
+    """Records of lists whose records cross lines: of those among the stored ones, or put together now."""
+    found = []
+    for members in _grouped(files, lambda f: f.joined):
+        path = members[0].joined
+        if path is None:
+            found.append(joined_lines(spark, members, dialect))
+            continue
+        names = spark.createDataFrame([(f.list_id,) for f in members], "_list string")
+        records = spark.read.schema(RECORDS).parquet(path).withColumn("_list", _list_name())
+        found.append(records.join(names, "_list", "left_semi").drop("_list"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def joined_lines(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
     """Records of lists in which a quoted field may hold line breaks, without reading a list in one piece.
 
@@ -157,27 +185,33 @@ def joined_lines(spark: SparkSession, files: list[ListFile], dialect: Dialect) -
     ends = [_open(F.col(LINE), dialect), _open(F.concat(F.lit(dialect.quote), LINE), dialect)]
     lines = lines.select("*", *[e.alias(c) for e, c in zip(ends, ("o", "i"))])
     split = Window.partitionBy(FILE, BLOCK).orderBy("at")
-    lines = _states(lines, split)
-    # One row per split: what it does as a whole.
-    whole = lines.groupBy(FILE, BLOCK).agg(F.max_by(F.struct("known", "turns", "o", "i"), "at").alias("z"))
-    whole = whole.select(FILE, BLOCK, *[_after(F.col("z.known"), F.col("z.turns"), F.col("z.o"), F.col("z.i"),
-                                               F.lit(s)).alias(c) for c, s in (("o", False), ("i", True))])
+    some = F.trim(F.translate(LINE, "\t", "")) != ""
+    lines = _states(lines.withColumn("some", some), split)
+    # How many records begin up to a line, if its split begins outside a quote and if it begins inside one.  Lines are
+    # brought together by split, and stored, once; all that follows reads that.
+    for c, first in (("n_o", F.lit(False)), ("n_i", F.lit(True))):
+        begins = ~_before(F.col("known"), F.col("turns"), first) & F.col("some")
+        lines = lines.withColumn(c, F.sum(begins.cast("long")).over(split))
+    lines = _stored(lines, "lines")
+    # One row per split: what it does as a whole, and what the splits before it make of it.
+    whole = lines.groupBy(FILE, BLOCK).agg(F.max_by(F.struct("known", "turns", "o", "i"), "at").alias("z"),
+                                           F.max("n_o").alias("n_o"), F.max("n_i").alias("n_i"))
+    whole = whole.select(FILE, BLOCK, "n_o", "n_i", *[_after(
+        F.col("z.known"), F.col("z.turns"), F.col("z.o"), F.col("z.i"), F.lit(s)).alias(c) for c, s in (("o", False), ("i", True))])
     before = _states(whole, Window.partitionBy(FILE).orderBy(BLOCK))
-    begins = before.select(FILE, BLOCK, _before(F.col("known"), F.col("turns"), F.lit(False)).alias("inside_first"))
-    lines = lines.join(begins, [FILE, BLOCK]).withColumns({
-        "inside": _before(F.col("known"), F.col("turns"), F.col("inside_first")),
-        "inside_after": _after(F.col("known"), F.col("turns"), F.col("o"), F.col("i"), F.col("inside_first"))})
-    begin = ~F.col("inside")
-    lines = lines.where(F.col("inside") | (F.trim(F.translate(LINE, "\t", "")) != "")).withColumn(
-        "n", F.sum(begin.cast("long")).over(split))
+    splits = before.select(FILE, BLOCK, "n_o", "n_i", _before(F.col("known"), F.col("turns"), F.lit(False)).alias("inside_first"))
     # Lines before the first record of a split belong to the last one of the splits before.
-    held = lines.groupBy(FILE, BLOCK).agg(F.max("n").alias("held"))
+    splits = splits.withColumn("held", F.when(F.col("inside_first"), F.col("n_i")).otherwise(F.col("n_o")))
     upto = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     latest = F.last(F.when(F.col("held") > 0, F.struct(F.col(BLOCK).alias("block"), F.col("held").alias("n"))), True)
     first = F.min(F.when(F.col("held") > 0, F.col(BLOCK))).over(Window.partitionBy(FILE))
-    owners = held.select(FILE, BLOCK, latest.over(upto).alias("owner"), first.alias("first"))
+    splits = _stored(splits.select(FILE, BLOCK, "inside_first", latest.over(upto).alias("owner"), first.alias("first")), "splits")
+    known, turns, starts = F.col("known"), F.col("turns"), F.col("inside_first")
+    lines = lines.join(splits, [FILE, BLOCK]).withColumns({
+        "inside": _before(known, turns, starts), "inside_after": _after(known, turns, F.col("o"), F.col("i"), starts),
+        "n": F.when(starts, F.col("n_i")).otherwise(F.col("n_o"))})
     own = F.col("n") > 0
-    lines = lines.join(owners, [FILE, BLOCK]).select(
+    lines = lines.where(F.col("inside") | F.col("some")).select(
         FILE, F.when(own, F.col(BLOCK)).otherwise(F.col("owner.block")).alias("block"),
         F.when(own, F.col("n")).otherwise(F.col("owner.n")).alias("n"), "first", F.col(BLOCK).alias("line_block"), "at",
         LINE, (F.col("inside") | F.col("inside_after")).alias("crosses"))
@@ -194,6 +228,17 @@ def joined_lines(spark: SparkSession, files: list[ListFile], dialect: Dialect) -
     return found.where(~header).select(FILE, F.col("block").alias(BLOCK), F.col("n").alias(SEQ), LINE)
 
 
+def _store(rows: DataFrame, purpose: str) -> str:
+    path = work_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return path
+
+
+def _stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """Rows written to the folder shared by all executors, and read back."""
+    return rows.sparkSession.read.schema(rows.schema).parquet(_store(rows, purpose))
+
+
 def _states(rows: DataFrame, order: WindowSpec) -> DataFrame:
     """Add, for each row, what the rows before it settle: the last state that holds in any case, with the turns made
     up to it, and the turns made in all."""
@@ -289,13 +334,16 @@ def _with_layout(spark: SparkSession, spec: Spec, records: DataFrame, files: lis
     size = sum(len(f.list_id) + 24 + 8 * len(spec.required) for f in files)
     if size <= LOOKUP_BYTES:
         lookup = F.broadcast(lookup)
-    name = F.when(F.col(FILE).contains("%"), decoded_name(FILE)).otherwise(F.col(FILE))
-    found = records.withColumn("_list", name).join(lookup, "_list", "left")
+    found = records.withColumn("_list", _list_name()).join(lookup, "_list", "left")
     # A record whose list is not found must never vanish: that would be a fault of this engine.
     lost = F.raise_error(F.concat(F.lit("no layout is known for list "), F.col("_list"))).cast("int")
     return found.withColumn("_width", F.coalesce("_width", lost)).drop("_list")
 
 
+def _list_name() -> Column:
+    return F.when(F.col(FILE).contains("%"), decoded_name(FILE)).otherwise(F.col(FILE))
+
+
 def _csv_cells(texts: DataFrame, spec: Spec, dialect: Dialect, checking: bool) -> DataFrame:
     flags = [FILE, BLOCK, SEQ, MALFORMED, BAD_TEXT, UNCLOSED] if checking else []
     tokens = tuple(t.encode().decode("latin-1") for t in dialect.null_tokens)

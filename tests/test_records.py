@@ -5,7 +5,7 @@ import io
 import random
 
 import pytest
-from conftest import rows
+from conftest import base_spec, rows
 
 from tallyfold import Column, Dialect, Rule, Spec, run
 from tallyfold.operators import numbering, validate
@@ -150,3 +150,25 @@ def test_headers_over_several_lines(spark, folder, monkeypatch):
     large = opened(spark, path)
     for a, b in (small, large):
         assert a.columns == ("ber\nth", 'a"b', 'c;"d"') and a.crossing and b.load_rule == "malformed_record"
+
+
+def test_records_over_lines_are_put_together_once(spark, folder, tmp_path, monkeypatch):
+    """The checking and the merging pass read the same stored records; lists without such records are not among them."""
+    from tallyfold.sources import scan as module
+
+    calls, real = [], module.joined_lines
+    monkeypatch.setattr(module, "joined_lines", lambda *a: calls.append([f.list_id for f in a[1]]) or real(*a))
+    path = folder({"a.csv": HEAD + '"w\n\nx";1;1;2.5\n', "b.csv": HEAD + "w;1;1;1\n",
+                   "c d.csv": HEAD + '"w\n\nx";1;1;4\nv;1;1;3\n'})
+    outcome = run(spark, base_spec(bounds={}), path, str(tmp_path / "t"))
+    assert [sorted(names) for names in calls] == [["a.csv", "c d.csv"]]
+    assert sorted(rows(outcome.result, "berth", "cubic")) == [("v", 3.0), ("w", 1.0), ("w\n\nx", 6.5)]
+
+
+def test_a_line_is_shuffled_once_to_join_records(spark, folder):
+    from tallyfold.sources import scan as module
+
+    files = opened(spark, folder({"a.csv": HEAD + '"w\nx";1;1;2.5\nw;1;1;1\n'}))
+    found = module.joined_lines(spark, files, Dialect())
+    assert "Scan text" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in found.select(module.LINE).collect()) == ['"w\nx";1;1;2.5', "w;1;1;1"]
