@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from helpers import corpus, frame, groups, prose, shingles, words
+from pyspark.sql import functions as F
 from tallyfold.llm import decontam, jaccard, neardup, substring, tokens
 from tallyfold.llm.common import components, importable
 
@@ -50,6 +51,20 @@ def test_jaccard_join_of_nothing(spark):
     assert sorted(map(tuple, got)) == [(5, 0, 5), (6, 0, 6)]
 
 
+def test_copies_alone_are_not_followed(spark):
+    """Only the row that names a class is routed, so shingles of copies do not count as found elsewhere."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [(i, text) for i in range(1, 5)] + [(9, "a b c d e f g h")])
+    classes = docs.select("doc_id", jaccard.set_key().alias("k")).groupBy("k").agg(F.min("doc_id").alias("id")).select("k.*", "id")
+    assert jaccard._routes(docs.select(F.col("doc_id").alias("id"), "text"), classes).count() == 0
+    assert {r.component_id for r in jaccard.joined(docs).collect()} == {1, 9}
+
+
+def test_digests_of_many_sets_are_those_of_each():
+    sets = [np.arange(3, 9, dtype=np.uint64), np.zeros(0, np.uint64), np.array([5], np.uint64), np.zeros(0, np.uint64)]
+    assert jaccard._digests(sets).T.tolist() == [[len(s), *jaccard._digest(s)] if len(s) else [0, 0, 0] for s in sets]
+
+
 def test_count_tree_never_loses_a_partner():
     rng = np.random.default_rng(3)
     points = rng.poisson(4, (300, jaccard.GROUPS))
