@@ -363,6 +363,63 @@ def test_passages_whose_seeds_stand_in_other_documents_too(spark, many):
     assert _found(spark, docs) == {(2 * many + 1, 2 * many)}
 
 
+def test_a_changed_passage_whose_seeds_all_stand_in_many_documents(spark):
+    rng = random.Random(22)
+    passage = prose(rng, 60)
+    changed = [w if k % 12 != 11 else "changed" for k, w in enumerate(passage)]
+    parts = [part for part in (passage[:35], passage[25:]) for _ in range(10)]  # each too short for a passage
+    docs = [prose(rng, 40) + part + prose(rng, 20) for part in [*parts, passage, changed, *parts]]
+    assert _found(spark, docs) == {(21, 20)}
+    rows = [*enumerate(map(" ".join, docs)), (99, None), (98, ""), (21, " ".join(docs[21]))]
+    got = substring.grouped(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(
+        [*((i, i if i != 21 else 20) for i in range(42)), (99, 99), (98, 98), (21, 20)])
+    assert all([p.other_id for p in r.passages] == ([20] if r.doc_id == 21 else []) for r in got)
+
+
+def test_places_of_a_seed_are_joined_across_blocks_and_panels(spark, monkeypatch):
+    rng = random.Random(23)
+    line, kinds = prose(rng, 8), [prose(rng, 60) for _ in range(12)]  # a line many texts hold, between passages some share
+    docs = []
+    for i in range(96):
+        kind = [w if rng.random() > 0.05 else "changed" for w in kinds[i % 12]]
+        docs.append(prose(rng, 70) + kind[:30] + line + kind[30:] + prose(rng, 70))
+    words_of = [np.array([hash(w) & 0xFFFF for w in d], "<u2")[70 + 30 - 64:70 + 30 + 68] for d in docs]
+    ids = np.arange(96)
+    for panel in (7, 32, 1024):
+        monkeypatch.setattr(substring, "PANEL", panel)
+        for before in (ids, ids // 48 * 100, np.where(ids < 80, 0, ids)):
+            got = substring.seed_links(ids, ids, before, np.full(96, 2), np.full(96, 64), words_of)
+            met = [(a, b) for a in range(96) for b in range(a) if a % 12 == b % 12 and before[a] != before[b]]
+            assert groups(range(96), got) == groups(range(96), met)
+    sides = ids % 2
+    got = substring.seed_links(ids, ids, ids, sides, np.full(96, 64), words_of)
+    assert not got  # of each kind all are of one side
+    monkeypatch.setattr(substring, "FEW", 2)
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    monkeypatch.setattr(substring, "BLOCK", 24)
+    assert {r.doc_id: r.component_id for r in substring.grouped(frame(spark, rows)).collect()} \
+        == {i: i % 12 for i in range(96)}
+
+
+def test_pairs_of_places_fit_as_their_alignment_does():
+    rng, own, others, lefts = np.random.default_rng(1), [], [], []
+    for _ in range(400):
+        n, most = int(rng.integers(1, 80)), rng.choice([0.1, 0.2, 0.3])
+        words_of = rng.integers(0, 3000, 4 + 2 * n)
+        other = np.where(rng.random(len(words_of)) < most, rng.integers(0, 3000, len(words_of)), words_of)
+        other[n:n + 4] = words_of[n:n + 4]
+        other = np.insert(other, n + 4 + rng.integers(0, n), rng.integers(0, 3000, rng.integers(0, 6)))
+        begin = max(0, n - substring.REACH)
+        own.append(words_of[begin:n + 4 + substring.REACH])
+        others.append(other[begin:n + 4 + substring.REACH])
+        lefts.append(n - begin)
+    wanted = [substring.around(a, b, (x, x + 4, x, x + 4)) is not None for a, b, x in zip(own, others, lefts, strict=True)]
+    assert 50 < sum(wanted) < 350
+    assert substring.fit(own, others, np.array(lefts), np.array(lefts)).tolist() == wanted
+    assert not (np.array(wanted) & ~substring._in_common(own, others)).any()
+
+
 def test_items_of_ordinary_words_beside_rarer_ones_are_found(spark):
     rng = random.Random(14)
     ordinary, rare = prose(rng, 12), prose(rng, 4)
