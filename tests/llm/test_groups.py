@@ -10,7 +10,7 @@ import pytest
 from helpers import corpus, frame, groups, prose, shingles, words
 from pyspark.sql import functions as F
 from tallyfold.llm import decontam, jaccard, neardup, substring, tokens
-from tallyfold.llm.common import components, importable
+from tallyfold.llm.common import components, importable, table
 
 
 @pytest.fixture(autouse=True)
@@ -325,6 +325,18 @@ def test_an_item_most_documents_hold_is_found(spark):
     assert got == {*((i, 1) for i in range(60)), (200, 2)}
 
 
+def test_rows_are_handed_to_python_in_small_batches(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 800).alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+    got = [r.size for r in table(spark, str(tmp_path), "documents").mapInArrow(sizes, "size long").collect()]
+    assert sum(got) >= 12_000_000 and max(got) < 5_000_000
+
+
 def _found(spark, docs):
     rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
     return {(r.doc_id, r.other_id) for r in substring.passages(frame(spark, rows)).collect()}
