@@ -130,8 +130,9 @@ def _structs(rows: list[tuple], offsets: list[int], names: list[str], text_colum
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
 
 
-def found(text: str = "text") -> Column:
-    """A struct of base spans and of all identifier-like tokens of a text column."""
+def found(text: str = "text", moved: bool = True) -> Column:
+    """A struct of base spans and of all identifier-like tokens of a text column; with ``moved`` Spark may evaluate it
+    in several places."""
     @F.arrow_udf(f"struct<base:array<{SPAN}>,seen:array<{SEEN}>>")
     def scan(texts: pa.Array) -> pa.Array:
         base, seen, at, seen_at = [], [], [0], [0]
@@ -147,7 +148,7 @@ def found(text: str = "text") -> Column:
             _structs(seen, seen_at, ["start", "kind", "end", "state", "value", "before", "after"], 3)],
             names=["base", "seen"])
 
-    return scan(F.col(text))
+    return (scan if moved else scan.asNondeterministic())(F.col(text))
 
 
 def accepted(seen: DataFrame) -> DataFrame:
@@ -181,16 +182,26 @@ def accepted(seen: DataFrame) -> DataFrame:
     return (seen.where(f"state = {LOOSE}").join(good, ["kind", "value"]).select("text_hash", "start", "kind", "end"))
 
 
+def _tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """text_hash and the identifier-like tokens of texts that have some."""
+    # As a column that is never moved: else the filter would scan every text once more, with workers of its own.
+    seen = found(text, moved=False)["seen"].alias("seen")
+    return docs.select(F.xxhash64(F.col(text)).alias("text_hash"), seen).where(F.size("seen") > 0)
+
+
+def _added(docs: DataFrame, text: str, key: str, more: str) -> DataFrame:
+    """Spans that the pattern graph adds, by hash of the text."""
+    first = stored(_tokens(docs, text).groupBy("text_hash").agg(F.first("seen").alias("seen"))
+                   .select("text_hash", F.explode("seen").alias("s")).select("text_hash", "s.*"), "pii-seen")
+    span = F.struct(*(F.col(c).cast("int").alias(c) for c in ("start", "kind", "end")))
+    return accepted(first).groupBy(F.col("text_hash").alias(key)).agg(F.collect_list(span).alias(more))
+
+
 def with_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", every: str = "all_spans") -> DataFrame:
     """Documents with the columns ``base`` and ``every``: arrays of (start, kind, end), ordered."""
     key, both, more = spare_names(docs, "text_hash", "found_spans", "added")
     hashed = docs.withColumn(key, F.xxhash64(F.col(text))).withColumn(both, found(text))
-    seen = hashed.select(F.col(key).alias("text_hash"), F.col(both)["seen"].alias("seen"))
-    first = stored(seen.where(F.size("seen") > 0).groupBy("text_hash").agg(F.first("seen").alias("seen"))
-                   .select("text_hash", F.explode("seen").alias("s")).select("text_hash", "s.*"), "pii-seen")
-    span = F.struct(*(F.col(c).cast("int").alias(c) for c in ("start", "kind", "end")))
-    added = (accepted(first).groupBy(F.col("text_hash").alias(key)).agg(F.collect_list(span).alias(more)))
-    return (hashed.join(added, key, "left").withColumn(base, F.col(both)["base"])
+    return (hashed.join(_added(docs, text, key, more), key, "left").withColumn(base, F.col(both)["base"])
             .withColumn(every, F.when(F.col(more).isNull(), F.col(base))
                         .otherwise(F.array_sort(F.concat(F.col(base), F.col(more)))))
             .drop(key, both, more))
@@ -218,19 +229,24 @@ def digest(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with every span replaced by its kind in brackets; all other columns as they were."""
     @F.arrow_udf("string")
-    def replaced(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def replaced(texts: pa.Array, added: pa.Array) -> pa.Array:
         out = []
-        for x, found_in in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            if x and found_in:
-                parts, at = [], 0
-                for s in found_in:
-                    if s["start"] >= at:
-                        parts += [x[at:s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                    at = max(at, s["end"])
-                x = "".join([*parts, x[at:]])
-            out.append(x)
+        for begin in range(0, len(texts), 64):
+            for x, more in zip(texts.slice(begin, 64).to_pylist(), added.slice(begin, 64).to_pylist(), strict=True):
+                spans = base_spans(x) if x else []
+                if more:
+                    spans = sorted([*spans, *((s["start"], s["kind"], s["end"]) for s in more)])
+                if spans:
+                    parts, at = [], 0
+                    for start, kind, end in spans:
+                        if start >= at:
+                            parts += [x[at:start], f"[{KINDS[kind].upper()}]"]
+                        at = max(at, end)
+                    x = "".join([*parts, x[at:]])
+                out.append(x)
         return pa.array(out, pa.string())
 
-    base, every = spare_names(docs, "base_spans", "all_spans")
-    marked = with_spans(docs, text, base, every)
-    return marked.withColumn(text, replaced(F.col(text), F.col(every))).select(*docs.columns)
+    key, more = spare_names(docs, "text_hash", "added")
+    # One step of Python for base spans and replacement: two in a task are two workers.
+    marked = docs.withColumn(key, F.xxhash64(F.col(text))).join(_added(docs, text, key, more), key, "left")
+    return marked.withColumn(text, replaced(F.col(text), F.col(more))).select(*docs.columns)

@@ -73,6 +73,14 @@ def test_rows_alike_are_dealt_evenly(spark):
     assert len({r.sequence_id for r in found}) <= 20 * 3  # in 20 parts, each as few as its bound allows
 
 
+def test_personal_data_takes_one_worker_a_task(spark):
+    """Each step of Python in a task is a worker, and a scan that a filter repeats is done twice."""
+    docs = frame(spark, [(1, "call (555) 201-3344 or write to a.b@example.com now"), (2, None), (3, "")])
+    for made in (pii._tokens(docs), pii.redacted(docs)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.text_hash is not None and len(r.seen) for r in pii._tokens(docs).collect()] == [2]
+
+
 def test_bounds_hold_against_exact_packing():
     rng = random.Random(6)
 
