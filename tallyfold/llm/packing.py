@@ -34,7 +34,9 @@ PER_PART = 20_000  #: pieces packed together
 MOST_ROUNDS = 8
 KNOWN_WORDS = 500_000  #: entries of a worker's word table before it starts anew
 #: Letters that no normalisation changes but by lower-casing, and signs that never form a unit with them.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+UNITS = 200  #: units encoded at once
 GATHERED = 1 << 20  #: words whose ids are put in place at once
 _state: dict = {}
 
@@ -52,12 +54,16 @@ class Words:
     """Ids of words as little-endian 32-bit bytes, encoded on first sight.
 
     Plain words (letters, then perhaps a run of signs) are put together from units, the letters in lower case and the
-    signs.  Units are encoded many at a time as one text: each ends where a token does that closes a word.
+    signs.  Units are encoded many at a time as one text: each ends where a token does that closes a word.  What the
+    tokenizer does to texts before it forms tokens leaves units as they are, so they are only cut at blanks.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_units = Tokenizer(self.tokenizer.model)
+        self.of_units.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         closing = [i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -69,23 +75,22 @@ class Words:
     def _learn(self, words: list[str]) -> None:
         known, composed, stems, ends_with, units, other = self.known, [], [], [], set(), []
         for word in words:
-            m = PLAIN.fullmatch(word)
-            if m is None:
+            stem = word.rstrip(SIGNS)
+            if not (stem.isascii() and stem.isalpha() or LETTERS.fullmatch(stem)):
                 other.append(word)
                 continue
-            stem, signs = m.groups()
-            stem = stem.lower()
-            units.add(stem)
+            low, signs = stem.lower(), word[len(stem):]
+            units.add(low)
             if signs:
                 units.add(signs)
-            if signs or stem != word:
+            if low != word:
                 composed.append(word)
-                stems.append(stem)
+                stems.append(low)
                 ends_with.append(signs)
         units = list(units.difference(known))
-        for begin in range(0, len(units), 1000):
-            some = units[begin:begin + 1000]
-            ids = self._encoded([" ".join(some)])[0]
+        for begin in range(0, len(units), UNITS):
+            some = units[begin:begin + UNITS]
+            ids = np.array(self.of_units.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some):
                 other += some  # not as foreseen: one by one
@@ -95,8 +100,8 @@ class Words:
         for begin in range(0, len(other), 1000):
             some = other[begin:begin + 1000]
             known.update(zip(some, [x.tobytes() for x in self._encoded(some)], strict=True))
-        for word, stem, signs in zip(composed, stems, ends_with, strict=True):
-            known[word] = known[stem] + known[signs] if signs else known[stem]
+        for word, low, signs in zip(composed, stems, ends_with, strict=True):
+            known[word] = known[low] + known[signs] if signs else known[low]
 
     def _looked_up(self, words: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
@@ -112,8 +117,10 @@ class Words:
         """The ids of each text.  Words end at ASCII blanks; one with other blanks in it is encoded as it is."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.values.dictionary_encode()
-        ids = self._looked_up(words.dictionary.to_pylist())
-        each = np.array([len(x) for x in ids], np.int64) // 4
+        # Words hold no blank, so they can be handed over as one text.
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")[0].as_py()
+        ids = self._looked_up(joined.split(" ") if len(words.dictionary) else [])
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(each) - each
         index = words.indices.to_numpy()
         ends = np.concatenate([[0], np.cumsum(each[index])])

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -73,6 +74,22 @@ def test_rows_alike_are_dealt_evenly(spark):
     assert len({r.sequence_id for r in found}) <= 20 * 3  # in 20 parts, each as few as its bound allows
 
 
+def test_plain_words_are_only_cut_at_blanks(monkeypatch):
+    """Only words that are not letters with signs go through all that the tokenizer does to whole texts."""
+    texts = ["Plain words, (here) AND there. \u00c4pfel, caf\u00e9; again plain", None, "", "  a  b ", "x_y __ ... a.b.c 1234 a1 1a '' a'",
+             "H\u0331a A\u0301b J\u030cx a\u0301 !\u0301", "Don't DON'T'S it's. 'll", "<|ENDOFTEXT|> <|endoftext|>. w.<|endoftext|>",
+             "\u00d7a \u00f7 \u00dfA \u0130x \ufb01 \u2167", "a\u00a0b c\u2003d\x1ce\x0bf"]
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    words, sent = packing.Words(packing.tokenizer_path()), []
+    encoded = words._encoded
+    monkeypatch.setattr(words, "_encoded", lambda some: sent.extend(some) or encoded(some))
+    for _ in range(2):
+        assert words.ids(pa.array(texts)) == [
+            np.array(whole.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert not {"Plain", "words,", "there.", "\u00c4pfel,", "again"} & {x for text in sent for x in text.split(" ")}
+    assert not {"plain", "words", "\u00e4pfel", "b"} & {x for text in sent for x in text.split(" ")}
+
+
 def test_personal_data_takes_one_worker_a_task(spark):
     """Each step of Python in a task is a worker, and a scan that a filter repeats is done twice."""
     docs = frame(spark, [(1, "call (555) 201-3344 or write to a.b@example.com now"), (2, None), (3, "")])
