@@ -445,3 +445,18 @@ def test_items_of_ordinary_words_beside_rarer_ones_are_found(spark):
     docs = frame(spark, [(i, " ".join(row)) for i, row in enumerate(rows)])
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
     assert got == {(i, 0) for i in range(0, 40, 2)}
+
+
+def test_equal_places_are_compared_once(monkeypatch):
+    """Copies of a component need not all be compared, and many pairs are aligned as each alone."""
+    rng = np.random.default_rng(11)
+    one, other, third = (rng.integers(0, 60000, 132).astype("<u2") for _ in range(3))
+    third[30:110] = other[30:110]
+    rows = [one] * 60 + [other] * 60 + [third] * 60
+    labels, seen, ranked = np.repeat([1, 2, 3], 60), [], substring._ranked
+    monkeypatch.setattr(substring, "_ranked", lambda rows, *a: seen.append(len(rows)) or ranked(rows, *a))
+    found = substring.seed_links(np.arange(180), labels, labels + 10, np.full(180, 2), np.full(180, 64), rows)
+    assert [(labels[x], labels[y]) for x, y in found] in ([(2, 3)], [(3, 2)]) and sum(seen) == 3
+    pairs = [(a, b, (64, 68, 64, 68)) for a in (one, other, third) for b in (one, other, third)]
+    assert substring.around_each(pairs) == [substring.around(*p) for p in pairs]
+    assert substring.around(other, third, (64, 68, 64, 68)) == (30, 110, 30, 110, 80)
