@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 from operator import or_
 
@@ -27,6 +28,8 @@ ISSUE_SCHEMA = T.StructType([
     T.StructField("bad_value", T.StringType()),
 ])
 ISSUE_COLUMNS = ISSUE_SCHEMA.names
+FEW_PLACES = 9  # decimals of numbers whose units are counted
+FEW_UNITS = 1e8  # numbers of fewer units of their last place: 92 billion of them fit a 64-bit total
 
 
 def issue(list_id: Column, level: str, severity: str, rule: Column, column: Column | None = None,
@@ -115,7 +118,7 @@ def list_profile(scanned: DataFrame, spec: Spec) -> DataFrame:
     the shuffle, which then carries one small row per list and task.
     """
     counts = [F.count_if(v).alias(f"n{i}") for i, (_, _, v) in enumerate(_rules(spec))]
-    totals = []
+    totals, scales = [], {}
     for i, n in enumerate(spec.columns_with("sum")):
         value = F.col(f"v{spec.required.index(n)}")
         if n in spec.free:
@@ -124,6 +127,12 @@ def list_profile(scanned: DataFrame, spec: Spec) -> DataFrame:
         totals.append(F.count(value).alias(f"c{i}"))
         if n in spec.exact and spec.column(n).scale:
             # Whole parts and fractions apart, so that no total outgrows its type.
+            if spec.column(n).scale <= FEW_PLACES:
+                # Numbers of a few digits, as most are, are added up as 64-bit integers.
+                few, units = _units(value, spec.column(n).scale)
+                value = F.when(~few, value)
+                totals += [F.sum(F.when(few, units)).alias(f"u{i}"), F.count(value).alias(f"g{i}")]
+                scales[i] = spec.column(n).scale
             totals += [F.sum(F.floor(value)).alias(f"t{i}"),
                        F.sum(F.pmod(value, F.lit(1).cast("decimal(1,0)"))).alias(f"f{i}")]
         else:
@@ -134,10 +143,28 @@ def list_profile(scanned: DataFrame, spec: Spec) -> DataFrame:
     flat = scanned.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"), F.count_if(MALFORMED).alias(MALFORMED),
                                      F.count_if(BAD_TEXT).alias(BAD_TEXT), F.count_if(UNCLOSED).alias(UNCLOSED),
                                      *counts, *totals)
+    for i, scale in scales.items():
+        flat = flat.withColumns(dict(zip((f"t{i}", f"f{i}"), _with_units(i, scale))))
     return flat.select(decoded_name(FILE).alias("list_id"), "rows", MALFORMED, BAD_TEXT, UNCLOSED,
                        *[c for c in flat.columns if c[0] in "ntfcdolm" and c[1:].isdigit()])
 
 
+def _units(value: Column, scale: int) -> tuple[Column, Column]:
+    """Whether a decimal has so few digits that doubles count the units of its last place, and their number."""
+    units = value.cast("double") * F.lit(float(10 ** scale))
+    return F.abs(units) < FEW_UNITS, F.rint(units).cast("bigint")
+
+
+def _with_units(i: int, scale: int) -> tuple[Column, Column]:
+    """Whole parts and fractions of a total, units included; of nothing they are NULL, and so is what could not be held."""
+    units, one = F.col(f"u{i}").cast("decimal(19,0)"), F.lit(10 ** scale).cast(f"decimal({scale + 1},0)")
+    rest = F.pmod(units, one)
+    whole = ((units - rest) / one).cast("decimal(20,0)")
+    fraction = (rest * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal({scale + 1},{scale})")
+    return tuple(F.when(F.col(f"g{i}") == 0, x).when(x.isNull(), F.col(c)).otherwise(F.col(c) + x)
+                 for c, x in ((f"t{i}", whole), (f"f{i}", fraction)))
+
+
 def cell_issue_counts(profile: DataFrame, spec: Spec) -> DataFrame:
     """(list_id, rule, column_name, n) for every rule violated in a list."""
     rules = _rules(spec)

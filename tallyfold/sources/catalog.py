@@ -6,7 +6,7 @@ import csv
 import io
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import partial
@@ -24,9 +24,12 @@ from tallyfold.sources import storage
 CSV, PARQUET = "csv", "parquet"
 CSV_GLOB = "*.[cC][sS][vV]"
 SMALL = 4 << 20  # lists up to this size are read whole when only the header is wanted
+HEADER_START = 1 << 16  # bytes first read of a larger list; more only if its header is longer
 HEADER_BYTES = 64 << 20  # a header record still open after so much is a broken quote
 FORMATS = {".csv": CSV, ".parquet": PARQUET}
 
+_LINE_END = re.compile(rb"\r\n|\r|\n")
+
 CATALOG_SCHEMA = T.StructType([
     T.StructField("list_id", T.StringType(), False),
     T.StructField("path", T.StringType(), False),
@@ -121,9 +124,12 @@ def _csv_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -
     """The header record of each list as raw bytes, blank lines before it skipped."""
     small = [f for f in files if f.size <= SMALL]
     large = [f for f in files if f.size > SMALL]
-    found = [read(spark, part, dialect) for read, part in ((_small_headers, small), (_large_headers, large)) if part]
-    return {name: bytes(record) for rows in found
-            for name, record in rows.select(decoded_name("name"), "record").collect()}
+    found = {}
+    if small:
+        rows = _small_headers(spark, small, dialect).select(decoded_name("name"), "record").collect()
+        found = {name: bytes(record) for name, record in rows}
+    with ThreadPoolExecutor(16) as pool:
+        return found | dict(pool.map(lambda f: (f.list_id, _large_header(spark, f, dialect)), large))
 
 
 def _small_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
@@ -143,46 +149,40 @@ def _small_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect)
     return whole.select(F.col("_metadata.file_name").alias("name"), F.encode(record, "ISO-8859-1").alias("record"))
 
 
-def _large_headers(spark: SparkSession, files: list[ListFile], dialect: Dialect) -> DataFrame:
-    """Of a large list only the start is read: one task per list, which returns early.
-
-    The scan runs in a sibling session whose split settings put each list into a partition
-    of its own.
-    """
-    probe = spark.newSession()
-    whole = str(1 << 50)
-    probe.conf.set("spark.sql.files.maxPartitionBytes", whole)
-    probe.conf.set("spark.sql.files.openCostInBytes", whole)
-    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+def _large_header(spark: SparkSession, f: ListFile, dialect: Dialect) -> bytes | None:
+    """Of a large list only the start is read, as of a stored one only the footer."""
     is_open, quote = _open_header(dialect), dialect.quote.encode()
-
-    def first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, held, name = [], 0, None
-        for batch in batches:
-            for line in batch.column("line").to_pylist():
-                if not lines and not line.removeprefix(b"\xef\xbb\xbf").strip(b" \t"):
-                    continue
-                name = name or batch.column("name")[0].as_py()
-                lines.append(line)
-                held += len(line)
-                # A line without a quote closes nothing.
-                if len(lines) == 1 or quote in line:
-                    record = b"\n".join(lines)
-                    if not is_open(record.removeprefix(b"\xef\xbb\xbf")):
-                        yield pa.RecordBatch.from_pydict({"name": [name], "record": [record]})
-                        return
-                if held > HEADER_BYTES:
-                    lines = lines[:1]
-                    break
-            if held > HEADER_BYTES:
-                break
-        if lines:
-            # The quote is never closed: the first line, which the parser will refuse.
-            yield pa.RecordBatch.from_pydict({"name": [name], "record": [lines[0]]})
-
-    lines = (storage.read_files(probe.read.text, [f.path for f in files], CSV_GLOB)
-             .select(F.col("_metadata.file_name").alias("name"), F.col("value").cast("binary").alias("line")))
-    return lines.mapInArrow(first_record, "name string, record binary")
+    lines: list[bytes] = []
+    held = 0
+    for line in _lines_of(storage.chunks(spark, f.path, HEADER_START)):
+        if not lines and not line.strip(b" \t"):
+            continue
+        lines.append(line)
+        # A line without a quote closes nothing.
+        if len(lines) == 1 or quote in line:
+            record = b"\n".join(lines)
+            if not is_open(record):
+                return record
+        held += len(line)
+        if held > HEADER_BYTES:
+            break
+    # The quote is never closed: the first line, which the parser will refuse.
+    return lines[0] if lines else None
+
+
+def _lines_of(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The lines of a text that comes in pieces, without its byte-order mark."""
+    rest, first = b"", True
+    for chunk in chunks:
+        rest += chunk
+        if first and len(rest) >= 3:
+            rest, first = rest.removeprefix(b"\xef\xbb\xbf"), False
+        # Whether a line feed follows a carriage return at the end is not known yet.
+        held = rest.removesuffix(b"\r")
+        *whole, last = _LINE_END.split(held)
+        yield from whole
+        rest = last + rest[len(held):]
+    yield from _LINE_END.split(rest.removeprefix(b"\xef\xbb\xbf") if first else rest)
 
 
 def _open_header(dialect: Dialect) -> Callable[[bytes], bool]:

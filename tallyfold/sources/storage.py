@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -81,6 +81,19 @@ def read_file(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
+def chunks(spark: SparkSession, path: str, first: int) -> Iterator[bytes]:
+    """The content of a file from its start, as far as it is asked for, in ever larger pieces."""
+    fs, p = _open(spark, path)
+    io = spark.sparkContext._jvm.org.apache.commons.io
+    stream, size = fs.open(p), first
+    try:
+        while found := bytes(io.IOUtils.toByteArray(io.input.BoundedInputStream(stream, size))):
+            yield found
+            size = min(2 * size, 64 * first)
+    finally:
+        stream.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _open(spark, path)
     fs.delete(p, True)

@@ -1,5 +1,6 @@
 import math
-from decimal import Decimal
+import random
+from decimal import Decimal, localcontext
 
 import pytest
 from conftest import base_spec, rows
@@ -9,7 +10,7 @@ from tallyfold import Bounds, Column, Rule, consolidate, control_totals, merge,
 from tallyfold.operators import checks, numbering, validate
 from tallyfold.operators.consolidate import grouped
 from tallyfold.sources import catalog as lists
-from tallyfold.sources.scan import scan
+from tallyfold.sources.scan import cells, scan
 
 SCHEMA = "berth string, hydrant bigint, opened bigint, cubic double"
 
@@ -131,6 +132,26 @@ def test_consolidating_a_result_changes_nothing(spark, spec):
     assert rows(consolidate(once, spec)) == rows(once) and once.count() == 85
 
 
+def test_totals_of_a_profile_are_those_of_its_numbers(spark):
+    rng = random.Random(4)
+    for scale in (1, 2, 9, 10):
+        numbers = [Decimal(rng.randrange(-10 ** rng.randrange(1, 19), 10 ** rng.randrange(1, 19))).scaleb(-rng.randrange(scale + 1))
+                   for _ in range(300)]
+        kinds = {"mixed": numbers, "short": [n for n in numbers if abs(n) < 10], "long": [n for n in numbers if abs(n) >= 10 ** 9],
+                 "negative": [Decimal("-1.5"), Decimal("0.1")], "none": []}
+        spec = base_spec(columns=(Column("berth", "string"), Column("hydrant", "int"), Column("opened", "int", True),
+                                  Column("cubic", "float", True, scale=scale)))
+        df = spark.createDataFrame([(kind, "w", 1, 1, x) for kind, of in kinds.items() for x in [*map("{:f}".format, of), None]],
+                                   "_file string, berth string, hydrant int, opened int, cubic string")
+        read = cells(df, spec, ["_file"]).withColumns({c: F.lit(False) for c in ("_malformed", "_bad_text", "_unclosed")})
+        i = spec.columns_with("sum").index("cubic")
+        with localcontext() as context:
+            context.prec = 60
+            got = {r.list_id: (r[f"c{i}"], None if r[f"t{i}"] is None else r[f"t{i}"] + r[f"f{i}"])
+                   for r in validate.list_profile(read, spec).collect()}
+            assert got == {kind: (len(of), sum(of) if of else None) for kind, of in kinds.items()}
+
+
 def test_control_totals(spark, spec):
     df = water(spark, ("w", 1, 4, 0.5), ("w", 1, 5, 7.25), ("v", 2, None, 90.0))
     before, after = control_totals(df, spec), control_totals(consolidate(df, spec), spec)

@@ -8,6 +8,7 @@ from conftest import base_spec, rows
 from tallyfold import Column, Dialect, InputError, Rule
 from tallyfold.operators import numbering, validate
 from tallyfold.sources import catalog as lists
+from tallyfold.sources import storage
 from tallyfold.sources.scan import BLOCK, FILE, SEQ, scan
 
 HEAD = "berth;hydrant;opened;cubic\n"
@@ -161,6 +162,26 @@ def test_headers_of_large_lists_stop_early(spark, folder):
     assert {f.columns for f in opened(spark, path)} == {("berth", "hydrant", "opened", "cubic")}
 
 
+def test_headers_of_large_lists_take_no_scan(spark, folder):
+    path = folder({"l.csv": HEAD + "w;1;1;1.5\n" * 500_000})
+    spark.sparkContext.setJobGroup("headers", "headers of large lists")
+    try:
+        assert opened(spark, path)[0].columns == ("berth", "hydrant", "opened", "cubic")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_lines_of_a_text_do_not_depend_on_its_pieces(spark, folder):
+    text = b"\xef\xbb\xbf\r\na\rb\n\nc\r\n d\r"
+    for n in range(1, len(text) + 1):
+        pieces = [text[k:k + n] for k in range(0, len(text), n)]
+        assert list(lists._lines_of(pieces)) == [b"", b"a", b"b", b"", b"c", b" d", b""]
+    assert list(lists._lines_of([b"\xef\xbb"])) == [b"\xef\xbb"]
+    path = folder({"a.csv": text})
+    assert list(storage.chunks(spark, f"{path}/a.csv", 4)) == [text[:4], text[4:12], text[12:]]
+
+
 def test_parquet_and_csv_mixed(spark, folder, spec):
     path = folder({"a.csv": LIST})
     pd.DataFrame({"cubic": [1.5, None], "opened": [1, 2], "hydrant ": [3, 4], "berth": [70, 80]}).to_parquet(

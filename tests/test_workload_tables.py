@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tallyfold.sources.scan import FILE, SEQ
+from workloads import spark_queries
 from workloads import tables as t
 
 
@@ -32,3 +33,28 @@ def test_lists_with_wide_records_are_several_and_have_each_one(spark):
         held = dict(rows(dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("id") % every == 1))))
         assert dealt.count() == 5000 and min(held.values()) >= 1 and (len(held) > 1 or every > 5000)
     assert t.each_with(df, F.lit(False)).count() == 5000
+
+
+def test_the_lists_of_run_modes_are_made_by_many_tasks(spark, monkeypatch):
+    made, done = [], []
+    csv_folder, named_lists = t.csv_folder, t.named_lists
+
+    def plain(spark, variants, *more):
+        made.extend(variants)
+        return csv_folder(spark, variants, *more)
+
+    def named(spark, lists, kind="csv", into=None):
+        made.extend(t.in_blocks(df) if kind == "text" else df.coalesce(1) for df in lists.values())
+        return named_lists(spark, lists, kind, into)
+
+    def noted(spark, spec, path, *more, **options):
+        done.append({e.name for e in spark_queries.storage.entries(spark, path) if e.name.endswith("csv")})
+        return run(spark, spec, path, *more, **options)
+
+    run = spark_queries.run
+    monkeypatch.setattr(t, "csv_folder", plain)
+    monkeypatch.setattr(t, "named_lists", named)
+    monkeypatch.setattr(spark_queries, "run", noted)
+    assert spark_queries.run_modes(spark, "/root/testdata/sf0.001").count() == 4
+    assert len(made) == 4 and not any("Coalesce 1" in df._jdf.queryExecution().toString() for df in made)
+    assert "noted.csv" in done[0] and done[3] == {"whole.csv", "lacking.csv"}
