@@ -460,3 +460,43 @@ def test_equal_places_are_compared_once(monkeypatch):
     pairs = [(a, b, (64, 68, 64, 68)) for a in (one, other, third) for b in (one, other, third)]
     assert substring.around_each(pairs) == [substring.around(*p) for p in pairs]
     assert substring.around(other, third, (64, 68, 64, 68)) == (30, 110, 30, 110, 80)
+
+
+def _hidden(rng, passage):
+    """Texts that hold parts of a passage, so that all its seeds are frequent; none holds a passage."""
+    parts = [passage[k:k + 35] for k in range(0, len(passage) - 34, 20)] + [passage[-35:]]
+    return [prose(rng, 40) + part + prose(rng, 20) for part in parts for _ in range(18)]
+
+
+def test_passages_of_frequent_seeds_are_found_within_a_component(spark):
+    rng = random.Random(31)
+    shared, passage = prose(rng, 60), prose(rng, 60)  # the first joins both texts, the other stands in them as well
+    docs = [prose(rng, 20) + shared + prose(rng, 80) + passage + prose(rng, 20), *_hidden(rng, passage),
+            prose(rng, 90) + passage + prose(rng, 70) + shared]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = substring.passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(len(docs) - 1, 0)}
+    assert len(got) == 2
+    for text in (shared, passage):
+        assert any(set(text) <= set(docs[r.doc_id][r.start:r.end]) & set(docs[0][r.other_start:r.other_end]) for r in got)
+
+
+def test_a_long_passage_of_frequent_seeds_is_found_whole(spark):
+    rng = random.Random(32)
+    passage = prose(rng, 300)
+    docs = [prose(rng, 30) + passage + prose(rng, 30), *_hidden(rng, passage), prose(rng, 50) + passage + prose(rng, 30)]
+    got = substring.passages(frame(spark, [(i, " ".join(d)) for i, d in enumerate(docs)])).collect()
+    assert [(r.doc_id, r.other_id) for r in got] == [(len(docs) - 1, 0)]
+    assert got[0].words >= 300 and got[0].start <= 50 and got[0].end >= 350
+
+
+def test_each_place_that_lies_in_a_passage_gets_one():
+    rng = np.random.default_rng(12)
+    one, other = (rng.integers(0, 60000, 132).astype("<u2") for _ in range(2))
+    contexts = [one, one, other, other, rng.integers(0, 60000, 132).astype("<u2")]
+    ids, ones, full = np.arange(5), np.full(5, 1), np.full(5, 64)
+    found = substring.seed_links(ids, ones, ids, np.full(5, 2), full, contexts)
+    assert sorted(sorted(p) for p in found) == [[0, 1], [2, 3]]  # although all are of one component
+    held = np.array([True, True, True, False, False])
+    assert [sorted(p) for p in substring.seed_links(ids, ones, ids, np.full(5, 2), full, contexts, ids, held)] == [[2, 3]]
+    assert not substring.seed_links(ids, ones, ids, np.full(5, 2), full, contexts, ids, np.full(5, True))
